@@ -1,0 +1,51 @@
+"""Shared scratch space: tables and files that the driver and all executors can see."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+KEY = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new, not yet existing folder below ``spark.checkpoint.dir``; where that is unset
+    (a local session, as in tests) a temporary folder is set up for the session."""
+    root = spark.conf.get(KEY, None)
+    if not root:
+        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if checkpoint.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="condense-"))
+            checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = checkpoint.get()
+    if "://" not in root and not root.startswith("file:"):
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration()
+        ).makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)).toString()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`shared_dir`."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def arrow_fs(uri: str):
+    """The Arrow file system of a URI, and the path in it; used inside tasks, which have no JVM."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
