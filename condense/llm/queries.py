@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, media, packing, quality, sampling, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,27 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = media.by_object(media.write_shards(table(spark, sf_dir, "documents")))
+    full = media.payload_columns(media.header_columns(refs))
+    return full.select(
+        "doc_id", "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), "payload_sha256", "tail_crc32",
+        F.col("length").alias("media_bytes"), "media_sha256", "feature",
+    )
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = sampling.fold("doc_id", 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.harmonic_pack(table(spark, sf_dir, "documents"), word_bpe())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -27,9 +48,47 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe()))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = sampling.fold("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.join(labels.where(~held_out), "doc_id"))
+    scored = quality.score(docs, model).withColumnRenamed("quality_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES = {
+    "op1_media": op1_media,
+    "op3_language": op3_language,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = """
+WITH r AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+     h AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS payload_digest FROM r),
+     k AS (SELECT payload_digest, max(page_id) AS kept, count(*) AS n FROM h WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT h.page_id, cast(h.payload_bytes AS bigint) AS payload_bytes, h.payload_digest,
+       CASE WHEN k.n > 1 AND k.kept <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.n > 1 AND k.kept <> h.page_id THEN k.kept END AS refers_to
+FROM h LEFT JOIN k USING (payload_digest)
+"""
+
+_OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.e, c.e) AS bigint) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+     t AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_warc": _OP5, "op10_topk": _OP10}
