@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality, sampling, substrings, topk, warc
+from . import bpe, langid, media, minhash, packing, quality, sampling, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_substrings": op2_substrings,
     "op3_language": op3_language,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
