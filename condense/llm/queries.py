@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, packing, quality, sampling, substrings, topk, warc
+from . import bpe, langid, lines, media, minhash, packing, quality, sampling, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe()))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = sampling.fold("doc_id", 5) == 0
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
 }
@@ -102,4 +108,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * cast(x
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": _OP5, "op10_topk": _OP10}
+_OP8 = """
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+     w AS (SELECT doc_id, p, [line, lead(line) OVER d, lead(line, 2) OVER d] AS run, lead(p, 2) OVER d AS last FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+     f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS n FROM w WHERE last IS NOT NULL),
+     g AS (SELECT DISTINCT doc_id, p + o AS p FROM f, (VALUES (0), (1), (2)) AS s(o) WHERE n > 1)
+SELECT doc_id, cast(count(*) AS bigint) AS n_lines, cast(count(g.p) AS bigint) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY l.p), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id, p) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_lines": _OP8, "op5_warc": _OP5, "op10_topk": _OP10}
