@@ -8,8 +8,10 @@ one hash a shingle.  Each dart hits one coordinate of the signature, and the dar
 stays.  Documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands; documents that share a band are compared by their exact
-similarity.  Within a band's bucket every member is compared with the one of smallest id, and
-only where members stay in different groups, with the other members of other groups.
+similarity.  Within a band's bucket every member is compared with the one of smallest id.  What
+then stays in different groups goes through an exact prefix filter: two sets of a given overlap
+share one of their rarest elements, so only documents that share such an element, and whose other
+elements could still make up the overlap, are compared.  No bucket is paired out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from . import wordhash as wh
 from .bpe import utf8
 from .scratch import stored
@@ -29,6 +32,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 BLOCK = 1_000_000  # words at a time
+#: Elements (bytes) that one task holds while it looks for rare ones.
+PREFIX_BYTES = 8 << 20
 _U = np.uint64
 _STRIP, _THROW = _U(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
 
@@ -184,6 +189,74 @@ def components(edges: DataFrame) -> DataFrame:
         edges = between
 
 
+def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of sets (``id, e binary, root``) of different roots that may have a similarity of
+    ``least`` or more; none that has is left out.
+
+    With elements ordered from rare to frequent, a set and a larger one (ties by id) that are
+    similar share an element among the first ``n - 2 least / (1 + least) n + 1`` of the one and the
+    first ``n - least n + 1`` of the other.  A pair is given once, at its first common element, if
+    what follows there can still reach the overlap.  Elements that no other set has cannot be
+    shared, so sets with too few others are left out.
+    """
+    sets = stored(sets.select("id", "root", "e"), "near-sets")
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("e")), F.lit(0))).first()[0]
+    n = int(max(1, -(-size // PREFIX_BYTES), 2 * sets.sparkSession.sparkContext.defaultParallelism))
+    chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "chunk")
+
+    def elements_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        own = [np.frombuffer(x, "<u8") for x in table.column("e").to_pylist()]
+        values, at, count = np.unique(np.concatenate(own) if own else np.zeros(0, _U), return_inverse=True, return_counts=True)
+        return own, values, at, count
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        _, values, _, count = elements_of(table)
+        return exchange.packed(values, n, key[0].as_py(), n_own=count.astype("<u4"))
+
+    def reply(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<u8") for x in table.column("values").to_pylist()]
+        own = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("n_own").to_pylist()])
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        return exchange.numbers(table, np.asarray([p.size for p in parts]), np.bincount(at, own)[at])
+
+    def rare(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        own, values, at, _ = elements_of(table)
+        often = exchange.replied_numbers(values, n, replies)[at]
+        ends = np.cumsum([x.size for x in own])
+        keep, places, hashes = [], [], []
+        for i, (x, end) in enumerate(zip(own, ends.tolist(), strict=True)):
+            f = often[end - x.size:end]
+            order = np.lexsort((x, f))
+            alone = int((f <= 1).sum())  # these come first and nobody shares them
+            prefix = x.size - int(np.ceil(least * x.size - 1e-9)) + 1
+            if alone < prefix:
+                keep.append(i)
+                places.append(list(range(alone, prefix)))
+                hashes.append(x[order[alone:prefix]].view("<i8").tolist())
+        left = table.take(pa.array(keep, pa.int64()))
+        return pa.table({
+            "id": left.column("id"), "root": left.column("root"), "n": pa.array([own[i].size for i in keep], pa.int64()),
+            "places": pa.array(places, pa.list_(pa.int32())), "hashes": pa.array(hashes, pa.list_(pa.int64())),
+        })
+
+    sent = chunked.groupBy("chunk").applyInArrow(send, "group int, chunk int, values binary, n_own binary")
+    replies = sent.groupBy("group").applyInArrow(reply, "chunk int, group int, bits binary")
+    made = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(rare, "id bigint, root bigint, n bigint, places array<int>, hashes array<bigint>")
+    made = stored(made, "near-prefixes")
+    rows = made.select("id", "root", "n", "hashes", F.explode(F.arrays_zip("places", "hashes")).alias("p")).select("id", "root", "n", "hashes", F.col("p.places").alias("p"), F.col("p.hashes").alias("h"))
+    both = 2 * least / (1 + least)
+    small = rows.where(F.col("p") < F.col("n") - F.ceil(both * F.col("n") - 1e-9) + 1).select(*(F.col(c).alias(f"{c}_x") for c in rows.columns))
+    large = rows.select(*(F.col(c).alias(f"{c}_y") for c in rows.columns))
+    c = F.col
+    need = F.ceil(least / (1 + least) * (c("n_x") + c("n_y")) - 1e-9)
+    fits = (
+        (c("h_x") == c("h_y")) & (c("root_x") != c("root_y")) & ((c("n_x") < c("n_y")) | ((c("n_x") == c("n_y")) & (c("id_x") < c("id_y"))))
+        & (c("n_x") >= least * c("n_y")) & (F.least(c("n_x") - c("p_x"), c("n_y") - c("p_y")) >= need)
+        & (F.element_at(F.array_intersect("hashes_x", "hashes_y"), 1) == c("h_x"))
+    )
+    return small.join(large, fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
                     n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose five-word shingles have a weighted Jaccard similarity of ``least`` or
@@ -214,7 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cut = [e[b - c:b].astype("<u8").tobytes() for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["id", "e"])
 
-    once = again.join(asked, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    # merged whatever the sizes: the plan is the same for small and large inputs
+    once = again.hint("merge").join(asked, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     held = once.select("id", "text").mapInArrow(elements_of, "id bigint, e binary")
     elements = stored(held, "near-elements")
 
@@ -235,15 +309,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(edges)
 
     # what is left: members of one bucket in different groups
-    own = members.join(roots, "id", "left").select("band", "pivot", "id", "elements", F.coalesce("root", "id").alias("root"))
+    own = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_ = stored(own.join(stored(mixed, "near-mixed"), "band"), "near-open")
-    x = open_.select("band", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("elements").alias("n_a"), F.col("pivot").alias("pivot"))
-    y = open_.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("elements").alias("n_b"))
-    pairs = x.join(y, "band").where(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.col("a") != F.col("pivot"))
-        & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    ).select("a", "b").distinct()
+    open_ = stored(own.join(stored(mixed, "near-mixed"), "band").select("id", "root").distinct(), "near-open")
+    pairs = sharing_rare(elements.join(open_, "id"), least)
     third = stored(verified(stored(pairs, "near-pairs"), elements, least), "near-edges")
     if not third.isEmpty():
         roots = components(edges.union(third))

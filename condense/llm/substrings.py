@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import wordhash as wh
+from .exchange import answers as _answers
+from .exchange import bits as _bits
+from .exchange import packed as _packed
 
 LENGTH = 20
 #: Text in one chunk; a chunk is held by one task.
@@ -93,38 +96,6 @@ class _Chunk:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _packed(values: np.ndarray, n_groups: int, chunk: int, **more: np.ndarray) -> pa.Table:
-    """Rows ``group, chunk, ...`` with sorted values cut into groups of equal ranges of their hash."""
-    group = _group(values, n_groups)
-    cuts = np.searchsorted(group, np.arange(n_groups + 1))
-    own = [g for g in range(n_groups) if cuts[g] < cuts[g + 1]]
-    cols = {"group": pa.array(own, pa.int32()), "chunk": pa.array([chunk] * len(own), pa.int32())}
-    for name, x in {"values": values, **more}.items():
-        cols[name] = pa.array([x[cuts[g]:cuts[g + 1]].tobytes() for g in own], pa.binary())
-    return pa.table(cols)
-
-
-def _group(values: np.ndarray, n_groups: int) -> np.ndarray:
-    """Group of each (sorted) hash: equal ranges of its upper 32 bits."""
-    return ((values >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
-
-
-def _bits(table: pa.Table, sizes: np.ndarray, flags: np.ndarray) -> pa.Table:
-    cuts = np.cumsum(np.concatenate(([0], sizes)))
-    out = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "bits": pa.array(out, pa.binary())})
-
-
-def _answers(values: np.ndarray, n_groups: int, answers: pa.Table) -> np.ndarray:
-    """One flag per sent value."""
-    flags = np.zeros(values.size, bool)
-    cuts = np.searchsorted(_group(values, n_groups), np.arange(n_groups + 1))
-    for g, bits in zip(answers.column("group").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        a, b = cuts[g], cuts[g + 1]
-        flags[a:b] = np.unpackbits(np.frombuffer(bits, "u1"), count=b - a).astype(bool)
-    return flags
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Remove every word covered by a window of ``length`` words that also starts earlier: in a
     document with a smaller id, or in the same document before.
