@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import let
 from .scratch import stored
 
 #: Lines of the shortest run that counts as repeated.
@@ -51,8 +52,9 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     )
     places = stored(places, "lines-places")
     counted = stored(places.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "lines-fingerprints")
-    # both sides are read from written tables, so that Spark can split a hot fingerprint
-    joined = places.join(counted, "fingerprint")
+    # both sides are read from written tables, so that Spark can split a hot fingerprint; all joins
+    # here are merges whatever the sizes, so the plan is the same for small and large inputs
+    joined = places.hint("merge").join(counted, "fingerprint")
     n = F.least(F.lit(width), F.size("around") - (run - 1))
     extended = joined.where(F.size("around") >= run).select(
         "key", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct((F.col("first") + o).alias("start"), F.slice("around", o + 1, run).alias("lines")))).alias("w")
@@ -61,7 +63,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     windows = stored(windows.distinct(), "lines-runs")
     firsts = windows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = stored(firsts, "lines-firsts")
-    later = windows.join(firsts, ["a", "b"]).where(F.struct("key", "start") > F.col("one"))
+    later = windows.hint("merge").join(firsts, ["a", "b"]).where(F.struct("key", "start") > F.col("one"))
     return later.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
@@ -80,7 +82,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), line_hashes(F.col(text_col)).alias("hashes"))
     gone = repeated_runs(keyed, run).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), "starts")
     gone = stored(gone, "lines-gone")
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
+    joined = docs.withColumn("__hash", F.xxhash64(text_col)).hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
     kept = F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
@@ -93,5 +95,5 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _without(lines: Column, covered: Column) -> Column:
     """The lines whose 0-based place is not in ``covered``."""
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    return F.transform(places, lambda i: F.element_at(lines, i + 1))
+    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), covered)
+    return let(lines, lambda x: F.transform(kept(x), lambda i: F.element_at(x, i + 1)))
