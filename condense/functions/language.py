@@ -70,7 +70,7 @@ PROTECTED = [
     r"(?i)^0x[0-9a-f]+$",
     r"(?i)^--?[a-z][a-z0-9-]*$",
     r"^[A-Z]{2,}$",
-    r"(?i)^.*[/\\@:~.#_-].*\.[a-z0-9]{1,6}$",
+    r"(?i)\.[a-z0-9]{1,6}$",
     r"(?i)^[a-z0-9]+([_-][a-z0-9]+)+$",
     r"^[A-Za-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]+$",
     r"(?i)^[a-z0-9]*[0-9][a-z0-9]*$",

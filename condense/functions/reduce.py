@@ -175,6 +175,8 @@ def compress_traces(c: ColumnOrName, most_traces: int = 3, most_frames: int = 20
     return let(lines(text), work)
 
 
+#: Trimmed off words before they are looked up: ASCII and typographic characters that are no letters.
+NO_LETTERS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalpha()) + "…–—«»“”‘’„¿¡·•€£°§"
 _CODE_WORDS = "export|import|function|const|let|var|async|await|return|if|else|for|while|class|interface|type|enum|def|fn|func|pub|impl|use|package|require|from"
 
 
@@ -205,24 +207,26 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
         return out
 
     def tokens(line: Column, li: Column, lang: Column) -> Column:
-        pieces = F.regexp_extract_all(line, F.lit(r"([ \t\r\f]+|[^ \t\r\f]+)"), F.lit(1))
+        cut = lambda x: F.regexp_extract_all(x, F.lit(r"([ \t\r\f]+|[^ \t\r\f]+)"), F.lit(1))
+        pieces = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"))  # folding leaves white space alone
         lead = line.rlike(r"^[ \t\r\f]").cast("int")
 
-        def mark(p: Column) -> Column:
-            words = F.shiftright(F.size(p) + 1 - lead, 1)
+        def mark(x: Column) -> Column:
+            return let(F.shiftright(F.size(x["p"]) + 1 - lead, 1), lambda words: marked_pieces(x, words))
+
+        def marked_pieces(x: Column, words: Column) -> Column:
+            def stop(i: Column, w: Column) -> Column:
+                folded = F.btrim(F.element_at(x["f"], i + 1), F.lit(NO_LETTERS))
+                return let(folded, lambda f: is_stop(f, lang) & ~f.isin(*NEGATIONS) & ~is_protected(F.btrim(F.lower(w), F.lit(NO_LETTERS))))
 
             def one(w: Column, i: Column) -> Column:
                 is_word = (i + lead) % 2 == 0
                 at = F.shiftright(i - lead + 1, 1)
-                inner = F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "")
-                folded = fold_ascii(inner)
-                drop = (
-                    is_word & (at >= 3) & (at < words - 3) & (inner != "") & is_stop(folded, lang) & ~folded.isin(*NEGATIONS)
-                    & ~is_protected(inner) & ~w.rlike("^[\"'`]|[\"'`]$")
-                )
+                # the cheap tests come first and end the evaluation for most words
+                drop = is_word & (at >= 3) & (at < words - 3) & stop(i, w) & ~w.rlike("^[\"'`]|[\"'`]$")
                 return F.struct(w.alias("w"), is_word.alias("word"), drop.alias("drop"), F.struct((-F.length(w)).alias("n"), li.alias("line"), i.alias("i")).alias("rank"))
 
-            return F.transform(p, one)
+            return F.transform(x["p"], one)
 
         whole = F.array(F.struct(line.alias("w"), F.lit(True).alias("word"), F.lit(False).alias("drop"), F.struct(F.lit(0).alias("n"), li.alias("line"), F.lit(0).alias("i")).alias("rank")))
         return F.when(is_code_line(line), whole).otherwise(let(pieces, mark))
@@ -230,23 +234,25 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
     def compress(lang: Column) -> Column:
         marked = F.transform(lines(text), lambda x, i: tokens(x, i, lang))
 
-        def restore(m: Column) -> Column:
-            all_ = F.flatten(m)
+        def restore(m: Column, all_: Column) -> Column:
             dropped = F.array_sort(F.transform(F.filter(all_, lambda t: t["drop"]), lambda t: t["rank"]))
             total = F.size(F.filter(all_, lambda t: t["word"]))
 
-            def render(d: Column) -> Column:
-                need = F.greatest(F.lit(0), F.size(d) - F.floor(total * (1 - ratio)).cast("int"))
-                back = F.try_element_at(d, F.nullif(need, F.lit(0)))
-                keep = lambda t: ~t["drop"] | F.coalesce(t["rank"] <= back, F.lit(False))
+            def choose(d: Column, n: Column) -> Column:
+                need = F.greatest(F.lit(0), F.size(d) - F.floor(n * (1 - ratio)).cast("int"))
+                last = let(need, lambda k: F.struct(k.alias("need"), F.try_element_at(d, F.nullif(k, F.lit(0))).alias("rank")))
+                return let(last, lambda back: render(d, n, back))
+
+            def render(d: Column, n: Column, back: Column) -> Column:
+                keep = lambda t: ~t["drop"] | F.coalesce(t["rank"] <= back["rank"], F.lit(False))
                 out = joined(F.transform(m, lambda line: F.array_join(F.transform(F.filter(line, keep), lambda t: t["w"]), "")))
                 return let(out, lambda t: F.when(F.length(t) * 10 <= F.length(text) * 9, F.struct(
-                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), total.cast("bigint").alias("words"),
-                    F.size(d).cast("bigint").alias("dropped"), need.cast("bigint").alias("restored"))).otherwise(none(lang)))
+                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), n.cast("bigint").alias("words"),
+                    F.size(d).cast("bigint").alias("dropped"), back["need"].cast("bigint").alias("restored"))).otherwise(none(lang)))
 
-            return let(dropped, render)
+            return let(dropped, lambda d: let(total, lambda n: choose(d, n)))
 
-        return let(marked, restore)
+        return let(marked, lambda m: let(F.flatten(m), lambda a: restore(m, a)))
 
     return F.when(text.isNull() | (F.length(text) < least_chars), none(F.lit("unknown"))).otherwise(let(detect_language(text, languages=lists), compress))
 

@@ -123,7 +123,7 @@ def group_squash(text: Column, over: int = 1500, per_file: int = 3, files: int =
 
 def git_status(text: Column, most: int) -> Column:
     """Branch, the first entries, and how many more there are."""
-    trimmed = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    trimmed = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     short, long_ = r"^([ MADRCU?!]{1,2})\s+(.+)$", r"^(modified|new file|deleted|renamed|typechange|untracked):\s+(.+)$"
     skip = r"^(Untracked files|Changes to be committed|Changes not staged for commit|no changes added|Your branch|use \"git|\(use |\(git )"
 

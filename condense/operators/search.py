@@ -36,11 +36,14 @@ def postings(docs: DataFrame, id_col: str = "hash", text_col: str = "content", p
     return words.unionByName(paths).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def idf(index: DataFrame, n_docs: int | Column) -> DataFrame:
-    """``term, df, idf`` with ``ln(1 + (n - df + 0.5) / (df + 0.5))``."""
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    df = F.count("*").alias("df")  # postings hold a document once a term
-    return index.groupBy("term").agg(df).withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+def idf_value(df: Column, n_docs: Column) -> Column:
+    """``ln(1 + (n - df + 0.5) / (df + 0.5))``."""
+    return F.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+def idf(index: DataFrame, n_docs: int) -> DataFrame:
+    """``term, df, idf``; postings hold a document once a term."""
+    return index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf_value(F.col("df"), F.lit(n_docs)))
 
 
 def index_query(index: DataFrame, terms: list[str]) -> DataFrame:
@@ -113,8 +116,10 @@ def recall(docs: DataFrame, query: str, limit: int = 10, now: Column | None = No
     for c, kind in (("file_checked", "boolean"), ("dir_checked", "boolean"), *((f"{p}_{x}", "double") for p in ("now", "dir_now") for x in ("mtime", "size", "ctime"))):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(False if kind == "boolean" else None).cast(kind))
-    folded = docs.withColumn("__folded", text.fold_ascii(F.lower("content"))).withColumn("__tokens", text.identifier_tokens("content"))
-    stats = folded.agg(F.count("*").alias("__n"), *(F.count_if(F.array_contains("__tokens", t)).alias(f"__df{i}") for i, t in enumerate(terms)))
+    folded = docs.withColumn("__folded", text.fold_ascii(F.lower("content")))
+    # only texts that hold a term at all are cut into tokens
+    has = F.when(first_place(F.col("__folded"), terms) > 0, F.array_intersect(text.identifier_tokens("content"), F.array(*map(F.lit, terms))))
+    stats = folded.select(has.alias("__has")).agg(F.count("*").alias("__n"), *(F.count_if(F.array_contains("__has", t)).alias(f"__df{i}") for i, t in enumerate(terms)))
     hits = folded.where(first_place(F.col("__folded"), terms) > 0).crossJoin(F.broadcast(stats))
     use = F.col("__n") >= IDF_LEAST_DOCS
     tf = lambda t: F.least(F.lit(3), ((F.length("__folded") - F.length(F.replace(F.col("__folded"), F.lit(t), F.lit("")))) / len(t)).cast("int"))

@@ -24,7 +24,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """Contents of a folder with a file each, named by SHA-256; files whose name is another are dropped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9a-f]{64})", 1).alias("hash"), F.col("value").alias("content"), F.unix_millis("_metadata.file_modification_time").alias("created_at"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9a-f]{64})", 1).alias("hash"), F.col("value").alias("content"), F.unix_millis("_metadata.file_modification_time").alias("created_at"))
     return raw.where(F.sha2(F.col("content").cast("binary"), 256) == F.col("hash"))
 
 

@@ -44,7 +44,7 @@ def prices_html(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """``provider, model, context_limit`` of ``{provider: {"models": {name: {"limit": {"context": n}}}}}``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     providers = F.from_json("value", "MAP<STRING, STRUCT<models: MAP<STRING, STRUCT<limit: STRUCT<context: BIGINT>>>>>")
     models = raw.select(F.explode(providers).alias("provider", "p")).select("provider", F.explode("p.models").alias("model", "m"))
     return models.select(F.lower("provider").alias("provider"), F.lower("model").alias("model"), F.col("m.limit.context").alias("context_limit")).where("context_limit > 0")

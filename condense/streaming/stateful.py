@@ -1,6 +1,6 @@
 """Streams of events: folds, breakers, time-to-live sets, heartbeats, epochs, ingest.
 
-What one aggregate can hold is an aggregate; a sequence of states is a stateful processor with one
+What one aggregate can hold is an aggregate; a sequence of states is a stateful function with one
 small value a key.
 """
 
@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import meter, store
 
@@ -37,94 +37,74 @@ def heartbeats(beats: DataFrame, key: str = "session", at: str = "t", grace: str
     return beats.withWatermark(at, grace).groupBy(F.session_window(at, grace), key).agg(F.count("*").alias("beats"))
 
 
-class Breaker(StatefulProcessor):
-    """Circuit breaker of each key; input ``key, seq, failed`` in order, output a row a change."""
+def breaker(rows: DataFrame, threshold: int = 3, rest: int = 5) -> DataFrame:
+    """Circuit breaker of each ``key``; input ``key, seq, failed`` in order, output a row a change."""
 
-    OUTPUT = "key string, seq long, state string, failures int"
-
-    def __init__(self, threshold: int = 3, rest: int = 5):
-        self.threshold, self.rest = threshold, rest
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("breaker", "state string, failures int, turns int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, failures, turns = self.value.get() if self.value.exists() else ("closed", 0, 0)
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        name, failures, turns = state.get if state.exists else ("closed", 0, 0)
         out = []
-        for r in pd.concat(rows).sort_values("seq").itertuples():
-            before = state
-            if state == "open":
+        for r in pd.concat(frames).sort_values("seq").itertuples():
+            before = name
+            if name == "open":
                 turns += 1
-                if turns >= self.rest:
-                    state, turns = "half-open", 0
+                if turns >= rest:
+                    name, turns = "half-open", 0
             elif r.failed:
                 failures += 1
-                if state == "half-open" or failures >= self.threshold:
-                    state, turns = "open", 0
+                if name == "half-open" or failures >= threshold:
+                    name, turns = "open", 0
             else:
-                state, failures, turns = "closed", 0, 0
-            if state != before:
-                out.append((key[0], r.seq, state, failures))
-        self.value.update((state, int(failures), int(turns)))
+                name, failures, turns = "closed", 0, 0
+            if name != before:
+                out.append((key[0], r.seq, name, failures))
+        state.update((name, int(failures), int(turns)))
         yield pd.DataFrame(out, columns=["key", "seq", "state", "failures"])
 
-    def close(self) -> None:
-        pass
-
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, state string, failures int", "state string, failures int, turns int", "update", GroupStateTimeout.NoTimeout)
 
-class Epochs(StatefulProcessor):
-    """Context epochs of each key; input ``key, seq, size``, output a row an epoch."""
 
-    OUTPUT = "key string, seq long, epoch long"
+def epochs(rows: DataFrame, share: float = 0.9, least_drop: int = 20_000) -> DataFrame:
+    """Context epochs of each ``key``; input ``key, seq, size``, output a row an epoch."""
 
-    def __init__(self, share: float = 0.9, least_drop: int = 20_000):
-        self.share, self.least_drop = share, least_drop
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("epoch", "peak long, epoch long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        peak, epoch = self.value.get() if self.value.exists() else (0, 0)
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        peak, epoch = state.get if state.exists else (0, 0)
         out = []
-        for r in pd.concat(rows).sort_values("seq").itertuples():
-            if r.size_ < peak * self.share and peak - r.size_ > self.least_drop:
-                peak, epoch = r.size_, epoch + 1
-                out.append((key[0], r.seq, epoch))
+        own = pd.concat(frames).sort_values("seq")
+        for seq, size in zip(own["seq"], own["size"], strict=True):
+            if size < peak * share and peak - size > least_drop:
+                peak, epoch = size, epoch + 1
+                out.append((key[0], seq, epoch))
             else:
-                peak = max(peak, r.size_)
-        self.value.update((int(peak), int(epoch)))
+                peak = max(peak, size)
+        state.update((int(peak), int(epoch)))
         yield pd.DataFrame(out, columns=["key", "seq", "epoch"])
 
-    def close(self) -> None:
-        pass
-
-
-class Active(StatefulProcessor):
-    """Things mentioned within a time to live; input ``key, item``, output those new to the set."""
-
-    OUTPUT = "key string, item string"
-
-    def __init__(self, ttl_ms: int = 300_000):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item string", "seen int", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for item in pd.concat(rows)["item"]:
-            if not self.items.containsKey((item,)):
-                out.append((key[0], item))
-            self.items.updateValue((item,), (1,))
-        yield pd.DataFrame(out, columns=["key", "item"])
-
-    def close(self) -> None:
-        pass
-
-
-def run(rows: DataFrame, key: str, processor: StatefulProcessor) -> DataFrame:
-    """Apply a processor; needs the RocksDB state store."""
-    return rows.groupBy(key).transformWithStateInPandas(processor, outputStructType=processor.OUTPUT, outputMode="Update", timeMode="ProcessingTime")
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, epoch long", "peak long, epoch long", "update", GroupStateTimeout.NoTimeout)
+
+
+def active(rows: DataFrame, ttl_ms: int = 300_000, forget: bool = False) -> DataFrame:
+    """Items mentioned within a time to live; input ``key, item, at_ms``, output mentions of items that were not
+    active.  The state holds a key's items of the last ``ttl_ms``.  With ``forget``, a key that says
+    nothing for that long loses its state; such a query never ends by itself."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        items, at = state.get if state.exists else ([], [])
+        seen, out = dict(zip(items, at, strict=True)), []
+        for r in pd.concat(frames).sort_values("at_ms").itertuples():
+            if r.at_ms - seen.get(r.item, -ttl_ms - 1) > ttl_ms:
+                out.append((key[0], r.item, r.at_ms))
+            seen[r.item] = int(r.at_ms)
+        last = max(seen.values())
+        seen = {k: v for k, v in seen.items() if last - v <= ttl_ms}
+        state.update((list(seen), list(seen.values())))
+        if forget:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=["key", "item", "at_ms"])
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, item string, at_ms long", "items array<string>, at array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def ingest(outputs: DataFrame, path: str, checkpoint: str, content_col: str = "content", at_col: str = "ts_ms", seq_col: str = "seq") -> StreamingQuery:

@@ -1,0 +1,259 @@
+"""Column functions on small inputs: usual cases, thresholds, nulls and empty texts."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from condense.functions import arrays, commands, commitments, delta, detect, language, pyudf, redact, reduce, rules, scores, text
+
+
+def one(spark, column, **values):
+    """The column's value on one row."""
+    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())) if values else spark.range(1)
+    return df.select(column.alias("x")).first().x
+
+
+def each(spark, make, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.x for r in df.select("i", make(F.col("t")).alias("x")).orderBy("i").collect()]
+
+
+TEXTS = [None, "", "a", "one line", "a\na\nb\n", "x\n\n\nx", "Ünïcode — œuvre ß", "  spaces \t tabs\r\nend", "word " * 3000]
+
+
+def test_whole_texts_do_not_fail(spark):
+    """Null and odd texts give a defined value everywhere."""
+    for f in (
+        text.fold_ascii, text.identifier_tokens, text.bigrams, text.estimate_tokens, text.char_entropy, text.count_lines, text.strip_ansi, text.strip_line_numbers, text.dedup_runs, text.head,
+        language.detect_language, language.is_protected, detect.detect_type, detect.is_binary, redact.redact, reduce.crush_text, reduce.collapse_log, reduce.compress_traces, reduce.compress_prose,
+        reduce.compact_table, reduce.crush_json, reduce.smart_compress, commands.is_side_effect, commands.effective_command, commands.file_paths, commitments.error_lines,
+    ):
+        assert len(each(spark, f, TEXTS)) == len(TEXTS)
+
+
+def test_tokens(spark):
+    assert each(spark, text.identifier_tokens, ["Foo_bar.baz-q Été  x/yyy/z"])[0] == ["foo_bar.baz-q", "ete", "x/yyy/z", "foo", "bar", "baz", "yyy"]
+    assert each(spark, text.bigrams, ["the cat the cat", "lone", "a b"]) == [["the cat", "cat the"], ["lone"], []]
+
+
+def test_entropy_matches_counts(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    for t, x in zip(texts, each(spark, text.char_entropy, texts), strict=True):
+        n = len(t)
+        assert x == pytest.approx(-sum(k / n * math.log2(k / n) for k in Counter(t).values()), abs=1e-9)
+
+
+def test_common_prefix(spark):
+    pairs = [("", ""), ("abc", "abd"), ("abc", "abc"), ("abc", "xbc"), ("a", "abc"), ("x" * 5000 + "a", "x" * 5000 + "b")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    assert [r.x for r in df.select("i", text.common_prefix("a", "b").alias("x")).orderBy("i").collect()] == [0, 2, 3, 0, 1, 5000]
+
+
+def test_line_window(spark):
+    t = "a\nb\r\n" + "c" * 2100 + "\nd\n"
+    get = lambda o, n: one(spark, text.line_window(F.lit(t), F.lit(o), F.lit(n)))
+    assert get(0, 2) is None and get(5, 1) is None
+    assert get(1, 2) == "1: a\n2: b" and get(4, 9) == "4: d"
+    assert get(3, 1).endswith("… [100 chars truncated]")
+    long = "\n".join("y" * 1500 for _ in range(200))
+    out = one(spark, text.line_window(F.lit(long), F.lit(1), F.lit(200)))
+    assert len(out) <= text.OUTPUT_CHARS + 60 and "output truncated" in out.split("\n")[-1]
+    df = spark.createDataFrame([("12",), ("-3",), ("x",), (None,)], "a string")
+    assert [r.x for r in df.select(text.window_parameter("a").alias("x")).collect()] == [12, 0, 0, 0]
+
+
+def test_dedup_and_keep(spark):
+    assert each(spark, text.dedup_runs, ["a\na\na\nb\na", "a", "\n\n"]) == ["a (×3)\nb\na", "a", " (×3)"]
+    assert each(spark, lambda c: text.keep_last(c, 2), ["a\nb\nc\n", "a\nb"]) == ["b\nc\n[1 more lines]", None]
+
+
+def test_grouping_in_arrays(spark):
+    rng = random.Random(2)
+    for _ in range(5):
+        keys = [rng.choice("abcd") for _ in range(rng.randrange(0, 12))]
+        got = one(spark, arrays.count_by_first(F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")))
+        assert [(r.key, r.n) for r in got] == list(Counter(keys).items())
+
+
+def test_language(spark):
+    texts = ["the cat and the dog are in the house with you and me today", "le chat et le chien sont dans la maison avec vous et nous", "x" * 50, "short", None]
+    assert each(spark, language.detect_language, texts) == ["en", "fr", "unknown", "unknown", "unknown"]
+    tokens = ["42", "deadbeef", "--flag", "HTTP", "a.py", "snake_case", "camelCase", "v8", "plain", "été"]
+    assert each(spark, language.is_protected, tokens) == [True] * 8 + [False] * 2
+
+
+def test_types(spark):
+    texts = ['{"a": 1}', "[1, 2]", "{broken", "diff --git a b", "2024-01-01 10:00:00 x\nINFO y\nz", "a.ts:12: x\nb.ts:3: y", "import x;\nfoo(a) {\nreturn b;\n}", "prose here", "", None]
+    assert [r.type for r in each(spark, detect.detect_type, texts)] == ["json", "json", "text", "diff", "log", "search", "code", "text", "text", "text"]
+    assert each(spark, detect.is_binary, ["a\x00b", "\x01\x02\x03abc", "plain", "QUJD" * 10 + "\n" + "QUJD" * 10 + "\n" + "QUJD" * 10, None]) == [True, True, False, True, False]
+
+
+def test_redaction(spark):
+    secret = "Zx9Qw3Er7Ty1Ui5Op2As4Df6"
+    texts = [
+        "postgres://me:pw@host/db", "AKIA" + "A" * 16, "Authorization: Bearer " + "a" * 20, "token = " + "b" * 20, "ghp_" + "c" * 24,
+        "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----", f"value: {secret}", secret, f"the: {secret} and more", "nothing here",
+    ]
+    got = each(spark, redact.redact, texts)
+    kinds = ["conn_url", "aws_access_key", "bearer", "kv", "provider", "pem", "entropy", "entropy", None, None]
+    for r, kind, t in zip(got, kinds, texts, strict=True):
+        assert sum(r.counts.asDict().values()) == (kind is not None), (t, r)
+        if kind:
+            assert r.counts[kind] == 1 and f"[redacted:{kind.replace('_', '-')}]" in r.text
+    again = each(spark, redact.redact, [r.text for r in got])
+    assert [r.text for r in again] == [r.text for r in got]  # idempotent
+    two = each(spark, redact.redact, [f"a1b: {secret} x key2: {secret}"])[0]
+    assert two.counts.entropy == 2 and secret not in two.text
+    assert each(spark, redact.has_secrets, texts) == [k is not None for k in kinds]
+
+
+def test_commitments(spark):
+    t = "never do this\nERROR at x\nsee https://a.b/c and v1.2.3 in src/x/y.py 0xdeadbeef99\nnot ok 3"
+    r = one(spark, commitments.compare(F.lit(t), F.lit("see https://a.b/c")))
+    assert r.by_kind.asDict() == {"negation": 2, "error": 2, "url": 1, "version": 1, "hash": 1, "path": 2}
+    assert r.total == 9 and r.preserved == 2 and len(r.missed) == 6
+    full = one(spark, commitments.compare(F.lit(t), F.lit(t)))
+    assert full.total == full.preserved and full.missed == []
+
+
+def test_commands(spark):
+    assert each(spark, commands.effective_command, ["cd a && ls", "FOO=1 make", "export A=b; x", None]) == ["ls", "make", "x", None]
+    assert each(spark, commands.only_path, ["cat a/b.py", "diff a.py b.py", "ls -l"]) == ["a/b.py", None, None]
+    assert each(spark, commands.reads_content, ["cat x", "rm x"]) == [True, False] and each(spark, commands.scans_directory, ["ls -l", "cat"]) == [True, False]
+    assert one(spark, commands.resolve_tilde(F.lit("~/x"), "/home/me")) == "/home/me/x"
+
+
+def test_scores_have_bounds(spark, sf):
+    from condense.plans import catalog
+
+    r = catalog.freshness_score(spark, sf).agg(F.min("score").alias("a"), F.max("score").alias("b")).first()
+    assert 0 <= r.a <= r.b <= 100
+    b = one(spark, scores.budget(F.lit(8000), F.lit(10_000)))
+    assert (b.headroom, b.over_budget, b.warn) == (1000, False, True)
+    assert one(spark, scores.pressure(F.lit(5000), F.lit(0.3), F.lit(70))).level == "high"
+    assert one(spark, scores.pressure_tokens(F.lit(1_000_000))) == 150_000 and one(spark, scores.pressure_tokens(F.lit(100_000))) == 70_000
+
+
+def salient(t, ratio=0.5):
+    """Straight-line version of the salient segments."""
+    segs = [s.strip(" \t\r\n") for s in re.split(r"(?<=[.!?])[ \t\r\n]+|\n+", t)]
+    segs = [s if len(s) <= 500 else s[:500] + "…" for s in segs if len(s) >= 12]
+    if len(t) < 2000 or len(segs) <= 8:
+        return t
+    hit = lambda p, s: re.search(p, s, re.A) is not None
+    score = lambda i, s: 3 * hit(reduce.TROUBLE, s) + hit(reduce.NUMBER, s) + hit(reduce.CAPITALS, s) + hit(reduce.DOTTED, s) + 2 * (i < 2 or i >= len(segs) - 2)
+    kept, left = set(), math.ceil(len(t) * ratio)
+    for i in sorted(range(len(segs)), key=lambda i: (-score(i, segs[i]), i)):
+        if left <= 0:
+            break
+        kept.add(i)
+        left -= len(segs[i])
+    kept |= {i for i, s in enumerate(segs) if any(hit(p, s) for p in reduce.FORCED)}
+    out = "\n".join(segs[i] for i in sorted(kept))
+    return out if len(out) < len(t) else t
+
+
+def test_salient_against_straight_line(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "error", "not", "12", "HTTP", "file.py", "gamma", "delta", "1.2.3", "plain", "words"]
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(2, 14))) for _ in range(rng.randrange(5, 90))) for _ in range(25)]
+    assert [r.text for r in each(spark, reduce.crush_text, texts)] == [salient(t) for t in texts]
+
+
+def test_reducers_fail_open(spark):
+    for t in ("short", "x" * 5000, "[]", "[1,2]", '[{"a":1}]', "{}"):
+        for f in (reduce.crush_text, reduce.collapse_log, reduce.compress_prose, reduce.compact_table, reduce.crush_json, reduce.smart_compress):
+            got = each(spark, f, [t])[0].text
+            assert got == t or len(got) < len(t)
+
+
+def test_negations_survive_prose(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    r = d.select(F.regexp_count(F.lower("text"), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("a"), F.regexp_count(F.lower(reduce.compress_prose("text")["text"]), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("b"))
+    assert r.where("a <> b").count() == 0
+
+
+def test_json_rows(spark):
+    rows = [f'{{"id":{i},"name":"n{i} w{i}","state":"{"error" if i == 17 else "ok"}","z":1}}' for i in range(40)]
+    t = "[" + ",".join(rows) + "]"
+    r = each(spark, lambda c: reduce.crush_json(c, F.lit('"n25 w25"')), [t])[0]
+    kept = [line for line in r.text.split("\n")[1:]]
+    assert r.text.startswith("[N=40]{id:number,name:string,state:string,z:const}")
+    assert set(rows[:12] + rows[-6:] + [rows[17], rows[25]]) <= set(kept) and r.rows_after == len(kept)
+    table = each(spark, reduce.compact_table, [t])[0]
+    assert table.rows == 40 and table.text.split("\n")[1] == "0,n0 w0,ok,1"
+    mixed = each(spark, reduce.compact_table, ['[{"a":1,"b":[1]},{"a":2,"b":[2]}]'])[0]
+    assert not mixed.was_compacted
+
+
+def test_rules(spark):
+    def run(tool, cmd, t, err=False):
+        return one(spark, rules.digest(F.lit(tool), F.lit(cmd), F.lit(t), F.lit(err)))
+
+    assert run("read_file", None, "x").rule is None and run("shell_command", "x", "").rule is None
+    status = "On branch main\n" + "\n".join(f"\tmodified:   src/f{i}.ts" for i in range(40))
+    r = run("shell_command", "git status", status)
+    assert r.rule == "git-status" and r.text.startswith("branch: main\n") and r.text.endswith("[10 more entries]")
+    assert run("shell_command", "ls", "y" * 6001).rule == "bash-squash" and run("shell_command", "cat a", "y" * 6001).rule is None
+    assert run("shell_command", "x", "boom\nfine\nerror: z", True).text == "[tool failed — 8 chars]\nerror: z"
+    assert run("shell_command", "x", "\x1b[31mred\x1b[0m").text == "red"
+    noise = "\n".join(["Downloading a", "npm WARN x", "12% done", "result line", "2 vulnerabilities"] * 20)
+    assert set(one(spark, rules.strip_lines(F.lit(noise), rules.NOISE, 400)).split("\n")) == {"result line", "2 vulnerabilities"}
+    install = "\n".join([f"npm info {i}" for i in range(60)] + ["added 3 packages in 1s", "found 0 vulnerabilities", "1 high severity"])
+    assert one(spark, rules.install_summary(F.lit(install), 300)) == "added 3 packages in 1s\n1 high severity"
+    own = rules.Rule("tail", "^t$", "keep_last", {"lines": 1})
+    assert one(spark, rules.digest(F.lit("t"), F.lit(None).cast("string"), F.lit("a\nb"), rules=[own])).text == "b\n[1 more lines]"
+    assert one(spark, rules.stats(F.lit("took 12 ms"), r"took (\d+)", "{n}")) == "12" and one(spark, rules.strip(F.lit("abcabc"), "b")) == "acabc"
+
+
+def test_diff_summary_limits_context(spark):
+    t = "diff --git a b\n@@ -1 +1 @@\n" + "\n".join(f" context line number {i}" for i in range(50)) + "\n-old\n+new\n" + "\n".join(f" tail {i}" for i in range(3))
+    out = one(spark, rules.diff_summary(F.lit(t), 30, 600)).split("\n")
+    assert " …[20 context lines]" in out and sum(x.startswith(" context") for x in out) == 30 and out[-1] == " tail 2"
+
+
+def test_edit_scripts():
+    rng = random.Random(4)
+    for _ in range(200):
+        a = [rng.choice("abc") for _ in range(rng.randrange(0, 12))]
+        b = [rng.choice("abc") for _ in range(rng.randrange(0, 12))]
+        s = pyudf.edit_script(a, b)
+        assert [x[1] for x in s if x[0] != "add"] == a and [x[1] for x in s if x[0] != "del"] == b
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert sum(x[0] == "same" for x in s) == table[-1][-1]
+    assert pyudf.edit_script(["a"] * 10, ["b"] * 10, most=5) is None
+
+
+def test_hunks_rebuild_the_new_text(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        old = [rng.choice("abcdefgh") for _ in range(30)]
+        new = [x for x in old if rng.random() > 0.1]
+        new.insert(rng.randrange(len(new)), "Z")
+        rows.append((i, "\n".join(old), "\n".join(new)))
+    df = spark.createDataFrame(rows, "i int, old string, new string").withColumn("script", pyudf.line_diff("old", "new"))
+    for r in df.select("old", "new", delta.hunks("script").alias("h"), delta.summary("script", "old", "new").alias("s")).collect():
+        lines, out, at = r.old.split("\n"), [], 0
+        for h in r.h:
+            start = h.old_start - 1 if h.old_lines else h.old_start
+            out += lines[at:start] + [x[1:] for x in h.lines if x[0] != "-"]
+            at = start + h.old_lines
+        assert "\n".join(out + lines[at:]) == r.new
+        assert r.s.added == sum(x[0] == "+" for h in r.h for x in h.lines)
+
+
+def test_code_helpers():
+    code = "import x\nfunction f(a) {\n  const s = '}';\n  return 1;\n}\nlet y = 2;\n"
+    assert pyudf.skeleton_of(code) == "import x\nfunction f(a) { ... }\nlet y = 2;\n"
+    assert pyudf.skeleton_of("plain text") == "plain text" and pyudf.skeleton_of(None) is None
+    assert pyudf.symbol_of(code, "f") == "function f(a) {\n  const s = '}';\n  return 1;\n}" and pyudf.symbol_of(code, "nope") is None
+    assert pyudf.symbol_of("def g(x):\n    return x\n\nz = 1", "g") == "def g(x):\n    return x"
