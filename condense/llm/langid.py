@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import parts, released
 from .sampling import per_class
 
 #: Symbols of sample text per language, and labelled documents that are looked at for them.
@@ -32,7 +33,7 @@ DOC_SYMBOLS, WINDOW = 600, 8
 CELLS = 32_000_000
 ALPHABET = 64
 BLOCK = 512
-CHUNK = 3_000_000  # characters parsed at a time
+CHUNK = 1_000_000  # bytes of text parsed at a time
 NONE = "und"
 _SPACE = 1
 
@@ -64,9 +65,8 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat[keep], sums(keep), sums(~space)
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
-    """Transition table of the suffix automaton of ``text``, as a flat array of ``ALPHABET``
-    columns.  Where no longer match exists, the entry is the complement (~) of the state after
+def automaton(text: np.ndarray, width: int = ALPHABET) -> np.ndarray:
+    """Transition table of the suffix automaton of ``text``, as a flat array of ``width`` columns.  Where no longer match exists, the entry is the complement (~) of the state after
     that symbol as the first of a new phrase."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -93,14 +93,14 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nexts), ALPHABET), -1, np.int32)
+    table = np.full((len(nexts), width), -1, np.int32)
     for s, own in enumerate(nexts):
         table[s, list(own)] = list(own.values())
     first = np.maximum(table[0], 0)
     return np.where(table >= 0, table, ~first).astype(np.int32).ravel()
 
 
-def phrases(flat: np.ndarray, size: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+def phrases(flat: np.ndarray, size: np.ndarray, tables: list[np.ndarray], width: int = ALPHABET) -> np.ndarray:
     """Phrases of each text (rows) against each automaton (columns)."""
     blocks = -(-size // BLOCK)
     doc = np.repeat(np.arange(size.size), blocks)
@@ -119,7 +119,7 @@ def phrases(flat: np.ndarray, size: np.ndarray, tables: list[np.ndarray]) -> np.
         n = int(active[j])
         c = flat[start[:n] + j]
         for k, table in enumerate(tables):
-            at = state[k, :n] * np.int32(ALPHABET)
+            at = state[k, :n] * np.int32(width)
             at += c
             to = table[at]
             failed = to >> 31  # -1 where the phrase ends
@@ -170,6 +170,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     table = symbol_table([t for l in langs for _, t in by_lang[l]])
     repeated = repeated_windows([t for l in langs for _, t in by_lang[l]])
     tables, bits = [], []
+    width = int(table.max()) + 1
     for l in langs:
         parts, total = [], 0
         for _, t in sorted(by_lang[l]):
@@ -179,9 +180,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
             if total >= each:
                 break
         flat = np.concatenate(parts)[:each]
-        tables.append(automaton(flat))
+        tables.append(automaton(flat, width))
         bits.append(float(np.log2(max(2, flat.size))))
-    return {"langs": langs, "symbols": table, "tables": tables, "bits": bits}
+    return {"langs": langs, "symbols": table, "tables": tables, "bits": bits, "width": width}
 
 
 def classify(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -191,7 +192,7 @@ def classify(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarra
     none = (letters == 0) | (not model["langs"])
     if not model["langs"]:
         return [NONE] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    entropy = phrases(flat, size, model["tables"]) * np.asarray(model["bits"]) / np.maximum(1, size)[:, None]
+    entropy = phrases(flat, size, model["tables"], model["width"]) * np.asarray(model["bits"]) / np.maximum(1, size)[:, None]
     best = entropy.argmin(axis=1)
     least = entropy[np.arange(len(texts)), best]
     score = 1 / np.exp2(-np.minimum(60.0, (entropy - least[:, None]) * size[:, None])).sum(axis=1)
@@ -213,25 +214,19 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             langs, scores, bits = [], [], []
-            at = 0
-            while at < len(texts):
-                end, n = at, 0
-                while end < len(texts) and (end == at or n + len(texts[end] or "") <= CHUNK):
-                    n += len(texts[end] or "")
-                    end += 1
-                a, b, c = classify(texts[at:end], model)
+            place = batch.schema.get_field_index(text_col)
+            for part in parts(batch, place, CHUNK):
+                a, b, c = classify(part.column(place).to_pylist(), model)
                 langs += a
                 scores.append(b)
                 bits.append(c)
-                at = end
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), cat(scores), cat(bits)], [*batch.schema.names, "lang_pred", "score", "bits"]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: released(run(b)), schema)
 
 
 def kept(predicted: DataFrame, most_bits: float) -> Column:

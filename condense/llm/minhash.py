@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from . import wordhash as wh
+from .batches import parts, released
 from .bpe import utf8
 from .scratch import stored
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-BLOCK = 1_000_000  # words at a time
+BLOCK = 2 << 20  # bytes of text at a time
+DARTS = 500_000  # darts held at a time, about
 #: Elements (bytes) that one task holds while it looks for rare ones.
 PREFIX_BYTES = 8 << 20
 _U = np.uint64
@@ -61,9 +63,22 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 
 
 def signatures(elements: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """Ids of the earliest dart in each of ``k`` coordinates for each text (rows).  Ranks go up
-    to where about ``k ln k + 2 k`` darts are expected, and are doubled for texts that still have an
-    empty coordinate.  Texts without elements have zeros."""
+    """Ids of the earliest dart in each of ``k`` coordinates for each text (rows), zeros for texts
+    without elements; a bounded number of texts at a time."""
+    out = np.zeros((counts.size, k), _U)
+    ends = np.cumsum(counts)
+    cost = np.cumsum(counts + int(k * np.log(k) + 2 * k))
+    at = 0
+    while at < counts.size:
+        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + DARTS, "right")))
+        out[at:end] = _signatures(elements[ends[at] - counts[at]:ends[end - 1]], counts[at:end], k)
+        at = end
+    return out
+
+
+def _signatures(elements: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Ranks go up to where about ``k ln k + 2 k`` darts are expected, and are doubled for texts that
+    still have an empty coordinate."""
     out = np.zeros((counts.size, k), _U)
     rest, owner = np.flatnonzero(counts > 0), np.repeat(np.arange(counts.size), counts)
     reach = (k * np.log(k) + 2 * k) / np.maximum(1, counts)
@@ -106,26 +121,13 @@ def bands(signature: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        texts = batch.column(at).to_pylist()
-        start = 0
-        while start < len(texts):
-            end, n = start, 0
-            while end < len(texts) and (end == start or n + len(texts[end]) <= 6 * BLOCK):
-                n += len(texts[end])
-                end += 1
-            yield batch.slice(start, end - start), texts[start:end]
-            start = end
-
-
 def sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``id, words bigint, copy binary, bands array<bigint>`` of every whole text; documents with
     equal words have equal ``copy``.  ``bands`` is empty for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _blocks(batches, 1):
-            e, n, whole = shingles(texts)
+        for batch in (p for b in batches for p in parts(b, 1, BLOCK)):
+            e, n, whole = shingles(batch.column(1).to_pylist())
             b = bands(signatures(e, n, n_bands * rows), n_bands, rows).view(np.int64)
             sums = np.add.reduceat(np.append(e, _U(0)), np.minimum(np.cumsum(n) - n, e.size)) if n.size else e
             copy = [(int(w).to_bytes(8, "little") + int(s).to_bytes(8, "little") + int(c).to_bytes(8, "little")) if c else None for w, s, c in zip(whole, sums, n, strict=True)]
@@ -135,7 +137,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS, ro
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(text_col).alias("text")).mapInArrow(
-        run, "id bigint, elements bigint, copy binary, bands array<bigint>"
+        lambda b: released(run(b)), "id bigint, elements bigint, copy binary, bands array<bigint>"
     )
 
 
@@ -281,15 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(text_col).alias("text"))
 
     def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in _blocks(batches, 1):
-            e, n, _ = shingles(own)
+        for batch in (p for b in batches for p in parts(b, 1, BLOCK)):
+            e, n, _ = shingles(batch.column(1).to_pylist())
             ends = np.cumsum(n)
             cut = [e[b - c:b].astype("<u8").tobytes() for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["id", "e"])
 
     # merged whatever the sizes: the plan is the same for small and large inputs
     once = again.hint("merge").join(asked, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    held = once.select("id", "text").mapInArrow(elements_of, "id bigint, e binary")
+    held = once.select("id", "text").mapInArrow(lambda b: released(elements_of(b)), "id bigint, e binary")
     elements = stored(held, "near-elements")
 
     # each text and the pivot with which it shares most buckets; a pivot is always smaller, so these pairs are a forest

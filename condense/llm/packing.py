@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import released
 from .bpe import encoder, splits_at_white_space, utf8
 
 CAPACITY = 2048
@@ -126,6 +127,6 @@ def harmonic_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     return (
         docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, {_SCHEMA}")
+        .mapInArrow(lambda b: released(run(b)), f"id {kind}, {_SCHEMA}")
         .withColumnRenamed("id", id_col)
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import parts, released
 from .sampling import per_class
 
 #: Labelled documents of each class that are learned from.
@@ -29,7 +30,7 @@ THRESHOLD = 0.3
 CLASSES = 12
 REPEATS = 24
 TERMS = CLASSES**3 + REPEATS
-CHUNK = 3_000_000  # characters at a time
+CHUNK = 1_000_000  # bytes of text at a time
 
 
 def class_table() -> np.ndarray:
@@ -102,7 +103,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in _slices(batch, 1):
+            for own in parts(batch, 1, CHUNK, 1000):
                 x = terms(own.column(1).to_pylist(), table).astype("<f2")
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
@@ -133,19 +134,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
 
 
-def _slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``CHUNK`` bytes of text, or one row."""
-    size = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text_at)]
-    at = 0
-    while at < len(size):
-        end, n = at, 0
-        while end < len(size) and end - at < 1000 and (end == at or n + size[end] <= CHUNK):
-            n += size[end]
-            end += 1
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def vote(texts: list[str], model: dict) -> np.ndarray:
     """Score of each text: the similarity-weighted share of label 1 among its neighbours."""
     labels = model["labels"]
@@ -173,8 +161,8 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         model = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            for own in _slices(batch, at):
+            for own in parts(batch, at, CHUNK, 1000):
                 scores = vote([t or "" for t in own.column(at).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: released(run(b)), schema)

@@ -24,13 +24,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import wordhash as wh
+from .batches import trimmed
 from .exchange import answers as _answers
 from .exchange import bits as _bits
 from .exchange import packed as _packed
 
 LENGTH = 20
 #: Text in one chunk; a chunk is held by one task.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 _NONE = np.iinfo(np.int64).min  # stands for a null id, before all others
 
 
@@ -116,7 +117,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def prefixes(key: tuple, table: pa.Table) -> pa.Table:
         c = _Chunk(table, id_col, text_col, length)
-        return _packed(c.prefixes, n, key[0].as_py(), several=c.several)
+        return trimmed(_packed(c.prefixes, n, key[0].as_py(), several=c.several))
 
     def repeated(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, "<u8") for b in table.column("values").to_pylist()]
@@ -130,7 +131,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def nodes(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(table, id_col, text_col, length)
         c.deep(_answers(c.prefixes, n, answers))
-        return _packed(c.node_a, n, key[0].as_py(), second=c.node_b, ids=c.node_id)
+        return trimmed(_packed(c.node_a, n, key[0].as_py(), second=c.node_b, ids=c.node_id))
 
     def later(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(b, "<u8") for b in table.column("values").to_pylist()]
@@ -168,7 +169,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept[r], n_words[r], n_removed[r] = text, count, own.sum()
         more = [pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())]
         own = [table.column(c).cast(pa.string()) if c == text_col else table.column(c) for c in columns]
-        return pa.table([*own, *more], names=[*columns, "n_words", "n_removed", "kept"])
+        return trimmed(pa.table([*own, *more], names=[*columns, "n_words", "n_removed", "kept"]))
 
     # both answers of a chunk come in one table, told apart by ``step``
     both = half.withColumn("step", F.lit(1)).unionByName(deep.withColumn("step", F.lit(2)))

@@ -25,16 +25,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(odd: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    up, down = np.full(size, odd, _U), np.full(size, pow(odd, -1, 2**64), _U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(odd, 1 << max(10, (n - 1).bit_length()))
+    """The first ``n`` powers of an odd number and of its inverse modulo 2**64.  Only the longest
+    row of each number is held."""
+    if odd not in _held or _held[odd][0].size < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        up, down = np.full(size, odd, _U), np.full(size, pow(odd, -1, 2**64), _U)
+        up[0] = down[0] = 1
+        _held[odd] = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    up, down = _held[odd]
     return up[:n], down[:n]
 
 
