@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 
 from . import lexicon as lx
 from .merges import Merger
+from .scratch import stored
 
 #: Words compiled into the lexicon; bounds what the driver gathers.
 LEXICON_WORDS = 1 << 16
 #: Chunks that a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: Longest chunk (bytes) that is cached; longer ones are encoded each time.
 CACHE_BYTES = 64
 #: Text that is encoded at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 WHITE = r"[\x09-\x0D\x20]+"
 
 
@@ -175,17 +176,26 @@ def utf8(column: str = "text"):
 
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Count the words of all documents, compile the ``size`` most frequent with their ids and
-    give the file to every executor.  Returns the file's name for :func:`encoder`."""
+    """Count the words of all documents, compile the most frequent, at most ``size``, with their ids
+    and give the file to every executor.  Returns the file's name for :func:`encoder`."""
     spark = docs.sparkSession
     words = (
         docs.select(F.explode(F.split(F.coalesce(text_col, F.lit("")), WHITE)).alias("word"))
         .where((F.col("word") != "") & (F.octet_length("word") <= CACHE_BYTES))
         .groupBy("word").count()
         .where("count > 1")
-        .orderBy(F.desc("count"), "word").limit(size)
+        .select("word", F.floor(F.log2("count") * 16).cast("int").alias("step"))
     )
-    top = [r.word.encode() for r in words.select("word").collect()]  # at most ``size`` short words
+    words = stored(words, "bpe-words")
+    # how frequent a word must be is read off a histogram of some hundred steps, so that no
+    # partition sends more words than are taken
+    least, n = 1 << 30, 0
+    for r in sorted(words.groupBy("step").count().collect(), reverse=True):
+        n += r["count"]
+        if n > size:
+            break
+        least = r.step
+    top = [r.word.encode() for r in words.where(F.col("step") >= least).select("word").collect()]  # at most ``size`` short words
     ids = Encoder(path).exact(top) if top else []
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     keep = tempfile.mkdtemp(prefix="condense-lexicon-")  # the driver serves the file from here while it lives
