@@ -80,12 +80,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     docs = docs.drop("n_lines", "n_removed")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     keyed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), line_hashes(F.col(text_col)).alias("hashes"))
-    gone = repeated_runs(keyed, run).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), "starts")
+    gone = repeated_runs(keyed, run).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), F.col("starts").alias("__starts"))
     gone = stored(gone, "lines-gone")
     joined = docs.withColumn("__hash", F.xxhash64(text_col)).hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
-    kept = F.when(F.col("starts").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
+    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (run - 1)))))
+    kept = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
     return joined.select(
         *(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
