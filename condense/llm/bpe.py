@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
+from .batches import released
 from .merges import Merger
 from .scratch import stored
 
@@ -231,7 +232,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, ids binary, decoded binary")
+        .mapInArrow(lambda b: released(run(b)), f"id {kind}, ids binary, decoded binary")
         .withColumnRenamed("id", id_col)
     )
 

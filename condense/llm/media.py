@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import released
 from .bpe import utf8
 from .scratch import arrow_fs, shared_dir, stored
 
@@ -146,7 +147,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
         shards.close()
 
-    refs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(run, f"id {kind}, {REF}")
+    refs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(lambda b: released(run(b)), f"id {kind}, {REF}")
     return stored(refs, "media-refs").withColumnRenamed("id", id_col)
 
 
@@ -192,7 +193,7 @@ def _mapped(refs: DataFrame, added: str, span: Callable[[int], int], derive: Cal
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in cols)], [*batch.schema.names, *names])
 
-    return refs.mapInArrow(run, schema)
+    return refs.mapInArrow(lambda b: released(run(b)), schema)
 
 
 def header_columns(refs: DataFrame) -> DataFrame:

@@ -118,4 +118,14 @@ SELECT doc_id, cast(count(*) AS bigint) AS n_lines, cast(count(g.p) AS bigint) A
 FROM l LEFT JOIN g USING (doc_id, p) GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_lines": _OP8, "op5_warc": _OP5, "op10_topk": _OP10}
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+     f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s),
+     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f WHERE n > 1),
+     x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+     k AS (SELECT x.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substrings": _OP2, "op8_lines": _OP8, "op5_warc": _OP5, "op10_topk": _OP10}
