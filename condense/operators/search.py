@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions.language import STOPWORDS
-from . import ordered
 
 RRF = 60
 IDF_LEAST_DOCS = 20
@@ -95,6 +94,35 @@ def rrf(*ranks: Column, k: int = RRF) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def fused_top(rows: DataFrame, by: list[tuple[str, bool]], limit: int, k: int = RRF) -> DataFrame:
+    """The best ``limit`` rows by the reciprocal ranks of several orders, with ``rrf`` and ``r_<column>``.
+
+    ``by``: columns and whether they fall; equal values go by ``id``.  Only rows among the first
+    ``n (k + limit)`` or so of an order can be among the best, so those are the candidates; their exact places come from
+    one pass that counts all rows between candidates.  Nothing but candidates and counts is shuffled.
+    """
+    n = len(by)
+    reach = n * (k + limit) - k + 1
+    key = lambda c, falls: F.struct((-F.col(c) if falls else F.col(c)).alias("v"), F.col("id").alias("id"))
+    first = [rows.orderBy(F.col(c).desc() if falls else F.col(c).asc(), "id").limit(reach) for c, falls in by]
+    some = first[0]
+    for more in first[1:]:
+        some = some.unionByName(more)
+    some = some.dropDuplicates(["id"])
+    keys = some.agg(*(F.array_sort(F.collect_list(key(c, falls))).alias(f"__k_{c}") for c, falls in by))
+    place = lambda c, falls: F.size(F.filter(f"__k_{c}", lambda x: x < key(c, falls)))
+    between = rows.crossJoin(F.broadcast(keys)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("order"), place(c, falls).alias("at")) for c, falls in by))).alias("p"))
+    counts = between.groupBy("p.order", "p.at").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("order").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.select("order", "at", F.sum("n").over(upto).alias("rank"))  # at most one row a candidate and order
+    out = some
+    for c, _ in by:
+        named = keys.select(F.posexplode(f"__k_{c}").alias("at", "x")).join(ranks.where(F.col("order") == c), "at").select(F.col("x.id").alias("id"), F.col("rank").alias(f"r_{c}"))
+        out = out.join(named, "id")
+    scored = out.withColumn("rrf", F.round(rrf(*(F.col(f"r_{c}") for c, _ in by), k=k), 9))
+    return scored.orderBy(F.desc("rrf"), "id").limit(limit)
+
+
 def first_place(folded: Column, terms: list[str]) -> Column:
     """Place of the first term (in their order) that the text has, 0 for none."""
     return F.coalesce(*(F.nullif(F.locate(t, folded), F.lit(0)) for t in terms), F.lit(0))
@@ -106,8 +134,7 @@ def recall(docs: DataFrame, query: str, limit: int = 10, now: Column | None = No
 
     Documents with any of the query's terms are scored by relevance and by freshness, both ranks are
     fused, and the best ``limit`` come with a snippet.  Stale ones come without, but with a reason.
-    ``mode="scan_order"`` fuses the order of the ids instead of relevance.  Ranks are taken by
-    buckets; document frequencies of the query's terms are one small row, no driver action.
+    ``mode="scan_order"`` fuses the order of storage instead of relevance.  Document frequencies of the query's terms are one small row, no driver action.
     """
     terms = query_terms(query)
     if not terms:
@@ -131,10 +158,8 @@ def recall(docs: DataFrame, query: str, limit: int = 10, now: Column | None = No
         F.col(id_col).alias("id"), "content", "created_at", F.round(relevance, 9).alias("relevance"), scores.confidence(workspace, now).alias("c"), first_place(F.col("__folded"), terms).alias("at"), "seq"
     )
     slim = scored.select("id", "seq", "relevance", F.col("c.score").alias("confidence"))
-    by = ordered.rank(slim, "relevance", [F.col("id")], "r_relevance") if mode == "relevance" else ordered.rank(slim, "seq", [F.col("id")], "r_relevance", descending=False)
-    ranked = ordered.rank(by, "confidence", [F.col("id")], "r_confidence")
-    best = ranked.withColumn("rrf", F.round(rrf(F.col("r_relevance"), F.col("r_confidence")), 9)).orderBy(F.desc("rrf"), "id").limit(limit)
-    full = best.select("id", "rrf", "r_relevance", "r_confidence").join(scored, "id")
+    best = fused_top(slim, [("relevance", True) if mode == "relevance" else ("seq", False), ("confidence", True)], limit)
+    full = scored.join(F.broadcast(best.select("id", "rrf")), "id")  # ``limit`` rows
     hours = (now - F.col("created_at")) / 3_600_000
     room = F.floor(F.when(hours < 1, budget).when(hours < 24, budget * 0.75).otherwise(budget * 0.5))
     return full.select(

@@ -175,3 +175,15 @@ def test_serving(spark):
     asked = spark.createDataFrame([("p", 2, 5), ("p", 9, 1), ("new", 1, 1), ("gone", 1, 1)], "path string, offset int, limit int")
     assert {(r.path, r.offset): (r.window, r.reason) for r in serve.windows(asked, blobs, snap).collect()} == {
         ("p", 2): ("2: b", None), ("p", 9): (None, "out-of-bounds"), ("new", 1): (None, "no-blob"), ("gone", 1): (None, "stale")}
+
+
+def test_fused_top(spark):
+    rng = random.Random(6)
+    for n, limit in ((400, 5), (30, 10), (0, 3)):
+        rows = [(i, float(rng.randrange(12)), rng.randrange(5)) for i in range(n)]
+        df = spark.createDataFrame(rows, "id int, a double, b int")
+        got = [(r.id, r.r_a, r.r_b) for r in search.fused_top(df, [("a", True), ("b", False)], limit).collect()]
+        ra = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+        rb = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+        best = sorted(ra, key=lambda i: (-round(1 / (60 + ra[i]) + 1 / (60 + rb[i]), 9), i))[:limit]
+        assert got == [(i, ra[i], rb[i]) for i in best]
