@@ -23,9 +23,10 @@ def ingest(outputs: DataFrame, content_col: str = "content", at_col: str = "ts_m
     )
 
 
-def upsert(store: DataFrame, incoming: DataFrame, key: str = "hash", keep_first: tuple[str, ...] = ("created_at", "size", "kind", "session", "content_at")) -> DataFrame:
+def upsert(store: DataFrame, incoming: DataFrame, key: str = "hash", keep_first: tuple[str, ...] = ("size", "kind", "session", "content_at")) -> DataFrame:
     """Both tables' rows, one a key: ``keep_first`` columns and values that are null in the new row come
-    from the stored one, ``last_ref`` is the later of both."""
+    from the stored one, ``created_at`` is the earlier and ``last_ref`` the later of both, whichever
+    came first."""
     a = store.withColumn("__new", F.lit(0))
     b = incoming.withColumn("__new", F.lit(1))
     both = a.unionByName(b, allowMissingColumns=True)
@@ -33,8 +34,8 @@ def upsert(store: DataFrame, incoming: DataFrame, key: str = "hash", keep_first:
 
     def merged(c: str) -> Column:
         place = F.when(F.col(c).isNotNull(), F.col("__new"))
-        if c == "last_ref":
-            return F.max(c).alias(c)
+        if c in ("last_ref", "created_at"):
+            return (F.max(c) if c == "last_ref" else F.min(c)).alias(c)
         return (F.min_by(c, place) if c in keep_first else F.max_by(c, place)).alias(c)
 
     return both.groupBy(key).agg(*(merged(c) for c in cols)).select(*store.columns, *(c for c in incoming.columns if c not in store.columns))

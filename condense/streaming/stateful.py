@@ -114,7 +114,7 @@ def ingest(outputs: DataFrame, path: str, checkpoint: str, content_col: str = "c
     def batch(df: DataFrame, n: int) -> None:
         new = store.ingest(df, content_col, at_col, seq_col)
         if n > 0:
-            new = store.upsert(df.sparkSession.read.parquet(f"{path}/v{n - 1}"), new, keep_first=("created_at", "size", "kind", "seq", "content"))
+            new = store.upsert(df.sparkSession.read.parquet(f"{path}/v{n - 1}"), new, keep_first=("size", "kind", "seq", "content"))
         new.write.mode("overwrite").parquet(f"{path}/v{n}")
 
     return outputs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
