@@ -5,6 +5,9 @@ window of grams keeps its least one as fingerprint, so any run of ``RUN`` equal
 Fingerprints are counted; only positions of repeated ones go on, with the line hashes around them,
 and are extended both ways to the runs of ``RUN`` lines that hold them.  The first place of each
 run stays; at all later ones its lines go.  Overlapping runs add up to repeats of any length.
+
+Where ``least_words`` is given, shorter runs (down to one line) that hold so many words count too.
+Every one of them is its own fingerprint, whatever its neighbours.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from .scratch import stored
 #: Lines of the shortest run that counts as repeated.
 RUN = 3
 
+#: Words of a shorter run that counts as repeated where runs are measured by content too.
+LEAST_WORDS = 8
+
 
 def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
@@ -37,9 +43,25 @@ def _fingerprints(grams: Column, width: int) -> Column:
     return F.when(n > 0, F.array_distinct(least))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """From ``key, hashes array<bigint>``: ``key, starts array<int>``, the 0-based starts of all runs
-    of ``run`` lines that also start earlier (smaller key, or same key and smaller start)."""
+def line_words(text: Column) -> Column:
+    """Words of each line, cut at white space."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_count(x, F.lit(r"\S+")))
+
+
+def _rich_runs(docs: DataFrame, n: int, least_words: int) -> DataFrame:
+    """From ``key, hashes, words``: ``key, start, n, a, b`` of every run of ``n`` lines that holds at
+    least ``least_words`` words."""
+    starts = F.sequence(F.lit(0), F.size("hashes") - n)
+    rich = F.filter(starts, lambda o: F.aggregate(F.slice("words", o + 1, n), F.lit(0), lambda x, y: x + y) >= least_words)
+    own = docs.where(F.size("hashes") >= n).select("key", F.explode(F.transform(rich, lambda o: F.struct(o.alias("start"), F.slice("hashes", o + 1, n).alias("lines")))).alias("w"))
+    return own.select("key", F.col("w.start").alias("start"), F.lit(n).alias("n"), F.xxhash64("w.lines").alias("a"), F.hash("w.lines").alias("b"))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, least_words: int | None = None) -> DataFrame:
+    """From ``key, hashes array<bigint>`` (and ``words array<int>`` with ``least_words``): ``key, runs
+    array<struct<start int, n int>>``, the 0-based starts and the lines of all runs of ``run`` lines, and
+    of shorter ones with ``least_words`` words, that also start earlier (smaller key, or same key and
+    smaller start)."""
     k = (run + 1) // 2
     width = run - k + 1
     grams = docs.where(F.size("hashes") >= run).select("key", "hashes", _grams(F.col("hashes"), k).alias("grams"))
@@ -59,33 +81,37 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     extended = joined.where(F.size("around") >= run).select(
         "key", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct((F.col("first") + o).alias("start"), F.slice("around", o + 1, run).alias("lines")))).alias("w")
     )
-    windows = extended.select("key", F.col("w.start").alias("start"), F.xxhash64("w.lines").alias("a"), F.hash("w.lines").alias("b"))
+    windows = extended.select("key", F.col("w.start").alias("start"), F.lit(run).alias("n"), F.xxhash64("w.lines").alias("a"), F.hash("w.lines").alias("b"))
+    for n in range(1, run) if least_words is not None else ():
+        windows = windows.unionByName(_rich_runs(docs, n, least_words))
     windows = stored(windows.distinct(), "lines-runs")
-    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("one"), F.count("*").alias("times")).where("times > 1").drop("times")
     firsts = stored(firsts, "lines-firsts")
     later = windows.hint("merge").join(firsts, ["a", "b"]).where(F.struct("key", "start") > F.col("one"))
-    return later.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int | None = None) -> DataFrame:
     """Remove every line in a run of ``run`` lines that also starts earlier: in a document with a
     smaller id, or in the same document before.  Lines are cut at newlines and compared whole.
+    With ``least_words``, lines in shorter runs that hold at least so many words go alike.
 
     Returns the columns of ``docs``, the text without those lines, and ``n_lines bigint,
     n_removed bigint``.  Runs are judged on the input.  A null text stays null and has no lines; an
-    empty text is one empty line; documents of fewer than ``run`` lines lose none; rows that repeat
+    empty text is one empty line; documents of fewer than ``run`` lines lose none without ``least_words``; rows that repeat
     id and text are one document and fare alike; texts of one id are ordered by a hash; a
     null id comes first.  Columns of ``docs`` with the names of the new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    keyed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), line_hashes(F.col(text_col)).alias("hashes"))
-    gone = repeated_runs(keyed, run).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), F.col("starts").alias("__starts"))
+    words = () if least_words is None else (line_words(F.col(text_col)).alias("words"),)
+    keyed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), line_hashes(F.col(text_col)).alias("hashes"), *words)
+    gone = repeated_runs(keyed, run, least_words).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), F.col("runs").alias("__runs"))
     gone = stored(gone, "lines-gone")
     joined = docs.withColumn("__hash", F.xxhash64(text_col)).hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (run - 1)))))
-    kept = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
+    covered = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))
+    kept = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
     return joined.select(
         *(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),

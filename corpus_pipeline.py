@@ -33,8 +33,9 @@ def _shortened(docs: DataFrame, text, cut: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete repeated runs of lines; a document that loses all its lines is a copy and goes."""
-    cut = lines.remove_repeated_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    """Delete repeated runs of lines, those of one or two lines from ``LEAST_WORDS`` words on; a
+    document that loses all its lines is a copy and goes."""
+    cut = lines.remove_repeated_lines(docs, least_words=lines.LEAST_WORDS).where("n_removed = 0 or n_removed < n_lines")
     return _shortened(docs, F.col("text"), cut)
 
 

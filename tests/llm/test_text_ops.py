@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from condense.llm import bpe, langid, lines, media, minhash, packing, quality, substrings
 from condense.llm import queries as q
 
@@ -111,6 +113,43 @@ def test_lines(spark):
     assert longer == brute_lines(dict(enumerate(texts)), 5)
 
 
+def brute_rich_lines(docs, least, n=3):
+    seen, out = set(), {}
+    for i, t in sorted(docs.items()):
+        ls = None if t is None else t.split("\n")
+        gone = [False] * len(ls or [])
+        for m in range(1, n + 1):
+            for s in range(len(ls or []) - m + 1):
+                key = tuple(ls[s:s + m])
+                if m < n and sum(len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) for x in key) < least:
+                    continue
+                if key in seen:
+                    gone[s:s + m] = [True] * m
+                seen.add(key)
+        out[i] = (len(ls or []), sum(gone), None if ls is None else "\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
+    return out
+
+
+def test_short_runs_by_words(spark):
+    """Lines and pairs that repeat between different neighbours, and copies of one or two lines."""
+    rng = random.Random(8)
+    pool = ["a", "b c", "", "one two  three", "four\tfive six é", "1 2 3 4 5", "six seven eight nine ten eleven"]
+    texts = ODD + ["\n".join(rng.choice([*pool, f"own {i}"]) for i in range(rng.randrange(0, 9))) for _ in range(80)] + [pool[-1]] * 3
+    docs = frame(spark, texts, runs="clash", words="clash")
+    for least in (4, 6):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.remove_repeated_lines(docs, least_words=least).collect()}
+        assert got == brute_rich_lines(dict(enumerate(texts)), least)
+    p = lines.remove_repeated_lines(docs, least_words=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in p and "Arrow" not in p
+
+
+def test_pipeline_deletes_a_single_repeated_line(spark, sf):
+    long = "this work is licensed under the general public license"
+    docs = frame(spark, [f"x\n{long}\ny", f"p\n{long}\nq", long, "short line\nr", "short line\ns"])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf).collect()}
+    assert got == {0: f"x\n{long}\ny", 1: "p\nq", 3: "short line\nr", 4: "short line\ns"}
+
+
 def multiset(t):
     w = (t or "").encode().split()
     own = [tuple(w)] if 0 < len(w) < 5 else [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
