@@ -12,7 +12,7 @@ text is many short lanes; the parse begins anew at each block, alike for every l
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import parts, released
-from .sampling import per_class
 
-#: Symbols of sample text per language, and labelled documents that are looked at for them.
+#: Symbols of sample text per language, and distinct labelled texts that are looked at for them.
 SAMPLE_SYMBOLS = 40_000
 SAMPLE_DOCS = 400
+#: Where those are too few, how many times as many are looked at next, and how often.
+MORE, ROUNDS = 8, 2
+PLACES = 1 << 30
 #: Symbols taken from one document, so that many documents make up the sample, and the words of a
-#: passage that is left out if sample documents share it.
+#: passage that is left out if an earlier sample text has it.
 DOC_SYMBOLS, WINDOW = 600, 8
 #: Cells of all automata together; with many languages each has a smaller sample.
 CELLS = 32_000_000
@@ -131,55 +133,75 @@ def phrases(flat: np.ndarray, size: np.ndarray, tables: list[np.ndarray], width:
     return out
 
 
-def repeated_windows(texts: list[str]) -> set[int]:
-    """Hashes of windows of ``WINDOW`` words that more than one of the texts has."""
-    once: set[int] = set()
-    more: set[int] = set()
-    for t in texts:
-        words = t.split()
-        own = {hash(tuple(words[i:i + WINDOW])) for i in range(len(words) - WINDOW + 1)}
-        more |= own & once
-        once |= own
-    return more
-
-
-def own_words(text: str, repeated: set[int]) -> str:
-    """``text`` without passages that other sample documents have too: boilerplate and copies, in
-    whatever language, say nothing of the document's label."""
-    words = text.split()
+def own_words(words: list[str], seen: set[int]) -> list[str]:
+    """``words`` without passages that earlier sample texts have, whose windows are in ``seen``; those of
+    this text are added.  So of boilerplate and copies, in whatever language, the first stays."""
+    windows = [hash(tuple(words[i:i + WINDOW])) for i in range(len(words) - WINDOW + 1)]
     drop = [False] * len(words)
-    for i in range(len(words) - WINDOW + 1):
-        if hash(tuple(words[i:i + WINDOW])) in repeated:
+    for i, w in enumerate(windows):
+        if w in seen:
             drop[i:i + WINDOW] = [True] * WINDOW
-    return " ".join(w for w, d in zip(words, drop, strict=True) if not d)
+    seen.update(windows)
+    return [w for w, d in zip(words, drop, strict=True) if not d]
+
+
+def condensed(words: list[str], size: int) -> str:
+    """The first ``size`` characters of the words once every run of non-letters is one space."""
+    out = [" "]
+    for w in words:
+        for c in w + " ":
+            if c.isalpha():
+                out.append(c)
+            elif out[-1] != " ":
+                out.append(" ")
+        if len(out) >= size:
+            break
+    return "".join(out[:size])
+
+
+def sampled_texts(rows: DataFrame, each: Callable[[int], int]) -> dict[str, list[str]]:
+    """From ``text, lang``: what is learned of each language, as texts of at most ``DOC_SYMBOLS`` symbols.
+
+    Distinct texts are taken in the order of a hash, about ``SAMPLE_DOCS`` a language.  A language that has
+    less than ``each(languages)`` symbols then gets ``MORE`` times as many, up to ``ROUNDS`` times.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).collect()}
+    least = each(len(counts))
+    texts: dict[str, list[str]] = {l: [] for l in counts}
+    total = dict.fromkeys(counts, 0)
+    upto = dict.fromkeys(counts, 0)  # places below are done
+    seen: set[int] = set()
+    place = F.pmod(F.xxhash64("text"), F.lit(PLACES))
+    for n in range(ROUNDS + 1):
+        short = {l: min(PLACES, int(PLACES * SAMPLE_DOCS * MORE**n / max(1, counts[l]))) for l in counts if total[l] < least and upto[l] < PLACES}
+        if not short:
+            break
+        keep = F.lit(False)
+        for l, end in short.items():
+            keep = keep | ((F.col("lang") == F.lit(l)) & (place >= upto[l]) & (place < end))
+        new = rows.where(keep).groupBy("lang", F.xxhash64("text").alias("hash"), place.alias("place")).agg(F.first("text").alias("text"))
+        for r in new.orderBy("place", "hash", "lang").toLocalIterator():
+            if total[r.lang] < least:
+                own = condensed(own_words(r.text.split(), seen), DOC_SYMBOLS)
+                texts[r.lang].append(own)
+                total[r.lang] += len(own)
+        upto |= short
+    return texts
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Learn from rows with text and language; at most ``SAMPLE_SYMBOLS`` symbols per language,
     fewer if there are so many languages that their automata would pass ``CELLS`` cells.
-    Passages that sample documents share are left out."""
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    sample = per_class(rows, lang_col, id_col, SAMPLE_DOCS).select(
-        F.xxhash64(F.col(id_col)).alias("place"), F.substring(text_col, 1, 4 * DOC_SYMBOLS).alias("text"), F.col(lang_col).alias("lang")
-    )
-    by_lang: dict[str, list[tuple]] = {}
-    for r in sample.collect():  # about SAMPLE_DOCS texts a language
-        by_lang.setdefault(r.lang, []).append((r.place, r.text))
+    Copies count once, and of passages that sample texts share the first stays."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    each = lambda n: min(SAMPLE_SYMBOLS, CELLS // (2 * ALPHABET * max(1, n)))
+    by_lang = sampled_texts(rows, each)
     langs = sorted(by_lang)
-    each = min(SAMPLE_SYMBOLS, CELLS // (2 * ALPHABET * max(1, len(langs))))
-    table = symbol_table([t for l in langs for _, t in by_lang[l]])
-    repeated = repeated_windows([t for l in langs for _, t in by_lang[l]])
+    table = symbol_table([t for l in langs for t in by_lang[l]])
     tables, bits = [], []
     width = int(table.max()) + 1
     for l in langs:
-        parts, total = [], 0
-        for _, t in sorted(by_lang[l]):
-            own = symbols([" " + own_words(t, repeated) + " "], table)[0][:DOC_SYMBOLS]
-            parts.append(own)
-            total += own.size
-            if total >= each:
-                break
-        flat = np.concatenate(parts)[:each]
+        flat = symbols(by_lang[l], table)[0][:each(len(langs))]
         tables.append(automaton(flat, width))
         bits.append(float(np.log2(max(2, flat.size))))
     return {"langs": langs, "symbols": table, "tables": tables, "bits": bits, "width": width}

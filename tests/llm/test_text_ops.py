@@ -223,6 +223,25 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in langid.predict(docs.limit(3), nothing).collect()} == {"und"}
 
 
+def test_language_learns_from_copies_and_late_text(spark):
+    """Texts that all have a copy, a language of near copies, and text behind a long head of digits."""
+    rng = random.Random(9)
+    vocabulary = {l: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 8))) for _ in range(300)] for l, a in (("x", "abcdef"), ("y", "cdefgh"), ("z", "efghij"))}
+    some = lambda l, n: " ".join(rng.choice(vocabulary[l]) for _ in range(n))
+    base = some("y", 60)
+    rows = [(t, "x") for t in (some("x", 80) for _ in range(60)) for _ in range(2)]
+    rows += [(f"{base} {i}", "y") for i in range(3000)] + [(some("y", 80), "y") for _ in range(90)]
+    rows += [("12 " * 1000 + some("z", 80), "z") for _ in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
+    learned = langid.sampled_texts(docs, lambda n: langid.SAMPLE_SYMBOLS)
+    assert {l: sum(map(len, t)) > 15_000 for l, t in learned.items()} == {"x": True, "y": True, "z": True}
+    assert sum(t.startswith(langid.condensed(base.split(), 100)) for t in learned["y"]) == 1
+    model = langid.train(docs)
+    tests = [(some(l, 30), l) for l in "xyz" for _ in range(50)]
+    out = langid.predict(spark.createDataFrame(tests, "text string, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in out) >= 0.95 * len(out)
+
+
 def longest_parse(text, sample):
     at, n = 0, 0
     while at < len(text):
