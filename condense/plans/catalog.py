@@ -181,6 +181,11 @@ def commitments_kept(spark, sf):
     return d.select("doc_id", c("r.total").alias("total"), c("r.preserved").alias("preserved"), *(c(f"r.by_kind.{k}").alias(k) for k in commitments.KINDS))
 
 
+def commitments_crushed(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", commitments.compare("text", reduce.crush_text("text")["text"]).alias("r"))
+    return d.select("doc_id", c("r.total").alias("total"), c("r.preserved").alias("preserved"), *(c(f"r.by_kind.{k}").alias(k) for k in commitments.KINDS))
+
+
 def redact_counts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", redact.redact("text").alias("r"))
     return d.select("doc_id", *(c(f"r.counts.{k.replace('-', '_')}").alias(k.replace("-", "_")) for k in redact.PATTERNS))
@@ -321,6 +326,11 @@ def frozen_prefix(spark, sf):
     return convo.frozen_prefix(same).select("conv_id", "turn", F.round("lcp_ratio", 6).alias("ratio"), "cause")
 
 
+def frozen_turns(spark, sf):
+    m = table(spark, sf, "conversations").select("conv_id", "turn", c("text").alias("prefix"))
+    return convo.frozen_prefix(m).select("conv_id", "turn", F.round("lcp_ratio", 6).alias("ratio"), "cause")
+
+
 def view_toc(spark, sf):
     d = table(spark, sf, "documents").select(text.content_hash("text").alias("hash"), c("doc_id").alias("seq"), F.lit("text").alias("kind"), c("text").alias("content"))
     return convo.toc(d).select("seq", "line", "ref")
@@ -502,9 +512,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         recall_ranked, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
-        prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, redact_counts,
+        prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, commitments_crushed, redact_counts,
         redact_text, char_entropy, token_estimate, bigram_shingles, dedup_runs, log_template_collapse, group_squash, salient_crush, prose_compress, table_compact, json_crush, anchors,
-        smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, view_toc,
+        smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,
         breaker_fold, diff_summary, usage_stats, usage_cost, ols_tokens, running_mean, ece_bins, pressure_growth, cache_dips, budget_info, session_snapshot, active_ttl, heartbeat_live,
         recall_followed, playbook_top, ring_buffer, freshness_replay, tool_hits, window_serve, freshness_audit, side_effects, price_html_extract, symbol_extract, stream_session_counts, rollup_bench,
     )

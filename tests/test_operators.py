@@ -187,3 +187,22 @@ def test_fused_top(spark):
         rb = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
         best = sorted(ra, key=lambda i: (-round(1 / (60 + ra[i]) + 1 / (60 + rb[i]), 9), i))[:limit]
         assert got == [(i, ra[i], rb[i]) for i in best]
+
+
+def test_whole_turns_and_crushed_texts(spark, tmp_path):
+    """No text is cut before it is compared: turns that part behind 100 characters, commitments behind 500."""
+    head = "a" * 300
+    turns = [head + "b" * 100, head + "c" * 100, head + "c" * 100 + "d", None, "x", ""]
+    spark.createDataFrame([(k, i, t) for k in (2, 3) for i, t in enumerate(turns)], "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.ratio, r.cause) for r in catalog.frozen_turns(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(turns):
+        before = turns[i - 1] if i else None
+        if t is not None:
+            same = 1.0 if not before else next((n for n, (a, b) in enumerate(zip(before, t, strict=False)) if a != b), min(len(before), len(t))) / len(before)
+            cause = "frozen" if same >= 0.9 else "truncation" if len(t) < len(before) * 0.6 else "mutation"
+            assert got[2, i] == got[3, i] == (round(same, 6), cause)
+    plain = [f"Nothing of note was said about item {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 9}." for i in range(60)]
+    text = "\n".join([*plain, "See https://example.org/late for more.", "Error: it failed at the end."])
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in catalog.commitments_crushed(spark, str(tmp_path)).collect()}
+    assert rows[1].url == 1 and rows[1].total == rows[1].preserved > 1 and (rows[2].total, rows[2].preserved) == (0, 0)
