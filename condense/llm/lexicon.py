@@ -97,22 +97,20 @@ class Lexicon:
             setattr(self, k, raw[at:at + size].view(_TYPES[k]))
             at += size
 
-    def lookup(self, words: list[bytes]) -> list[bytes | None]:
-        """Ids (little-endian 32-bit) of each word, None where it is not in the lexicon.
-        All words step through the automaton together, one byte a round."""
-        n = len(words)
-        found: list[bytes | None] = [None] * n
+    def lookup(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each word (consecutive runs of bytes) begin, -1 if the word is not
+        in the lexicon, and how many they are.  All words step through the automaton together, one
+        byte a round."""
+        n = size.size
+        first, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         if not n or not self.edge_key.size:
-            return found
-        size = np.fromiter(map(len, words), np.int64, n)
-        flat = np.frombuffer(b"".join(words), "u1")
+            return first, count
         at = np.cumsum(size) - size
         live = np.flatnonzero(size > 0)
         state, rank = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        ended = []
         depth = 0
         while live.size:
-            key = state[live] << np.uint64(8) | flat[at[live] + depth]
+            key = state[live] << np.uint64(8) | data[at[live] + depth]
             edge = np.searchsorted(self.edge_key, key)
             edge[edge == self.edge_key.size] = 0
             hit = self.edge_key[edge] == key
@@ -121,10 +119,9 @@ class Lexicon:
             rank[live] += self.edge_skip[edge]
             depth += 1
             over = size[live] == depth
-            ended.append(live[over])
+            ended = live[over]
+            ended = ended[self.final[state[ended].astype(np.int64)] > 0]
+            first[ended] = self.start[rank[ended]]
+            count[ended] = self.start[rank[ended] + 1] - self.start[rank[ended]]
             live = live[~over]
-        for i in np.concatenate(ended).tolist() if ended else []:
-            if self.final[int(state[i])]:
-                r = int(rank[i])
-                found[i] = self.ids[int(self.start[r]):int(self.start[r + 1])].tobytes()
-        return found
+        return first, count

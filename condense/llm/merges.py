@@ -1,8 +1,8 @@
 """Exact BPE merges of many words at once.
 
-Words stand as rows of a matrix of symbol ids.  In each round every row merges its leftmost pair
-of lowest rank, the order in which the tokenizers library merges; only the two pairs beside the
-merged one are looked up anew.
+Words stand as columns of a matrix of symbol ids.  In each round every column merges its leftmost
+pair of lowest rank, the order in which the tokenizers library merges; only the two pairs beside
+the merged one are looked up anew.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 _NONE = np.int32(2**31 - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
+#: Words merged at a time.
+BLOCK = 16384
 
 
 def byte_alphabet() -> list[str]:
@@ -65,56 +67,70 @@ class Merger:
         out[(a < 0) | (b < 0)] = _NONE
         return out
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (1 to ``LONGEST`` bytes) as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for s in range(0, len(order), 8192):
-            own = order[s:s + 8192]
-            for i, ids in zip(own, self._block([words[i] for i in own]), strict=True):
-                out[i] = ids
-        return out
+    def merge(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words (1 to ``LONGEST`` bytes of ``data`` each) in a row, and how many each has."""
+        counts = np.zeros(size.size, np.int64)
+        order = np.argsort(size, kind="stable")
+        blocks = []
+        for s in range(0, order.size, BLOCK):
+            own = order[s:s + BLOCK]
+            ids, counts[own] = self._block(data, start[own], size[own])
+            blocks.append(ids)
+        if not blocks:
+            return np.zeros(0, "<u4"), counts
+        ids = np.concatenate(blocks)
+        ends = np.cumsum(counts[order])
+        first = np.zeros(size.size, np.int64)
+        first[order] = ends - counts[order]
+        ends = np.cumsum(counts)
+        return ids[np.arange(ids.size) + np.repeat(first - (ends - counts), counts)], counts
 
-    def _block(self, words):
-        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        wide = int(size.max())
-        sym = np.full((n, wide), -1, np.int32)
-        there = np.arange(wide) < size[:, None]
-        sym[there] = self.inner[np.frombuffer(b"".join(words), "u1")]
-        last = np.fromiter((w[-1] for w in words), np.int64, n)
-        sym[np.arange(n), size - 1] = self.outer[last]
-        if wide == 1:
-            return [r.tobytes() for r in sym.astype("<u4")]
-        rank = self.rank(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, wide - 1)
-        live = np.arange(n)
+    def _block(self, data, start, size):
+        """Words side by side as columns; ``best`` holds rank and place of each pair in one number,
+        so the least of a column names the next merge."""
+        n, wide = size.size, int(size.max())
+        rows = np.arange(wide, dtype=np.int64)[:, None]
+        there = rows < size
+        raw = data[np.minimum(start + rows, data.size - 1)]
+        sym = np.where(there, self.inner[raw], np.int32(-1))
+        cols = np.arange(n)
+        sym[size - 1, cols] = self.outer[raw[size - 1, cols]]
         final = sym.copy()
-        while live.size:
-            at = rank.argmin(axis=1)
-            rows = np.arange(live.size)
-            best = rank[rows, at]
-            over = best == _NONE
+        live = cols
+        if wide > 1:
+            best = self._keyed(sym[:-1], sym[1:], rows[:-1].astype(np.int32))
+        while sym.shape[0] > 1:
+            least = best.min(axis=0)
+            over = least == _NONE
             if over.any():
-                final[live[over], :sym.shape[1]] = sym[over]
-                final[live[over], sym.shape[1]:] = -1
-                keep = ~over
-                live, sym, rank, at, best = live[keep], sym[keep], rank[keep], at[keep], best[keep]
+                done = live[over]
+                final[:, done] = -1
+                final[:sym.shape[0], done] = sym[:, over]
+                keep = np.flatnonzero(~over)
+                live = live[keep]
                 if not live.size:
                     break
-                rows = np.arange(live.size)
-            cols = np.arange(sym.shape[1] - 1)
-            sym = np.where(cols > at[:, None], sym[:, 1:], sym[:, :-1])
-            sym[rows, at] = self.result[best]
-            if sym.shape[1] == 1:
-                final[live, :1] = sym
-                final[live, 1:] = -1
-                break
-            cols = np.arange(rank.shape[1] - 1)
-            rank = np.where(cols >= at[:, None], rank[:, 1:], rank[:, :-1])
+                sym, best, least = sym[:, keep], best[:, keep], least[keep]
+            at = least & 63
+            cols = np.arange(live.size)
+            rows = np.arange(sym.shape[0] - 1, dtype=np.int32)[:, None]
+            sym = np.where(rows > at, sym[1:], sym[:-1])
+            sym[at, cols] = self.result[least >> 6]
+            rows = rows[:-1]
+            best = np.where(rows >= at, best[1:] - (best[1:] != _NONE), best[:-1])  # what moved is one place further to the front
             left = np.flatnonzero(at > 0)
-            rank[left, at[left] - 1] = self.rank(sym[left, at[left] - 1], sym[left, at[left]])
-            right = np.flatnonzero(at < rank.shape[1])
-            rank[right, at[right]] = self.rank(sym[right, at[right]], sym[right, at[right] + 1])
-        count = (final >= 0).sum(axis=1)
-        flat = final[final >= 0].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(count)).tolist()
-        return [flat[e - 4 * c:e] for e, c in zip(ends, count.tolist(), strict=True)]
+            p = at[left] - 1
+            best[p, left] = self._keyed(sym[p, left], sym[p + 1, left], p)
+            right = np.flatnonzero(at < best.shape[0])
+            p = at[right]
+            best[p, right] = self._keyed(sym[p, right], sym[p + 1, right], p)
+        if live.size:  # one symbol is left of each
+            final[:, live] = -1
+            final[:1, live] = sym
+        flat = final.T
+        counts = (flat >= 0).sum(axis=1)
+        return flat[flat >= 0].astype("<u4"), counts
+
+    def _keyed(self, a, b, place):
+        rank = self.rank(a.ravel(), b.ravel()).reshape(a.shape)
+        return np.where(rank == _NONE, _NONE, (rank << 6) | place)

@@ -11,12 +11,14 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder below ``spark.checkpoint.dir``; where that is unset
-    (a local session, as in tests) a temporary folder is set up for the session."""
+    """A new, not yet existing folder below ``spark.checkpoint.dir``; where that is unset, a local
+    session (as in tests) sets a temporary folder up, and any other is told to set it."""
     root = spark.conf.get(KEY, None)
     if not root:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"{KEY} must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="condense-"))
             checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = checkpoint.get()
@@ -32,14 +34,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing reads any more."""
+    for t in tables:
+        p, fs = _path(t.sparkSession, t.stored_at)
+        fs.delete(p, True)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`shared_dir`."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def put_file(spark: SparkSession, local: str, url: str) -> str:
+    """Copy a file of the driver to the shared folder."""
+    p, fs = _path(spark, url)
+    fs.mkdirs(p.getParent())
+    fs.copyFromLocalFile(_path(spark, f"file://{local}")[0], p)
+    return url
 
 
 def arrow_fs(uri: str):

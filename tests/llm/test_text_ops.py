@@ -38,24 +38,65 @@ def test_bpe_equals_library(spark, tokenizer):
     assert bpe.encode_decode(frame(spark, texts).limit(0), q.word_bpe()).count() == 0
 
 
-def test_packing(spark, tokenizer):
-    texts = ODD + ["word " * n for n in (1, 7, 2047, 2048, 5000)] + ["again"] * 40
-    rows = packing.harmonic_pack(frame(spark, texts).repartition(3), q.word_bpe()).collect()
+def check_packed(rows, ids_of):
+    """Every id in exactly one piece, in order; gapless sequences without padding.  Returns pieces."""
     pieces, bins = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
         bins.setdefault(r.sequence_id, []).append(r)
-    for i, t in enumerate(texts):
-        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+    assert set(pieces) == set(ids_of)
+    for i, ids in ids_of.items():
         own = sorted(pieces[i], key=lambda r: r.start)
         assert [x for r in own for x in np.frombuffer(r.ids, "<u4").tolist()] == ids
         assert all(r.doc_tokens == len(ids) and r.length * 4 == len(r.ids) for r in own) and [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist()
     for own in bins.values():
         own = sorted(own, key=lambda r: r.offset)
         total = sum(r.length for r in own)
-        assert [r.offset for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and total <= 2048
+        assert [r.offset for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and 0 < total <= 2048
         assert total == 2048 or total & (total - 1) == 0  # no padding
+    return bins
+
+
+def test_packing(spark, tokenizer):
+    texts = ODD + ["word " * n for n in (1, 7, 2047, 2048, 5000, 90_000)] + ["again"] * 40 + ["one two " * 300] * 25
+    docs = frame(spark, texts, start="clash", sequence_id="clash").repartition(3)
+    check_packed(packing.harmonic_pack(docs, q.word_bpe()).collect(), {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)})
     assert packing.harmonic_pack(frame(spark, ["a"]).limit(0), q.word_bpe()).count() == 0
+    twice = packing.harmonic_pack(spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b")], "doc_id bigint, text string"), q.word_bpe())
+    assert twice.groupBy("doc_id").agg(F.sum("length")).orderBy("doc_id").collect() == [(None, 3), (7, 6)]
+
+
+def test_packing_query(spark, sf, tokenizer):
+    """The registered query over its whole table: its ids, little padding, few cuts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids_of = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
+    bins = check_packed(packing.harmonic_pack(docs, q.word_bpe()).collect(), ids_of)
+    whole = sum(len(x) // 2048 for x in ids_of.values())
+    rows = q.op6_packing(spark, sf).collect()
+    assert len(rows) - whole < 1.6 * len(ids_of) and len(bins) < 20 + sum(map(len, ids_of.values())) / 2048
+    for r in rows:
+        own = ids_of[r.doc_id][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.asarray(own, "<u4").tobytes())
+
+
+def test_harmonic_classes():
+    """Each bin of class k < K gets k remainders of its class before it takes from others."""
+    rng = random.Random(7)
+    packer, rest = packing.Packer(0, 2048, 16), {}
+    for n in (rng.choice((rng.randrange(1, 2048), rng.randrange(1, 300), 2048, 5000)) for _ in range(4000)):
+        left = n % 2048
+        for start, length, own, offset in packer.add(n):
+            assert offset + length <= 2048
+            if length < 2048:
+                if offset == 0:
+                    rest[own] = (min(2048 // length, 16), 0, 0)
+                k, pieces, filled = rest[own]
+                assert offset == filled
+                if k < 16 and pieces < k:
+                    assert min(2048 // (n - start), 16) == k and start + length == n
+                rest[own] = (k, pieces + 1, filled + length)
+        assert left >= 0 and len(packer.open()) <= 17
+    assert all(filled == 2048 for own, (_, _, filled) in rest.items() if own not in packer.open())
 
 
 def brute_repeats(docs, n=20):
