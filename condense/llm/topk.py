@@ -1,10 +1,11 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are put in buckets by length, longest first.  A task takes a block of queries through a
-run of buckets and keeps each query's k-th best score so far.  Over the query's length and the
-bucket's greatest length that gives a local cosine threshold: beyond 1 the bucket (and all after
-it) is skipped; if it is high, candidates are pruned by the range that it leaves to the query's
-largest coordinates; else the bucket is taken whole.  What is left is verified by its product.
+Vectors are put in buckets by length, longest first.  Every block of queries meets the bucket of the
+longest vectors, which gives each query a k-th best score.  Over a query's length that is the least
+length of a vector that can still matter, so a block is joined only with the runs of buckets that
+reach it; no other bucket is sent.  There the score so far gives a local cosine threshold: beyond
+1 a bucket is skipped; if it is high, candidates are pruned by the range that it leaves to the
+query's largest coordinates; else the bucket is taken whole.  What is left is verified by its product.
 """
 
 from __future__ import annotations
@@ -23,18 +24,25 @@ from .scratch import stored
 BUCKET = 4096
 QUERIES = 1024
 #: Buckets that one task takes a block of queries through.
-RUN = 16
+RUN = 8
 #: Local cosine threshold from which coordinates are used, and how many.
 NARROW, FOCUS = 0.9, 3
 _EXACT = 2.0**53
 
 
 def quantised(embedding: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component, null for vectors that take no part: null ones and
-    those with a component that is null, not finite or too large for a long."""
-    x = F.transform(embedding, lambda v: v.cast("double") * factor)
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float(2**62))))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v).cast("bigint")))
+    """floor(factor * x) of each component, as doubles that hold whole numbers; null for vectors that
+    take no part: null ones and those with a component that is null or not finite.  A component that
+    is beyond all doubles once it is multiplied is an error."""
+    x = F.transform(embedding, lambda v: v.cast("double"))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+
+    def whole(v: Column) -> Column:
+        v = v * factor
+        beyond = F.raise_error(F.lit("a component is too large to be multiplied")).cast("double")
+        return F.when(F.abs(v) < F.lit(2.0**53), F.floor(v).cast("double")).when(F.abs(v) < F.lit(float("inf")), v).otherwise(beyond)
+
+    return F.when(fine, F.transform(x, whole))
 
 
 def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -52,11 +60,11 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
 
         def block():
             held.sort(key=lambda r: r[0])
-            m = np.asarray([r[1] for r in held], "<i8").reshape(len(held), -1)
+            m = _small(np.asarray([r[1] for r in held]).reshape(len(held), -1))
             return pa.RecordBatch.from_pydict({
                 "dim": pa.array([m.shape[1]], pa.int32()), "longest": pa.array([max(r[2] for r in held)], pa.float64()), "n": pa.array([len(held)], pa.int32()),
-                "ids": pa.array([np.asarray([r[0] for r in held], "<i8").tobytes()], pa.binary()), "matrix": pa.array([_small(m).tobytes()], pa.binary()),
-                "width": pa.array([_small(m).dtype.itemsize], pa.int32()),
+                "ids": pa.array([np.asarray([r[0] for r in held], "<i8").tobytes()], pa.binary()), "matrix": pa.array([m.tobytes()], pa.binary()),
+                "kind": pa.array([m.dtype.str], pa.string()),
             })
 
         for batch in batches:
@@ -68,26 +76,39 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if held:
             yield block()
 
-    packed = dealt.select("vec_id", "vector", "length").mapInArrow(run, "dim int, longest double, n int, ids binary, matrix binary, width int")
+    packed = dealt.select("vec_id", "vector", "length").mapInArrow(run, "dim int, longest double, n int, ids binary, matrix binary, kind string")
     return stored(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
 def _small(m: np.ndarray) -> np.ndarray:
-    """The same numbers in the narrowest integers that hold them."""
-    most = int(np.abs(m).max(initial=0))
-    return m.astype("<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8")
+    """The same whole numbers in the narrowest integers that hold them, or as doubles beyond those."""
+    most = max(-float(m.min(initial=0)), float(m.max(initial=0)))
+    return m.astype("<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8" if most < 2**63 else "<f8")
+
 
+def _matrix(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(n, -1)
 
-def _matrix(raw: bytes, width: int, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{width}").reshape(n, -1)
+
+def _whole(m: np.ndarray) -> np.ndarray:
+    """As Python's integers."""
+    return np.asarray([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products; through doubles where those hold every sum."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])
+    """Exact integer products; through doubles where those hold every sum, through Python's integers where a
+    long might not.  A product that is no long is an error."""
+    most = max(1, q.shape[1])
+    for m in (q, p):
+        most *= max(int(m.max(initial=0)), -int(m.min(initial=0)))
     if most < _EXACT:
         return (q.astype(np.float64) @ p.T.astype(np.float64)).astype(np.int64)
-    return q.astype(np.int64) @ p.T.astype(np.int64)
+    if most < 2**63:
+        return q.astype(np.int64) @ p.T.astype(np.int64)
+    s = _whole(q) @ _whole(p).T if q.size and p.size else np.zeros((len(q), len(p)), np.int64)
+    if s.size and (s.max() >= 2**63 or s.min() < -(2**63)):
+        raise OverflowError("an inner product is no 64-bit integer")
+    return s.astype(np.int64)
 
 
 def _choose(scores: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +155,21 @@ class _Best:
         self.score, self.id, self.there = (np.take_along_axis(x, order, axis=1) for x in (s, i, t))
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray, np.ndarray, float]], k: int) -> tuple[_Best, dict]:
-    """Take a block of queries through buckets ``(matrix, ids, longest)``, longest first."""
+def search(q: np.ndarray, q_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray, np.ndarray, float]], k: int, known: np.ndarray | None = None) -> tuple[_Best, dict]:
+    """Take a block of queries through buckets ``(matrix, ids, longest)``, longest first.  ``known``: scores
+    that ``k`` other candidates of each query reach."""
     best, done = _Best(len(q), k), {"skipped": 0, "coordinates": 0, "whole": 0}
     q_len = np.sqrt((q.astype(float) ** 2).sum(axis=1))
-    focus = np.argsort(-np.abs(q), axis=1, kind="stable")[:, :FOCUS]
+    focus = np.argsort(-np.abs(q.astype(float)), axis=1, kind="stable")[:, :FOCUS]
     for p, ids, longest in buckets:
-        least = best.least()
-        bound = q_len * longest
+        least = best.least() if known is None else np.maximum(known, best.least())
         with np.errstate(divide="ignore", invalid="ignore"):
+            bound = q_len * longest
             cosine = np.where(bound > 0, least / bound, np.where(least > 0, np.inf, -np.inf))
         out = cosine > 1 + 1e-9
         done["skipped"] += int(out.sum())
         narrow = np.flatnonzero((cosine >= NARROW) & ~out)
-        whole = np.flatnonzero(~out & (cosine < NARROW))
+        whole = np.flatnonzero(~out & ~(cosine >= NARROW))
         done["coordinates"] += narrow.size
         done["whole"] += whole.size
         if narrow.size:
@@ -172,44 +194,76 @@ def search(q: np.ndarray, q_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray,
     return best, done
 
 
+_FOUND = "q_block bigint, row bigint, query_id bigint, vec_id bigint, score bigint"
+
+
+def _found(block: int, q_ids: np.ndarray, best: _Best) -> pd.DataFrame:
+    rows, cols = np.nonzero(best.there)
+    return pd.DataFrame({"q_block": block, "row": rows, "query_id": q_ids[rows], "vec_id": best.id[rows, cols], "score": best.score[rows, cols]}).astype("int64")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The ``k`` highest integer inner products of each query among all other rows.
 
-    ``vectors`` has ``vec_id, vector array<bigint>``; rows with a null in either take no part, nor
-    do candidates of another dimension than the query's.  A query's own row is told by its
-    id, so rows that repeat the id are no candidates; other repeated rows each take a rank.  Ties
-    go to the smaller id; fewer than ``k`` candidates give fewer rows, an empty table none.
-    Returns ``query_id, rank, vec_id, score``.
+    ``vectors`` has ``vec_id, vector`` (an array of longs, or of doubles that hold whole numbers); rows with a
+    null in either take no part, nor do candidates of another dimension than the query's.  A
+    query's own row is told by its id, so rows that repeat the id are no candidates; other
+    repeated rows each take a rank.  Ties go to the smaller id; fewer than ``k`` candidates give
+    fewer rows, an empty table none.  Products are exact; one that is no 64-bit integer is an error.
+    Other columns are ignored.  Returns ``query_id, rank, vec_id, score``.
     """
-    vectors = vectors.where("vec_id is not null and vector is not null")
-    queries = vectors.where(is_query)
+    vectors = vectors.select("vec_id", "vector", is_query.alias("is_query")).where("vec_id is not null and vector is not null")
     buckets = _packed(vectors, BUCKET, "topk-buckets")
-    blocks = _packed(queries, QUERIES, "topk-queries")
+    blocks = _packed(vectors.where("is_query"), QUERIES, "topk-queries")
     order = W.partitionBy("dim").orderBy(F.desc("longest"), "block")
-    place = F.row_number().over(order)  # over block descriptions: one row for BUCKET vectors
-    # neighbouring buckets of a run are far apart in length, so each run meets a long one early
-    runs = buckets.select("block", "dim", "longest").withColumn("place", place - 1)
-    n_runs = runs.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / RUN)).alias("runs"))
-    runs = runs.join(n_runs, "dim").select("block", (F.col("place") % F.col("runs")).alias("run"))
-    buckets = buckets.join(runs, "block")
-    asked = blocks.join(n_runs, "dim").select(
-        F.col("block").alias("q_block"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
-        F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"),
-    )
-    left = asked.groupBy("q_block", "run")
-    met = asked.select(F.col("q_block").alias("r_block"), F.col("run").alias("r_run"), F.col("dim").alias("r_dim"))
-    right = buckets.join(met, (F.col("dim") == F.col("r_dim")) & (F.col("run") == F.col("r_run"))).groupBy("r_block", "r_run")
-
-    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    place = F.row_number().over(order) - 1  # over block descriptions: one row for BUCKET vectors
+    places = stored(buckets.select("block", "dim", "longest").withColumn("place", place), "topk-places").hint("merge")
+    asked = blocks.select(F.col("block").alias("q_block"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("kind").alias("q_kind"))
+
+    # each block with the longest bucket of its dimension
+    longest = buckets.hint("merge").join(places.where("place = 0").select("block"), "block")
+    pairs = asked.hint("merge").join(longest.drop("block"), "dim")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (r for batch in batches for r in batch.itertuples()):
+            q, q_ids = _matrix(b.q_matrix, b.q_kind, b.q_n), np.frombuffer(b.q_ids, "<i8")
+            best, _ = search(q, q_ids, iter([(_matrix(b.matrix, b.kind, b.n), np.frombuffer(b.ids, "<i8"), b.longest)]), k)
+            least, q_len = best.least(), np.sqrt((q.astype(float) ** 2).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                reach = np.where(least > 0, least / q_len, 0.0)  # shorter vectors cannot matter
+            yield pd.DataFrame({
+                "q_block": [b.q_block], "least": [least.astype("<f8").tobytes()], "reach": [float(reach.min(initial=np.inf)) * (1 - 1e-9)],
+                "ids": [best.id.astype("<i8").tobytes()], "scores": [best.score.astype("<i8").tobytes()], "there": [best.there.tobytes()], "q_ids": [b.q_ids],
+            })
+
+    begun = stored(pairs.mapInPandas(first, "q_block bigint, least binary, reach double, ids binary, scores binary, there binary, q_ids binary"), "topk-first")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (r for batch in batches for r in batch.itertuples()):
+            q_ids, best = np.frombuffer(b.q_ids, "<i8"), _Best(0, k)
+            best.id, best.score, best.there = (np.frombuffer(x, t).reshape(len(q_ids), -1) for x, t in ((b.ids, "<i8"), (b.scores, "<i8"), (b.there, bool)))
+            yield _found(b.q_block, q_ids, best)
+
+    # the other buckets in runs of neighbours, for the blocks that they reach
+    run = F.floor((F.col("place") - 1) / RUN).cast("bigint")
+    rest = places.where("place > 0").withColumn("run", run)
+    runs = rest.groupBy("dim", "run").agg(F.max("longest").alias("most"))
+    waiting = asked.hint("merge").join(begun.select("q_block", "least", "reach"), "q_block")
+    met = waiting.select("q_block", "dim", "reach").hint("merge").join(runs, "dim").where(F.col("most") >= F.col("reach")).select("q_block", "dim", "run")
+    met = stored(met, "topk-pairs")
+    left = waiting.drop("dim", "reach").hint("merge").join(met.drop("dim"), "q_block").groupBy("q_block", "run")
+    sent = buckets.drop("dim").hint("merge").join(rest.select("block", "dim", "run"), "block")
+    right = sent.hint("merge").join(met.select(F.col("q_block").alias("r_block"), "dim", "run"), ["dim", "run"]).groupBy("r_block", "run")
+
+    def others(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
-            return pd.DataFrame({"q_block": [], "row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return _found(0, np.zeros(0, np.int64), _Best(0, k))
         m = mine.iloc[0]
-        q, q_ids = _matrix(m.q_matrix, m.q_width, m.q_n), np.frombuffer(m.q_ids, "<i8")
+        q, q_ids = _matrix(m.q_matrix, m.q_kind, m.q_n), np.frombuffer(m.q_ids, "<i8")
         each = theirs.sort_values(["longest", "block"], ascending=[False, True])
-        best, _ = search(q, q_ids, ((_matrix(b.matrix, b.width, b.n), np.frombuffer(b.ids, "<i8"), b.longest) for b in each.itertuples()), k)
-        rows, cols = np.nonzero(best.there)
-        return pd.DataFrame({"q_block": m.q_block, "row": rows, "query_id": q_ids[rows], "vec_id": best.id[rows, cols], "score": best.score[rows, cols]})
+        best, _ = search(q, q_ids, ((_matrix(b.matrix, b.kind, b.n), np.frombuffer(b.ids, "<i8"), b.longest) for b in each.itertuples()), k, np.frombuffer(m.least, "<f8"))
+        return _found(m.q_block, q_ids, best)
 
-    found = left.cogroup(right).applyInPandas(run, "q_block bigint, row bigint, query_id bigint, vec_id bigint, score bigint")
+    found = begun.mapInPandas(listed, _FOUND).unionByName(left.cogroup(right).applyInPandas(others, _FOUND))
     rank = F.row_number().over(W.partitionBy("q_block", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,6 +61,53 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def brute_topk(rows, k=5, every=50):
+    own = {i: [int(x // 1) if abs(x) < 2**53 else int(x) for x in (256 * float(y) for y in v)] for i, v in rows}
+    out = {}
+    for i, v in own.items():
+        if i % every == 0:
+            s = {j: sum(a * b for a, b in zip(v, w, strict=True)) for j, w in own.items() if j != i and len(w) == len(v)}
+            out[i] = [(j, s[j]) for j in sorted(s, key=lambda j: (-s[j], j))[:k]]
+    return {i: x for i, x in out.items() if x}
+
+
+def found(df, every=50):
+    got = {}
+    v = df.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"), F.lit(1).alias("dim"), F.lit(2).alias("block"))
+    for r in topk.top_k(v, F.col("vec_id") % every == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert len(got[r.query_id]) == r["rank"]
+    return got
+
+
+def test_topk_odd_vectors(spark):
+    """Huge components, two dimensions, ties, fewer candidates than k, negative scores."""
+    schema = "vec_id bigint, embedding array<double>"
+    rows = [(0, [1e9] * 8), (1, [0.1] * 8), (2, [-1e9] * 8), (50, [1e5, -1e5] * 4), (3, [1.0, 2.0]), (100, [-1.0, 0.5]), (4, [0.0, 0.0]), (150, [1e15, 1.0, 0.0]), (7, [3.0, -5.0, 1.0])]
+    rows = [r for r in rows if r[0] not in (0, 2)] + [(0, [1e6] * 8), (2, [-1e6] * 8)]
+    assert found(spark.createDataFrame(rows, schema)) == brute_topk(rows)
+    huge = [(0, [1e18, 0.0]), (1, [0.0, 3.0]), (2, [0.01, 1.0]), (3, [-0.01, 1.0])]  # components beyond a long, products within
+    assert found(spark.createDataFrame([r for r in huge if r[0] < 2], schema)) == brute_topk([r for r in huge if r[0] < 2])
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        found(spark.createDataFrame([(0, [1e9] * 8), (1, [1e9] * 8)], schema))
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        found(spark.createDataFrame(huge[:1] + [(1, [1.0, 0.0])], schema))
+
+
+def test_topk_prunes_before_buckets_are_sent(spark, monkeypatch):
+    """Many buckets of falling length: all results, with few pairs of blocks and runs."""
+    monkeypatch.setattr(topk, "BUCKET", 40)
+    monkeypatch.setattr(topk, "RUN", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, (v / np.linalg.norm(v) * 0.985**i * 50).tolist()) for i, v in enumerate(rng.normal(size=(600, 6)))]
+    rows = [(i, v) for i, v in rows if i % 50 or i < 100] + [(10_000 + i, [1.0] * 6) for i in range(90)]
+    seen, stored = {}, topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    assert found(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")) == brute_topk(rows)
+    runs = seen["topk-places"].count() // 2
+    assert seen["topk-pairs"].count() < seen["topk-queries"].count() * runs
+
+
 def test_pipeline(spark, sf):
     """Stages on planted documents: what is clean stays whole, copies and repeats go."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
