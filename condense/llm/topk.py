@@ -95,9 +95,9 @@ def _whole(m: np.ndarray) -> np.ndarray:
     return np.asarray([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
 
 
-def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _products(q: np.ndarray, p: np.ndarray, valid: np.ndarray | bool = True) -> np.ndarray:
     """Exact integer products; through doubles where those hold every sum, through Python's integers where a
-    long might not.  A product that is no long is an error."""
+    long might not.  A ``valid`` product that is no long is an error."""
     most = max(1, q.shape[1])
     for m in (q, p):
         most *= max(int(m.max(initial=0)), -int(m.min(initial=0)))
@@ -105,7 +105,7 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
         return (q.astype(np.float64) @ p.T.astype(np.float64)).astype(np.int64)
     if most < 2**63:
         return q.astype(np.int64) @ p.T.astype(np.int64)
-    s = _whole(q) @ _whole(p).T if q.size and p.size else np.zeros((len(q), len(p)), np.int64)
+    s = np.where(valid, _whole(q) @ _whole(p).T, 0) if q.size and p.size else np.zeros((len(q), len(p)), np.int64)
     if s.size and (s.max() >= 2**63 or s.min() < -(2**63)):
         raise OverflowError("an inner product is no 64-bit integer")
     return s.astype(np.int64)
@@ -188,8 +188,9 @@ def search(q: np.ndarray, q_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray,
             fine = s >= least[i]
             best.add(np.full(int(fine.sum()), i), s[fine], ids[found[fine]])
         if whole.size:
-            s = _products(q[whole], p)
-            rows, cols = _choose(s, (ids[None, :] != q_ids[whole, None]) & (s >= least[whole, None]), k)
+            valid = ids[None, :] != q_ids[whole, None]
+            s = _products(q[whole], p, valid)
+            rows, cols = _choose(s, valid & (s >= least[whole, None]), k)
             best.add(whole[rows], s[rows, cols], ids[cols])
     return best, done
 

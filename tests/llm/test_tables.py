@@ -83,7 +83,7 @@ def found(df, every=50):
 def test_topk_odd_vectors(spark):
     """Huge components, two dimensions, ties, fewer candidates than k, negative scores."""
     schema = "vec_id bigint, embedding array<double>"
-    rows = [(0, [1e9] * 8), (1, [0.1] * 8), (2, [-1e9] * 8), (50, [1e5, -1e5] * 4), (3, [1.0, 2.0]), (100, [-1.0, 0.5]), (4, [0.0, 0.0]), (150, [1e15, 1.0, 0.0]), (7, [3.0, -5.0, 1.0])]
+    rows = [(0, [1e9] * 8), (1, [0.1] * 8), (2, [-1e9] * 8), (50, [1e5, -1e5] * 4), (3, [1.0, 2.0]), (100, [-1.0, 0.5]), (4, [0.0, 0.0]), (150, [1e15, 1.0, 0.0]), (7, [0.1, -5.0, 1.0])]
     rows = [r for r in rows if r[0] not in (0, 2)] + [(0, [1e6] * 8), (2, [-1e6] * 8)]
     assert found(spark.createDataFrame(rows, schema)) == brute_topk(rows)
     huge = [(0, [1e18, 0.0]), (1, [0.0, 3.0]), (2, [0.01, 1.0]), (3, [-0.01, 1.0])]  # components beyond a long, products within
