@@ -1,4 +1,4 @@
-"""Parts of Arrow batches that bound what a task holds as Python objects."""
+"""Parts of Arrow batches that bound what a task holds, and Arrow arrays of runs of bytes."""
 
 from __future__ import annotations
 
@@ -22,6 +22,30 @@ def parts(batch: pa.RecordBatch, text_at: int, most_bytes: int, most_rows: int =
         at = end
 
 
+def byte_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of bytes as an Arrow array, without a copy."""
+    ends = np.zeros(sizes.size + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), sizes.size, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def raw_bytes(rows: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow array of binaries without nulls, and each row's size."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    if not len(rows):
+        return np.zeros(0, "u1"), np.zeros(0, np.int64)
+    ends = np.frombuffer(rows.buffers()[1], np.int32, rows.offset + len(rows) + 1)[rows.offset:].astype(np.int64)
+    data = np.frombuffer(rows.buffers()[2], "u1") if rows.buffers()[2] is not None else np.zeros(0, "u1")
+    return data[ends[0]:ends[-1]], np.diff(ends)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the given runs, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(start - (ends - size), size)
+
+
 @functools.lru_cache(maxsize=1)
 def _libc():
     try:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .batches import parts, released
+from .batches import byte_rows, parts, raw_bytes, released, runs
 from .merges import Merger
 from .scratch import drop_stored, put_file, shared_dir, stored
 
@@ -60,28 +60,6 @@ def splits_at_white_space(path: str) -> bool:
     return '"behavior": "Removed"' in pre and r"[^\\s" in pre and '"add_prefix_space": true' not in pre
 
 
-def byte_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Consecutive runs of bytes as an Arrow array, without a copy."""
-    ends = np.zeros(sizes.size + 1, np.int32)
-    np.cumsum(sizes, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), sizes.size, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def raw_bytes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of an Arrow array of binaries without nulls, and each row's size."""
-    if not len(rows):
-        return np.zeros(0, "u1"), np.zeros(0, np.int64)
-    ends = np.frombuffer(rows.buffers()[1], np.int32, rows.offset + len(rows) + 1)[rows.offset:].astype(np.int64)
-    data = np.frombuffer(rows.buffers()[2], "u1") if rows.buffers()[2] is not None else np.zeros(0, "u1")
-    return data[ends[0]:ends[-1]], np.diff(ends)
-
-
-def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of the given runs, one after another."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if ends.size else 0) + np.repeat(start - (ends - size), size)
-
-
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts (binaries) and how many each text has."""
     data, size = raw_bytes(texts)

@@ -1,7 +1,8 @@
 """Questions about hashes, sent in packed form.
 
 A chunk of documents sends its distinct hashes, sorted and cut into groups by ranges of their value;
-each group answers with one bit or number for each, in the order in which they came.
+each group answers with a number for each, in the order in which they came.  Only groups that get
+something get a message, so there are never more messages than hashes.
 """
 
 from __future__ import annotations
@@ -9,16 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-
-def packed(values: np.ndarray, n_groups: int, chunk: int, **more: np.ndarray) -> pa.Table:
-    """Rows ``group, chunk, ...`` with sorted values cut into groups of equal ranges of their hash."""
-    group = group_of(values, n_groups)
-    cuts = np.searchsorted(group, np.arange(n_groups + 1))
-    own = [g for g in range(n_groups) if cuts[g] < cuts[g + 1]]
-    cols = {"group": pa.array(own, pa.int32()), "chunk": pa.array([chunk] * len(own), pa.int32())}
-    for name, x in {"values": values, **more}.items():
-        cols[name] = pa.array([x[cuts[g]:cuts[g + 1]].tobytes() for g in own], pa.binary())
-    return pa.table(cols)
+from .batches import byte_rows, raw_bytes
 
 
 def group_of(values: np.ndarray, n_groups: int) -> np.ndarray:
@@ -26,33 +18,33 @@ def group_of(values: np.ndarray, n_groups: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
 
 
-def bits(table: pa.Table, sizes: np.ndarray, flags: np.ndarray) -> pa.Table:
-    cuts = np.cumsum(np.concatenate(([0], sizes)))
-    out = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "bits": pa.array(out, pa.binary())})
+def packed(values: np.ndarray, n_groups: int, chunk: int, **more: np.ndarray) -> pa.Table:
+    """Rows ``group, chunk, values, ...``: sorted values, and arrays that go with them, cut by group."""
+    group = group_of(values, n_groups)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if group.size else group
+    size = np.diff(np.append(first, group.size))
+    cols = {"group": pa.array(group[first], pa.int32()), "chunk": pa.array(np.full(first.size, chunk), pa.int32())}
+    for name, x in {"values": values, **more}.items():
+        each = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+        cols[name] = byte_rows(np.ascontiguousarray(x).view("u1").ravel(), each * size)
+    return pa.table(cols)
 
 
-def answers(values: np.ndarray, n_groups: int, replies: pa.Table) -> np.ndarray:
-    """One flag per sent value."""
-    flags = np.zeros(values.size, bool)
-    cuts = np.searchsorted(group_of(values, n_groups), np.arange(n_groups + 1))
-    for g, own in zip(replies.column("group").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        a, b = cuts[g], cuts[g + 1]
-        flags[a:b] = np.unpackbits(np.frombuffer(own, "u1"), count=b - a).astype(bool)
-    return flags
+def received(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a group, and how many each message has."""
+    data, size = raw_bytes(table.column(name))
+    return data.view(kind), size // np.dtype(kind).itemsize
 
 
-def numbers(table: pa.Table, sizes: np.ndarray, values: np.ndarray) -> pa.Table:
-    """Like :func:`bits`, with a 16-bit number for each value."""
-    cuts = np.cumsum(np.concatenate(([0], sizes)))
-    values = np.minimum(values, 0xFFFF).astype("<u2")
-    out = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "bits": pa.array(out, pa.binary())})
+def reply(table: pa.Table, sizes: np.ndarray, numbers: np.ndarray) -> pa.Table:
+    """A number for each value, for the chunks that sent them."""
+    return pa.table({"chunk": table.column("chunk"), "group": table.column("group"), "numbers": byte_rows(numbers.view("u1"), numbers.itemsize * sizes)})
 
 
-def replied_numbers(values: np.ndarray, n_groups: int, replies: pa.Table) -> np.ndarray:
-    out = np.zeros(values.size, "<u2")
-    cuts = np.searchsorted(group_of(values, n_groups), np.arange(n_groups + 1))
-    for g, own in zip(replies.column("group").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        out[cuts[g]:cuts[g + 1]] = np.frombuffer(own, "<u2")
-    return out
+def replied(replies: pa.Table, kind: str, n: int) -> np.ndarray:
+    """The numbers for the ``n`` values that a chunk has sent."""
+    own = replies.take(pa.array(np.argsort(replies.column("group").to_numpy(), kind="stable")))
+    numbers = raw_bytes(own.column("numbers"))[0].view(kind)
+    if numbers.size != n:
+        raise ValueError(f"{numbers.size} answers to {n} questions")
+    return numbers

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from . import wordhash as wh
-from .batches import parts, released
+from .batches import byte_rows, parts, released
 from .bpe import utf8
-from .scratch import stored
+from .scratch import drop_stored, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -130,11 +130,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n_bands: int = BANDS, ro
             e, n, whole = shingles(batch.column(1).to_pylist())
             b = bands(signatures(e, n, n_bands * rows), n_bands, rows).view(np.int64)
             sums = np.add.reduceat(np.append(e, _U(0)), np.minimum(np.cumsum(n) - n, e.size)) if n.size else e
-            copy = [(int(w).to_bytes(8, "little") + int(s).to_bytes(8, "little") + int(c).to_bytes(8, "little")) if c else None for w, s, c in zip(whole, sums, n, strict=True)]
-            lists = [r.tolist() if c else [] for r, c in zip(b, n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(copy, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "elements", "copy", "bands"]
-            )
+            has = n > 0
+            copy = np.stack((whole, sums, n.astype(_U)), axis=1).astype("<u8")[has]
+            copies = byte_rows(copy.view("u1").ravel(), np.full(len(copy), 24)).take(pa.array(np.cumsum(has) - 1, mask=~has))
+            ends = np.concatenate(([0], np.cumsum(np.where(has, n_bands, 0)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(b[has].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), copies, lists], ["id", "elements", "copy", "bands"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(text_col).alias("text")).mapInArrow(
         lambda b: released(run(b)), "id bigint, elements bigint, copy binary, bands array<bigint>"
@@ -147,19 +148,24 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (a.size + b.size - both)
 
 
-def verified(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` of a similarity of at least ``least``.  ``elements``: ``id, e binary``."""
-    left = elements.select(F.col("id").alias("b"), F.col("e").alias("e_b"))
-    right = elements.select(F.col("id").alias("a"), F.col("e").alias("e_a"))
-    # the side with hot keys (a) is joined last, when its rows have their full size and Spark can split them by it
-    full = pairs.join(left, "b").join(right, "a").select("a", "b", "e_a", "e_b")
+def similar(full: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of ``a, b, e_a, e_b`` with a similarity of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return full.mapInArrow(run, "a bigint, b bigint")
+    return full.select("a", "b", "e_a", "e_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, elements: DataFrame, least: float, firsts: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a, b`` of a similarity of at least ``least``.  ``elements``: ``id, e binary``; ``firsts``: those
+    that can be ``a``."""
+    left = elements.select(F.col("id").alias("b"), F.col("e").alias("e_b"))
+    right = (elements if firsts is None else firsts).select(F.col("id").alias("a"), F.col("e").alias("e_a"))
+    # the side with hot keys (a) is joined last, when its rows have their full size and Spark can split them by it
+    return similar(pairs.hint("merge").join(left, "b").hint("merge").join(right, "a"), least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,23 +178,28 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         la, lb = (labels.select(F.col("id").alias(x), F.col("root").alias(f"r_{x}")) for x in "ab")
         between = stored(
-            edges.join(lb, "b").join(la, "a").where("r_a <> r_b")
+            edges.hint("merge").join(lb, "b").hint("merge").join(la, "a").where("r_a <> r_b")
             .select(F.greatest("r_a", "r_b").alias("a"), F.least("r_a", "r_b").alias("b")).distinct(),
             "components-between",
         )
+        drop_stored(edges)
         hooks = between.groupBy("a").agg(F.min("b").alias("to"))
         if hooks.isEmpty():
+            drop_stored(between)
             return labels
         hooks = stored(hooks, "components-hooks")
         while True:  # pointer jumping
             nxt = hooks.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            jumped = stored(hooks.join(nxt, "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "components-hooks")
-            hooks = jumped.select("a", "to")
+            step = hooks.hint("merge").join(nxt, "to", "left").select("a", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+            jumped = stored(step, "components-hooks")
+            drop_stored(hooks)
+            hooks = jumped
             if jumped.where("moved").isEmpty():
                 break
         roots = hooks.select(F.col("a").alias("root"), F.col("to").alias("new"))
-        labels = stored(labels.join(roots, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "components-labels")
-        edges = between
+        further = stored(labels.hint("merge").join(roots, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "components-labels")
+        drop_stored(labels, hooks)
+        labels, edges = further, between
 
 
 def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
@@ -201,7 +212,6 @@ def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
     what follows there can still reach the overlap.  Elements that no other set has cannot be
     shared, so sets with too few others are left out.
     """
-    sets = stored(sets.select("id", "root", "e"), "near-sets")
     size = sets.agg(F.coalesce(F.sum(F.octet_length("e")), F.lit(0))).first()[0]
     n = int(max(1, -(-size // PREFIX_BYTES), 2 * sets.sparkSession.sparkContext.defaultParallelism))
     chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "chunk")
@@ -215,15 +225,15 @@ def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
         _, values, _, count = elements_of(table)
         return exchange.packed(values, n, key[0].as_py(), n_own=count.astype("<u4"))
 
-    def reply(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<u8") for x in table.column("values").to_pylist()]
-        own = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("n_own").to_pylist()])
-        _, at = np.unique(np.concatenate(parts), return_inverse=True)
-        return exchange.numbers(table, np.asarray([p.size for p in parts]), np.bincount(at, own)[at])
+    def counted(table: pa.Table) -> pa.Table:
+        values, sizes = exchange.received(table, "values", "<u8")
+        own, _ = exchange.received(table, "n_own", "<u4")
+        _, at = np.unique(values, return_inverse=True)
+        return exchange.reply(table, sizes, np.minimum(np.bincount(at, own)[at], 0xFFFF).astype("<u2"))
 
     def rare(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         own, values, at, _ = elements_of(table)
-        often = exchange.replied_numbers(values, n, replies)[at]
+        often = exchange.replied(replies, "<u2", values.size)[at]
         ends = np.cumsum([x.size for x in own])
         keep, places, hashes = [], [], []
         for i, (x, end) in enumerate(zip(own, ends.tolist(), strict=True)):
@@ -242,7 +252,7 @@ def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
         })
 
     sent = chunked.groupBy("chunk").applyInArrow(send, "group int, chunk int, values binary, n_own binary")
-    replies = sent.groupBy("group").applyInArrow(reply, "chunk int, group int, bits binary")
+    replies = sent.groupBy("group").applyInArrow(counted, "chunk int, group int, numbers binary")
     made = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(rare, "id bigint, root bigint, n bigint, places array<int>, hashes array<bigint>")
     made = stored(made, "near-prefixes")
     rows = made.select("id", "root", "n", "hashes", F.explode(F.arrays_zip("places", "hashes")).alias("p")).select("id", "root", "n", "hashes", F.col("p.places").alias("p"), F.col("p.hashes").alias("h"))
@@ -273,54 +283,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = stored(sketch(docs, id_col, text_col, n_bands, rows), "near-sketch")
     distinct = rows_of.where("copy is not null and id is not null").groupBy("copy").agg(F.min(F.struct("id", "elements", "bands")).alias("r"))
     # one row for each different sequence of words
-    texts = stored(distinct.select("copy", F.col("r.id").alias("id"), F.col("r.elements").alias("elements"), F.col("r.bands").alias("bands")), "near-texts")
-    keys = texts.select("id", "elements", F.explode("bands").alias("band"))
+    texts = stored(distinct.select("copy", F.col("r.id").alias("id"), F.col("r.bands").alias("bands")), "near-texts")
+    # all joins of tables that grow with the input are merges whatever the sizes: the plan is the same for small
+    # and large inputs, and Spark can split hot keys, as both sides are written tables
+    keys = texts.select("id", F.explode("bands").alias("band"))
     buckets = stored(keys.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot"), "near-buckets")
-    members = stored(keys.join(buckets, "band").select("band", "pivot", "id", "elements"), "near-members")
+    members = stored(keys.hint("merge").join(buckets, "band").select("band", "pivot", "id"), "near-members")
+    drop_stored(buckets)
 
-    # the elements of all texts that share a bucket with another
-    asked = members.select("id").distinct()
+    # each text and the pivot with which it shares most buckets; a pivot is always smaller, so these pairs are a forest
+    stars = stored(members.where("id <> pivot").groupBy("pivot", "id").agg(F.count("*").alias("shared")), "near-stars")
+    best = stars.groupBy("id").agg(F.max(F.struct("shared", -F.col("pivot"))).alias("m")).select("id", (-F.col("m.col2")).alias("a"))
+    pivots = members.select(F.col("pivot").alias("id")).distinct().withColumn("is_pivot", F.lit(True))
+    asked = best.hint("merge").join(pivots, "id", "full").select("id", "a", F.coalesce("is_pivot", F.lit(False)).alias("is_pivot"))
     again = docs.select(F.col(id_col).cast("bigint").alias("id"), utf8(text_col).alias("text"))
 
     def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b, 1, BLOCK)):
             e, n, _ = shingles(batch.column(1).to_pylist())
-            ends = np.cumsum(n)
-            cut = [e[b - c:b].astype("<u8").tobytes() for b, c in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["id", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_rows(e.astype("<u8").view("u1"), 8 * n), batch.column(2), batch.column(3)], ["id", "e", "a", "is_pivot"])
 
-    # merged whatever the sizes: the plan is the same for small and large inputs
-    once = again.hint("merge").join(asked, "id").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    held = once.select("id", "text").mapInArrow(lambda b: released(elements_of(b)), "id bigint, e binary")
+    # the elements of all texts that share a bucket with another
+    once = again.hint("merge").join(asked, "id").groupBy("id", F.xxhash64("text"), "a", "is_pivot").agg(F.first("text").alias("text"))
+    held = once.select("id", "text", "a", "is_pivot").mapInArrow(lambda b: released(elements_of(b)), "id bigint, e binary, a bigint, is_pivot boolean")
     elements = stored(held, "near-elements")
-
-    # each text and the pivot with which it shares most buckets; a pivot is always smaller, so these pairs are a forest
-    stars = stored(members.where("id <> pivot").groupBy("pivot", "id").agg(F.count("*").alias("shared"), F.max("elements").alias("n")), "near-stars")
-    best = stars.groupBy("id").agg(F.max(F.struct("shared", -F.col("pivot"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("id").alias("b"))
-    first = stored(verified(stored(best, "near-pairs"), elements, least), "near-edges")
+    centres = elements.where("is_pivot")
+    own = elements.where("a is not null").select("a", F.col("id").alias("b"), F.col("e").alias("e_b"))
+    first = stored(similar(own.hint("merge").join(centres.select(F.col("id").alias("a"), F.col("e").alias("e_a")), "a"), least), "near-edges")
     roots = components(first)
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         ra, rb = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r_{x}")) for x in "ab")
-        joined = pairs.join(rb, "b", "left").join(ra, "a", "left")
+        joined = pairs.hint("merge").join(rb, "b", "left").hint("merge").join(ra, "a", "left")
         return joined.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
-    other = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    second = stored(verified(stored(apart(other, roots).join(best, ["a", "b"], "left_anti"), "near-pairs"), elements, least), "near-edges")
+    done = elements.where("a is not null").select("a", F.col("id").alias("b"))
+    other = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).hint("merge").join(done, ["a", "b"], "left_anti")
+    pairs = stored(apart(other, roots), "near-pairs")
+    second = verified(pairs, elements, least, centres)
     edges = stored(first.union(second), "near-edges")
+    drop_stored(first, pairs, roots, stars)
     roots = components(edges)
 
     # what is left: members of one bucket in different groups
-    own = members.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_ = stored(own.join(stored(mixed, "near-mixed"), "band").select("id", "root").distinct(), "near-open")
-    pairs = sharing_rare(elements.join(open_, "id"), least)
-    third = stored(verified(stored(pairs, "near-pairs"), elements, least), "near-edges")
+    mine = members.hint("merge").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = stored(mine.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "near-mixed")
+    open_ = stored(mine.hint("merge").join(mixed, "band").select("id", "root").distinct(), "near-open")
+    sets = stored(elements.select("id", "e").hint("merge").join(open_, "id").select("id", "root", "e"), "near-sets")
+    drop_stored(elements, members, mixed, open_)
+    third = stored(verified(stored(sharing_rare(sets, least), "near-pairs"), sets, least), "near-edges")
+    drop_stored(sets)
     if not third.isEmpty():
-        roots = components(edges.union(third))
+        old, roots = roots, components(edges.union(third))
+        drop_stored(old)
 
-    named = stored(texts.join(roots, "id", "left").select("copy", F.col("id").alias("representative"), F.coalesce("root", "id").alias("class_id")), "near-classes")
-    out = rows_of.join(named, "copy", "left").select(
+    named = texts.select("copy", "id").hint("merge").join(roots, "id", "left").select("copy", F.col("id").alias("representative"), F.coalesce("root", "id").alias("class_id"))
+    named = stored(named, "near-classes")
+    drop_stored(texts, roots, edges, third)
+    return rows_of.select("id", "elements", "copy").hint("merge").join(named, "copy", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("representative", "id").alias("representative"), F.col("elements").alias("n_shingles")
     )
-    return out

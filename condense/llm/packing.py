@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import parts, released
-from .bpe import BLOCK_BYTES, BLOCK_TEXTS, byte_rows, encoder, runs, splits_at_white_space, utf8
+from .batches import byte_rows, parts, released, runs
+from .bpe import BLOCK_BYTES, BLOCK_TEXTS, encoder, splits_at_white_space, utf8
 
 CAPACITY = 2048
 END = 1

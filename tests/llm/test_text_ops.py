@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from condense.llm import bpe, langid, lines, media, minhash, packing, quality, substrings
+from condense.llm import bpe, exchange, langid, lines, media, minhash, packing, quality, substrings
 from condense.llm import queries as q
 
 ODD = [None, "", " ", "\n\n", "a", "naïve café\tΩ 漢字 \U0001f600", "x" * 5000, "<|endoftext|> don't", "é A B c", "\x00\x01"]
@@ -127,6 +128,42 @@ def test_substrings(spark):
     assert substrings.remove_repeats(spark.createDataFrame([(None, "a b"), (1, None)], "doc_id bigint, text string")).count() == 2
 
 
+def test_hot_prefixes_are_lengthened(spark):
+    """The same rows for any number of leaves that a prefix may have, also where all are too many."""
+    rng = random.Random(12)
+    head = " ".join(f"h{i}" for i in range(12))
+    texts = [f"{head} {' '.join(rng.choice('xyz') for _ in range(12))} t{i % 7}" for i in range(200)]
+    texts += [f"{rng.choice('pq')} {head} a b c d e f g h {rng.choice('rs')} u v" for _ in range(60)] + ["same " * 90] * 2
+    docs = frame(spark, texts)
+    want = brute_repeats(dict(enumerate(texts)))
+    for most in (0, 5, 50, 1 << 20):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in substrings.remove_repeats(docs, leaves=most).collect()}
+        assert got == want
+    table = pa.table({"in0": list(range(len(texts))), "in1": [t.encode() for t in texts], "order": [0] * len(texts)})
+    chunk = substrings._Chunk(table, "in0", "in1", "order", 20)
+    assert chunk.leaves.max() > 50  # a hot prefix indeed
+    assert exchange.packed(chunk.prefixes, 1 << 20, 0).num_rows <= chunk.prefixes.size  # never more messages than prefixes
+
+
+def test_subtrees_against_brute_force():
+    rng = np.random.default_rng(13)
+    n, length = 400, 8
+    prefix = rng.integers(0, 4, n).astype(np.uint64)
+    words = rng.integers(1, 3, (n, length)).astype(np.uint64)
+    mask = rng.integers(0, 32, n).astype(np.uint64)
+    ids, order, place = rng.integers(0, 40, n), rng.integers(0, 3, n), rng.permutation(n).astype(np.uint32)
+    got = substrings.later_leaves(prefix, mask, ids, order, place, words, length)
+    for o in range(5):
+        first = {}
+        key = lambda i: (prefix[i], *words[i, :o], "|", *words[i, 4:8 - o])  # noqa: B023, E731
+        for i in sorted(range(n), key=lambda i: (ids[i], order[i], place[i])):
+            if int(mask[i]) >> o & 1:
+                assert (int(got[i]) >> o & 1) == (key(i) in first)
+                first.setdefault(key(i), i)
+            else:
+                assert not int(got[i]) >> o & 1
+
+
 def brute_lines(docs, n=3):
     seen, out = set(), {}
     for i, t in sorted(docs.items()):
