@@ -2,9 +2,10 @@
 
 Of ``RUN`` consecutive line hashes, the hash of every pair (or longer gram) is taken and each
 window of grams keeps its least one as fingerprint, so any run of ``RUN`` equal lines shares one.
-Fingerprints are counted; only positions of repeated ones go on, with the line hashes around them,
-and are extended both ways to the runs of ``RUN`` lines that hold them.  The first place of each
-run stays; at all later ones its lines go.  Overlapping runs add up to repeats of any length.
+Fingerprints are counted and joined with their positions; only those of repeated ones go on, with
+the line hashes around them, and are extended both ways to the (at most two) runs of ``RUN`` lines
+that hold them.  The first place of each run stays; at all later ones its lines go.  So no two
+positions are paired, however many share a fingerprint, and a longer repeat is the union of its runs.
 
 Where ``least_words`` is given, shorter runs (down to one line) that hold so many words count too.
 Every one of them is its own fingerprint, whatever its neighbours.
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import let
-from .scratch import stored
+from .columns import Plain
+from .scratch import drop_stored, stored
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 3
@@ -87,6 +89,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, least_words: int | None = Non
     windows = stored(windows.distinct(), "lines-runs")
     firsts = windows.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("one"), F.count("*").alias("times")).where("times > 1").drop("times")
     firsts = stored(firsts, "lines-firsts")
+    drop_stored(places, counted)
     later = windows.hint("merge").join(firsts, ["a", "b"]).where(F.struct("key", "start") > F.col("one"))
     return later.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
@@ -100,23 +103,25 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n_removed bigint``.  Runs are judged on the input.  A null text stays null and has no lines; an
     empty text is one empty line; documents of fewer than ``run`` lines lose none without ``least_words``; rows that repeat
     id and text are one document and fare alike; texts of one id are ordered by a hash; a
-    null id comes first.  Columns of ``docs`` with the names of the new ones are replaced.
+    null id comes first; an empty table gives no rows.  Columns of ``docs`` with the names of the new
+    ones are replaced; all others, whatever their names, stay.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    words = () if least_words is None else (line_words(F.col(text_col)).alias("words"),)
-    keyed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), line_hashes(F.col(text_col)).alias("hashes"), *words)
-    gone = repeated_runs(keyed, run, least_words).select(F.col("key.id").alias("__id"), F.col("key.text").alias("__text"), F.col("runs").alias("__runs"))
+    plain = Plain(docs)
+    docs, key_id, text = plain.df, plain.at(id_col), plain.at(text_col)
+    key = F.struct(F.col(key_id).alias("id"), F.xxhash64(text).alias("text"))
+    words = () if least_words is None else (line_words(F.col(text)).alias("words"),)
+    keyed = docs.where(F.col(text).isNotNull()).select(key.alias("key"), line_hashes(F.col(text)).alias("hashes"), *words)
+    gone = repeated_runs(keyed, run, least_words).select(F.col("key.id").alias("gone_id"), F.col("key.text").alias("gone_text"), "runs")
     gone = stored(gone, "lines-gone")
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))
-    kept = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, covered), "\n"))
-    return joined.select(
-        *(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(covered), F.lit(0)).cast("bigint").alias("n_removed"),
-    )
+    same = F.col(key_id).eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_text"))
+    joined = docs.withColumn("hash", F.xxhash64(text)).hint("merge").join(gone, same, "left")
+    lines = F.split(F.col(text), "\n", -1)
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))
+    kept = F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(_without(lines, covered), "\n"))
+    return plain.restored(joined, {text: kept}, {
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+        "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("bigint"),
+    })
 
 
 def _without(lines: Column, covered: Column) -> Column:

@@ -3,8 +3,10 @@
 A payload is stored as an 8-bit greyscale PNG, 64 samples a line, so that its size and shape stand
 in the first bytes.  :func:`write_shards` is the only step that sees the bytes on their way in;
 what follows works on references: :func:`header_columns` reads a few bytes of each object,
-:func:`payload_columns` whole objects.  An object is addressed by the digest of its stored bytes.
-Each shard holds an object once, however many rows have it; nothing is shuffled for that.
+:func:`payload_columns` whole objects.  An object is addressed by the digest of its stored bytes, and a
+digest has one place, however many rows and tasks have the payload: a task stores what it has not
+stored before, and where several have stored the same, all references go to one of them.  Only
+references are shuffled for that, never payloads.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .batches import released
 from .bpe import utf8
-from .scratch import arrow_fs, shared_dir, stored
+from .scratch import arrow_fs, drop_stored, shared_dir, stored
 
 WIDTH = 64
 HEADER = 72  # bytes that hold the signature, the IHDR chunk and the length chunk
 SHARD_BYTES = 1 << 30
 LEVEL = 6
+#: Objects that a task remembers before it starts anew.
+KNOWN = 200_000
 #: Stored bytes that one task reads back.
 TASK_BYTES = 16 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -121,9 +125,10 @@ class _Shards:
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: str | None = None) -> DataFrame:
     """Store each whole text's bytes (null: none) and return ``id_col, digest, shard, offset,
-    length``.  Repeated texts share an object within a shard; an empty text is one line of
-    zeros; an empty table writes no shard.  The references are written to the shared folder when
-    this is called; shards of attempts that failed have names that no reference holds."""
+    length``.  Equal texts, in rows that repeat or not, have one reference; an empty text is one line
+    of zeros; an empty table writes no shard; other columns, whatever their names, are ignored.  The
+    references are written to the shared folder when this is called; shards of attempts that
+    failed have names that no reference holds."""
     spark = docs.sparkSession
     base = base or shared_dir(spark, "media")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -138,6 +143,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if own not in known:
                     data = to_png(text)
                     digest = hashlib.sha256(data).hexdigest()
+                    if len(known) == KNOWN:
+                        known.clear()
                     known[own] = (digest, *shards.add(digest, data), len(data))
                 refs.append(known[own])
             cols = list(zip(*refs, strict=True)) or [()] * 4
@@ -148,7 +155,13 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shards.close()
 
     refs = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(lambda b: released(run(b)), f"id {kind}, {REF}")
-    return stored(refs, "media-refs").withColumnRenamed("id", id_col)
+    refs = stored(refs, "media-refs")
+    # both sides are read from written tables and merged, so that Spark can split a hot digest
+    place = stored(refs.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("at")), "media-places")
+    one = refs.select("id", "digest", "length").hint("merge").join(place, "digest")
+    one = stored(one.select("id", "digest", F.col("at.shard").alias("shard"), F.col("at.offset").alias("offset"), "length"), "media-refs")
+    drop_stored(refs, place)
+    return one.withColumnRenamed("id", id_col)
 
 
 class _Reader:
@@ -202,13 +215,13 @@ def header_columns(refs: DataFrame) -> DataFrame:
 
 
 def payload_columns(refs: DataFrame) -> DataFrame:
-    """Fill digests and a feature from the whole stored objects."""
+    """Fill the padded payload's size, digests and a feature from the whole stored objects."""
 
     def derive(data: bytes) -> tuple:
         payload = from_png(data)
-        return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), feature(payload)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), hashlib.sha256(data).hexdigest(), feature(payload)
 
-    return _mapped(refs, "payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string", lambda n: n, derive)
+    return _mapped(refs, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string", lambda n: n, derive)
 
 
 def members(data: bytes) -> dict[str, bytes]:

@@ -22,7 +22,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = media.by_object(media.write_shards(table(spark, sf_dir, "documents")))
     full = media.payload_columns(media.header_columns(refs))
     return full.select(
-        "doc_id", "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), "payload_sha256", "tail_crc32",
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.col("length").alias("media_bytes"), "media_sha256", "feature",
     )
 
@@ -66,7 +66,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = sampling.fold("doc_id", 5) == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.join(labels.where(~held_out), "doc_id"))
+    model = quality.train(docs.join(labels.where(~held_out), "doc_id"), docs)
     scored = quality.score(docs, model).withColumnRenamed("quality_score", "score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 

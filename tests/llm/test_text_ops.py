@@ -178,6 +178,31 @@ def brute_lines(docs, n=3):
     return out
 
 
+NAMES = ("in0", "IN1", "hash", "id", "key", "text2", "chunk", "order", "group", "runs", "runs", "n_lines", "n_removed", "kept", "n_words", "lang_pred", "score", "bits", "quality_score", "band", "class_id", "copy", "other", "__hash", "__id", "__text")
+
+
+def test_columns_of_any_name_stay(spark, sf):
+    """Every name that an operator uses inside or for its results, as a column of the caller."""
+    texts = ["one two three\nfour\nfive", "one two three\nfour\nfive", " ".join(f"w{i}" for i in range(40)), None, ""]
+    rows = [(i, t, "en", *(f"{n}-{i}" for n in NAMES)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows).toDF("doc_id", "text", "lang", *NAMES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        got = out.collect()
+        assert got and all(list(r)[3:] == [f"{n}-{r[0]}" for n in NAMES] for r in got), name
+    model = quality.train(docs.select("doc_id", "text", F.lit(1).alias("quality")))
+    for op, new in (
+        (lines.remove_repeated_lines(docs), ["n_lines", "n_removed"]), (substrings.remove_repeats(docs), ["n_words", "n_removed", "kept"]),
+        (langid.predict(docs, langid.train(docs)), ["lang_pred", "score", "bits"]), (quality.score(docs, model), ["quality_score"]),
+    ):
+        assert op.columns == [c for c in docs.columns if c not in new] + new
+        got = op.collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert [v for c, v in zip(op.columns[3:], list(r)[3:], strict=True) if c not in new] == [f"{n}-{r[0]}" for n in NAMES if n not in new]
+
+
 def test_lines(spark):
     rng = random.Random(3)
     texts = ODD + ["\n".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(80)] + ["one\ntwo\nthree"] * 3
@@ -374,19 +399,59 @@ def test_language_ties_and_repeats(spark):
 def test_quality(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.train(docs.join(labels.where("doc_id % 5 <> 0"), "doc_id"))
+    model = quality.train(docs.join(labels.where("doc_id % 5 <> 0"), "doc_id"), docs)
     rows = quality.score(docs, model).join(labels.where("doc_id % 5 = 0"), "doc_id").collect()
     good, bad = ([r.quality_score for r in rows if r.quality == k] for k in (1, 0))
     assert np.mean([a > b for a in good for b in bad]) > 0.8
-    odd = quality.score(frame(spark, ODD, quality_score="clash"), model).collect()
-    assert len(odd) == len(ODD) and all(0 <= r.quality_score <= 1 for r in odd)
+    odd = quality.score(frame(spark, ODD * 2, quality_score="clash", in0="own"), model).collect()
+    assert len(odd) == 2 * len(ODD) and all(0 <= r.quality_score <= 1 and r.in0 == "own" for r in odd)
+    by_text = {}
+    for r in odd:
+        assert by_text.setdefault(r.text, r.quality_score) == r.quality_score
     none = quality.train(docs.limit(0).withColumn("quality", F.lit(1)))
     assert {r.quality_score for r in quality.score(docs.limit(2), none).collect()} == {0.5}
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def plain_vote(vector, model):
+    """Votes of the nearest labelled vectors, one by one; equally near ones by their place."""
+    near = sorted((-sum(int(a) * int(b) for a, b in zip(vector, own, strict=True)), i) for i, own in enumerate(model["vectors"]))[:quality.NEIGHBOURS]
+    weight = [max(0, -p / quality.GRID**2) ** quality.SHARPNESS * model["weight"][i] + 1e-12 for p, i in near]
+    return sum(w * model["labels"][i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight)
+
+
+def test_quality_votes_against_brute_force(spark):
+    """The nearest neighbours of each text by plain Python, with ties among equal labelled texts."""
+    rng = random.Random(14)
+    some = lambda w, n: " ".join(rng.choice(w) for _ in range(n)) + "."
+    good, bad = ["the", "river", "runs", "Slowly", "east,"], ["buy", "$$$", "NOW", "!!!", "click"]
+    rows = [(i, some(good if i % 2 else bad, rng.randrange(3, 40)), i % 2) for i in range(120)]
+    rows += [(200 + i, "a tie of equal texts", i % 2) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.train(labelled)
+    texts = [some(good + bad, rng.randrange(1, 30)) for _ in range(40)] + ["", "a tie of equal texts"]
+    want = [plain_vote(v, model) for v in quality.latent(texts, model)]
+    assert np.allclose(quality.vote(texts, model), want, rtol=0, atol=1e-9)
+    assert quality.vote(texts[-1:] * 3, model).tolist() == [quality.vote(texts, model)[-1]] * 3
+    assert 0.3 < quality.vote(["the river runs NOW"], model)[0] and quality.vote([some(bad, 30)], model)[0] < 0.5 < quality.vote([some(good, 30)], model)[0]
+    count = quality.frequencies(labelled)
+    alone = (quality.terms([t for _, t, _ in rows], model["table"]) > 0).sum(axis=0)
+    assert count[-1] == len(rows) and count[:-1].tolist() == alone.tolist()
+
+
+def test_words_are_quality_terms(spark):
+    """Texts of one shape that differ in their words only are told apart."""
+    rng = random.Random(15)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)] for _ in range(2)]
+    some = lambda k: " ".join(rng.choice(words[k]) for _ in range(60))
+    model = quality.train(spark.createDataFrame([(i, some(i % 2), i % 2) for i in range(200)], "doc_id bigint, text string, quality int"))
+    got = quality.vote([some(i % 2) for i in range(60)], model)
+    assert all((x > 0.5) == bool(i % 2) for i, x in enumerate(got))
 
 
 def test_media(spark, tmp_path):
-    texts = ODD + ["y" * 64, "z" * 65, "twice", "twice"]
-    refs = media.write_shards(frame(spark, texts).coalesce(2), base=f"file://{tmp_path}/m")
+    texts = ODD + ["y" * 64, "z" * 65, *["twice"] * 9]
+    refs = media.write_shards(frame(spark, texts, digest="clash", shard="clash").repartition(4), base=f"file://{tmp_path}/m")
     rows = media.payload_columns(media.header_columns(media.by_object(refs))).collect()
     members = {k: v for p in (tmp_path / "m").iterdir() for k, v in media.members(p.read_bytes()).items()}
     assert len(rows) == len(texts)
@@ -397,6 +462,8 @@ def test_media(spark, tmp_path):
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         stored = members[f"{r.digest}.png"]
         assert hashlib.sha256(stored).hexdigest() == r.media_sha256 == r.digest and media.from_png(stored) == full
-    a, b = (r for r in rows if texts[r.doc_id] == "twice")
-    assert (a.digest, a.feature) == (b.digest, b.feature)
+    assert all(r.payload_bytes == r.width * r.height for r in rows)
+    places = {}
+    for r in rows:  # a digest has one place, whichever task has stored it
+        assert places.setdefault(r.digest, (r.shard, r.offset, r.feature)) == (r.shard, r.offset, r.feature)
     assert media.payload_columns(media.header_columns(media.by_object(media.write_shards(frame(spark, texts).limit(0))))).count() == 0
