@@ -23,6 +23,8 @@ from .scratch import arrow_fs, shared_dir, stored
 
 #: Payloads below this many bytes are always stored.
 SMALLEST = 1000
+#: Bytes from which an archive is closed and the next begun.
+ARCHIVE_BYTES = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 _END = b"\r\n"
@@ -94,8 +96,9 @@ def originals(headers: DataFrame, smallest: int = SMALLEST) -> DataFrame:
 
 
 def write(pages: DataFrame, base: str | None = None, smallest: int = SMALLEST, id_col: str = "page_id", url_col: str = "url",
-          html_col: str = "html") -> DataFrame:
-    """Write a record per row of ``pages`` and return the archives: ``file, records``.
+          html_col: str = "html", most_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record per row of ``pages`` and return the archives: ``file, records``, each closed at
+    about ``most_bytes``.  Line breaks of a url become spaces; other columns are ignored.
 
     A null html is an empty payload.  Equal payloads of at least ``smallest`` bytes: the row with
     the largest page id is the response, all others revisit it.  Rows that repeat that page id
@@ -118,8 +121,16 @@ def write(pages: DataFrame, base: str | None = None, smallest: int = SMALLEST, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = None, 0
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "records": pa.array([n], pa.int64())})
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is not None and out.tell() >= most_bytes:
+                    yield closed()
+                    out, n = None, 0
                 if out is None:
                     fs, root = arrow_fs(base)
                     fs.create_dir(root, recursive=True)
@@ -128,8 +139,7 @@ def write(pages: DataFrame, base: str | None = None, smallest: int = SMALLEST, i
                 out.write(gzip.compress(record(*row), 3, mtime=0))
                 n += 1
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [f"{base}/{name}"], "records": pa.array([n], pa.int64())})
+            yield closed()
 
     return stored(joined.mapInArrow(run, "file string, records bigint"), "warc-files")
 

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from condense.llm import bpe, langid, lines, topk, warc
 from condense.llm import queries as q
-from condense.llm import topk, warc
+
+from brute import brute_repeats, brute_rich_lines, check_packed, groups, longest_parse
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
@@ -42,6 +44,21 @@ def test_warc(spark):
         assert (out[i].record_type, out[i].refers_to) == (("response", None) if kept == i else ("revisit", kept))
 
 
+def test_warc_odd_rows(spark):
+    """No page id, repeated ids and rows, an empty table, urls with line breaks, archives that roll over."""
+    long = "<p>" + "z" * 1500
+    rows = [(None, "http://h/0", long), (1, "http://h\r\nX: y/1", long), (1, "http://h/1b", long), (2, None, long), (2, None, long), (3, "", None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("file", F.lit("clash")).repartition(2)
+    files = warc.write(pages, most_bytes=200)
+    assert files.count() >= 4 and files.agg(F.sum("records")).first()[0] == len(rows)
+    out = warc.read(files).collect()
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or -1) for r in out)
+    n = len(long)
+    assert got == sorted([(-1, n, "revisit", 2), (1, n, "revisit", 2), (1, n, "revisit", 2), (2, n, "response", -1), (2, n, "response", -1), (3, 0, "response", -1), (-1, 0, "response", -1)])
+    assert {r.url for r in out if r.page_id == 1} == {"http://h X: y/1", "http://h/1b"}
+    assert warc.read(warc.write(pages.limit(0))).count() == 0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [v.tolist() for v in rng.normal(size=(300, 16)) * rng.choice([0.1, 1, 30], (300, 1))] + [[0.0] * 16] * 3 + [[0.5] * 16] * 4
@@ -132,6 +149,52 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_duplicates", "substring_dedup", "packing"]
 
 
+def test_pipeline_against_brute_force(spark, sf, tmp_path):
+    """All five stages by :func:`corpus_pipeline.run` over a small table, each against plain Python on what
+    the one before it has kept."""
+    rng = random.Random(16)
+    words = {l: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(80)] for l, a in (("x", "abcdef"), ("y", "cdefghé"))}
+    some = lambda l, n: " ".join(rng.choice(words[l]) for _ in range(n))
+    passage = some("x", 30)
+    texts = [(some(l, rng.randrange(20, 90)), l) for l in "xyxyxy" * 6]
+    texts += [("\n".join([some("x", 9), passage, rng.choice(["short", "line two"]), some("x", 9)]), None) for _ in range(6)]
+    texts += [(f"{some('y', 12)} {passage} {some('y', 5)}", None) for _ in range(4)] + [(texts[0][0] + " zz", "x"), (texts[3][0], "y"), (texts[3][0], None)]
+    texts += [(None, "x"), ("", None), ("123 !!", None), ("漢字" * 40, None), ("\n\n", None)]
+    rows = [(i, t, l, "s", len(t or "")) for i, (t, l) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {i: t for i, t, *_ in rows}
+
+    model = langid.train(docs)
+    own = langid.sampled_texts(docs.where("text is not null and lang is not null"), lambda n: langid.SAMPLE_SYMBOLS)
+    sample = {l: langid.symbols(t, model["symbols"])[0].tobytes().decode("latin-1") for l, t in own.items()}
+    for i, t in list(kept.items()):
+        flat = langid.symbols([t or ""], model["symbols"])[0].tobytes().decode("latin-1")
+        bits = min(longest_parse(flat, sample[l]) * b / max(1, len(flat)) for l, b in zip(model["langs"], model["bits"], strict=True))
+        if not any(c.isalpha() for c in t or "") or bits > corpus_pipeline.MOST_BITS:
+            del kept[i]
+    assert kept and len(kept) < len(rows)
+    after = [dict(kept)]
+    kept = {i: t for i, (n, gone, t) in brute_rich_lines(kept, lines.LEAST_WORDS).items() if gone == 0 or gone < n}
+    after.append(dict(kept))
+    ids = sorted(kept)
+    kept = {i: kept[i] for i, first in zip(ids, groups([kept[i] for i in ids]), strict=True) if ids[first] == i}
+    after.append(dict(kept))
+    cut = brute_repeats(kept)
+    kept = {i: t if not cut[i][1] else cut[i][2].decode() for i, t in kept.items() if not cut[i][1] or cut[i][1] < cut[i][0]}
+    after.append(dict(kept))
+    assert all(a != b for a, b in zip(after, after[1:], strict=False))  # each stage has had something to do
+
+    d = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, after, strict=False):
+        d = stage(spark, d, sf)
+        got = d.collect()
+        assert {r.doc_id: r.text for r in got} == want, name
+        assert all(r.n_chars == len(r.text) for r in got), name
+    tokenizer = bpe.tokenizer(q.word_bpe())
+    check_packed(corpus_pipeline.run(spark, str(tmp_path)).collect(), {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in kept.items()})
+
+
 def test_empty_corpus(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

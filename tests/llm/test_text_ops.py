@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
@@ -14,6 +13,8 @@ import corpus_pipeline
 from condense.llm import bpe, exchange, langid, lines, media, minhash, packing, quality, substrings
 from condense.llm import queries as q
 
+from brute import brute_lines, brute_repeats, brute_rich_lines, check_packed, groups, longest_parse, multiset
+
 ODD = [None, "", " ", "\n\n", "a", "naïve café\tΩ 漢字 \U0001f600", "x" * 5000, "<|endoftext|> don't", "é A B c", "\x00\x01"]
 
 
@@ -39,25 +40,6 @@ def test_bpe_equals_library(spark, tokenizer):
     assert bpe.encode_decode(frame(spark, texts).limit(0), q.word_bpe()).count() == 0
 
 
-def check_packed(rows, ids_of):
-    """Every id in exactly one piece, in order; gapless sequences without padding.  Returns pieces."""
-    pieces, bins = {}, {}
-    for r in rows:
-        pieces.setdefault(r.doc_id, []).append(r)
-        bins.setdefault(r.sequence_id, []).append(r)
-    assert set(pieces) == set(ids_of)
-    for i, ids in ids_of.items():
-        own = sorted(pieces[i], key=lambda r: r.start)
-        assert [x for r in own for x in np.frombuffer(r.ids, "<u4").tolist()] == ids
-        assert all(r.doc_tokens == len(ids) and r.length * 4 == len(r.ids) for r in own) and [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist()
-    for own in bins.values():
-        own = sorted(own, key=lambda r: r.offset)
-        total = sum(r.length for r in own)
-        assert [r.offset for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and 0 < total <= 2048
-        assert total == 2048 or total & (total - 1) == 0  # no padding
-    return bins
-
-
 def test_packing(spark, tokenizer):
     texts = ODD + ["word " * n for n in (1, 7, 2047, 2048, 5000, 90_000)] + ["again"] * 40 + ["one two " * 300] * 25
     docs = frame(spark, texts, start="clash", sequence_id="clash").repartition(3)
@@ -100,20 +82,6 @@ def test_harmonic_classes():
     assert all(filled == 2048 for own, (_, _, filled) in rest.items() if own not in packer.open())
 
 
-def brute_repeats(docs, n=20):
-    seen, out = set(), {}
-    for i, t in sorted(docs.items()):
-        w = (t or "").encode().split()
-        gone = [False] * len(w)
-        for s in range(len(w) - n + 1):
-            key = tuple(w[s:s + n])
-            if key in seen:
-                gone[s:s + n] = [True] * n
-            seen.add(key)
-        out[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g))
-    return out
-
-
 def test_substrings(spark):
     rng = random.Random(2)
     words = ["alpha", "béta", "g", "delta,", "漢"]
@@ -164,20 +132,6 @@ def test_subtrees_against_brute_force():
                 assert not int(got[i]) >> o & 1
 
 
-def brute_lines(docs, n=3):
-    seen, out = set(), {}
-    for i, t in sorted(docs.items()):
-        ls = None if t is None else t.split("\n")
-        gone = [False] * len(ls or [])
-        for s in range(len(ls or []) - n + 1):
-            key = tuple(ls[s:s + n])
-            if key in seen:
-                gone[s:s + n] = [True] * n
-            seen.add(key)
-        out[i] = (len(ls or []), sum(gone), None if ls is None else "\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
-    return out
-
-
 NAMES = ("in0", "IN1", "hash", "id", "key", "text2", "chunk", "order", "group", "runs", "runs", "n_lines", "n_removed", "kept", "n_words", "lang_pred", "score", "bits", "quality_score", "band", "class_id", "copy", "other", "__hash", "__id", "__text")
 
 
@@ -216,23 +170,6 @@ def test_lines(spark):
     assert longer == brute_lines(dict(enumerate(texts)), 5)
 
 
-def brute_rich_lines(docs, least, n=3):
-    seen, out = set(), {}
-    for i, t in sorted(docs.items()):
-        ls = None if t is None else t.split("\n")
-        gone = [False] * len(ls or [])
-        for m in range(1, n + 1):
-            for s in range(len(ls or []) - m + 1):
-                key = tuple(ls[s:s + m])
-                if m < n and sum(len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) for x in key) < least:
-                    continue
-                if key in seen:
-                    gone[s:s + m] = [True] * m
-                seen.add(key)
-        out[i] = (len(ls or []), sum(gone), None if ls is None else "\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
-    return out
-
-
 def test_short_runs_by_words(spark):
     """Lines and pairs that repeat between different neighbours, and copies of one or two lines."""
     rng = random.Random(8)
@@ -253,32 +190,39 @@ def test_pipeline_deletes_a_single_repeated_line(spark, sf):
     assert got == {0: f"x\n{long}\ny", 1: "p\nq", 3: "short line\nr", 4: "short line\ns"}
 
 
-def multiset(t):
-    w = (t or "").encode().split()
-    own = [tuple(w)] if 0 < len(w) < 5 else [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
-    seen, out = {}, set()
-    for s in own:
-        seen[s] = seen.get(s, 0) + 1
-        out.add((s, seen[s]))
-    return out
-
-
-def groups(texts, least=0.8):
-    sets = [multiset(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and both >= least * (len(sets[i]) + len(sets[j]) - both):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))]
+def test_signatures_agree_as_weighted_sets_do():
+    """The share of equal coordinates approximates the weighted Jaccard similarity."""
+    rng = random.Random(17)
+    for size, shared, repeats in ((30, 24, 1), (200, 100, 1), (200, 180, 4), (2000, 1200, 1)):
+        both = [f"s{i}" for i in range(shared)] * repeats
+        texts = [" ".join(both + [f"{side}{i}" for i in range(size - shared)]) for side in "pq"]
+        e, n, _ = minhash.shingles([t.encode() for t in texts], words=1)
+        a, b = e[:n[0]], e[n[0]:]
+        want = minhash.similarity(a, b)
+        x, y = (set() for _ in range(2))
+        for t, own in zip(texts, (x, y), strict=True):
+            seen = {}
+            for w in t.split():
+                seen[w] = seen.get(w, 0) + 1
+                own.add((w, seen[w]))
+        assert want == len(x & y) / len(x | y)
+        k = 3000
+        s = minhash.signatures(e, n, k)
+        assert abs((s[0] == s[1]).mean() - want) < 4 * (want * (1 - want) / k) ** 0.5 + 1e-9, (size, shared)
+
+
+def test_near_duplicates_of_the_table(spark, sf):
+    """The registered query over its whole table against all pairs: no class is missed, none is made up."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(texts)
+    want = [ids[x] for x in groups([texts[i] for i in ids])]
+    got = {r.doc_id: r for r in q.op4_near_duplicates(spark, sf).collect()}
+    assert [got[i].class_id for i in ids] == want and sum(a != b for a, b in zip(ids, want, strict=True)) > 5
+    first = {}
+    for i in ids:
+        words = " ".join((texts[i] or "").encode().split().__repr__())
+        own = first.setdefault(words, i) if (texts[i] or "").split() else i
+        assert got[i].representative == own and got[i].n_shingles == len(multiset(texts[i]))
 
 
 def test_near_duplicates(spark):
@@ -345,16 +289,6 @@ def test_language_learns_from_copies_and_late_text(spark):
     assert sum(r.lang_pred == r.lang for r in out) >= 0.95 * len(out)
 
 
-def longest_parse(text, sample):
-    at, n = 0, 0
-    while at < len(text):
-        k = 1
-        while at + k < len(text) and text[at:at + k + 1] in sample:
-            k += 1
-        at, n = at + k, n + 1
-    return n
-
-
 def test_parse_against_greedy_search():
     """Counts of one parse from end to end, whatever the blocks: random, periodic, sampled and unknown texts."""
     rng = random.Random(6)
