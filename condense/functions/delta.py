@@ -66,3 +66,46 @@ def window_shift(hunks_: ColumnOrName, first: ColumnOrName, last: ColumnOrName)
     over = F.exists(h, lambda x: (x["old_start"] <= b) & (x["old_start"] + F.greatest(x["old_lines"], F.lit(1)) - 1 >= a))
     before = F.filter(h, lambda x: x["old_start"] + F.greatest(x["old_lines"], F.lit(1)) - 1 < a)
     return F.struct(over.alias("changed"), F.aggregate(before, F.lit(0), lambda s, x: s + x["new_lines"] - x["old_lines"]).alias("shift"))
+
+
+def window_delta(hunks_: ColumnOrName, path: ColumnOrName, offset: ColumnOrName, limit: ColumnOrName, new_lines: ColumnOrName, old_lines: ColumnOrName,
+                 ref: ColumnOrName | None = None) -> Column:
+    """Struct ``text, kind`` of what changed inside a window of lines of the new text: ``changed`` with the
+    hunks that overlap it, or ``unchanged`` with the lines of the old text that it equals.  Null for a
+    window outside the text, or one that the old text does not have."""
+    h, p, first, total, before = col(hunks_), col(path), col(offset), col(new_lines), col(old_lines)
+    end = F.least(first + col(limit) - 1, total)
+    store = F.concat(F.lit("full text in store"), F.coalesce(F.concat(F.lit(" "), col(ref)), F.lit("")) if ref is not None else F.lit(""))
+    last = lambda x: x["new_start"] + F.greatest(x["new_lines"], F.lit(1)) - 1
+
+    def render(i: Column) -> Column:
+        head = F.format_string("[Changes in %s: lines %d-%d of %d, %d change block(s) inside]", p, first, end, total, F.size(i))
+        shift = F.aggregate(F.filter(h, lambda x: last(x) < first), F.lit(0), lambda s, x: s + x["new_lines"] - x["old_lines"])
+
+        def same(moved: Column) -> Column:
+            where = F.when(moved == 0, "identical to the same lines you already read").otherwise(
+                F.format_string("identical to lines %d-%d of the version you already have (moved by %d)", first - moved, end - moved, moved)
+            )
+            note = F.when(F.size(h) > 0, F.concat(F.format_string("%d change block(s) elsewhere; ", F.size(h)), store)).otherwise(store)
+            body = F.concat(head, F.format_string("\n  [%d lines unchanged, %s]\n  [%s]", end - first + 1, where, note))
+            return F.when((first - moved >= 1) & (end - moved <= before), F.struct(body.alias("text"), F.lit("unchanged").alias("kind")))
+
+        gap = lambda n: F.format_string("  [%d unchanged lines]", n)
+
+        def add(s: Column, x: Column) -> Column:
+            skipped = F.when(x["new_start"] > s["pos"], F.array(gap(x["new_start"] - s["pos"]))).otherwise(F.array().cast("array<string>"))
+            hunk = F.concat(F.array(F.format_string("@@ -%d,%d +%d,%d @@", x["old_start"], x["old_lines"], x["new_start"], x["new_lines"])), x["lines"])
+            left = s["same"] + F.greatest(x["new_start"] - s["pos"], F.lit(0))
+            return F.struct(F.greatest(s["pos"], last(x) + 1).cast("int").alias("pos"), left.cast("int").alias("same"), F.concat(s["out"], skipped, hunk).alias("out"))
+
+        def close(s: Column) -> Column:
+            rest = F.greatest(end - s["pos"] + 1, F.lit(0))
+            tail = F.when(rest > 0, F.array(gap(rest))).otherwise(F.array().cast("array<string>"))
+            note = F.format_string("  [%d of the %d requested lines unchanged; %d change block(s) elsewhere; %s]", s["same"] + rest, end - first + 1, F.size(h) - F.size(i), store)
+            return F.struct(F.array_join(F.concat(F.array(head), s["out"], tail, F.array(note)), "\n").alias("text"), F.lit("changed").alias("kind"))
+
+        start = F.struct(first.cast("int").alias("pos"), F.lit(0).alias("same"), F.array().cast("array<string>").alias("out"))
+        return F.when(F.size(i) > 0, F.aggregate(i, start, add, close)).otherwise(let(shift, same))
+
+    inside = F.filter(h, lambda x: (last(x) >= first) & (x["new_start"] <= end))
+    return F.when((first >= 1) & (col(limit) >= 1) & (total >= 1) & (first <= total), let(inside, render))

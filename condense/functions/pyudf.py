@@ -5,7 +5,10 @@ Filter rows before they reach these: a pandas UDF sees every row of its batch.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,6 +82,58 @@ def skeleton(c: ColumnOrName) -> Column:
     return F.pandas_udf(run, "string")(col(c))
 
 
+# What marks a line of code in a view.
+_CODE = re.compile(r"^\s*[{\[(]|^\s*(?:export |import |function |const |let |async |pub fn|fn |def |func |interface |type |class )|[{}]\s*$|\t")
+
+
+def shortened_code_of(text: str | None, least: int = 4) -> str | None:
+    """Runs of at least ``least`` code lines as skeletons, all other lines as they are."""
+    if not text:
+        return text
+    out: list[str] = []
+    for code, own in itertools.groupby(text.split("\n"), lambda line: bool(_CODE.search(line))):
+        lines = list(own)
+        out.append(skeleton_of("\n".join(lines)) if code and len(lines) >= least else "\n".join(lines))
+    return "\n".join(out)
+
+
+def shortened_code(c: ColumnOrName, least: int = 4) -> Column:
+    """See :func:`shortened_code_of`."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: shortened_code_of(t, least))
+
+    return F.pandas_udf(run, "string")(col(c))
+
+
+def skeleton_of_json(text: str | None) -> str | None:
+    """A JSON value with the names of types for its values; of an array, the type of its first value.  Null
+    where the text is no JSON or stays as it is."""
+    kinds = {bool: "boolean", int: "number", float: "number", str: "string", type(None): "object", list: "object", dict: "object"}
+
+    def shape(v):
+        if v is None:
+            return "null"
+        if isinstance(v, list):
+            return f"[{kinds[type(v[0])]}]" if v else "[]"
+        return {k: shape(x) for k, x in v.items()} if isinstance(v, dict) else kinds[type(v)]
+
+    try:
+        new = json.dumps(shape(json.loads(text or "")), ensure_ascii=False, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
+    return None if new == text else new
+
+
+def skeleton_json(c: ColumnOrName) -> Column:
+    """See :func:`skeleton_of_json`."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(skeleton_of_json)
+
+    return F.pandas_udf(run, "string")(col(c))
+
+
 def symbol(name: str, most_lines: int = 160):
     """Function of a column that extracts the definition of ``name``."""
 
@@ -117,16 +172,18 @@ def edit_script(old: list[str], new: list[str], most: int = 3000) -> list[tuple[
 
 
 def _moves(x: list[str], y: list[str]) -> list[tuple[str, int]]:
-    """Greedy search along diagonals for the fewest insertions and deletions."""
+    """Greedy search along diagonals for the fewest insertions and deletions.  Of each round only the
+    diagonals that it can reach are kept, as 32-bit numbers."""
     n, m = len(x), len(y)
-    reach, trail = {1: 0}, []
+    reach, trail = array("i", [0]) * (2 * (n + m) + 3), []
+    zero = n + m + 1  # place of diagonal 0
     for d in range(n + m + 1):
-        trail.append(dict(reach))
+        trail.append(reach[zero - d - 1:zero + d + 2])
         for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            i = reach[zero + k + 1] if k == -d or (k != d and reach[zero + k - 1] < reach[zero + k + 1]) else reach[zero + k - 1] + 1
             while i < n and i - k < m and x[i] == y[i - k]:
                 i += 1
-            reach[k] = i
+            reach[zero + k] = i
             if i >= n and i - k >= m:
                 break
         else:
@@ -135,8 +192,9 @@ def _moves(x: list[str], y: list[str]) -> list[tuple[str, int]]:
     moves, i, j = [], n, m
     for d in range(len(trail) - 1, -1, -1):
         k, v = i - j, trail[d]
-        pk = k + 1 if k == -d or (k != d and v[k - 1] < v[k + 1]) else k - 1
-        pi = v[pk]
+        at = lambda q: v[q + d + 1]  # noqa: B023, E731
+        pk = k + 1 if k == -d or (k != d and at(k - 1) < at(k + 1)) else k - 1
+        pi = at(pk)
         pj = pi - pk
         while i > pi and j > pj and i > 0 and j > 0:
             moves.append(("same", 1))

@@ -206,8 +206,10 @@ def strip(text: Column, pattern: str) -> Column:
 
 
 def structure(text: Column) -> Column:
-    """The type of a JSON value instead of the value."""
-    return F.schema_of_variant(F.try_parse_json(text))
+    """The types of a JSON value instead of its values; null where the text is no JSON."""
+    from .pyudf import skeleton_json
+
+    return skeleton_json(text)
 
 
 def apply(rule: Rule, tool: Column, text: Column, path: Column, code: Column) -> Column:

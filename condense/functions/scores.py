@@ -145,6 +145,14 @@ def break_even(saved: ColumnOrName, overhead: ColumnOrName) -> Column:
     return col(saved) - col(overhead)
 
 
+def relevance_of(counts: list[Column], terms: list[str]) -> Column:
+    """:func:`relevance` without document frequencies, from the terms' counts."""
+    import math
+
+    raw = sum((F.least(n, F.lit(3)) * F.lit(1 + math.log1p(len(t) - 2)) for n, t in zip(counts, terms, strict=True)), F.lit(0.0))
+    return F.least(F.lit(1.0), raw / F.lit(len(terms) * 3 * (1 + math.log1p(10))))
+
+
 def relevance(folded: ColumnOrName, terms: list[str], idf: dict[str, float] | None = None) -> Column:
     """0 to 1: capped term frequency times inverse document frequency (or a weight by length) over
     its largest possible value."""

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import reduce, text
 from ..functions.base import ColumnOrName, col, joined, let, lines
+from .folds import fold
 
 PLACEHOLDER = "[condense] old tool output elided"
+# Fixed value: lines that tell of a failure.
 ERROR = r"(^|\n)\s*(error|Error|ERROR|ERR_|FAIL|FAILED|Failed|failed|✗|×|not ok|Traceback|panic|Exception|cannot |could not )"
-SECTIONS = ["goal", "decisions", "files read", "files changed", "commands run", "tests", "errors", "open questions", "constraints", "next steps", "references"]
+# The sections of a state summary, in their order.
+SECTIONS = [
+    "Active Plan", "Current Phase", "TaskList Summary", "Session Decisions", "Constraints and Blockers", "Worker Topology",
+    "Skills Invoked", "Editing Files", "Project Playbook", "Failed Attempts", "Recovery Notes",
+]
 
 
 def block_text(blocks: ColumnOrName) -> Column:
@@ -60,17 +66,20 @@ def mask(messages: DataFrame, roles: tuple[str, ...] = ("tool",), keep_last: int
 
 def epochs(sizes: DataFrame, key: str = "conv_id", order: str = "turn", size: str = "size", share: float = 0.9, least_drop: int = 20_000) -> DataFrame:
     """``sizes`` with ``epoch``: it rises where the context falls below ``share`` of the peak since the last
-    rise and by more than ``least_drop``.  The peak starts anew there, so this is a fold over each
-    conversation's sizes, of which only the places of new epochs are kept."""
-    turns = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("s"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("peak"), F.array().cast(f"array<{sizes.schema[order].dataType.simpleString()}>").alias("cuts"))
+    rise and by more than ``least_drop``.  The peak starts anew there, so the places of new epochs come
+    from a fold over each conversation's sizes, which keeps a peak and a number."""
 
-    def step(acc: Column, t: Column) -> Column:
-        fell = (t["s"] < acc["peak"] * share) & (acc["peak"] - t["s"] > least_drop)
-        return F.struct(F.when(fell, t["s"]).otherwise(F.greatest(acc["peak"], t["s"])).alias("peak"), F.when(fell, F.concat(acc["cuts"], F.array(t["o"]))).otherwise(acc["cuts"]).alias("cuts"))
+    def step(s: tuple, row: tuple) -> tuple[tuple, tuple | None]:
+        (peak, epoch), (at, now) = s, row
+        if now is not None and now < peak * share and peak - now > least_drop:
+            return (now, epoch + 1), (at, epoch + 1)
+        return (max(peak, now or 0), epoch), None
 
-    cuts = sizes.groupBy(key).agg(F.aggregate(turns, start, step, lambda a: a["cuts"]).alias("__cuts"))
-    return sizes.join(cuts, key).withColumn("epoch", F.size(F.filter("__cuts", lambda c: c <= F.col(order))).cast("bigint")).drop("__cuts")
+    kind = sizes.schema[order].dataType.simpleString()
+    cuts = fold(sizes, key, [order], [order, size], lambda: (0, 0), step, f"cut_at {kind}, number bigint")
+    cuts = cuts.groupBy(key).agg(F.collect_list("cut_at").alias("__cuts"))  # a cut stands for a fall of more than ``least_drop``
+    below = F.size(F.filter(F.coalesce("__cuts", F.array().cast(f"array<{kind}>")), lambda c: c <= F.col(order)))
+    return sizes.join(cuts, key, "left").select(*sizes.columns, below.cast("bigint").alias("epoch"))
 
 
 def turns_since_epoch(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -118,8 +127,66 @@ def skeletonise_blocks(content: Column, least: int = 4) -> Column:
 
 
 def state_summary(values: dict[str, Column]) -> Column:
-    """Fixed sections; what is missing is said to be so."""
-    return joined(F.array(*(F.concat(F.lit(f"{s}: "), F.coalesce(values[s] if s in values else F.lit(None).cast("string"), F.lit("(not verified)"))) for s in SECTIONS)))
+    """All sections, each a heading and its text; what is missing or blank is said not to be verified."""
+    def one(name: str) -> Column:
+        v = values[name] if name in values else F.lit(None).cast("string")
+        return F.concat(F.lit(f"## {name}\n"), F.when(F.trim(v) != "", v).otherwise("(not verified)"))
+
+    return joined(F.array(*map(one, SECTIONS)))
+
+
+def collect_observations(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, block, text, is_error`` of every tool output: the content of messages of role
+    ``tool`` (``block`` is null), and blocks of type ``tool_result`` in messages of role ``user``.
+
+    ``messages``: ``conv_id, turn, role, content, is_summary, blocks array<struct<type, text, content,
+    is_error>>``.  Summaries, empty contents and other blocks give none.
+    """
+    own = messages.where(~F.coalesce("is_summary", F.lit(False)))
+    plain = own.where((F.col("role") == "tool") & (F.length("content") > 0))
+    plain = plain.select("conv_id", "turn", F.lit(None).cast("int").alias("block"), F.col("content").alias("text"), F.lit(False).alias("is_error"))
+    blocks = own.where(F.col("role") == "user").select("conv_id", "turn", F.posexplode("blocks").alias("block", "b")).where("b.type = 'tool_result'")
+    blocks = blocks.select("conv_id", "turn", "block", F.coalesce("b.content", "b.text").alias("text"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"))
+    return plain.unionByName(blocks.where(F.length("text") > 0))
+
+
+def view_parts(calls: DataFrame, blobs: DataFrame, warm: int = 40, entries: int = 24, most_bytes: int = 1 << 20, chars: int = 80) -> DataFrame:
+    """The parts of each session's view: ``session, part, seq, line``.
+
+    ``warm``: the outputs of the last ``warm`` calls (``session, seq, tool, input, hash``), or a
+    reference where the store lacks one; ``toc``: first lines of the first ``entries`` stored texts;
+    ``ref``: notes on stored rows that are too large or binary.  Parts ``toc`` and ``ref`` belong to
+    all sessions (null).
+    """
+    w = Window.partitionBy("session").orderBy(F.desc("seq"))
+    last = calls.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= warm)
+    held = last.join(blobs.select("hash", "content"), "hash", "left")
+    ref = F.concat(F.lit("[blob:"), F.left("hash", F.lit(12)), F.lit(":"), F.length("input").cast("string"), F.lit("]"))
+    body = F.when(F.col("content").isNotNull(), F.concat(F.lit("# tool: "), F.col("tool"), F.lit("\n"), F.col("content"))).otherwise(ref)
+    kind = F.when(F.col("content").isNotNull(), "warm").otherwise("ref")
+    parts = held.select("session", kind.alias("part"), F.col("seq").cast("bigint").alias("seq"), body.alias("line"))
+    everywhere = F.lit(None).cast(calls.schema["session"].dataType).alias("session")
+    first = F.left(F.element_at(lines("content"), 1), F.lit(chars))
+    head = blobs.orderBy("seq").limit(entries).where("kind = 'text' and content is not null")
+    head = head.select(everywhere, F.lit("toc").alias("part"), F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("  "), F.left("hash", F.lit(12)), F.lit(" "), F.col("size").cast("string"), F.lit(" chars"), F.when(first != "", F.concat(F.lit(" "), first)).otherwise("")).alias("line"))
+    large = F.col("size") > most_bytes
+    odd = blobs.where(large | (F.col("kind") == "binary")).select(
+        everywhere, F.lit("ref").alias("part"), F.col("seq").cast("bigint").alias("seq"),
+        F.format_string("[%s of %d bytes left out]", F.when(large, F.concat(F.lit("large "), F.col("kind"))).otherwise(F.col("kind")), "size").alias("line"),
+    )
+    return parts.unionByName(head).unionByName(odd)
+
+
+def shorten_view(view: ColumnOrName, most_tokens: ColumnOrName | int = 0, chars_per_token: float = 3.3, least: int = 4) -> Column:
+    """A view whose runs of ``least`` or more code lines are skeletons, cut to nine tenths of ``most_tokens`` if
+    it is still larger (0: no limit)."""
+    from ..functions.pyudf import shortened_code
+
+    short = shortened_code(view, least)
+    most = F.lit(most_tokens) if isinstance(most_tokens, int) else col(most_tokens)
+    keep = F.greatest(F.lit(256), F.floor(most * chars_per_token * 0.9).cast("int"))
+    over = (most > 0) & (text.estimate_tokens(short, chars_per_token) > most)
+    return F.when(over, F.concat(F.left(short, keep), F.lit("\n[view trimmed to token budget]"))).otherwise(short)
 
 
 def context_tokens(messages: DataFrame, chars_per_token: float = 3.3) -> DataFrame:
@@ -131,19 +198,17 @@ def context_tokens(messages: DataFrame, chars_per_token: float = 3.3) -> DataFra
 def breaker(outcomes: DataFrame, key: str, order: str, failed: str, threshold: int = 3, rest: int = 5) -> DataFrame:
     """State of a circuit breaker after each key's outcomes: ``closed``; ``open`` after ``threshold`` failures
     in a row; ``half-open`` after ``rest`` further turns, closed again by a success, open by a failure."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(failed).alias("f"))))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("turns"), F.lit(0).alias("opened"))
-
-    def step(s: Column, x: Column) -> Column:
-        made = lambda state, failures, turns, opened: F.struct(F.lit(state).alias("state"), failures.alias("failures"), turns.alias("turns"), opened.alias("opened"))
-        zero, n = F.lit(0), s["failures"] + 1
-        waited = s["turns"] + 1
-        return (
-            F.when(s["state"] == "open", F.when(waited >= rest, made("half-open", s["failures"], zero, s["opened"])).otherwise(made("open", s["failures"], waited, s["opened"])))
-            .when(x["f"] & ((s["state"] == "half-open") | (n >= threshold)), made("open", n, zero, s["opened"] + 1))
-            .when(x["f"], made("closed", n, zero, s["opened"]))
-            .otherwise(made("closed", zero, zero, s["opened"]))
-        )
-
-    folded = outcomes.groupBy(key).agg(F.aggregate(seq, start, step).alias("s"))
-    return folded.select(key, "s.state", F.col("s.failures").cast("bigint").alias("failures"), F.col("s.opened").cast("bigint").alias("opened"))
+
+    def step(s: tuple, row: tuple) -> tuple[tuple, None]:
+        state, failures, turns, opened = s
+        if state == "open":
+            s = ("half-open", failures, 0, opened) if turns + 1 >= rest else ("open", failures, turns + 1, opened)
+        elif not row[0]:
+            s = ("closed", 0, 0, opened)
+        elif state == "half-open" or failures + 1 >= threshold:
+            s = ("open", failures + 1, 0, opened + 1)
+        else:
+            s = ("closed", failures + 1, 0, opened)
+        return s, None
+
+    return fold(outcomes, key, [order], [failed], lambda: ("closed", 0, 0, 0), step, "state string, failures bigint, opened bigint", lambda s: (s[0], s[1], s[3]))

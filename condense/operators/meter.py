@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 CACHE_SHARE = 0.1
+#: Rows of a dimension (model names, prices, windows, settings) that may be broadcast.
+MOST_NAMES = 20_000
 
 
 def usage_stats(usages: DataFrame, *by: str) -> DataFrame:
@@ -17,15 +21,23 @@ def usage_stats(usages: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def bounded(rows: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """The same rows; reading more than ``most`` of them is an error."""
+    n = rows.agg(F.count("*").alias("__n"))
+    fine = F.when(F.col("__n") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} rows in a dimension")).cast("boolean"))
+    return rows.crossJoin(F.broadcast(n)).where(fine).drop("__n")  # one row
+
+
 def normalise(model: Column) -> Column:
     return F.trim(F.lower(model))
 
 
 def match_models(ids: DataFrame, prices: DataFrame, id_col: str = "model") -> DataFrame:
     """The price row of each distinct model name: equal names, then equal last parts, then one in the other
-    (needles of three or more characters).  ``prices`` is a dimension table; the name must
-    be a few thousand rows at most, which the join's nested loop over distinct names needs."""
-    names = ids.select(F.col(id_col)).distinct().withColumn("__n", normalise(F.col(id_col)))
+    (needles of three or more characters).  Both sides are dimensions, and that is checked: more than
+    ``MOST_NAMES`` distinct names or prices are an error, as names are held against prices one by one."""
+    names = bounded(ids.select(F.col(id_col)).distinct()).withColumn("__n", normalise(F.col(id_col)))
+    prices = bounded(prices)
     p = prices.withColumn("__p", normalise(F.col("id")))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     n, q = F.col("__n"), F.col("__p")
@@ -50,6 +62,7 @@ def cost(usages: DataFrame, prices: DataFrame) -> DataFrame:
 
 def window_of(usages: DataFrame, catalog: DataFrame, default: int = 128_000) -> DataFrame:
     """``usages`` with ``context_limit``: by full name, by provider and name, by short name, else the default."""
+    catalog = bounded(catalog)
     full = catalog.groupBy(F.concat_ws("/", "provider", "model").alias("__k")).agg(F.max("context_limit").alias("__full"))
     short = catalog.groupBy(F.element_at(F.split("model", "/"), -1).alias("__k")).agg(F.max("context_limit").alias("__short"))
     name = F.lower(F.trim("model"))
@@ -60,7 +73,7 @@ def window_of(usages: DataFrame, catalog: DataFrame, default: int = 128_000) ->
 
 def override(base: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:
     """Per-model settings over general ones, field by field."""
-    o = overrides.select(F.lower("model").alias("__k"), *(F.col(f).alias(f"__{f}") for f in fields))
+    o = bounded(overrides).select(F.lower("model").alias("__k"), *(F.col(f).alias(f"__{f}") for f in fields))
     rows = base.withColumn("__k", F.lower(F.trim("model"))).join(F.broadcast(o), "__k", "left")
     short = o.groupBy(F.element_at(F.split("__k", "/"), -1).alias("__k2")).agg(*(F.first(f"__{f}").alias(f"__2{f}") for f in fields))
     rows = rows.withColumn("__k2", F.element_at(F.split("__k", "/"), -1)).join(F.broadcast(short), "__k2", "left")
@@ -89,11 +102,34 @@ def ols(samples: DataFrame, *by: str) -> DataFrame:
 def running_ratio(samples: DataFrame, key: str, order: str, chars: str = "chars", tokens: str = "tokens", memory: int = 32) -> DataFrame:
     """Characters a token after each key's samples: a running mean that turns into an exponential one
     after ``memory`` samples.  A fold in order; samples without characters or tokens count nothing."""
+
+    def step(s: tuple, row: tuple) -> tuple[tuple, None]:
+        n, mean = s
+        return (n + 1, mean + (row[0] / row[1] - mean) / min(n + 1, memory)), None
+
     good = samples.where((F.col(chars) > 0) & (F.col(tokens) > 0))
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (F.col(chars) / F.col(tokens)).alias("r"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"))
-    step = lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["m"] + (x["r"] - s["m"]) / F.least(s["n"] + 1, F.lit(memory))).alias("m"))
-    return good.groupBy(key).agg(F.aggregate(seq, start, step).alias("s")).select(key, F.col("s.n").cast("bigint").alias("samples"), F.col("s.m").alias("chars_per_token"))
+    return fold(good, key, [order], [chars, tokens], lambda: (0, 0.0), step, "samples bigint, chars_per_token double", lambda s: s)
+
+
+def calibrate(samples: DataFrame, key: str, order: str, memory: int = 32, fitted: int = 200, least: int = 5) -> DataFrame:
+    """Characters a token of each key: by :func:`running_ratio`, or, from ``least`` samples on, by least squares
+    over the last ``fitted`` ones if their slope is positive.  ``samples``: ``ascii, cjk, tokens``."""
+    good = samples.where((F.col("ascii") + F.col("cjk") > 0) & (F.col("tokens") > 0)).withColumn("chars", F.col("ascii") + F.col("cjk"))
+    mean = running_ratio(good, key, order, memory=memory)
+    fit = ols(last_n(good, key, order, fitted), key).where(F.col("samples") >= least)
+    both = mean.join(fit.select(key, F.col("samples").alias("fitted"), "slope_ascii", "slope_cjk", "intercept", "residual_sum"), key, "left")
+    return both.withColumn("chars_per_token", F.when(F.col("slope_ascii") > 0, 1 / F.col("slope_ascii")).otherwise(F.col("chars_per_token")))
+
+
+def commitment_meter(reports: DataFrame, at: str = "at", samples: int = 20, each: int = 3) -> DataFrame:
+    """One row of sums over reports ``at, total, preserved, missed array<string>``: ``checks, atoms, preserved,
+    missed, samples``, the last the newest ``samples`` of what was missed, at most ``each`` a report."""
+    some = reports.where("total > 0")
+    sums = some.agg(F.count("*").alias("checks"), F.coalesce(F.sum("total"), F.lit(0)).alias("atoms"), F.coalesce(F.sum("preserved"), F.lit(0)).alias("preserved"), F.coalesce(F.sum(F.size("missed")), F.lit(0)).alias("missed"))
+    items = some.where(F.size("missed") > 0).select(F.col(at).alias("at"), F.posexplode(F.slice("missed", 1, each)).alias("place", "item"))
+    newest = items.orderBy(F.desc("at"), F.desc("place"), F.desc("item")).limit(samples)
+    last = newest.agg(F.array_sort(F.collect_list(F.struct("at", "place", F.left("item", F.lit(120)).alias("item")))).alias("samples"))
+    return sums.crossJoin(last)  # one row each
 
 
 def calibration_bins(samples: DataFrame, bins: int = 10) -> DataFrame:

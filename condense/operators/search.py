@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions.language import STOPWORDS
+from ..sources.scratch import stored
 
 RRF = 60
 IDF_LEAST_DOCS = 20
 QUERY_CHARS = 512
+FULL_CHARS = 24 * 1024
+#: Calls whose outputs repeat what the model has written.
+OWN_WRITES = ("edit_file", "write_file", "apply_patch", "create_file")
 
 
 def query_terms(query: str, stopwords: list[str] | None = None) -> list[str]:
@@ -83,9 +87,10 @@ def recall_regex(blobs: DataFrame, query: str, limit: int = 10) -> DataFrame:
 
 
 def snippet(content: Column, at: Column, budget: Column) -> Column:
-    """``budget`` characters around a 1-based place."""
-    start = F.greatest(F.lit(1), at - F.floor(budget / 2))
-    return F.substr(content, start.cast("int"), budget.cast("int"))
+    """``budget`` characters around a 1-based place, or the whole content where it is no longer; near its
+    end, its last ``budget`` characters."""
+    start = F.least(F.greatest(F.lit(1), at - F.floor(budget / 2)), F.length(content) - budget + 1)
+    return F.when(F.length(content) <= budget, content).otherwise(F.substr(content, start.cast("int"), budget.cast("int")))
 
 
 def rrf(*ranks: Column, k: int = RRF) -> Column:
@@ -123,50 +128,107 @@ def fused_top(rows: DataFrame, by: list[tuple[str, bool]], limit: int, k: int =
     return scored.orderBy(F.desc("rrf"), "id").limit(limit)
 
 
-def first_place(folded: Column, terms: list[str]) -> Column:
+def first_place(text_: Column, terms: list[str]) -> Column:
     """Place of the first term (in their order) that the text has, 0 for none."""
-    return F.coalesce(*(F.nullif(F.locate(t, folded), F.lit(0)) for t in terms), F.lit(0))
+    return F.coalesce(*(F.nullif(F.locate(t, text_), F.lit(0)) for t in terms), F.lit(0))
+
+
+def in_scope(workspace: str | None) -> Column:
+    """Rows that a workspace may recall: its own, or those of none where none is given; never what the
+    model itself has written."""
+    own = F.coalesce("workspace", F.lit("")) == F.lit(workspace or "")
+    return own & ~F.coalesce("source", F.lit("")).isin(*OWN_WRITES)
+
+
+def candidates(docs: DataFrame, index: DataFrame, query: str, id_col: str = "hash") -> DataFrame:
+    """Documents that the index knows to hold one of the query's words, or, if it knows of none, all.  A
+    single word goes through the index only if it looks like a path."""
+    words = text_words(query)
+    if len(words) > 1:
+        ids = index_query(index, words).select("id")
+    elif re.search(r"[\\/.]", query):
+        ids = path_lookup(index, query)
+    else:
+        return docs
+    found = ids.select(F.col("id").alias(id_col), F.lit(True).alias("__found"))
+    some = F.broadcast(ids.agg((F.count("*") > 0).alias("__some")))  # one row
+    kept = docs.join(found, id_col, "left").crossJoin(some).where(F.col("__found") | ~F.col("__some"))
+    return kept.select(*docs.columns)
+
+
+def text_words(query: str) -> list[str]:
+    return [w for w in query[:QUERY_CHARS].lower().split() if w]
 
 
 def recall(docs: DataFrame, query: str, limit: int = 10, now: Column | None = None, workspace: str | None = None, budget: int = 2000,
-           id_col: str = "hash", mode: str = "relevance") -> DataFrame:
+           id_col: str = "hash", mode: str = "relevance", index: DataFrame | None = None, full_content: bool = False) -> DataFrame:
     """Ranked recall over stored outputs (the columns of the store with ``content``).
 
-    Documents with any of the query's terms are scored by relevance and by freshness, both ranks are
-    fused, and the best ``limit`` come with a snippet.  Stale ones come without, but with a reason.
-    ``mode="scan_order"`` fuses the order of storage instead of relevance.  Document frequencies of the query's terms are one small row, no driver action.
+    Of the workspace's rows that no edit or write of the model has made, those with any of the
+    query's terms are scored by relevance and by freshness; a row of which the same call has a later
+    output counts as superseded.  The ranks of the fresh rows are fused, and the best ``limit`` come
+    with a snippet, or (``full_content``) whole if the row holds a full file of at most ``FULL_CHARS``.
+    Up to ``limit`` stale rows follow without content, but with a reason.  ``mode="scan_order"``
+    fuses the order of storage instead of relevance.
+
+    With ``index`` (:func:`postings` of the store) only its candidates are read and document
+    frequencies come from it.  Texts are read once for scores, of which a slim table is written, and
+    once more for the rows that are returned.
     """
     terms = query_terms(query)
     if not terms:
         raise ValueError("the query has no searchable term")
     now = now if now is not None else F.unix_millis(F.current_timestamp())
-    for c, kind in (("file_checked", "boolean"), ("dir_checked", "boolean"), *((f"{p}_{x}", "double") for p in ("now", "dir_now") for x in ("mtime", "size", "ctime"))):
+    more = [(c, "boolean") for c in ("file_checked", "dir_checked", "full_file")] + [(f"{p}_{x}", "double") for p in ("now", "dir_now") for x in ("mtime", "size", "ctime")]
+    for c, kind in more:
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(False if kind == "boolean" else None).cast(kind))
-    folded = docs.withColumn("__folded", text.fold_ascii(F.lower("content")))
-    # only texts that hold a term at all are cut into tokens
-    has = F.when(first_place(F.col("__folded"), terms) > 0, F.array_intersect(text.identifier_tokens("content"), F.array(*map(F.lit, terms))))
-    stats = folded.select(has.alias("__has")).agg(F.count("*").alias("__n"), *(F.count_if(F.array_contains("__has", t)).alias(f"__df{i}") for i, t in enumerate(terms)))
-    hits = folded.where(first_place(F.col("__folded"), terms) > 0).crossJoin(F.broadcast(stats))
-    use = F.col("__n") >= IDF_LEAST_DOCS
-    tf = lambda t: F.least(F.lit(3), ((F.length("__folded") - F.length(F.replace(F.col("__folded"), F.lit(t), F.lit("")))) / len(t)).cast("int"))
-    weight = lambda i: F.log1p((F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))
-    raw = sum((tf(t) * weight(i) for i, t in enumerate(terms)), F.lit(0.0))
-    most = F.greatest(F.lit(0.01), F.lit(0.0), *(weight(i) for i in range(len(terms)))) * len(terms) * 3
-    relevance = F.when(use, F.least(F.lit(1.0), raw / most)).otherwise(scores.relevance("__folded", terms))
-    scored = hits.select(
-        F.col(id_col).alias("id"), "content", "created_at", F.round(relevance, 9).alias("relevance"), scores.confidence(workspace, now).alias("c"), first_place(F.col("__folded"), terms).alias("at"), "seq"
-    )
-    slim = scored.select("id", "seq", "relevance", F.col("c.score").alias("confidence"))
-    best = fused_top(slim, [("relevance", True) if mode == "relevance" else ("seq", False), ("confidence", True)], limit)
-    full = scored.join(F.broadcast(best.select("id", "rrf")), "id")  # ``limit`` rows
-    hours = (now - F.col("created_at")) / 3_600_000
-    room = F.floor(F.when(hours < 1, budget).when(hours < 24, budget * 0.75).otherwise(budget * 0.5))
-    return full.select(
-        "id", "rrf", "relevance", F.col("c.score").alias("confidence"), F.col("c.stale").alias("stale"),
-        F.when(F.col("c.stale"), scores.stale_reason("c.flags")).alias("reason"),
-        F.when(~F.col("c.stale"), snippet(F.col("content"), F.col("at"), room)).alias("snippet"), text.blob_ref("id", "content").alias("ref"),
-    )
+    n_docs = docs.agg(F.count("*").alias("__n"))
+    key = [F.col("source"), F.coalesce("command", F.lit("")).alias("__command")]
+    newest = docs.where((F.col("workspace") == F.lit(workspace)) & (F.col("workspace") != "")).groupBy(*key)
+    newest = newest.agg(F.max_by(id_col, F.struct("last_ref", -F.col("seq"))).alias("__newest"))
+
+    # one pass over the texts: what the scores need of each row that has a term
+    folded = text.fold_ascii(F.lower("content"))
+    some = docs if index is None else candidates(docs, index, query, id_col)
+    if index is not None:
+        some = some.where(in_scope(workspace))
+    hits = some.withColumn("__folded", folded).where(first_place(F.col("__folded"), terms) > 0)
+    tf = [F.least(F.lit(3), ((F.length("__folded") - F.length(F.replace(F.col("__folded"), F.lit(t), F.lit("")))) / len(t)).cast("int")) for t in terms]
+    has = F.array_intersect(text.identifier_tokens("content"), F.array(*map(F.lit, terms))) if index is None else F.lit(None).cast("array<string>")
+    place = F.coalesce(F.nullif(first_place(F.lower("content"), terms), F.lit(0)), first_place(F.col("__folded"), terms))
+    slim = hits.select(
+        *(F.col(c) for c in docs.columns if c != "content"), F.array(*tf).alias("__tf"), has.alias("__has"), place.alias("__at"), F.length("content").alias("__chars")
+    )
+    slim = stored(slim, "recall-hits")
+
+    counted = (slim.select(F.explode("__has").alias("term")) if index is None else index.where(F.col("term").isin(*terms))).groupBy("term").count()
+    named = counted.agg(*(F.coalesce(F.sum(F.when(F.col("term") == t, F.col("count"))), F.lit(0)).alias(f"__df{i}") for i, t in enumerate(terms)))
+    stats = F.broadcast(n_docs.crossJoin(named))  # one row
+    weight = [idf_value(F.col(f"__df{i}"), F.col("__n")) for i in range(len(terms))]
+    raw = sum((F.col("__tf")[i] * w for i, w in enumerate(weight)), F.lit(0.0))
+    most = F.greatest(F.lit(0.01), F.lit(0.0), *weight) * len(terms) * 3
+    relevance = F.when(F.col("__n") >= IDF_LEAST_DOCS, F.least(F.lit(1.0), raw / most)).otherwise(scores.relevance_of([F.col("__tf")[i] for i in range(len(terms))], terms))
+    own = slim.where(in_scope(workspace)).withColumn("__command", F.coalesce("command", F.lit("")))
+    own = own.join(newest, ["source", "__command"], "left").crossJoin(stats)
+    later = F.coalesce(F.col("__newest") != F.col(id_col), F.lit(False))
+    hours = (now - F.coalesce("content_at", F.col("created_at").cast("double"), now.cast("double"))) / 3_600_000
+    proven = F.col("source").isin("read_file", "shell_command") & F.col("file_mtime").isNotNull()
+    room = F.floor(F.when(proven | (hours < 1), budget).when(hours < 24, F.floor(F.lit(budget * 0.75))).otherwise(F.floor(F.lit(budget * 0.5))))
+    scored = own.select(
+        F.col(id_col).alias("id"), "seq", F.round(relevance, 9).alias("relevance"), scores.confidence(workspace, now, later).alias("c"),
+        F.col("__at").alias("at"), room.alias("room"), (F.coalesce("full_file", F.lit(False)) & (F.col("__chars") <= FULL_CHARS) & F.lit(full_content)).alias("whole"),
+    ).withColumn("confidence", F.col("c.score"))
+    fresh = scored.where(~F.col("c.stale")).drop("c")
+    best = fused_top(fresh, [("relevance", True) if mode == "relevance" else ("seq", False), ("confidence", True)], limit)
+    old = scored.where("c.stale").orderBy(F.desc("confidence"), "id").limit(limit)
+    columns = ["id", "rrf", "relevance", "confidence", "stale", "reason", "at", "room", "whole"]
+    found = best.withColumn("stale", F.lit(False)).withColumn("reason", F.lit(None).cast("string")).select(*columns).unionByName(
+        old.withColumn("rrf", F.lit(None).cast("double")).withColumn("stale", F.lit(True)).withColumn("reason", scores.stale_reason("c.flags")).select(*columns)
+    )
+    full = docs.select(F.col(id_col).alias("id"), "content").join(F.broadcast(found), "id")  # at most twice ``limit`` rows
+    body = F.when(F.col("whole"), F.col("content")).otherwise(snippet(F.col("content"), F.col("at"), F.col("room")))
+    return full.select("id", "rrf", "relevance", "confidence", "stale", "reason", F.when(~F.col("stale"), body).alias("snippet"), text.blob_ref("id", "content").alias("ref"))
 
 
 def find_symbol(blobs: DataFrame, name: str, path: str | None = None, limit: int = 5) -> DataFrame:

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import OrderedDict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import commands, delta, scores, text
 from ..functions.pyudf import line_diff
 from . import store
+from .folds import fold
 
 RATIO, OVERHEAD, RECALL_CHARS, FIDELITY_CHARS = 0.4, 260, 2000, 24 * 1024
 
 
-def with_snapshot(blobs: DataFrame, snapshot: DataFrame, path: str = "file_path") -> DataFrame:
-    """Metadata of now beside each row: ``file_checked`` and ``now_mtime, now_size, now_ctime``.  A path
-    that the snapshot lacks is deleted; rows without a path are unchecked."""
-    s = snapshot.select(F.col("path").alias("__p"), *(F.col(c).alias(f"now_{c}") for c in ("mtime", "size", "ctime")))
-    joined = blobs.join(s, F.col(path) == F.col("__p"), "left").drop("__p")
-    for c in ("mtime", "size", "ctime"):
-        joined = joined.withColumn(f"dir_now_{c}", F.lit(None).cast("double"))
-    return joined.withColumn("file_checked", F.col(path).isNotNull()).withColumn("dir_checked", F.lit(False))
-
-
-def score(blobs: DataFrame, snapshot: DataFrame, now: Column, workspace: str | None = None) -> DataFrame:
+def with_snapshot(blobs: DataFrame, snapshot: DataFrame, folders: DataFrame | None = None, path: str = "file_path") -> DataFrame:
+    """Metadata of now beside each row: ``file_checked`` with ``now_mtime, now_size, now_ctime``, and for
+    commands on a folder (rows with ``dir_mtime``) ``dir_checked`` with ``dir_now_*`` from ``folders``
+    (:func:`condense.sources.blobs.folder_signature`).  A path that a snapshot lacks is deleted;
+    rows without a path are unchecked, and so are folders where no ``folders`` are given."""
+    kinds = ("mtime", "size", "ctime")
+    on_folder = F.col("dir_mtime").isNotNull() & (F.col("source") == "shell_command") if {"dir_mtime", "source"} <= set(blobs.columns) else F.lit(False)
+    s = snapshot.select(F.col("path").alias("__p"), *(F.col(c).alias(f"now_{c}") for c in kinds))
+    rows = blobs.withColumn("file_checked", F.col(path).isNotNull() & ~F.coalesce(on_folder, F.lit(False)))
+    rows = rows.join(s, F.col("file_checked") & (F.col(path) == F.col("__p")), "left").drop("__p")
+    if folders is None:
+        for c in kinds:
+            rows = rows.withColumn(f"dir_now_{c}", F.lit(None).cast("double"))
+        return rows.withColumn("dir_checked", F.lit(False))
+    d = folders.select(F.col("path").alias("__p"), *(F.col(c).cast("double").alias(f"dir_now_{c}") for c in kinds))
+    rows = rows.withColumn("dir_checked", F.col(path).isNotNull() & F.coalesce(on_folder, F.lit(False)))
+    return rows.join(d, F.col("dir_checked") & (F.col(path) == F.col("__p")), "left").drop("__p")
+
+
+def score(blobs: DataFrame, snapshot: DataFrame, now: Column, workspace: str | None = None, folders: DataFrame | None = None) -> DataFrame:
     """``blobs`` with ``score, flags, stale``."""
-    rows = with_snapshot(store.newest_per_command(blobs), snapshot)
+    rows = with_snapshot(store.newest_per_command(blobs), snapshot, folders)
     return rows.withColumn("c", scores.confidence(workspace, now, "supplanted")).select(*blobs.columns, "c.score", "c.flags", "c.stale")
 
 
@@ -83,6 +95,67 @@ def delta_decisions(pairs: DataFrame, safe: Column | None = None, cap: int = FID
     return d.select(*pairs.columns, "added", "removed", "changed_ratio", decision.alias("decision"), reason.alias("reason"), F.when(decision == "delta", F.col("patch")).alias("patch"))
 
 
+def reread_deltas(reads: DataFrame, blobs: DataFrame, safe: DataFrame | None = None, prior: int = 5, cap: int = FIDELITY_CHARS) -> DataFrame:
+    """``reads`` (``read_id, path, content``) with ``decision`` of ``delta, full``, the patch against the first of
+    the path's ``prior`` latest stored versions that gives one, its hash, and the reason if none does.
+
+    ``safe``: hashes that are still in the context (null: all are).  A version that is not in it, or
+    equals the text, or differs too much, or whose patch is not shorter, is passed over; the reasons
+    come in that order of weight."""
+    stored_ = store.prior_versions(blobs.where("source = 'read_file' and content is not null"), prior)
+    v = stored_.select(F.col("file_path").alias("path"), "hash", "place", text.strip_line_numbers(F.col("content")).alias("old"))
+    if safe is not None:
+        v = v.join(safe.select("hash").distinct().withColumn("__safe", F.lit(True)), "hash", "left").withColumn("__safe", F.coalesce("__safe", F.lit(False)))
+    else:
+        v = v.withColumn("__safe", F.lit(True))
+    pairs = reads.select("read_id", "path", text.strip_line_numbers(F.col("content")).alias("new")).join(v, "path")
+    d = deltas(pairs.withColumn("old", F.when(F.col("__safe"), F.col("old"))).where("__safe")).unionByName(pairs.where("not __safe"), allowMissingColumns=True)
+    why = (
+        F.when(~F.col("__safe"), "not in context").when(F.col("old") == F.col("new"), "identical").when(F.col("script").isNull(), "too long")
+        .when(F.col("changed_ratio") > RATIO, "too different").when((F.length("patch") >= F.length("new")) | (F.length("patch") > cap - OVERHEAD), "patch not shorter")
+    )
+    weight = F.array_position(F.array(*map(F.lit, ("identical", "patch not shorter", "too long", "too different", "not in context"))), why)
+    tried = d.withColumn("why", why).groupBy("read_id").agg(
+        F.min_by(F.when(F.col("why").isNull(), F.struct("hash", "patch")), F.when(F.col("why").isNull(), F.col("place"))).alias("best"), F.max_by("why", weight).alias("why")
+    )
+    joined = reads.join(tried, "read_id", "left")
+    served = F.col("best").isNotNull()
+    reason = F.when(~served, F.coalesce("why", F.lit("no prior")))
+    return joined.select(*reads.columns, F.when(served, "delta").otherwise("full").alias("decision"), reason.alias("reason"), F.col("best.hash").alias("hash"), F.col("best.patch").alias("patch"))
+
+
+def refusals(decisions: DataFrame) -> DataFrame:
+    """``reason, n``: how often each reason has kept a delta from being served (null: served)."""
+    return decisions.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def window_deltas(requests: DataFrame, blobs: DataFrame, files: DataFrame, safe: DataFrame | None = None, cap: int = FIDELITY_CHARS) -> DataFrame:
+    """Changes inside line windows (``path, offset, limit``) of files that were read in full before.
+
+    ``blobs``: stored versions; ``files``: texts of now (``path, content``); ``safe``: hashes still in the
+    context (null: all).  Adds ``kind`` and ``text`` of the window's changes, or ``reason``."""
+    full = store.best_version(blobs.where("full_file and content is not null"), "file_path").select(F.col("file_path").alias("path"), "hash", F.col("content").alias("old"))
+    if safe is not None:
+        full = full.join(safe.select("hash").distinct().withColumn("__safe", F.lit(True)), "hash", "left")
+    else:
+        full = full.withColumn("__safe", F.lit(True))
+    wanted = requests.select("path").distinct()
+    pairs = wanted.join(full, "path").join(files.select("path", F.col("content").alias("new")), "path")
+    d = deltas(pairs).select("path", "hash", "__safe", "old", "new", "script", "added", "removed", "changed_ratio", "hunks")
+    joined = requests.join(d, "path", "left")
+    ref = F.concat(F.lit("[blob:"), F.left("hash", F.lit(12)), F.lit("]"))
+    made = delta.window_delta("hunks", "path", F.col("offset"), F.col("limit"), text.count_lines("new"), text.count_lines("old"), ref)
+    joined = joined.withColumn("__w", made).withColumn("__slice", text.line_window("new", F.col("offset"), F.col("limit")))
+    size = F.length("__w.text")
+    reason = (
+        F.when(F.col("hash").isNull(), "no prior").when(~F.coalesce("__safe", F.lit(False)), "not in context").when(F.col("script").isNull(), "too long")
+        .when(F.col("added") + F.col("removed") == 0, "identical").when(F.col("changed_ratio") > RATIO, "too different")
+        .when(F.col("__w").isNull() | F.col("__slice").isNull(), "out of bounds").when((size + OVERHEAD >= F.length("__slice")) | (size > cap - OVERHEAD), "patch not shorter")
+    )
+    fine = reason.isNull()
+    return joined.select(*requests.columns, F.when(fine, F.col("__w.kind")).alias("kind"), F.when(fine, F.col("__w.text")).alias("text"), reason.alias("reason"))
+
+
 def windows(requests: DataFrame, blobs: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Serve line windows (``path, offset, limit``) from the newest full version of a file that is proven
     unchanged.  ``window`` or ``reason``: ``no-blob, stale, out-of-bounds``."""
@@ -123,10 +196,29 @@ def elision_note(content: Column, tool: str, fidelity: bool = False) -> Column:
     return F.when(F.length(content) > OVERHEAD, note)
 
 
-def stub_safe(events: DataFrame, newest: int = 256) -> DataFrame:
+def elision_report(calls: DataFrame, by: str = "tool") -> DataFrame:
+    """By tool: calls that were answered by a note and the characters saved.  ``calls``: ``tool, content, note``."""
+    some = calls.where("note is not null")
+    return some.groupBy(by).agg(F.count("*").alias("elided"), F.sum(F.greatest(F.lit(0), F.length("content") - F.length("note"))).cast("bigint").alias("saved_chars"))
+
+
+def stub_safe(events: DataFrame, newest: int = 256, evicted: DataFrame | None = None) -> DataFrame:
     """For each delivery (``session, seq, hash, epoch``): whether an earlier delivery of the same hash is
-    still in the context: in the same epoch, with fewer than ``newest`` other deliveries since."""
-    w = Window.partitionBy("session", "hash").orderBy("seq")
-    place = Window.partitionBy("session").orderBy("seq")
-    rows = events.withColumn("__n", F.row_number().over(place))
-    return rows.withColumn("safe", F.coalesce((F.lag("epoch").over(w) == F.col("epoch")) & (F.col("__n") - F.lag("__n").over(w) <= newest), F.lit(False))).drop("__n")
+    still in the context: in the same epoch, with fewer than ``newest`` other hashes delivered since.
+    Hashes in ``evicted`` (``hash``) are none.  A fold of each session that remembers ``newest`` hashes."""
+
+    def step(held: OrderedDict, row: tuple) -> tuple[OrderedDict, tuple]:
+        seq, hash_, epoch = row
+        safe = hash_ in held and held[hash_] == epoch
+        held.pop(hash_, None)
+        held[hash_] = epoch
+        if len(held) > newest:
+            held.popitem(last=False)
+        return held, (seq, hash_, epoch, safe)
+
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("seq", "hash", "epoch")}
+    rows = fold(events, "session", ["seq"], ["seq", "hash", "epoch"], OrderedDict, step, f"seq {kinds['seq']}, hash {kinds['hash']}, epoch {kinds['epoch']}, safe boolean")
+    if evicted is None:
+        return rows
+    gone = evicted.select("hash").distinct().withColumn("__gone", F.lit(True))
+    return rows.join(gone, "hash", "left").withColumn("safe", F.col("safe") & F.col("__gone").isNull()).select("session", "seq", "hash", "epoch", "safe")

@@ -26,7 +26,7 @@ def ingest(outputs: DataFrame, content_col: str = "content", at_col: str = "ts_m
 def upsert(store: DataFrame, incoming: DataFrame, key: str = "hash", keep_first: tuple[str, ...] = ("size", "kind", "session", "content_at")) -> DataFrame:
     """Both tables' rows, one a key: ``keep_first`` columns and values that are null in the new row come
     from the stored one, ``created_at`` is the earlier and ``last_ref`` the later of both, whichever
-    came first."""
+    came first, and ``seen`` adds up."""
     a = store.withColumn("__new", F.lit(0))
     b = incoming.withColumn("__new", F.lit(1))
     both = a.unionByName(b, allowMissingColumns=True)
@@ -34,13 +34,18 @@ def upsert(store: DataFrame, incoming: DataFrame, key: str = "hash", keep_first:
 
     def merged(c: str) -> Column:
         place = F.when(F.col(c).isNotNull(), F.col("__new"))
-        if c in ("last_ref", "created_at"):
-            return (F.max(c) if c == "last_ref" else F.min(c)).alias(c)
+        if c in ("last_ref", "created_at", "seen"):
+            return {"last_ref": F.max, "created_at": F.min, "seen": F.sum}[c](c).alias(c)
         return (F.min_by(c, place) if c in keep_first else F.max_by(c, place)).alias(c)
 
     return both.groupBy(key).agg(*(merged(c) for c in cols)).select(*store.columns, *(c for c in incoming.columns if c not in store.columns))
 
 
+def revision(*revisions: Column) -> Column:
+    """The revision of a merged index: the largest of all."""
+    return F.greatest(*(F.coalesce(r, F.lit(0)) for r in revisions))
+
+
 def merge_index(memory: DataFrame, disk: DataFrame, contents: DataFrame) -> DataFrame:
     """Checkpoint: rows in memory win over those on disk; rows without content go."""
     only = disk.join(memory.select("hash"), "hash", "left_anti")
@@ -48,14 +53,17 @@ def merge_index(memory: DataFrame, disk: DataFrame, contents: DataFrame) -> Data
 
 
 def newest_version(blobs: DataFrame, path: str = "file_path", version: str = "file_mtime") -> DataFrame:
-    return blobs.where(F.col(path).isNotNull() & F.col(version).isNotNull()).groupBy(path).agg(F.max(version).alias("__newest"))
+    """Latest version of each path, and the hash of (one of) its rows."""
+    rows = blobs.where(F.col(path).isNotNull() & F.col(version).isNotNull())
+    return rows.groupBy(path).agg(F.max(version).alias("__newest"), F.max_by("hash", F.struct(version, "hash")).alias("__hash"))
 
 
 def supersede(blobs: DataFrame, path: str = "file_path", version: str = "file_mtime") -> DataFrame:
-    """``blobs`` with ``superseded boolean, cause``: rows of which the path has a later version.  The latest
-    version a path is found by a map-side combined maximum, so a hot path is no hot task."""
+    """``blobs`` with ``superseded boolean, cause``: rows of which the path has a later version with another
+    hash (a file that was only touched supersedes nothing).  The latest version a path is found by a
+    map-side combined maximum, so a hot path is no hot task."""
     marked = blobs.join(newest_version(blobs, path, version), path, "left")
-    old = F.coalesce(F.col(version) < F.col("__newest"), F.lit(False))
+    old = F.coalesce((F.col(version) < F.col("__newest")) & (F.col("hash") != F.col("__hash")), F.lit(False))
     cause = F.when(old, F.when(F.col("source") == "read_file", "edited").otherwise("re-ingested")) if "source" in blobs.columns else F.when(old, "edited")
     return marked.select(*blobs.columns, old.alias("superseded"), cause.alias("cause"))
 
@@ -141,6 +149,15 @@ def prune_orphans(blobs: DataFrame, contents: DataFrame) -> DataFrame:
     return blobs.join(contents.select("hash"), "hash", "left_semi")
 
 
+def collect_garbage(blobs: DataFrame, contents: DataFrame, now: Column, cap_bytes: int = CAP_BYTES, cap_blobs: int = CAP_BLOBS, least_age_ms: int = 30 * 60_000,
+                    active_sessions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left of the index and of the contents: rows that :func:`evict` names go, so do rows without
+    content, and contents without a row."""
+    gone = evict(blobs, now, cap_bytes, cap_blobs, least_age_ms, active_sessions).select("hash")
+    left = prune_orphans(blobs.join(gone, "hash", "left_anti"), contents)
+    return left, contents.join(left.select("hash"), "hash", "left_semi")
+
+
 def purge(blobs: DataFrame, workspace: str | None = None) -> DataFrame:
     """What stays when a workspace, or everything, is purged."""
     return blobs.where(F.lit(False)) if workspace is None else blobs.where(~F.col("workspace").eqNullSafe(F.lit(workspace)))

@@ -39,22 +39,38 @@ def millis(ts: Column) -> Column:
 
 
 def _stored_documents(spark, sf) -> DataFrame:
+    """Documents as outputs of two workspaces (and some of none): edits among them, calls that are
+    repeated, and commands on files that are proven unchanged or were modified."""
     d = table(spark, sf, "documents")
     age = F.pmod(c("doc_id"), F.lit(2000)) * 60_000
     none = F.lit(None)
+    proven = F.pmod(c("doc_id"), F.lit(8)) == 2
+    on_file = F.when(proven, F.lit(5.0))
     return d.select(
         "doc_id", c("text").alias("content"), c("doc_id").alias("seq"), (F.lit(NOW) - age).alias("created_at"), (F.lit(NOW) - age).alias("last_ref"), none.cast("double").alias("content_at"),
-        F.when(c("doc_id") % 2 == 0, "shell_command").otherwise("web_fetch").alias("source"), F.when(c("doc_id") % 4 == 0, "git status").otherwise("ls").alias("command"),
-        F.when(c("doc_id") % 3 == 0, "other").otherwise("here").alias("workspace"), none.cast("string").alias("file_path"), none.cast("boolean").alias("edited_by_model"),
-        *(none.cast("double").alias(x) for x in ("file_mtime", "file_size", "file_ctime", "dir_mtime", "dir_size", "dir_ctime")),
+        F.when(c("doc_id") % 10 == 7, "edit_file").when(c("doc_id") % 2 == 0, "shell_command").otherwise("web_fetch").alias("source"),
+        F.concat(F.when(c("doc_id") % 4 == 0, "git status ").otherwise("ls "), (c("doc_id") % 300).cast("string")).alias("command"),
+        F.when(c("doc_id") % 11 == 5, none).when(c("doc_id") % 3 == 0, "other").otherwise("here").alias("workspace"), none.cast("string").alias("file_path"), none.cast("boolean").alias("edited_by_model"),
+        *(on_file.alias(x) for x in ("file_mtime", "file_size", "file_ctime", "now_ctime")), F.when(proven, F.when(c("doc_id") % 16 == 2, 5.0).otherwise(6.0)).alias("now_mtime"), on_file.alias("now_size"),
+        proven.alias("file_checked"), *(none.cast("double").alias(x) for x in ("dir_mtime", "dir_size", "dir_ctime")),
     )
 
 
-def recall_ranked(spark, sf):
-    out = search.recall(_stored_documents(spark, sf), QUERY, 20, F.lit(NOW), "here", id_col="doc_id")
+def _recalled(out):
     return out.select(c("id").alias("doc_id"), F.round("rrf", 6).alias("rrf"), F.round("relevance", 6).alias("relevance"), "confidence", "stale", "reason", "snippet")
 
 
+def recall_ranked(spark, sf):
+    return _recalled(search.recall(_stored_documents(spark, sf), QUERY, 20, F.lit(NOW), "here", id_col="doc_id"))
+
+
+def recall_indexed(spark, sf):
+    """The same through postings: only candidates of the index are read."""
+    d = _stored_documents(spark, sf)
+    index = search.postings(d.where("content is not null"), "doc_id", "content")
+    return _recalled(search.recall(d, QUERY, 20, F.lit(NOW), "here", id_col="doc_id", index=index))
+
+
 def index_postings(spark, sf):
     p = search.postings(table(spark, sf, "documents"), "doc_id", "text")
     return p.groupBy(c("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
@@ -511,7 +527,7 @@ def rollup_bench(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        recall_ranked, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
+        recall_ranked, recall_indexed, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
         prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, commitments_crushed, redact_counts,
         redact_text, char_entropy, token_estimate, bigram_shingles, dedup_runs, log_template_collapse, group_squash, salient_crush, prose_compress, table_compact, json_crush, anchors,
         smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,

@@ -57,25 +57,40 @@ def _tf(t: str) -> str:
 
 
 _idf = lambda t: f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5))"
-RECALL = f"""
+
+def recall(also: str) -> str:
+    """The best 20 fresh and the first 20 stale documents; ``also``: what else a document must have."""
+    return f"""
 WITH {ATOMS},
   s AS (SELECT (SELECT count(*) FROM documents) AS n, {", ".join(f"(SELECT count(*) FROM tok WHERE term = '{t}') AS df_{t}" for t in TERMS)}),
-  d AS (SELECT doc_id, text, {fold("text")} AS f, (doc_id % 2000) * 60000 AS age FROM documents WHERE text IS NOT NULL),
-  h AS (SELECT doc_id, text, age, f, round(least(1.0, ({" + ".join(f"{_tf(t)} * {_idf(t)}" for t in TERMS)}) / (greatest(0.01, {", ".join(map(_idf, TERMS))}) * {3 * len(TERMS)})), 9) AS relevance,
-    coalesce({", ".join(f"nullif(strpos(f, '{t}'), 0)" for t in TERMS)})  AS place_at,
-    CASE WHEN doc_id % 3 = 0 THEN -70 ELSE 25 END AS place,
-    CASE WHEN doc_id % 2 = 1 THEN CASE WHEN age < 120000 THEN 10 WHEN age < 900000 THEN -15 ELSE -35 END
+  a AS (SELECT doc_id, text, {fold("text")} AS f, lower(text) AS l, (doc_id % 2000) * 60000 AS age,
+    CASE WHEN doc_id % 10 = 7 THEN 'edit_file' WHEN doc_id % 2 = 0 THEN 'shell_command' ELSE 'web_fetch' END AS source,
+    CASE WHEN doc_id % 4 = 0 THEN 'git status ' ELSE 'ls ' END || (doc_id % 300) AS command,
+    CASE WHEN doc_id % 11 = 5 THEN NULL WHEN doc_id % 3 = 0 THEN 'other' ELSE 'here' END AS workspace FROM documents),
+  nw AS (SELECT source, command, first(doc_id ORDER BY age, doc_id) AS newest FROM a WHERE workspace = 'here' GROUP BY source, command),
+  d AS (SELECT a.*, doc_id <> newest AS later FROM a JOIN nw USING (source, command) WHERE workspace = 'here' AND source <> 'edit_file' AND text IS NOT NULL {also}),
+  h AS (SELECT doc_id, text, age, later, round(least(1.0, ({" + ".join(f"{_tf(t)} * {_idf(t)}" for t in TERMS)}) / (greatest(0.01, {", ".join(map(_idf, TERMS))}) * {3 * len(TERMS)})), 9) AS relevance,
+    coalesce({", ".join(f"nullif(strpos(l, '{t}'), 0)" for t in TERMS)}, {", ".join(f"nullif(strpos(f, '{t}'), 0)" for t in TERMS)}) AS place_at,
+    source = 'shell_command' AND doc_id % 8 = 2 AS proven,
+    CASE WHEN source = 'web_fetch' THEN CASE WHEN age < 120000 THEN 10 WHEN age < 900000 THEN -15 ELSE -35 END
+         WHEN doc_id % 8 = 2 THEN CASE WHEN doc_id % 16 = 2 THEN 40 ELSE -60 END
          WHEN doc_id % 4 = 0 THEN CASE WHEN age < 300000 THEN 5 WHEN age < 1800000 THEN -10 ELSE -25 END ELSE 0 END AS proof
     FROM d, s WHERE {" OR ".join(f"contains(f, '{t}')" for t in TERMS)}),
-  k AS (SELECT *, greatest(0, least(100, 50 + place + proof + {_age})) AS confidence FROM h),
-  r AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, doc_id) AS ra, row_number() OVER (ORDER BY confidence DESC, doc_id) AS rb FROM k),
+  k AS (SELECT *, greatest(0, least(100, 75 + proof + CASE WHEN proven THEN 0 ELSE {_age} END - CASE WHEN later THEN 30 ELSE 0 END)) AS confidence FROM h),
+  r AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, doc_id) AS ra, row_number() OVER (ORDER BY confidence DESC, doc_id) AS rb FROM k WHERE confidence >= 40),
   b AS (SELECT *, round(1.0 / (60 + ra) + 1.0 / (60 + rb), 9) AS rrf FROM r ORDER BY rrf DESC, doc_id LIMIT 20),
-  m AS (SELECT *, cast(floor(CASE WHEN age < 3600000 THEN 2000 WHEN age < 86400000 THEN 1500 ELSE 1000 END) AS bigint) AS room FROM b)
-SELECT doc_id, round(rrf, 6) AS rrf, round(relevance, 6) AS relevance, cast(confidence AS bigint) AS confidence, confidence < 40 AS stale,
-  CASE WHEN confidence < 40 THEN CASE WHEN place = -70 THEN 'other workspace' ELSE 'too old' END END AS reason,
-  CASE WHEN confidence >= 40 THEN substr(text, greatest(1, place_at - room // 2), room) END AS snippet FROM m
+  m AS (SELECT *, CASE WHEN proven OR age < 3600000 THEN 2000 WHEN age < 86400000 THEN 1500 ELSE 1000 END AS room FROM b)
+SELECT doc_id, round(rrf, 6) AS rrf, round(relevance, 6) AS relevance, cast(confidence AS bigint) AS confidence, false AS stale, NULL AS reason,
+  CASE WHEN length(text) <= room THEN text ELSE substr(text, least(greatest(1, place_at - room // 2), length(text) - room + 1), room) END AS snippet FROM m
+UNION ALL
+(SELECT doc_id, NULL, round(relevance, 6), cast(confidence AS bigint), true,
+  CASE WHEN proof = -60 THEN 'file modified' WHEN later THEN 'superseded' ELSE 'too old' END, NULL FROM k WHERE confidence < 40 ORDER BY confidence DESC, doc_id LIMIT 20)
 """
 
+
+RECALL = recall("")
+RECALL_INDEXED = recall(f"AND doc_id IN (SELECT doc_id FROM tok WHERE term IN ({', '.join(q(w) for w in QUERY.lower().split())}))")
+
 _hash = "sha256({0})"
 _files = """
   d AS (SELECT *, source || '/' || (doc_id % 50) || '.txt' AS p FROM documents),
@@ -238,6 +253,7 @@ _pts = "CASE WHEN turn % 80 > 60 THEN 2 WHEN turn % 80 > 35 THEN 1 ELSE 0 END"
 
 ORACLE_SQL = {
     "recall_ranked": RECALL,
+    "recall_indexed": RECALL_INDEXED,
     "index_postings": f"WITH {ATOMS} SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY doc_id",
     "index_idf": f"WITH {ATOMS}, n AS (SELECT count(*) AS n FROM documents), c AS (SELECT term, count(*) AS df FROM tok GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM c, n",
     "index_query": f"WITH {ATOMS} SELECT doc_id, count(*) AS matches FROM tok WHERE term IN {in_list(QUERY.split() + ['that'])} GROUP BY doc_id",

@@ -112,16 +112,65 @@ def test_stateful_streams(spark, tmp_path):
     assert sorted((r.item, r.at_ms) for r in got) == [("a", 0), ("a", 600_001), ("b", 250_000)]
 
 
-def test_deliver_once_and_ingest(spark, tmp_path):
+def test_deliver_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("a", 3, 3)], "content string, ts_ms bigint, seq bigint")
-    path = str(tmp_path / "store")
-    stateful.ingest(stream_of(spark, rows, str(tmp_path / "in"), 3), path, str(tmp_path / "ck")).awaitTermination()
-    last = max(int(v[1:]) for v in os.listdir(path) if v[0] == "v")
-    got = spark.read.parquet(f"{path}/v{last}")
-    assert {(r.content, r.created_at, r.last_ref) for r in got.collect()} == {("a", 1, 3), ("b", 2, 2)}
     t = rows.withColumn("t", F.timestamp_millis("ts_ms"))
     assert drain(spark, stateful.deliver_once(stream_of(spark, t, str(tmp_path / "t"), 1), ["content"]), "once", "append").count() == 2
 
 
+def test_ingest_over_batches_equals_one_batch(spark, tmp_path):
+    """All columns after several batches, before and after compaction, as after a single one."""
+    secret = "token ghp_" + "a1B2" * 9
+    rows = [("a text", 1, 1, "/f", 10.0), ("b", 2, 2, None, None), ("a text", 3, 3, "/f", 10.0), (secret, 4, 4, "/f", 11.0), ("\x00\x01", 5, 5, None, None), (None, 6, 6, None, None), ("a text", 7, 7, "/f", 12.0), ("b", 8, 8, "/g", 1.0)]
+    outputs = spark.createDataFrame(rows, "content string, ts_ms bigint, seq bigint, file_path string, file_mtime double")
+    stores = {}
+    for n in (1, 3, 8):
+        path = str(tmp_path / f"store{n}")
+        stateful.ingest(stream_of(spark, outputs, str(tmp_path / f"in{n}"), n), path, str(tmp_path / f"ck{n}")).awaitTermination()
+        got = lambda: sorted(map(str, stateful.current(spark, path).collect()))  # noqa: B023, E731
+        stores[n] = got()
+        terms = sorted(map(str, stateful.index(spark, path).collect()))
+        assert {r.content: r.seen for r in stateful.current(spark, path).collect()}["a text"] == 3
+        stateful.compact(spark, path)
+        assert got() == stores[n] and sorted(map(str, stateful.index(spark, path).collect())) == terms
+    assert stores[1] == stores[3] == stores[8] and len(stores[1]) == 4
+    assert not any(secret in x for x in stores[1]) and any("kind='binary'" in x for x in stores[1])
+    assert sum("superseded=True" in x for x in stores[1]) == 1  # the redacted text; the other was read again later
+
+
+def test_ingest_goes_on_after_compaction(spark, tmp_path):
+    path, ck, inp = str(tmp_path / "store"), str(tmp_path / "ck"), str(tmp_path / "in")
+    first = spark.createDataFrame([("a", 1, 1), ("b", 2, 2)], "content string, ts_ms bigint, seq bigint")
+    first.write.mode("append").parquet(inp)
+    read = lambda: spark.readStream.schema(first.schema).parquet(inp)
+    stateful.ingest(read(), path, ck).awaitTermination()
+    stateful.compact(spark, path)
+    spark.createDataFrame([("a", 5, 5)], first.schema).write.mode("append").parquet(inp)
+    stateful.ingest(read(), path, ck).awaitTermination()
+    for _ in range(2):
+        got = {r.content: (r.seen, r.created_at, r.last_ref, r.seq) for r in stateful.current(spark, path).collect()}
+        assert got == {"a": (2, 1, 5, 1), "b": (1, 2, 2, 2)}
+        stateful.compact(spark, path)
+
+
+def test_usage_stream_equals_batch(spark, tmp_path):
+    rows = [(f"s{i % 3}", ("m1", "m2", "none")[i % 3 if i % 2 else 0], 100 + i, 10 * i, i, 1_700_000_000 + 60 * i) for i in range(40)]
+    u = spark.createDataFrame(rows, "session string, model string, input_tokens bigint, output_tokens bigint, cache_read bigint, at bigint").withColumn("t", F.timestamp_seconds("at"))
+    prices = spark.createDataFrame([("m1", 2.0, 8.0, None), ("m2", 1.0, 3.0, 0.5)], "model string, input_per_m double, output_per_m double, cache_read_per_m double")
+    got = drain(spark, stateful.usage_costs(stream_of(spark, u, str(tmp_path / "u"), 4), prices), "costs", "complete").collect()
+    want = {}
+    price = {r.model: r for r in prices.collect()}
+    for s, m, i, o, c, at in rows:
+        k = (s, m, at // 3600)
+        n, cost = want.get(k, (0, 0.0))
+        p = price.get(m)
+        own = None if p is None else (max(i - c, 0) * p.input_per_m + o * p.output_per_m + c * (p.input_per_m * 0.1 if p.cache_read_per_m is None else p.cache_read_per_m)) / 1e6
+        want[k] = (n + 1, None if own is None else cost + own)
+    assert {(r.session, r.model, int(r.window.start.timestamp()) // 3600): r.requests for r in got} == {k: n for k, (n, _) in want.items()}
+    for r in got:
+        cost = want[(r.session, r.model, int(r.window.start.timestamp()) // 3600)][1]
+        assert (r.cost is None) == (cost is None) and (cost is None or abs(r.cost - cost) < 1e-12)
+
+
 def test_schemas():
     assert schema.struct(schema.BLOBS)["hash"].nullable is False and len(schema.struct(schema.USAGES)) == 6
