@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .base import ColumnOrName, any_of, col, count_where, let, lines
 
+# What lines of each kind look like.
 _FRAME = [r"^at [A-Za-z0-9_$./<>-]+\s*\(.*\)$", r'^File ".*", line [0-9]+', r"^raise [A-Za-z0-9_.]+"]
 _LOG = [
     r"(^|[^A-Za-z0-9_])(ERROR|FAIL|WARN|INFO|DEBUG|TRACE|PASSED|FAILED|ok)([^A-Za-z0-9_]|$)",
@@ -18,11 +19,10 @@ _LOG = [
 _CODE_START = r"^(import |export |from |require\(|const |let |var |function |class |interface |type |def |fn |func |pub |impl )"
 _SEARCH = r"^[^\s:]+:[0-9]+:"
 _DIFF = r"^(diff --git|--- a/|@@ -[0-9]+,[0-9]+ \+[0-9]+,[0-9]+ @@)"
-_BLANK = "[ \t\r\n]+"
 
 
 def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def is_log_line(line: Column) -> Column:

@@ -21,12 +21,11 @@ c = F.col
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table.  Texts in a file so small that it is read in fewer splits than there are cores are dealt
-    out, as whatever follows costs more than to move them."""
+    """A table.  One that is read in a single split (a file of one row group) is dealt out, as what follows
+    costs more than to move that split."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    if name in ("documents", "pages") and df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -393,7 +392,7 @@ def ols_tokens(spark, sf):
 
 def running_mean(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", (c("value") * 4 + 1).alias("chars"), (c("value") + 1).alias("tokens"))
-    r = meter.running_ratio(e, "user_id", "event_id", memory=1 << 30)
+    r = meter.running_ratio(e, "user_id", "event_id", memory=8)
     return r.select("user_id", "samples", F.round("chars_per_token", 6).alias("chars_per_token"))
 
 

@@ -188,6 +188,32 @@ def _redact_sql() -> str:
     return sql + f"\nSELECT doc_id, {', '.join(out)} FROM {before}"
 
 
+BREAKER = """
+WITH s AS (SELECT user_id, list(event_type IN ('error', 'click') ORDER BY event_id) AS f FROM events GROUP BY user_id),
+  r AS (SELECT user_id, list_reduce(f, lambda s, bad: CASE
+    WHEN s.state = 'open' AND s.turns + 1 >= 5 THEN {'state': 'half-open', 'failures': s.failures, 'turns': 0, 'opened': s.opened}
+    WHEN s.state = 'open' THEN {'state': 'open', 'failures': s.failures, 'turns': s.turns + 1, 'opened': s.opened}
+    WHEN bad AND (s.state = 'half-open' OR s.failures + 1 >= 3) THEN {'state': 'open', 'failures': s.failures + 1, 'turns': 0, 'opened': s.opened + 1}
+    WHEN bad THEN {'state': 'closed', 'failures': s.failures + 1, 'turns': 0, 'opened': s.opened}
+    ELSE {'state': 'closed', 'failures': 0, 'turns': 0, 'opened': s.opened} END,
+    {'state': 'closed', 'failures': 0, 'turns': 0, 'opened': 0}) AS s FROM s)
+SELECT user_id, s.state AS state, cast(s.failures AS bigint) AS failures, cast(s.opened AS bigint) AS opened FROM r
+"""
+
+NUMBERED = r"""
+WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = doc_id % 3 THEN x ELSE i || ': ' || x END) AS a FROM documents),
+  k AS (SELECT doc_id, a, len(list_filter(a, lambda x: regexp_matches(x, '^\s*\d+: '))) AS own, len(list_filter(a, lambda x: trim(x) <> '')) AS n FROM l)
+SELECT doc_id, sha256(array_to_string(CASE WHEN n > 0 AND own * 2 >= n THEN list_transform(a, lambda x: regexp_replace(x, '^\s*\d+: ', '')) ELSE a END, chr(10))) AS sha FROM k
+"""
+
+BINARY = r"""
+WITH t AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 7 = 0 THEN regexp_replace(base64(encode(text)), '(.{76})', '\1' || chr(10), 'g') ELSE text END, '') AS t FROM documents),
+  s AS (SELECT doc_id, t, left(t, 8192) AS s, list_filter(string_split(t, chr(10)), lambda x: length(x) >= 8 AND trim(x) <> '') AS a FROM t)
+SELECT doc_id, t <> '' AND (contains(s, chr(0)) OR (length(s) - length(regexp_replace(s, '[\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))) / greatest(length(s), 1) > 0.1
+  OR (NOT (regexp_matches(s, '</?[a-z][\s\S]{0,200}?>') OR regexp_matches(s, 'https?://\S+') OR regexp_matches(s, '(?m)^#+\s') OR regexp_matches(s, '[\x{00C0}-\x{017F}]'))
+    AND len(a) >= 3 AND len(list_filter(a, lambda x: NOT regexp_matches(trim(x), '^[A-Za-z0-9+/=]+$'))) = 0)) AS is_binary FROM s
+"""
+
 _bl = "[ \\t\\r\\n]+"
 _strip = lambda x: f"regexp_replace({x}, '^{_bl}|{_bl}$', '', 'g')"
 TYPES = f"""
@@ -252,6 +278,9 @@ SELECT doc_id, negation + len(e) + len(u) + len(v) + len(h) + len(p) AS total,
 _pts = "CASE WHEN turn % 80 > 60 THEN 2 WHEN turn % 80 > 35 THEN 1 ELSE 0 END"
 
 ORACLE_SQL = {
+    "breaker_fold": BREAKER,
+    "line_numbers_strip": NUMBERED,
+    "binary_detect": BINARY,
     "recall_ranked": RECALL,
     "recall_indexed": RECALL_INDEXED,
     "index_postings": f"WITH {ATOMS} SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY doc_id",
@@ -335,7 +364,8 @@ ORACLE_SQL = {
         s AS (SELECT lang, count(*) AS n, covar_pop(a, a) AS aa, covar_pop(c, c) AS cc, covar_pop(a, c) AS ac, covar_pop(a, t) AS t_a, covar_pop(c, t) AS t_c, avg(a) AS ma, avg(c) AS mc, avg(t) AS mt FROM d GROUP BY lang),
         k AS (SELECT *, CASE WHEN cc > 0 THEN (t_a * cc - t_c * ac) / (aa * cc - ac * ac) ELSE t_a / aa END AS b, CASE WHEN cc > 0 THEN (t_c * aa - t_a * ac) / (aa * cc - ac * ac) ELSE 0 END AS g FROM s)
         SELECT lang, n AS samples, round(b, 4) AS slope_ascii, round(g, 3) + 0.0 AS slope_cjk, round(mt - b * ma - g * mc, 2) AS intercept FROM k""",
-    "running_mean": "SELECT user_id, count(*) AS samples, round(avg((value * 4 + 1) / (value + 1)), 6) AS chars_per_token FROM events GROUP BY user_id",
+    "running_mean": """WITH s AS (SELECT user_id, list((value * 4 + 1) / (value + 1) ORDER BY event_id) AS r FROM events WHERE value * 4 + 1 > 0 AND value + 1 > 0 GROUP BY user_id)
+      SELECT user_id, len(r) AS samples, round(list_reduce(r, lambda m, x, i: m + (x - m) / least(i, 8)), 6) AS chars_per_token FROM s""",
     "ece_bins": """WITH r AS (SELECT greatest(0.0, least(0.9999, n_chars * 37 % 101 / 100.0))::double AS c, (quality = 1)::int AS hit FROM labels JOIN documents USING (doc_id)), g AS (SELECT cast(floor(c * 10) AS bigint) AS bin, count(*) AS n, avg(c) AS confidence, avg(hit) AS accuracy FROM r GROUP BY 1)
         SELECT b.bin, coalesce(n, 0) AS n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy, round(abs(confidence - accuracy), 6) AS gap FROM (SELECT unnest(range(10)) AS bin) b LEFT JOIN g USING (bin)""",
     "pressure_growth": f"""WITH {_usage}, w AS (SELECT *, i - lag(i) OVER (PARTITION BY session ORDER BY turn) AS rise FROM u),
