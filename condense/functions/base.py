@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -35,8 +36,12 @@ def joined(a: Column) -> Column:
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns is found, in one pass; flags hold in their own pattern only."""
-    return c.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    """Whether one of the patterns is found.  Those that begin at the start of the text are one pattern
+    (flags hold in their own part only); the others are tried alone, which lets each skip ahead."""
+    first = [p for p in patterns if p.removeprefix("(?i)").startswith("^")]
+    rest = [p for p in patterns if p not in first]
+    tests = ([c.rlike("|".join(f"(?:{p})" for p in first))] if first else []) + [c.rlike(p) for p in rest]
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False)) if len(tests) != 1 else tests[0]
 
 
 def count_where(a: Column, test: Callable[[Column], Column]) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import ColumnOrName, any_of, col, count_where, let, lines
+from .base import ColumnOrName, any_of, col, count_where, let, lines, word
 
 # What lines of each kind look like.
 _FRAME = [r"^at [A-Za-z0-9_$./<>-]+\s*\(.*\)$", r'^File ".*", line [0-9]+', r"^raise [A-Za-z0-9_.]+"]
 _LOG = [
-    r"(^|[^A-Za-z0-9_])(ERROR|FAIL|WARN|INFO|DEBUG|TRACE|PASSED|FAILED|ok)([^A-Za-z0-9_]|$)",
+    word("ERROR|FAIL|WARN|INFO|DEBUG|TRACE|PASSED|FAILED|ok"),
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}",
     r"^\[[0-9]{2}:[0-9]{2}:[0-9]{2}\]",
     r"^(npm ERR!|Traceback|panic:)",

@@ -10,29 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import count_by_first, coverage_size, prefix_within
-from .base import ColumnOrName, any_of, col, joined, let, lines
+from .base import ColumnOrName, any_of, col, joined, let, lines, word
 from .detect import detect_type
 from .language import NEGATIONS, STOPWORDS, detect_language, is_protected, words_of
 from .text import bigrams, estimate_tokens, fold_ascii
 
 
-def bounded(p: str) -> str:
-    """A test for ``p`` as an ASCII word."""
-    return f"(^|[^A-Za-z0-9_])(?:{p})([^A-Za-z0-9_]|$)"
-
-
 # What makes a segment salient, and what is always kept.
-TROUBLE = "(?i)" + bounded("error|exception|failed|fail|warning|traceback|assert|todo|fixme")
-NUMBER, CAPITALS, DOTTED = bounded("[0-9]+"), bounded("[A-Z]{2,}"), r"[A-Za-z0-9_.-]+\.[A-Za-z0-9_-]+"
+TROUBLE = "(?i)" + word("error|exception|failed|fail|warning|traceback|assert|todo|fixme")
+NUMBER, CAPITALS, DOTTED = word("[0-9]+"), word("[A-Z]{2,}"), r"[A-Za-z0-9_.-]+\.[A-Za-z0-9_-]+"
 FORCED = [
     "(?i)error|fail|exception|traceback|✗|×|not ok",
-    r"(?i)(^|[^a-z0-9_])(https?://|www\.)",
-    "(?i)" + bounded(r"v?[0-9]+\.[0-9]+(\.[0-9]+)*"),
-    bounded("[0-9]{4}-[0-9]{2}-[0-9]{2}"),
-    bounded("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"),
-    r"(?i)(^|[^a-z0-9_])[0-9]+([.,][0-9]+)?\s?(%|€|\$|£|USD|EUR|KB|MB|GB|TB|ms|µs|ns)",
-    "(?i)" + bounded("[a-f0-9]{7,40}"),
-    "(?i)" + bounded("ne|pas|jamais|rien|aucun|aucune|ni|sans|not|no|never|none|nunca|nada|nicht|nie|kein|keine|niemals"),
+    r"(?i)(?<![a-z0-9_])(https?://|www\.)",
+    "(?i)" + word(r"v?[0-9]+\.[0-9]+(\.[0-9]+)*"),
+    word("[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    word("[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"),
+    r"(?i)(?<![a-z0-9_])[0-9]+([.,][0-9]+)?\s?(%|€|\$|£|USD|EUR|KB|MB|GB|TB|ms|µs|ns)",
+    "(?i)" + word("[a-f0-9]{7,40}"),
+    "(?i)" + word("ne|pas|jamais|rien|aucun|aucune|ni|sans|not|no|never|none|nunca|nada|nicht|nie|kein|keine|niemals"),
 ]
 
 
@@ -75,7 +70,7 @@ def crush_text(c: ColumnOrName, least_chars: int = 2000, ratio: float = 0.5) ->
 
 
 KEPT_LOG_LINE = r"(?i)error|fail|✗|×|not ok|warning|warn:|panic|exception|undefined|cannot|expected|assert|-->|(^|[^a-z0-9_])(at|in)([^a-z0-9_]|$)"
-HAS_FIGURE = [bounded(r"[0-9]+(\.[0-9]+)*"), "(?i)" + bounded("[0-9a-f]{6,}"), bounded(r"v?[0-9]+\.[0-9]+(\.[0-9]+)?([-+][A-Za-z0-9_.]+)?")]
+HAS_FIGURE = [word(r"[0-9]+(\.[0-9]+)*"), "(?i)" + word("[0-9a-f]{6,}"), word(r"v?[0-9]+\.[0-9]+(\.[0-9]+)?([-+][A-Za-z0-9_.]+)?")]
 
 
 def log_template(line: Column) -> Column:
@@ -117,6 +112,7 @@ def collapse_log(c: ColumnOrName, least_lines: int = 8) -> Column:
     return let(lines(text), collapse)
 
 
+# Lines of stack traces, frames of runtimes, heads of traces.
 _FRAMES = [
     r'^File ".*", line \d+', r"^at [A-Za-z0-9_$./<>-]+ ?\(.*\)$", r"^at [A-Za-z0-9_$./<>-]+$", r"^at .*:\d+(?::\d+)?$",
     r"^[A-Za-z0-9_./]+\(\)$", r"^/?[A-Za-z0-9_./-]+:\d+\s+\+0x[0-9a-f]+$", r"^in .+:\d+$",
@@ -177,6 +173,7 @@ def compress_traces(c: ColumnOrName, most_traces: int = 3, most_frames: int = 20
 
 #: Trimmed off words before they are looked up: ASCII and typographic characters that are no letters.
 NO_LETTERS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalpha()) + "…–—«»“”‘’„¿¡·•€£°§"
+# Fixed value: words that begin a line of code.
 _CODE_WORDS = "export|import|function|const|let|var|async|await|return|if|else|for|while|class|interface|type|enum|def|fn|func|pub|impl|use|package|require|from"
 
 
@@ -208,13 +205,16 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
 
     def tokens(line: Column, li: Column, lang: Column) -> Column:
         cut = lambda x: F.regexp_extract_all(x, F.lit(r"([ \t\r\f]+|[^ \t\r\f]+)"), F.lit(1))
-        pieces = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"))  # folding leaves white space alone
-        lead = line.rlike(r"^[ \t\r\f]").cast("int")
+        # folding leaves white space alone; all that words need of their line is computed once
+        lead_ = line.rlike(r"^[ \t\r\f]").cast("int")
+        pieces = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"), lead_.alias("lead"))
 
         def mark(x: Column) -> Column:
-            return let(F.shiftright(F.size(x["p"]) + 1 - lead, 1), lambda words: marked_pieces(x, words))
+            return let(F.shiftright(F.size(x["p"]) + 1 - x["lead"], 1), lambda words: marked_pieces(x, words))
 
         def marked_pieces(x: Column, words: Column) -> Column:
+            lead = x["lead"]
+
             def stop(i: Column, w: Column) -> Column:
                 folded = F.btrim(F.element_at(x["f"], i + 1), F.lit(NO_LETTERS))
                 return let(folded, lambda f: is_stop(f, lang) & ~f.isin(*NEGATIONS) & ~is_protected(F.btrim(F.lower(w), F.lit(NO_LETTERS))))

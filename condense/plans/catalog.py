@@ -104,7 +104,7 @@ def content_store_upsert(spark, sf):
 
 
 def supersede_antijoin(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", c("source").alias("file_path"), (c("doc_id") - c("doc_id") % 40).cast("double").alias("file_mtime"))
+    d = table(spark, sf, "documents").select("doc_id", c("source").alias("file_path"), (c("doc_id") - c("doc_id") % 40).cast("double").alias("file_mtime"), (c("n_chars") % 5).cast("string").alias("hash"))
     return store.supersede(d).select("doc_id", "superseded")
 
 
