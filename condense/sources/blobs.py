@@ -50,6 +50,29 @@ def lookup(contents: DataFrame, hashes: list[str]) -> DataFrame:
     return contents.where(F.col("hash").isin(*hashes))
 
 
+def exists(contents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``hash, exists`` of each asked hash."""
+    own = contents.select("hash").distinct().withColumn("__there", F.lit(True))
+    return hashes.select("hash").distinct().join(own, "hash", "left").select("hash", F.col("__there").isNotNull().alias("exists"))
+
+
+def listing(contents: DataFrame) -> DataFrame:
+    """``hash, size, created_at`` of all contents."""
+    return contents.select("hash", F.length("content").cast("bigint").alias("size"), "created_at")
+
+
+def without(contents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """What is left when contents are deleted."""
+    return contents.join(hashes.select("hash").distinct(), "hash", "left_anti")
+
+
+def consistent(files: DataFrame, after: DataFrame) -> DataFrame:
+    """Files whose time and size are those of a listing (``path, mtime, size``) made after they were read;
+    what was written in between is dropped."""
+    a = after.select("path", F.col("mtime").alias("__m"), F.col("size").alias("__s"))
+    return files.join(a, "path").where((F.col("mtime") == F.col("__m")) & (F.col("size") == F.col("__s"))).drop("__m", "__s")
+
+
 def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_FILE_BYTES) -> DataFrame:
     """Text files up to a size, decoded as UTF-8 or UTF-16 by their mark; empty and binary ones are dropped."""
     raw = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= most_bytes))
@@ -63,8 +86,16 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_FILE_BYTES
     return out.where(F.col("content").isNotNull() & ~detect.is_binary("content"))
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, mtime, size`` of all files that a path or glob names, in any store that Spark reads; contents are
+    not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return raw.select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """``path, mtime, size, ctime`` of the files below a folder of this machine."""
+    """``path, mtime, size, ctime`` of the files below a folder of this machine, as only its own file system
+    tells change times; see :func:`listed_files` for shared stores."""
     rows = []
     for folder, _, names in os.walk(root):
         for name in names:

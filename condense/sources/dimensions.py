@@ -12,14 +12,18 @@ TTL_S = 6 * 3600
 ROW, CELL, STRUCK, TAG = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", r"(?is)<(?:s|del|strike)(?:\s[^>]*)?>.*?</(?:s|del|strike)>", r"(?s)<[^>]+>"
 
 
-def prices_json(spark: SparkSession, path: str) -> DataFrame:
+def prices_json(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
     """A saved price list ``{"data": [{"id", "pricing": {"prompt", "completion", "input_cache_read"}}]}``, prices
-    a token as text; negative and unreadable ones are dropped."""
+    a token as text; negative and unreadable ones are dropped.  With ``only``, models whose name or its
+    last part is one of these (in any case)."""
     raw = spark.read.schema("data ARRAY<STRUCT<id: STRING, pricing: STRUCT<prompt: STRING, completion: STRING, input_cache_read: STRING>>>").option("multiLine", True).json(path)
     p = raw.select(F.explode("data").alias("d"))
     per_m = lambda c: F.col(f"d.pricing.{c}").try_cast("double") * 1e6
     rows = p.select(F.col("d.id").alias("id"), per_m("prompt").alias("input_per_m"), per_m("completion").alias("output_per_m"), per_m("input_cache_read").alias("cache_read_per_m"))
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0)
+    if only is not None:
+        name, wanted = F.lower("id"), {x.lower() for x in only} | {x.lower().rsplit("/", 1)[-1] for x in only}
+        rows = rows.where(name.isin(*wanted) | F.element_at(F.split(name, "/"), -1).isin(*wanted))
     return rows.where(F.col("id").isNotNull() & fine("input_per_m") & fine("output_per_m")).withColumn("cache_read_per_m", F.when(fine("cache_read_per_m"), F.col("cache_read_per_m")))
 
 

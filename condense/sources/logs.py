@@ -38,3 +38,19 @@ def older_than(spark: SparkSession, path: str, days: int) -> DataFrame:
     """Files that a pruning would delete."""
     rows = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length")
     return rows.where(F.col("modificationTime") < F.current_timestamp() - F.make_interval(days=F.lit(days)))
+
+
+def prune(spark: SparkSession, path: str, days: int) -> int:
+    """Delete the files that :func:`older_than` names and return how many; their names (not their lines)
+    reach the driver one partition at a time."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for r in older_than(spark, path, days).select("path").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(r.path)
+        n += bool(p.getFileSystem(conf).delete(p, False))
+    return n
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Delete a log folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

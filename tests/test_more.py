@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from condense.functions import delta, payload, pyudf, rules
 from condense.operators import convo, meter, search, serve, store
 from condense.operators.folds import fold
+from condense.sources import blobs as files
+from condense.sources import dimensions, logs, meters
 
 NOW = 1_000_000_000_000
 
@@ -262,3 +264,47 @@ def test_garbage(spark):
     contents = spark.createDataFrame([(f"h{i}", "t") for i in range(1, 12)], "hash string, content string")
     left, texts = store.collect_garbage(blobs, contents, F.lit(NOW), cap_bytes=50, cap_blobs=0)
     assert sorted(r.hash for r in left.collect()) == [f"h{i}" for i in range(5, 10)] == sorted(r.hash for r in texts.collect())
+
+
+def test_sources_of_small_files(spark, tmp_path):
+    contents = spark.createDataFrame([("a", "xx", 1), ("b", "y", 2)], "hash string, content string, created_at bigint")
+    asked = spark.createDataFrame([("a",), ("z",), ("a",)], "hash string")
+    assert sorted(tuple(r) for r in files.exists(contents, asked).collect()) == [("a", True), ("z", False)]
+    assert [r.hash for r in files.without(contents, asked).collect()] == ["b"] and sorted(r["size"] for r in files.listing(contents).collect()) == [1, 2]
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / name).write_text(name)
+    read = files.read_files(spark, str(tmp_path / "*.txt")).cache()
+    assert read.count() == 2
+    (tmp_path / "two.txt").write_text("longer now")
+    assert [r.content for r in files.consistent(read, files.listed_files(spark, str(tmp_path / "*.txt"))).collect()] == ["one.txt"]
+    m = str(tmp_path / "metrics")
+    assert tuple(meters.load(spark, m, ["hits", "misses"]).first()) == (0.0, 0.0)
+    meters.save(spark, m, {"hits": 3})
+    meters.save(spark, m, {"hits": 4})
+    assert tuple(meters.load(spark, m, ["hits", "misses"]).first()) == (4.0, 0.0)
+    p = str(tmp_path / "purged")
+    rows = spark.createDataFrame([("o", 5), ("n", 50)], "hash string, created_at bigint")
+    assert store.after_purge(rows, meters.purges(spark, p)).count() == 2
+    meters.mark_purged(spark, p, 10)
+    meters.mark_purged(spark, p, 7)
+    assert [r.hash for r in store.after_purge(rows, meters.purges(spark, p)).collect()] == ["n"]
+
+
+def test_logs_are_pruned(spark, tmp_path):
+    import os
+
+    for name, age in (("old.jsonl", 40), ("new.jsonl", 1)):
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / name).write_text("{}\n")
+        at = (tmp_path / "log" / name).stat().st_mtime - age * 86_400
+        os.utime(tmp_path / "log" / name, (at, at))
+    assert logs.prune(spark, str(tmp_path / "log"), 30) == 1 and [f.name for f in (tmp_path / "log").glob("*.jsonl")] == ["new.jsonl"]
+    logs.clear(spark, str(tmp_path / "log"))
+    assert not (tmp_path / "log").exists()
+
+
+def test_prices_of_some_models(spark, tmp_path):
+    data = [{"id": f"{p}/{m}", "pricing": {"prompt": "0.000001", "completion": "0.000002"}} for p, m in (("a", "One"), ("b", "two"), ("b", "three"))]
+    (tmp_path / "p.json").write_text(json.dumps({"data": data}))
+    ids = lambda only: sorted(r.id for r in dimensions.prices_json(spark, str(tmp_path / "p.json"), only).collect())
+    assert ids(None) == ["a/One", "b/three", "b/two"] and ids(["one", "x/TWO"]) == ["a/One", "b/two"] and ids([]) == []
