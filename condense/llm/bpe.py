@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import lexicon as lx
 from .batches import byte_rows, parts, raw_bytes, released, runs
 from .merges import Merger
-from .scratch import drop_stored, put_file, shared_dir, stored
+from ..sources.scratch import drop_stored, put_file, shared_dir, stored
 
 #: Words compiled into the lexicon; bounds what the driver gathers.
 LEXICON_WORDS = 1 << 16

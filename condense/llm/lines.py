@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import let
 from .columns import Plain
-from .scratch import drop_stored, stored
+from ..sources.scratch import drop_stored, stored
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 3

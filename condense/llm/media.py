@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import released
 from .bpe import utf8
-from .scratch import arrow_fs, drop_stored, shared_dir, stored
+from ..sources.scratch import arrow_fs, drop_stored, shared_dir, stored
 
 WIDTH = 64
 HEADER = 72  # bytes that hold the signature, the IHDR chunk and the length chunk

@@ -27,7 +27,7 @@ from . import exchange
 from . import wordhash as wh
 from .batches import byte_rows, parts, released
 from .bpe import utf8
-from .scratch import drop_stored, stored
+from ..sources.scratch import drop_stored, stored
 
 WORDS = 5
 SIMILARITY = 0.8

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import utf8
-from .scratch import arrow_fs, shared_dir, stored
+from ..sources.scratch import arrow_fs, shared_dir, stored
 
 #: Payloads below this many bytes are always stored.
 SMALLEST = 1000
