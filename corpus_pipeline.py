@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from condense.llm import langid, lines, minhash, packing, substrings
 from condense.llm.columns import Plain
 from condense.llm.queries import table, word_bpe
-from condense.llm.scratch import drop_path, scope, shared_dir
+from condense.sources.scratch import drop_path, scope, shared_dir
 
 #: Most bits a symbol for a text in one of the learned languages; a letter that no sample has costs
 #: about 17, so texts mostly in another script are beyond it, and short or noisy ones are not.
