@@ -35,7 +35,8 @@ def confidence(workspace: str | None, now: Column, superseded: ColumnOrName | No
 
     Reads the columns of the store's rows, and of snapshots joined to them: ``file_checked``
     with ``now_mtime, now_size, now_ctime``; ``dir_checked`` with ``dir_now_*``.  Checked with null
-    metadata means deleted.  One rule holds on every path: unchanged needs time, size and ctime.
+    metadata means deleted.  Unchanged needs equal time, size and change time of a file that was read
+    or a folder that was listed, and equal time and change time for a command on a file.
     """
     c = F.col
     source, edited = c("source"), F.coalesce(c("edited_by_model"), F.lit(False))
@@ -73,8 +74,8 @@ def confidence(workspace: str | None, now: Column, superseded: ColumnOrName | No
     )
     seen = F.coalesce(F.nullif(c("last_ref"), F.lit(0)), F.nullif(c("created_at"), F.lit(0)), now)
     since = now - seen
-    web = result(F.when(since < 2 * MINUTE, 10).when(since < 15 * MINUTE, -15).otherwise(-35), "web result — may have changed, re-search if critical")
-    git = result(F.when(since < 5 * MINUTE, 5).when(since < 30 * MINUTE, -10).otherwise(-25), "git state — may have changed, re-run if acting on it")
+    web = result(F.when(since < 2 * MINUTE, 10).when(since < 15 * MINUTE, -15).otherwise(-35), "web result of a while ago")
+    git = result(F.when(since < 5 * MINUTE, 5).when(since < 30 * MINUTE, -10).otherwise(-25), "git state of a while ago")
     other = (
         F.when(source.isin("web_search", "web_fetch"), web)
         .when((source == "shell_command") & c("command").rlike("^git (status|diff|log)"), git)

@@ -115,8 +115,8 @@ WITH e AS (SELECT *, event_id % 11 AS k, CASE event_type WHEN 'click' THEN 'read
                 WHEN mtime IS NOT NULL THEN CASE WHEN NOT same_m THEN 'file modified' WHEN both_ AND same_c THEN 'file unchanged' WHEN both_ THEN 'file metadata changed' ELSE 'file freshness unverified' END
                 WHEN edited THEN 'edited by model' ELSE 'command (unverified)' END
          WHEN source = 'read_file' THEN NULL
-         WHEN source = 'web_search' THEN 'web result — may have changed, re-search if critical'
-         WHEN k % 2 = 0 THEN 'git state — may have changed, re-run if acting on it' ELSE 'command (age only)' END AS proof_f FROM f),
+         WHEN source = 'web_search' THEN 'web result of a while ago'
+         WHEN k % 2 = 0 THEN 'git state of a while ago' ELSE 'command (age only)' END AS proof_f FROM f),
   s AS (SELECT *, CASE WHEN proof_f = 'file unchanged' THEN 40 WHEN proof_f IN ('file deleted', 'file modified', 'file metadata changed', 'file freshness unverified', 'edited by model') THEN -60
            WHEN proof_f LIKE 'web%' THEN CASE WHEN age < 120000 THEN 10 WHEN age < 900000 THEN -15 ELSE -35 END
            WHEN proof_f LIKE 'git%' THEN CASE WHEN age < 300000 THEN 5 WHEN age < 1800000 THEN -10 ELSE -25 END ELSE 0 END AS proof_p,
