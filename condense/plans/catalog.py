@@ -100,7 +100,10 @@ def recall_regex_topk(spark, sf):
 
 def content_store_upsert(spark, sf):
     d = table(spark, sf, "documents").select(c("text").alias("content"), (c("doc_id") * 1000).alias("ts_ms"), c("doc_id").alias("seq"))
-    return store.ingest(d).select("hash", "size", "created_at", "last_ref", "seen", "seq")
+    # two batches of outputs, the second upserted into the store of the first
+    old, new = (store.ingest(d.where(c("seq") % 2 == i)) for i in (0, 1))
+    both = store.upsert(old, new, keep_first=("size", "kind", "seq", "content"))
+    return both.select("hash", "size", "created_at", "last_ref", "seen", "seq")
 
 
 def supersede_antijoin(spark, sf):

@@ -289,7 +289,7 @@ ORACLE_SQL = {
     "path_lookup": """WITH t AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^?#]*)', 1)) AS term FROM pages)
         SELECT DISTINCT page_id FROM t WHERE term = '25' OR (NOT EXISTS (SELECT 1 FROM t WHERE term = '25') AND length(term) > 2 AND (suffix(term, '25') OR contains(string_split(term, '/')[-1], '25')))""",
     "recall_regex_topk": f"SELECT doc_id, doc_id * 7919 % 10007 AS last_ref FROM documents WHERE regexp_matches(text, '(?i){PATTERN}') ORDER BY last_ref DESC, doc_id LIMIT 10",
-    "content_store_upsert": "SELECT sha256(text) AS hash, any_value(length(text)) AS size, min(doc_id) * 1000 AS created_at, max(doc_id) * 1000 AS last_ref, count(*) AS seen, min(doc_id) AS seq FROM documents GROUP BY sha256(text)",
+    "content_store_upsert": "SELECT sha256(text) AS hash, any_value(length(text)) AS size, min(doc_id) * 1000 AS created_at, max(doc_id) * 1000 AS last_ref, count(*) AS seen, coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 0), min(doc_id)) AS seq FROM documents GROUP BY sha256(text)",
     "supersede_antijoin": """WITH v AS (SELECT doc_id, source, doc_id - doc_id % 40 AS v, cast(n_chars % 5 AS varchar) AS h FROM documents),
       k AS (SELECT source, max(v) AS v, first(h ORDER BY v DESC, h DESC) AS h FROM v WHERE source IS NOT NULL GROUP BY source)
       SELECT doc_id, coalesce(v.v < k.v AND v.h <> k.h, false) AS superseded FROM v LEFT JOIN k USING (source)""",
