@@ -6,13 +6,15 @@ with ``text`` and counters, takes one row and needs no shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import count_by_first, coverage_size, prefix_within
 from .base import ColumnOrName, any_of, col, joined, let, lines, word
 from .detect import detect_type
-from .language import NEGATIONS, STOPWORDS, detect_language, is_protected, words_of
+from .language import NEGATIONS, PROTECTED, STOPWORDS, detect_language, is_protected, words_of
 from .text import bigrams, estimate_tokens, fold_ascii
 
 
@@ -192,6 +194,8 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
     ``text, was_compressed, lang, words, dropped, restored``; at least a tenth must be saved.
     """
     text, lists = col(c), languages or STOPWORDS
+    # a word that folds to a stopword looks like one: where none of them looks protected, words need no test
+    looks_protected = any(re.search(p, w) for w in words_of(lists) for p in PROTECTED)
 
     def none(lang: Column) -> Column:
         z = F.lit(0).cast("bigint")
@@ -204,55 +208,59 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
         return out
 
     def tokens(line: Column, li: Column, lang: Column) -> Column:
+        """Struct of a line: its ``pieces``, for each the ``rank`` in which it would come back if it is dropped
+        (else null), and how many ``words`` it has."""
         cut = lambda x: F.regexp_extract_all(x, F.lit(r"([ \t\r\f]+|[^ \t\r\f]+)"), F.lit(1))
         # folding leaves white space alone; all that words need of their line is computed once
         lead_ = line.rlike(r"^[ \t\r\f]").cast("int")
-        pieces = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"), lead_.alias("lead"))
+        parts = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"), lead_.alias("lead"))
 
         def mark(x: Column) -> Column:
-            return let(F.shiftright(F.size(x["p"]) + 1 - x["lead"], 1), lambda words: marked_pieces(x, words))
+            return let(F.shiftright(F.size(x["p"]) + 1 - x["lead"], 1), lambda words: marked(x, words))
 
-        def marked_pieces(x: Column, words: Column) -> Column:
+        def marked(x: Column, words: Column) -> Column:
             lead = x["lead"]
 
             def stop(i: Column, w: Column) -> Column:
                 folded = F.btrim(F.element_at(x["f"], i + 1), F.lit(NO_LETTERS))
-                return let(folded, lambda f: is_stop(f, lang) & ~f.isin(*NEGATIONS) & ~is_protected(F.btrim(F.lower(w), F.lit(NO_LETTERS))))
+                fine = lambda f: is_stop(f, lang) & ~f.isin(*NEGATIONS)
+                if not looks_protected:
+                    return let(folded, fine)
+                return let(folded, lambda f: fine(f) & ~is_protected(F.btrim(F.lower(w), F.lit(NO_LETTERS))))
 
             def one(w: Column, i: Column) -> Column:
-                is_word = (i + lead) % 2 == 0
                 at = F.shiftright(i - lead + 1, 1)
                 # the cheap tests come first and end the evaluation for most words
-                drop = is_word & (at >= 3) & (at < words - 3) & stop(i, w) & ~w.rlike("^[\"'`]|[\"'`]$")
-                return F.struct(w.alias("w"), is_word.alias("word"), drop.alias("drop"), F.struct((-F.length(w)).alias("n"), li.alias("line"), i.alias("i")).alias("rank"))
+                drop = ((i + lead) % 2 == 0) & (at >= 3) & (at < words - 3) & stop(i, w) & ~w.rlike("^[\"'`]|[\"'`]$")
+                # the longest first, then by line and place
+                rank = F.lit(-(1 << 42)) * F.least(F.length(w), F.lit(1 << 20)) + F.lit(1 << 21) * li + i
+                return F.when(drop, rank.cast("bigint"))
 
-            return F.transform(x["p"], one)
+            return F.struct(x["p"].alias("pieces"), F.transform(x["p"], one).alias("ranks"), words.cast("bigint").alias("words"))
 
-        whole = F.array(F.struct(line.alias("w"), F.lit(True).alias("word"), F.lit(False).alias("drop"), F.struct(F.lit(0).alias("n"), li.alias("line"), F.lit(0).alias("i")).alias("rank")))
-        return F.when(is_code_line(line), whole).otherwise(let(pieces, mark))
+        whole = F.struct(F.array(line).alias("pieces"), F.array(F.lit(None).cast("bigint")).alias("ranks"), F.lit(1).cast("bigint").alias("words"))
+        return F.when(is_code_line(line), whole).otherwise(let(parts, mark))
 
     def compress(lang: Column) -> Column:
-        marked = F.transform(lines(text), lambda x, i: tokens(x, i, lang))
-
-        def restore(m: Column, all_: Column) -> Column:
-            dropped = F.array_sort(F.transform(F.filter(all_, lambda t: t["drop"]), lambda t: t["rank"]))
-            total = F.size(F.filter(all_, lambda t: t["word"]))
+        def restore(m: Column) -> Column:
+            dropped = F.array_sort(F.filter(F.flatten(F.transform(m, lambda x: x["ranks"])), lambda k: k.isNotNull()))
+            total = F.aggregate(m, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
 
             def choose(d: Column, n: Column) -> Column:
                 need = F.greatest(F.lit(0), F.size(d) - F.floor(n * (1 - ratio)).cast("int"))
-                last = let(need, lambda k: F.struct(k.alias("need"), F.try_element_at(d, F.nullif(k, F.lit(0))).alias("rank")))
+                last = let(need, lambda k: F.struct(k.alias("need"), F.coalesce(F.try_element_at(d, F.nullif(k, F.lit(0))), F.lit(-(1 << 63))).alias("rank")))
                 return let(last, lambda back: render(d, n, back))
 
             def render(d: Column, n: Column, back: Column) -> Column:
-                keep = lambda t: ~t["drop"] | F.coalesce(t["rank"] <= back["rank"], F.lit(False))
-                out = joined(F.transform(m, lambda line: F.array_join(F.transform(F.filter(line, keep), lambda t: t["w"]), "")))
+                kept = lambda x: F.filter(x["pieces"], lambda w, i: F.coalesce(F.element_at(x["ranks"], i + 1) <= back["rank"], F.lit(True)))
+                out = joined(F.transform(m, lambda x: F.array_join(kept(x), "")))
                 return let(out, lambda t: F.when(F.length(t) * 10 <= F.length(text) * 9, F.struct(
-                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), n.cast("bigint").alias("words"),
+                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), n.alias("words"),
                     F.size(d).cast("bigint").alias("dropped"), back["need"].cast("bigint").alias("restored"))).otherwise(none(lang)))
 
             return let(dropped, lambda d: let(total, lambda n: choose(d, n)))
 
-        return let(marked, lambda m: let(F.flatten(m), lambda a: restore(m, a)))
+        return let(F.transform(lines(text), lambda x, i: tokens(x, i, lang)), restore)
 
     return F.when(text.isNull() | (F.length(text) < least_chars), none(F.lit("unknown"))).otherwise(let(detect_language(text, languages=lists), compress))
 
