@@ -133,6 +133,13 @@ def first_place(text_: Column, terms: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.locate(t, text_), F.lit(0)) for t in terms), F.lit(0))
 
 
+def is_token(folded: Column, term: str) -> Column:
+    """Whether :func:`condense.functions.text.identifier_tokens` of a folded text have a word of letters and
+    digits, without making them."""
+    edge = r"[^\s_./\\-]"
+    return folded.contains(term) & folded.rlike(rf"(?<!{edge}){term}(?!{edge})")
+
+
 def in_scope(workspace: str | None) -> Column:
     """Rows that a workspace may recall: its own, or those of none where none is given; never what the
     model itself has written."""
@@ -195,15 +202,17 @@ def recall(docs: DataFrame, query: str, limit: int = 10, now: Column | None = No
         some = some.where(in_scope(workspace))
     hits = some.withColumn("__folded", folded).where(first_place(F.col("__folded"), terms) > 0)
     tf = [F.least(F.lit(3), ((F.length("__folded") - F.length(F.replace(F.col("__folded"), F.lit(t), F.lit("")))) / len(t)).cast("int")) for t in terms]
-    has = F.array_intersect(text.identifier_tokens("content"), F.array(*map(F.lit, terms))) if index is None else F.lit(None).cast("array<string>")
+    has = F.array(*(is_token(F.col("__folded"), t) for t in terms)) if index is None else F.lit(None).cast("array<boolean>")
     place = F.coalesce(F.nullif(first_place(F.lower("content"), terms), F.lit(0)), first_place(F.col("__folded"), terms))
     slim = hits.select(
         *(F.col(c) for c in docs.columns if c != "content"), F.array(*tf).alias("__tf"), has.alias("__has"), place.alias("__at"), F.length("content").alias("__chars")
     )
     slim = stored(slim, "recall-hits")
 
-    counted = (slim.select(F.explode("__has").alias("term")) if index is None else index.where(F.col("term").isin(*terms))).groupBy("term").count()
-    named = counted.agg(*(F.coalesce(F.sum(F.when(F.col("term") == t, F.col("count"))), F.lit(0)).alias(f"__df{i}") for i, t in enumerate(terms)))
+    if index is None:
+        named = slim.agg(*(F.count_if(F.col("__has")[i]).alias(f"__df{i}") for i in range(len(terms))))
+    else:
+        named = index.where(F.col("term").isin(*terms)).agg(*(F.count_if(F.col("term") == t).alias(f"__df{i}") for i, t in enumerate(terms)))
     stats = F.broadcast(n_docs.crossJoin(named))  # one row
     weight = [idf_value(F.col(f"__df{i}"), F.col("__n")) for i in range(len(terms))]
     raw = sum((F.col("__tf")[i] * w for i, w in enumerate(weight)), F.lit(0.0))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from condense.functions import delta, payload, pyudf, rules
+from condense.functions import delta, payload, pyudf, rules, text
 from condense.operators import convo, meter, search, serve, store
 from condense.operators.folds import fold
 from condense.sources import blobs as files
@@ -208,11 +208,11 @@ def stored(spark, rows):
 
 
 def test_recall_keeps_to_its_workspace(spark):
-    text = "needle in some text"
+    body = "needle in some text"
     docs = stored(spark, [
-        {"hash": "own", "content": text}, {"hash": "other", "content": text, "workspace": "x"}, {"hash": "none", "content": text, "workspace": None},
-        {"hash": "edit", "content": text, "source": "edit_file"}, {"hash": "write", "content": text, "source": "write_file"},
-        {"hash": "patch", "content": text, "source": "apply_patch"}, {"hash": "create", "content": text, "source": "create_file"}, {"hash": "miss", "content": "nothing"}, {"hash": "empty", "content": None},
+        {"hash": "own", "content": body}, {"hash": "other", "content": body, "workspace": "x"}, {"hash": "none", "content": body, "workspace": None},
+        {"hash": "edit", "content": body, "source": "edit_file"}, {"hash": "write", "content": body, "source": "write_file"},
+        {"hash": "patch", "content": body, "source": "apply_patch"}, {"hash": "create", "content": body, "source": "create_file"}, {"hash": "miss", "content": "nothing"}, {"hash": "empty", "content": None},
     ])
     ids = lambda **k: {r.id for r in search.recall(docs, "needle", now=F.lit(NOW), **k).collect()}
     assert ids(workspace="w") == {"own"} and ids(workspace="x") == {"other"} and ids(workspace=None) == {"none"} == ids(workspace="") and ids(workspace="y") == set()
@@ -233,6 +233,14 @@ def test_recall_supersedes_and_cuts_snippets(spark):
     assert len(whole["full"].snippet) == 10_006 and len(whole["mid"].snippet) == 1000
 
 
+def test_tokens_without_making_them(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["abc", "xabc", "abc1", " ", "\n", "_", ".", "/", "\\", "-", ",", "é"]) for _ in range(rng.randrange(6))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", text.fold_ascii(F.lower("t")))
+    rows = df.select(search.is_token(F.col("f"), "abc").alias("a"), F.array_contains(text.identifier_tokens("t"), "abc").alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and 20 < sum(r.a for r in rows) < 280
+
+
 def test_recall_through_the_index(spark):
     docs = stored(spark, [{"hash": "a", "content": "alpha here"}, {"hash": "b", "content": "beta and alphabet"}, {"hash": "c", "content": "gamma"}])
     index = search.postings(docs)
