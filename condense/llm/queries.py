@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, media, minhash, packing, quality, sampling, substrings, topk, warc
+from . import audit, bpe, divergence, exact, langid, lines, media, minhash, packing, quality, sampling, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_substrings": op2_substrings,
@@ -87,6 +99,9 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
+    "op11_filters": op11_filters,
+    "op12_divergence": op12_divergence,
+    "op13_exact": op13_exact,
 }
 
 _OP5 = """
@@ -128,4 +143,64 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_substrings": _OP2, "op8_lines": _OP8, "op5_warc": _OP5, "op10_topk": _OP10}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+     f AS (SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+                  + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+                  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+                  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS failed FROM w),
+     l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+     m AS (SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+     x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+           FROM x a, x b, x c, x d, x e WHERE a.b + b.b + c.b + d.b + e.b = 31),
+     s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+     r AS (SELECT part, filter_order, cast(step AS integer) AS step, bit,
+                  cast(sum(CASE WHEN failed & bit = 0 AND failed & before = 0 THEN n ELSE 0 END) AS bigint) AS kept,
+                  cast(sum(CASE WHEN failed & bit > 0 AND failed & before = 0 THEN n ELSE 0 END) AS bigint) AS removed,
+                  cast(sum(CASE WHEN failed & bit > 0 AND failed & before > 0 THEN n ELSE 0 END) AS bigint) AS redundant,
+                  cast(sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS bigint) AS unique_fails,
+                  cast(sum(CASE WHEN failed & bit > 0 AND failed & before = 0 THEN good ELSE 0 END) AS bigint) AS good_lost,
+                  cast(sum(CASE WHEN failed & bit > 0 AND failed & before = 0 THEN toxic ELSE 0 END) AS bigint) AS toxic_lost
+           FROM m, (SELECT filter_order, step, bit, cast(before AS integer) AS before FROM s) GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley FROM r
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+     x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+     k AS (SELECT lang, term FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+     v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     n AS (SELECT lang, source, term, count(*) AS c FROM x JOIN k USING (lang, term) GROUP BY lang, source, term),
+     t AS (SELECT lang, source, sum(c) AS n FROM n GROUP BY lang, source),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::hugeint * (coalesce(c, 0) + 2)) // (coalesce(t.n, 0) + 2 * v) AS p
+           FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+           LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+     q AS (SELECT lang, term, 1 + (1000000000::hugeint * (sum(c) + 2)) // (any_value(m) + 2 * any_value(v)) AS q
+           FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS m FROM t GROUP BY lang) USING (lang) GROUP BY lang, term),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+     e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+           UNION ALL
+           SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+     y AS (SELECT lang, source, part, item, cast(value AS bigint) AS value,
+                  cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS integer) AS rank FROM e)
+SELECT * FROM y WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP13 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     k AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": _OP2, "op8_lines": _OP8, "op5_warc": _OP5, "op10_topk": _OP10,
+    "op11_filters": _OP11, "op12_divergence": _OP12, "op13_exact": _OP13,
+}
