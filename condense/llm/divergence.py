@@ -31,6 +31,8 @@ SCALE = 1_000_000_000
 BLOCK_BYTES = 8 << 20
 #: Cells of a task's table of pairs, and of the table of counts that it adds at a time.
 CELLS = 1 << 21
+#: Rows of kept terms (a term in a source) that a task scans at the end.
+BUCKET_ROWS = 100_000
 
 _LETTER = byte_class((97, 122), (128, 255))
 _LOWER = np.arange(256, dtype="u1")
@@ -291,7 +293,6 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     terms are written to the shared folder when this is called.
     """
     plain = Plain(docs)
-    spark = docs.sparkSession
     lang, source = (F.coalesce(F.col(plain.at(c)).cast("string"), F.lit("")) for c in (lang_col, source_col))
     own = plain.df.select(lang.alias("lang"), source.alias("source"), utf8(plain.at(text_col)).alias("text"))
     terms = stored(kept_terms(block_counts(own), least_docs), "divergence-terms")
@@ -299,7 +300,8 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     every = own.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
     v = F.coalesce(F.sum("leads").over(Window.partitionBy("lang")), F.lit(0))
     groups = stored(every.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), v.alias("v")), "divergence-groups")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # every bucket gives all pairs a part of their value, so there are as many as the terms need
+    buckets = max(1, -(-terms.count() // BUCKET_ROWS))
     parts_ = partial_values(terms.drop("lead"), groups, buckets)
     values = parts_.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
