@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reduce, text
 from ..functions.base import ColumnOrName, col, joined, let, lines
-from .folds import fold
+from . import ordered, scan
 
 PLACEHOLDER = "[condense] old tool output elided"
 # Fixed value: lines that tell of a failure.
@@ -50,47 +50,42 @@ def mask(messages: DataFrame, roles: tuple[str, ...] = ("tool",), keep_last: int
     not considered) and ``masked``; ``content`` is the new one.  A conversation whose savings or
     size are too small stays as it is.
     """
-    m = messages
     is_obs = F.col("role").isin(*roles) & ~F.coalesce(F.col("is_summary"), F.lit(False))
-    conv, upto = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("__obs", is_obs).withColumn("__i", F.sum(F.col("__obs").cast("int")).over(upto)).withColumn("__n", F.sum(F.col("__obs").cast("int")).over(conv))
+    m = messages.withColumn("__obs", is_obs).withColumn("__bucket", ordered.bucket_of("turn"))
+    one = F.col("__obs").cast("bigint")
+    m = ordered.accumulated(m, ["conv_id"], [("turn", True)], {"__i": one}, {"__n": one, "__chars": F.length("content")})
     cut = F.greatest(F.floor((F.col("__n") - keep_last) / polling) * polling, F.lit(0))
     old = F.col("__obs") & (F.col("__i") <= cut)
     m = m.withColumn("verdict", F.when(old, F.when(F.col("__i") == 1, "first").otherwise(mask_verdict(F.col("content"), F.col("is_error"), least_chars))))
     hit = F.col("verdict") == "mask"
-    m = m.withColumn("__chars", F.sum(F.length("content")).over(conv)).withColumn("__saved", F.sum(F.when(hit, F.length("content")).otherwise(0)).over(conv))
+    m = ordered.accumulated(m, ["conv_id"], [], {}, {"__saved": F.when(hit, F.length("content")).otherwise(0)})
     worth = (F.col("__saved") >= least_savings * F.col("__chars")) & (F.col("__chars") / chars_per_token >= least_tokens)
     masked = F.coalesce(hit & worth, F.lit(False))
-    return m.withColumn("masked", masked).withColumn("content", F.when(masked, placeholder(F.col("content"), text.content_hash("content"))).otherwise(F.col("content"))).select(*messages.columns, "verdict", "masked")
+    content = F.when(masked, placeholder(F.col("content"), text.content_hash("content"))).otherwise(F.col("content"))
+    return m.withColumn("masked", masked).withColumn("content", content).select(*messages.columns, "verdict", "masked")
 
 
 def epochs(sizes: DataFrame, key: str = "conv_id", order: str = "turn", size: str = "size", share: float = 0.9, least_drop: int = 20_000) -> DataFrame:
     """``sizes`` with ``epoch``: it rises where the context falls below ``share`` of the peak since the last
     rise and by more than ``least_drop``.  The peak starts anew there, so the places of new epochs come
-    from a fold over each conversation's sizes, which keeps a peak and a number."""
+    from a scan of the functions that blocks of a conversation are (:class:`scan.ResetPeak`); a null size
+    changes nothing."""
 
-    def step(s: tuple, row: tuple) -> tuple[tuple, tuple | None]:
-        (peak, epoch), (at, now) = s, row
-        if now is not None and now < peak * share and peak - now > least_drop:
-            return (now, epoch + 1), (at, epoch + 1)
-        return (max(peak, now or 0), epoch), None
-
-    kind = sizes.schema[order].dataType.simpleString()
-    cuts = fold(sizes, key, [order], [order, size], lambda: (0, 0), step, f"cut_at {kind}, number bigint")
-    cuts = cuts.groupBy(key).agg(F.collect_list("cut_at").alias("__cuts"))  # a cut stands for a fall of more than ``least_drop``
-    below = F.size(F.filter(F.coalesce("__cuts", F.array().cast(f"array<{kind}>")), lambda c: c <= F.col(order)))
-    return sizes.join(cuts, key, "left").select(*sizes.columns, below.cast("bigint").alias("epoch"))
+    return scan.scan(sizes, key, [order], scan.ResetPeak(size, share, least_drop))
 
 
 def turns_since_epoch(rows: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    return rows.withColumn("turns_since", F.row_number().over(Window.partitionBy(key, "epoch").orderBy(order)) - 1)
+    """``rows`` with ``turns_since``: how many turns of its epoch came before each."""
+    bucketed = rows.withColumn("__bucket", ordered.bucket_of(order))
+    counted = ordered.accumulated(bucketed, [key, "epoch"], [(order, True)], {"turns_since": F.lit(1)}, {})
+    return counted.select(*rows.columns, (F.col("turns_since") - 1).cast("int").alias("turns_since"))
 
 
 def frozen_prefix(prefixes: DataFrame, key: str = "conv_id", order: str = "turn", prefix: str = "prefix") -> DataFrame:
     """``lcp_ratio`` with the turn before and ``cause``: ``frozen`` from 0.9 on, else ``compaction`` (another
     epoch), ``truncation`` (under 0.6 of the length) or ``mutation``."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = prefixes.withColumn("__before", F.lag(prefix).over(w))
+    w = Window.partitionBy(key, "__bucket").orderBy(order)
+    rows = ordered.halo(prefixes, [key], [(order, True)], ordered.bucket_of(order), 1).withColumn("__before", F.lag(prefix).over(w))
     if "epoch" in prefixes.columns:
         rows = rows.withColumn("__moved", F.coalesce(F.lag("epoch").over(w) != F.col("epoch"), F.lit(False)))
     else:
@@ -98,7 +93,7 @@ def frozen_prefix(prefixes: DataFrame, key: str = "conv_id", order: str = "turn"
     before = F.col("__before")
     ratio = F.when(before.isNull(), 1.0).when(F.length(before) == 0, 1.0).otherwise(text.common_prefix(before, prefix) / F.length(before))
     cause = F.when(ratio >= 0.9, "frozen").when(F.col("__moved"), "compaction").when(F.length(prefix) < F.length(before) * 0.6, "truncation").otherwise("mutation")
-    return rows.select(*prefixes.columns, ratio.alias("lcp_ratio"), cause.alias("cause"))
+    return rows.where(~F.col("__halo")).select(*prefixes.columns, ratio.alias("lcp_ratio"), cause.alias("cause"))
 
 
 def compress_last(messages: DataFrame, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
@@ -197,18 +192,12 @@ def context_tokens(messages: DataFrame, chars_per_token: float = 3.3) -> DataFra
 
 def breaker(outcomes: DataFrame, key: str, order: str, failed: str, threshold: int = 3, rest: int = 5) -> DataFrame:
     """State of a circuit breaker after each key's outcomes: ``closed``; ``open`` after ``threshold`` failures
-    in a row; ``half-open`` after ``rest`` further turns, closed again by a success, open by a failure."""
-
-    def step(s: tuple, row: tuple) -> tuple[tuple, None]:
-        state, failures, turns, opened = s
-        if state == "open":
-            s = ("half-open", failures, 0, opened) if turns + 1 >= rest else ("open", failures, turns + 1, opened)
-        elif not row[0]:
-            s = ("closed", 0, 0, opened)
-        elif state == "half-open" or failures + 1 >= threshold:
-            s = ("open", failures + 1, 0, opened + 1)
-        else:
-            s = ("closed", failures + 1, 0, opened)
-        return s, None
-
-    return fold(outcomes, key, [order], [failed], lambda: ("closed", 0, 0, 0), step, "state string, failures bigint, opened bigint", lambda s: (s[0], s[1], s[3]))
+    in a row; ``half-open`` after ``rest`` further turns, closed again by a success, open by a failure.  An
+    outcome that is null is a success; a null key is a key of its own.  A hot key is scanned by all tasks."""
+
+    return scan.last(outcomes, key, [order], scan.Breaker(failed, threshold, rest), "state string, failures bigint, opened bigint")
+
+
+def breaker_states(outcomes: DataFrame, key: str, order: str, failed: str, threshold: int = 3, rest: int = 5) -> DataFrame:
+    """The same at every outcome: ``outcomes`` with ``state, failures, opened`` after it."""
+    return scan.scan(outcomes, key, [order], scan.Breaker(failed, threshold, rest))

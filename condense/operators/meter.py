@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold
+from . import ordered, scan
 
 CACHE_SHARE = 0.1
 #: Rows of a dimension (model names, prices, windows, settings) that may be broadcast.
 MOST_NAMES = 20_000
+DAY_S = 86_400
 
 
 def usage_stats(usages: DataFrame, *by: str) -> DataFrame:
@@ -101,14 +102,21 @@ def ols(samples: DataFrame, *by: str) -> DataFrame:
 
 def running_ratio(samples: DataFrame, key: str, order: str, chars: str = "chars", tokens: str = "tokens", memory: int = 32) -> DataFrame:
     """Characters a token after each key's samples: a running mean that turns into an exponential one
-    after ``memory`` samples.  A fold in order; samples without characters or tokens count nothing."""
-
-    def step(s: tuple, row: tuple) -> tuple[tuple, None]:
-        n, mean = s
-        return (n + 1, mean + (row[0] / row[1] - mean) / min(n + 1, memory)), None
+    after ``memory`` samples.  Blocks of a key are functions of the mean before them; samples without characters or tokens count nothing."""
 
     good = samples.where((F.col(chars) > 0) & (F.col(tokens) > 0))
-    return fold(good, key, [order], [chars, tokens], lambda: (0, 0.0), step, "samples bigint, chars_per_token double", lambda s: s)
+    return scan.last(good, key, [order], scan.RunningMean(chars, tokens, memory), "samples bigint, chars_per_token double")
+
+
+def running_estimates(samples: DataFrame, key: str, order: str, memory: int = 32, fitted: int = 200, least: int = 5) -> DataFrame:
+    """Characters a token at every sample (``ascii, tokens``, whole numbers): ``samples, chars_per_token`` by
+    :func:`running_ratio`, ``fitted, slope, intercept`` by least squares over the last ``fitted`` samples, and
+    ``estimate``: the slope's inverse where ``least`` samples give a positive one, else the mean.  Samples
+    without characters or tokens are left out."""
+    good = samples.where((F.col("ascii") > 0) & (F.col("tokens") > 0))
+    mean = scan.scan(good, key, [order], scan.RunningMean("ascii", "tokens", memory))
+    both = scan.scan(mean, key, [order], scan.RollingFit("ascii", "tokens", fitted))
+    return both.withColumn("estimate", F.when((F.col("fitted") >= least) & (F.col("slope") > 0), 1 / F.col("slope")).otherwise(F.col("chars_per_token")))
 
 
 def calibrate(samples: DataFrame, key: str, order: str, memory: int = 32, fitted: int = 200, least: int = 5) -> DataFrame:
@@ -149,22 +157,23 @@ def ece(samples: DataFrame, bins: int = 10) -> DataFrame:
 def growth(usages: DataFrame, key: str = "session", order: str = "turn", span: int = 10) -> DataFrame:
     """Each request with ``growth`` (mean rise of input over the last ``span`` requests) and ``cache_ratio``
     over the same."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key, "__bucket").orderBy(order)
     last = w.rowsBetween(-(span - 1), 0)
-    rows = usages.withColumn("__rise", F.col("input_tokens") - F.lag("input_tokens").over(w))
+    rows = ordered.halo(usages, [key], [(order, True)], ordered.bucket_of(order), span).withColumn("__rise", F.col("input_tokens") - F.lag("input_tokens").over(w))
     first = F.row_number().over(w) == 1
     # the rise into the frame's first request is not part of the frame
     frame = w.rowsBetween(-(span - 2), 0)
     rise = F.when(first, 0.0).otherwise(F.coalesce(F.avg("__rise").over(frame), F.lit(0.0)))
     ratio = F.sum("cache_read").over(last) / F.nullif(F.sum("input_tokens").over(last), F.lit(0))
-    return rows.withColumn("growth", rise).withColumn("cache_ratio", ratio).drop("__rise")
+    return rows.withColumn("growth", rise).withColumn("cache_ratio", ratio).where(~F.col("__halo")).drop("__rise", "__bucket", "__halo")
 
 
 def cache_dips(usages: DataFrame, key: str = "session", order: str = "turn", drop: float = 0.15) -> DataFrame:
     """Each request with its cache ratio and whether that fell by more than ``drop``."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = usages.withColumn("ratio", F.col("cache_read") / F.nullif("input_tokens", F.lit(0)))
-    return rows.withColumn("dip", F.coalesce(F.lag("ratio").over(w) - F.col("ratio") > drop, F.lit(False)))
+    w = Window.partitionBy(key, "__bucket").orderBy(order)
+    own = usages.withColumn("ratio", F.col("cache_read") / F.nullif("input_tokens", F.lit(0)))
+    rows = ordered.halo(own, [key], [(order, True)], ordered.bucket_of(order), 1)
+    return rows.withColumn("dip", F.coalesce(F.lag("ratio").over(w) - F.col("ratio") > drop, F.lit(False))).where(~F.col("__halo")).drop("__bucket", "__halo")
 
 
 def session_snapshot(events: DataFrame, key: str = "session", kind: str = "type", at: str = "t", kinds: list[str] | None = None) -> DataFrame:
@@ -175,8 +184,10 @@ def session_snapshot(events: DataFrame, key: str = "session", kind: str = "type"
 
 def followed_by(calls: DataFrame, tool: str = "recall", then: tuple[str, ...] = ("read_file",), key: str = "session", order: str = "seq") -> DataFrame:
     """Calls of ``tool`` with ``followed``: the session's next call is one of ``then``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return calls.withColumn("__next", F.lead("tool").over(w)).where(F.col("tool") == tool).withColumn("followed", F.coalesce(F.col("__next").isin(*then), F.lit(False))).drop("__next")
+    w = Window.partitionBy(key, "__bucket").orderBy(F.desc(order))
+    rows = ordered.halo(calls, [key], [(order, False)], -ordered.bucket_of(order), 1).withColumn("__next", F.lag("tool").over(w))
+    own = rows.where(~F.col("__halo") & (F.col("tool") == tool))
+    return own.withColumn("followed", F.coalesce(F.col("__next").isin(*then), F.lit(False))).drop("__next", "__bucket", "__halo")
 
 
 def playbook(touches: DataFrame, n: int = 24) -> DataFrame:
@@ -193,9 +204,11 @@ def last_n(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 def active_within(mentions: DataFrame, key: list[str], at: str, ttl_s: int = 300) -> DataFrame:
     """Each mention with ``still``: the same thing was mentioned within the time before it."""
-    w = Window.partitionBy(*key).orderBy(F.col(at).cast("timestamp").cast("double"))
-    gap = F.col(at).cast("timestamp").cast("double") - F.lag(F.col(at).cast("timestamp").cast("double")).over(w)
-    return mentions.withColumn("still", F.coalesce(gap <= ttl_s, F.lit(False)))
+    seconds = F.col(at).cast("timestamp").cast("double")
+    w = Window.partitionBy(*key, "__bucket").orderBy(seconds)
+    rows = ordered.halo(mentions, key, [(at, True)], F.floor(seconds / DAY_S), 1)
+    still = F.coalesce(seconds - F.lag(seconds).over(w) <= ttl_s, F.lit(False))
+    return rows.withColumn("still", still).where(~F.col("__halo")).drop("__bucket", "__halo")
 
 
 def live_sessions(beats: DataFrame, now: Column, key: str = "session", at: str = "t", grace_s: int = 30) -> DataFrame:

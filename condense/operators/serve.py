@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import commands, delta, scores, text
 from ..functions.pyudf import line_diff
-from . import store
-from .folds import fold
+from . import scan, store
 
 RATIO, OVERHEAD, RECALL_CHARS, FIDELITY_CHARS = 0.4, 260, 2000, 24 * 1024
 
@@ -205,19 +202,9 @@ def elision_report(calls: DataFrame, by: str = "tool") -> DataFrame:
 def stub_safe(events: DataFrame, newest: int = 256, evicted: DataFrame | None = None) -> DataFrame:
     """For each delivery (``session, seq, hash, epoch``): whether an earlier delivery of the same hash is
     still in the context: in the same epoch, with fewer than ``newest`` other hashes delivered since.
-    Hashes in ``evicted`` (``hash``) are none.  A fold of each session that remembers ``newest`` hashes."""
-
-    def step(held: OrderedDict, row: tuple) -> tuple[OrderedDict, tuple]:
-        seq, hash_, epoch = row
-        safe = hash_ in held and held[hash_] == epoch
-        held.pop(hash_, None)
-        held[hash_] = epoch
-        if len(held) > newest:
-            held.popitem(last=False)
-        return held, (seq, hash_, epoch, safe)
-
-    kinds = {c: events.schema[c].dataType.simpleString() for c in ("seq", "hash", "epoch")}
-    rows = fold(events, "session", ["seq"], ["seq", "hash", "epoch"], OrderedDict, step, f"seq {kinds['seq']}, hash {kinds['hash']}, epoch {kinds['epoch']}, safe boolean")
+    Hashes in ``evicted`` (``hash``) are none.  Blocks of a session are what they leave of the ``newest`` hashes."""
+
+    rows = scan.scan(events.select("session", "seq", "hash", "epoch"), "session", ["seq"], scan.LastHashes("hash", "epoch", newest))
     if evicted is None:
         return rows
     gone = evicted.select("hash").distinct().withColumn("__gone", F.lit(True))

@@ -316,3 +316,12 @@ def test_prices_of_some_models(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"data": data}))
     ids = lambda only: sorted(r.id for r in dimensions.prices_json(spark, str(tmp_path / "p.json"), only).collect())
     assert ids(None) == ["a/One", "b/three", "b/two"] and ids(["one", "x/TWO"]) == ["a/One", "b/two"] and ids([]) == []
+
+
+def test_fold_is_exact(spark):
+    """Keys, orders and values beyond 2**53 beside nulls."""
+    big = 2**53
+    rows = [(k, None if i == 0 else big + i, None if i % 3 == 0 else big + i) for k in (None, big, big + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v bigint")
+    out = fold(df, "k", ["i"], ["i", "v"], list, lambda s, r: ([*s, r], None), "n bigint, first bigint, top bigint, nulls bigint", lambda s: (len(s), s[0][0], max(v for _, v in s if v), sum(v is None for _, v in s)))
+    assert {r.k: tuple(r)[1:] for r in out.collect()} == {k: (40, None, big + 38, 14) for k in (None, big, big + 1)}
