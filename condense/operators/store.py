@@ -172,3 +172,12 @@ def after_purge(blobs: DataFrame, tombstones: DataFrame) -> DataFrame:
 def counts(blobs: DataFrame, *by: str) -> DataFrame:
     """Rows and characters by source, kind or level."""
     return blobs.groupBy(*by).agg(F.count("*").alias("blobs"), F.sum("size").alias("chars"))
+
+
+def touch(blobs: DataFrame, served: DataFrame, at: Column, id_col: str = "hash") -> DataFrame:
+    """The store after a recall: rows that it served (``id, stale``, as :func:`search.recall` gives them; at most its
+    limit) were last used at ``at``, which keeps them from eviction.  Stale ones were not served."""
+    used = served.where(~F.col("stale")).select(F.col("id").alias(id_col), F.lit(True).alias("__used")).distinct()
+    joined = blobs.join(F.broadcast(used), id_col, "left")  # at most the limit of a recall
+    last = F.when(F.col("__used"), F.greatest("last_ref", at.cast("bigint"))).otherwise(F.col("last_ref"))
+    return joined.select(*(last.alias(c) if c == "last_ref" else F.col(c) for c in blobs.columns))

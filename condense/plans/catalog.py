@@ -11,21 +11,33 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, commitments, detect, language, redact, reduce, rules, scores, text
 from ..functions.pyudf import skeleton, symbol
-from ..operators import convo, meter, ordered, search, serve, store
+from ..operators import convo, impacts, meter, ordered, search, serve, store, trigrams
 from ..sources import dimensions
+from ..sources.scratch import size_of, stored
 
 NOW = 1_750_000_000_000
 QUERY = "please tionti stion"
 PATTERN = "wh[a-z]+st"
+#: A query of one word, which is searched for as a pattern, and its terms.
+RECALL_PATTERN, PATTERN_TERMS = "tionti[a-z]+", ["tionti"]
+#: Terms of a ranked search.
+BLOCK_TERMS = ["tion", "nthe", "whst", "eaux"]
+#: Patterns that the index of trigrams narrows down.
+PATTERNS = ["licen[cs]e", "wh[a-z]+st", "(queux|thern)t?iê?on", "ption.*thth"]
 c = F.col
 
 
+#: Bytes of a file that one task gets where a table is dealt out.
+DEALT_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table.  One that is read in a single split (a file of one row group) is dealt out, as what follows
-    costs more than to move that split."""
+    """A table.  Texts in fewer files than there are cores are dealt out by their id, as a file may be one row group and
+    so one task, however many splits are planned for it, and what follows costs more than to move the rows."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if name in ("documents", "pages") and df.rdd.getNumPartitions() == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations") and len(df.inputFiles()) < cores:
+        return df.repartition(max(cores, -(-size_of(spark, f"{sf}/{name}.parquet") // DEALT_BYTES)), *df.columns[:2])
     return df
 
 
@@ -70,6 +82,40 @@ def recall_indexed(spark, sf):
     return _recalled(search.recall(d, QUERY, 20, F.lit(NOW), "here", id_col="doc_id", index=index))
 
 
+def recall_pattern(spark, sf):
+    """A single word is a pattern: candidates come from trigrams, document frequencies from postings."""
+    d = _stored_documents(spark, sf)
+    own = d.where("content is not null")
+    index, grams = search.postings(own, "doc_id", "content"), trigrams.postings(own, "doc_id", "content")
+    return _recalled(search.recall(d, RECALL_PATTERN, 20, F.lit(NOW), "here", id_col="doc_id", index=index, grams=grams))
+
+
+def recall_touch(spark, sf):
+    """The store after a recall: what was served was last used now."""
+    d = _stored_documents(spark, sf)
+    served = search.recall(d, QUERY, 20, F.lit(NOW), "here", id_col="doc_id")
+    return store.touch(d, served, F.lit(NOW), "doc_id").where(c("last_ref") == NOW).select("doc_id", "last_ref")
+
+
+def regex_indexed(spark, sf):
+    """Patterns through one index of trigrams: only texts that have what a pattern needs are searched."""
+    d = table(spark, sf, "documents")
+    index = trigrams.postings(d, "doc_id", "text")
+    out = None
+    for pattern in PATTERNS:
+        found = trigrams.search(d, index, pattern, "doc_id", "text").select(F.lit(pattern).alias("pattern"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def blockmax_topk(spark, sf):
+    """The best 20 documents by their words, reading only blocks of postings that can hold one."""
+    d = table(spark, sf, "documents")
+    n = d.count()
+    index = stored(impacts.block_postings(d, -(-n // impacts.BLOCK_DOCS), "doc_id", "text"), "block-postings")
+    return impacts.top_k(index, BLOCK_TERMS, 20, n).select(c("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def index_postings(spark, sf):
     p = search.postings(table(spark, sf, "documents"), "doc_id", "text")
     return p.groupBy(c("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
@@ -529,7 +575,7 @@ def rollup_bench(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        recall_ranked, recall_indexed, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
+        recall_ranked, recall_indexed, recall_pattern, recall_touch, regex_indexed, blockmax_topk, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
         prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, commitments_crushed, redact_counts,
         redact_text, char_entropy, token_estimate, bigram_shingles, dedup_runs, log_template_collapse, group_squash, salient_crush, prose_compress, table_compact, json_crush, anchors,
         smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,

@@ -6,7 +6,7 @@ Patterns are shared as constants; look-arounds at ASCII words become ``\\b``, wh
 from __future__ import annotations
 
 from ..functions import commitments, detect, language, redact, reduce, rules
-from .catalog import COMMANDS, FRESH_NOW, KINDS, NOW, PATTERN, QUERY
+from .catalog import BLOCK_TERMS, COMMANDS, FRESH_NOW, KINDS, NOW, PATTERN, PATTERN_TERMS, PATTERNS, QUERY, RECALL_PATTERN
 
 
 def q(s: str) -> str:
@@ -58,24 +58,27 @@ def _tf(t: str) -> str:
 
 _idf = lambda t: f"ln(1 + (n - df_{t} + 0.5) / (df_{t} + 0.5))"
 
-def recall(also: str) -> str:
-    """The best 20 fresh and the first 20 stale documents; ``also``: what else a document must have."""
+def recall(found: str, place: str, terms: list[str], also: str = "") -> str:
+    """The best 20 fresh and the first 20 stale documents; ``found``: whether a document is found, ``place``: where,
+    ``also``: what else a document must have.  Frequencies are those of the workspace's own documents."""
+    weight = lambda t: f"CASE WHEN df_{t} > 0 THEN {_idf(t)} ELSE 0 END"
     return f"""
 WITH {ATOMS},
-  s AS (SELECT (SELECT count(*) FROM documents) AS n, {", ".join(f"(SELECT count(*) FROM tok WHERE term = '{t}') AS df_{t}" for t in TERMS)}),
   a AS (SELECT doc_id, text, {fold("text")} AS f, lower(text) AS l, (doc_id % 2000) * 60000 AS age,
     CASE WHEN doc_id % 10 = 7 THEN 'edit_file' WHEN doc_id % 2 = 0 THEN 'shell_command' ELSE 'web_fetch' END AS source,
     CASE WHEN doc_id % 4 = 0 THEN 'git status ' ELSE 'ls ' END || (doc_id % 300) AS command,
     CASE WHEN doc_id % 11 = 5 THEN NULL WHEN doc_id % 3 = 0 THEN 'other' ELSE 'here' END AS workspace FROM documents),
+  o AS (SELECT doc_id FROM a WHERE workspace = 'here' AND source <> 'edit_file'),
+  s AS (SELECT (SELECT count(*) FROM o) AS n, {", ".join(f"(SELECT count(*) FROM tok JOIN o USING (doc_id) WHERE term = '{t}') AS df_{t}" for t in terms)}),
   nw AS (SELECT source, command, first(doc_id ORDER BY age, doc_id) AS newest FROM a WHERE workspace = 'here' GROUP BY source, command),
   d AS (SELECT a.*, doc_id <> newest AS later FROM a JOIN nw USING (source, command) WHERE workspace = 'here' AND source <> 'edit_file' AND text IS NOT NULL {also}),
-  h AS (SELECT doc_id, text, age, later, round(least(1.0, ({" + ".join(f"{_tf(t)} * {_idf(t)}" for t in TERMS)}) / (greatest(0.01, {", ".join(map(_idf, TERMS))}) * {3 * len(TERMS)})), 9) AS relevance,
-    coalesce({", ".join(f"nullif(strpos(l, '{t}'), 0)" for t in TERMS)}, {", ".join(f"nullif(strpos(f, '{t}'), 0)" for t in TERMS)}) AS place_at,
-    source = 'shell_command' AND doc_id % 8 = 2 AS proven,
+  h AS (SELECT doc_id, text, age, later,
+    round(least(1.0, ({" + ".join(f"{_tf(t)} * {weight(t)}" for t in terms)}) / (greatest(0.01, {", ".join(map(weight, terms))}) * {3 * len(terms)})), 9) AS relevance,
+    {place} AS place_at, source = 'shell_command' AND doc_id % 8 = 2 AS proven,
     CASE WHEN source = 'web_fetch' THEN CASE WHEN age < 120000 THEN 10 WHEN age < 900000 THEN -15 ELSE -35 END
          WHEN doc_id % 8 = 2 THEN CASE WHEN doc_id % 16 = 2 THEN 40 ELSE -60 END
          WHEN doc_id % 4 = 0 THEN CASE WHEN age < 300000 THEN 5 WHEN age < 1800000 THEN -10 ELSE -25 END ELSE 0 END AS proof
-    FROM d, s WHERE {" OR ".join(f"contains(f, '{t}')" for t in TERMS)}),
+    FROM d, s WHERE {found}),
   k AS (SELECT *, greatest(0, least(100, 75 + proof + CASE WHEN proven THEN 0 ELSE {_age} END - CASE WHEN later THEN 30 ELSE 0 END)) AS confidence FROM h),
   r AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, doc_id) AS ra, row_number() OVER (ORDER BY confidence DESC, doc_id) AS rb FROM k WHERE confidence >= 40),
   b AS (SELECT *, round(1.0 / (60 + ra) + 1.0 / (60 + rb), 9) AS rrf FROM r ORDER BY rrf DESC, doc_id LIMIT 20),
@@ -88,8 +91,13 @@ UNION ALL
 """
 
 
-RECALL = recall("")
-RECALL_INDEXED = recall(f"AND doc_id IN (SELECT doc_id FROM tok WHERE term IN ({', '.join(q(w) for w in QUERY.lower().split())}))")
+WORDS = QUERY.lower().split()
+_any_word = " OR ".join(f"contains(l, {q(w)})" for w in WORDS)
+_first_word = f"coalesce({', '.join(f'nullif(strpos(l, {q(w)}), 0)' for w in WORDS)})"
+RECALL = recall(_any_word, _first_word, TERMS)
+RECALL_INDEXED = recall(_any_word, _first_word, TERMS, f"AND doc_id IN (SELECT doc_id FROM tok WHERE term IN ({', '.join(map(q, WORDS))}))")
+_pattern = q("(?i)" + RECALL_PATTERN)
+RECALL_PATTERNED = recall(f"regexp_matches(text, {_pattern})", f"strpos(text, regexp_extract(text, {_pattern}))", PATTERN_TERMS)
 
 _hash = "sha256({0})"
 _files = """
@@ -283,6 +291,15 @@ ORACLE_SQL = {
     "binary_detect": BINARY,
     "recall_ranked": RECALL,
     "recall_indexed": RECALL_INDEXED,
+    "recall_pattern": RECALL_PATTERNED,
+    "recall_touch": f"SELECT doc_id, cast({NOW} AS bigint) AS last_ref FROM ({RECALL}) WHERE NOT stale UNION SELECT doc_id, cast({NOW} AS bigint) FROM documents WHERE doc_id % 2000 = 0",
+    "regex_indexed": " UNION ALL ".join(f"SELECT {q(p)} AS pattern, doc_id FROM documents WHERE regexp_matches(text, {q('(?i)' + p)})" for p in PATTERNS),
+    "blockmax_topk": f"""
+WITH w AS (SELECT doc_id, unnest(string_split_regex({fold("text")}, '\\s+')) AS term FROM documents),
+  t AS (SELECT doc_id, term, least(3, count(*)) AS tf FROM w WHERE term IN {in_list(BLOCK_TERMS)} GROUP BY doc_id, term),
+  f AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY term),
+  s AS (SELECT doc_id, round(sum(tf * idf), 9) AS score FROM t JOIN f USING (term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20)
+SELECT doc_id, round(score, 6) AS score FROM s""",
     "index_postings": f"WITH {ATOMS} SELECT doc_id, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY doc_id",
     "index_idf": f"WITH {ATOMS}, n AS (SELECT count(*) AS n FROM documents), c AS (SELECT term, count(*) AS df FROM tok GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM c, n",
     "index_query": f"WITH {ATOMS} SELECT doc_id, count(*) AS matches FROM tok WHERE term IN {in_list(QUERY.split() + ['that'])} GROUP BY doc_id",

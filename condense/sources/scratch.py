@@ -73,6 +73,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder."""
+    p, fs = _path(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def put_file(spark: SparkSession, local: str, url: str) -> str:
     """Copy a file of the driver to the shared folder."""
     p, fs = _path(spark, url)
