@@ -23,6 +23,8 @@ from ..sources.scratch import stored
 
 BUCKET = 4096
 QUERIES = 1024
+#: Blocks of queries that share a copy of their longest bucket.
+FIRST_BLOCKS = 4
 #: Buckets that one task takes a block of queries through.
 RUN = 8
 #: Local cosine threshold from which coordinates are used, and how many.
@@ -222,8 +224,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     asked = blocks.select(F.col("block").alias("q_block"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("kind").alias("q_kind"))
 
     # each block with the longest bucket of its dimension
-    longest = buckets.hint("merge").join(places.where("place = 0").select("block"), "block")
-    pairs = asked.hint("merge").join(longest.drop("block"), "dim")
+    # of which every few blocks get a copy, so that the blocks of a dimension do not meet in one task
+    copies = max(1, -(-blocks.count() // FIRST_BLOCKS))
+    longest = buckets.hint("merge").join(places.where("place = 0").select("block"), "block").drop("block")
+    longest = longest.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    mine = asked.withColumn("copy", F.pmod(F.xxhash64("q_block"), F.lit(copies)).cast("int"))
+    pairs = mine.hint("merge").join(longest, ["dim", "copy"])
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (r for batch in batches for r in batch.itertuples()):
