@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ordered, scan
+from . import matching, ordered, scan
 
 CACHE_SHARE = 0.1
 #: Rows of a dimension (model names, prices, windows, settings) that may be broadcast.
@@ -36,19 +38,25 @@ def normalise(model: Column) -> Column:
 def match_models(ids: DataFrame, prices: DataFrame, id_col: str = "model") -> DataFrame:
     """The price row of each distinct model name: equal names, then equal last parts, then one in the other
     (needles of three or more characters).  Both sides are dimensions, and that is checked: more than
-    ``MOST_NAMES`` distinct names or prices are an error, as names are held against prices one by one."""
-    names = bounded(ids.select(F.col(id_col)).distinct()).withColumn("__n", normalise(F.col(id_col)))
-    prices = bounded(prices)
-    p = prices.withColumn("__p", normalise(F.col("id")))
+    ``MOST_NAMES`` distinct names or prices are an error.  Names are walked through an automaton of all price names'
+    last parts, and price names through one of all names', so no name is held against every price."""
     last = lambda c: F.element_at(F.split(c, "/"), -1)
-    n, q = F.col("__n"), F.col("__p")
-    place = (
-        F.when(n == q, 1).when(last(n) == last(q), 2)
-        .when((F.length(last(q)) >= 3) & n.contains(last(q)), 3).when((F.length(last(n)) >= 3) & q.contains(last(n)), 4)
-    )
-    pairs = names.join(p, place.isNotNull()).withColumn("__place", place)
-    row = F.struct("id", "input_per_m", "output_per_m", "cache_read_per_m")
-    return pairs.groupBy(id_col).agg(F.min_by(row, F.struct("__place", "id")).alias("r")).select(id_col, F.col("r.id").alias("price_id"), "r.input_per_m", "r.output_per_m", "r.cache_read_per_m")
+    names = ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("__n", normalise(F.col(id_col))).withColumn("__nl", last(F.col("__n")))
+    p = prices.where("id is not null").withColumn("__p", normalise(F.col("id"))).withColumn("__pl", last(F.col("__p")))
+    long = lambda found: [x for x in found if len(x) >= 3]
+    theirs = long(matching.dimension(p, "__pl", MOST_NAMES))
+    own = long(matching.dimension(names, "__nl", MOST_NAMES))
+    row = F.struct("id", "input_per_m", "output_per_m", "cache_read_per_m").alias("row")
+    priced = p.select("__p", "__pl", row)
+    found = [
+        names.join(priced, F.col("__n") == F.col("__p")).select(id_col, F.lit(1).alias("place"), "row"),
+        names.join(priced, F.col("__nl") == F.col("__pl")).select(id_col, F.lit(2).alias("place"), "row"),
+        matching.hits(names, "__n", theirs, [id_col]).join(priced, F.col("string") == F.col("__pl")).select(id_col, F.lit(3).alias("place"), "row"),
+        matching.hits(priced, "__p", own, ["row"]).join(names, F.col("string") == F.col("__nl")).select(id_col, F.lit(4).alias("place"), "row"),
+    ]
+    pairs = functools.reduce(DataFrame.unionByName, found)
+    best = pairs.groupBy(id_col).agg(F.min_by("row", F.struct("place", "row.id")).alias("r"))
+    return best.select(id_col, F.col("r.id").alias("price_id"), "r.input_per_m", "r.output_per_m", "r.cache_read_per_m")
 
 
 def cost(usages: DataFrame, prices: DataFrame) -> DataFrame:

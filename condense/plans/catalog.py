@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import commands, commitments, detect, language, redact, reduce, rules, scores, text
 from ..functions.pyudf import skeleton, symbol
-from ..operators import convo, impacts, meter, ordered, search, serve, store, trigrams
-from ..sources import dimensions
-from ..sources.scratch import size_of, stored
+from ..operators import convo, impacts, intervals, matching, meter, ordered, pathkeys, search, serve, store, trigrams
+from ..sources import dimensions, snapshots
+from ..sources.scratch import shared_dir, size_of, stored
 
 NOW = 1_750_000_000_000
 QUERY = "please tionti stion"
@@ -22,6 +22,8 @@ PATTERN = "wh[a-z]+st"
 RECALL_PATTERN, PATTERN_TERMS = "tionti[a-z]+", ["tionti"]
 #: Terms of a ranked search.
 BLOCK_TERMS = ["tion", "nthe", "whst", "eaux"]
+#: Terms that are looked for all at once.
+FEW_TERMS = ["tionti", "stion", "whst", "queux", "onth", "eaux", "ption", "please"]
 #: Patterns that the index of trigrams narrows down.
 PATTERNS = ["licen[cs]e", "wh[a-z]+st", "(queux|thern)t?iê?on", "ption.*thth"]
 c = F.col
@@ -139,6 +141,60 @@ def path_lookup(spark, sf):
     return search.path_lookup(index, "25").select(c("id").alias("page_id"))
 
 
+def path_lookup_many(spark, sf):
+    """Every page's number looked up in the paths of all pages, as one join."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"))
+    index = p.select(F.explode(text.path_tokens("path")).alias("term"), c("page_id").alias("id"))
+    terms = p.select(c("page_id").cast("string").alias("lookup"))
+    return pathkeys.lookup(index, terms).groupBy("lookup").agg(F.count("*").alias("pages"), F.min("id").alias("first"))
+
+
+def term_hits(spark, sf):
+    """All terms at once, each text walked through one automaton."""
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    return matching.hits(d, "t", FEW_TERMS, ["doc_id"]).groupBy("string").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"), F.sum(c("at").cast("bigint")).alias("places"))
+
+
+def term_first(spark, sf):
+    """The first of several terms that a text has, in the terms' order."""
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    return matching.first_of(d, "t", FEW_TERMS).select("doc_id", "term", c("at").cast("bigint").alias("at"))
+
+
+def interval_join(spark, sf):
+    """Returned and accepted goods of a supplier that were out on the same days."""
+    day = F.unix_date(c("l_shipdate").cast("date"))
+    out = table(spark, sf, "lineitem").select(c("l_suppkey").alias("supplier"), "l_returnflag", day.alias("start"), (day + c("l_quantity").cast("int")).alias("end"))
+    back, kept = (out.where(c("l_returnflag") == f).select("supplier", c("start").alias(f"{n}_start"), c("end").alias(f"{n}_end")) for f, n in (("R", "back"), ("A", "kept")))
+    both = intervals.overlaps(back, kept, ["supplier"], ("back_start", "back_end"), ("kept_start", "kept_end"))
+    days = F.least("back_end", "kept_end") - F.greatest("back_start", "kept_start") + 1
+    return both.groupBy("supplier").agg(F.count("*").alias("pairs"), F.sum(days.cast("bigint")).alias("days"))
+
+
+def breaker_states(spark, sf):
+    """The breaker after every outcome of a key."""
+    e = table(spark, sf, "events").select("user_id", "event_id", (c("event_type").isin("error", "click")).alias("failed"))
+    return convo.breaker_states(e, "user_id", "event_id", "failed").select("user_id", "event_id", "state", "failures", "opened")
+
+
+def running_estimates(spark, sf):
+    """Mean and least squares of the last 200 samples at every sample."""
+    e = table(spark, sf, "events").select("user_id", "event_id", F.floor(c("value") * 4 + 1).alias("ascii"), F.floor(c("value") + c("event_id") % 7 + 1).alias("tokens"))
+    r = meter.running_estimates(e, "user_id", "event_id")
+    return r.select("user_id", "event_id", "samples", "fitted", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+def snapshot_upsert(spark, sf):
+    """Documents in two commits to a table of revisions, the second an upsert of what the first holds; the last revision."""
+    d = table(spark, sf, "documents").select(c("text").alias("content"), (c("doc_id") * 1000).alias("ts_ms"), c("doc_id").alias("seq"))
+    held = snapshots.Snapshots(spark, shared_dir(spark, "revisions"))
+    old, new = (store.ingest(d.where(c("seq") % 2 == i)) for i in (0, 1))
+    held.append(old)
+    held.update(lambda rows: store.upsert(rows, new, keep_first=("size", "kind", "seq", "content")).select(*old.columns))
+    held.expire(keep=1, grace_s=0)
+    return held.read().select("hash", "size", "created_at", "last_ref", "seen", "seq")
+
+
 def recall_regex_topk(spark, sf):
     d = table(spark, sf, "documents").select(c("doc_id").alias("hash"), c("text").alias("content"), F.pmod(c("doc_id") * 7919, F.lit(10007)).alias("last_ref"))
     return search.recall_regex(d, PATTERN, 10).select(c("hash").alias("doc_id"), "last_ref")
@@ -575,7 +631,7 @@ def rollup_bench(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        recall_ranked, recall_indexed, recall_pattern, recall_touch, regex_indexed, blockmax_topk, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
+        recall_ranked, recall_indexed, recall_pattern, recall_touch, regex_indexed, blockmax_topk, path_lookup_many, term_hits, term_first, interval_join, breaker_states, running_estimates, snapshot_upsert, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
         prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, commitments_crushed, redact_counts,
         redact_text, char_entropy, token_estimate, bigram_shingles, dedup_runs, log_template_collapse, group_squash, salient_crush, prose_compress, table_compact, json_crush, anchors,
         smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,

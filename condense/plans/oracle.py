@@ -6,7 +6,7 @@ Patterns are shared as constants; look-arounds at ASCII words become ``\\b``, wh
 from __future__ import annotations
 
 from ..functions import commitments, detect, language, redact, reduce, rules
-from .catalog import BLOCK_TERMS, COMMANDS, FRESH_NOW, KINDS, NOW, PATTERN, PATTERN_TERMS, PATTERNS, QUERY, RECALL_PATTERN
+from .catalog import BLOCK_TERMS, COMMANDS, FEW_TERMS, FRESH_NOW, KINDS, NOW, PATTERN, PATTERN_TERMS, PATTERNS, QUERY, RECALL_PATTERN
 
 
 def q(s: str) -> str:
@@ -293,6 +293,39 @@ ORACLE_SQL = {
     "recall_indexed": RECALL_INDEXED,
     "recall_pattern": RECALL_PATTERNED,
     "recall_touch": f"SELECT doc_id, cast({NOW} AS bigint) AS last_ref FROM ({RECALL}) WHERE NOT stale UNION SELECT doc_id, cast({NOW} AS bigint) FROM documents WHERE doc_id % 2000 = 0",
+    "path_lookup_many": """WITH t AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^?#]*)', 1)) AS term FROM pages),
+        q AS (SELECT cast(page_id AS varchar) AS lookup FROM pages),
+        x AS (SELECT DISTINCT lookup, page_id FROM q JOIN t ON term = lookup OR (lookup NOT IN (SELECT term FROM t) AND length(term) > length(lookup)
+              AND (suffix(term, lookup) OR contains(string_split(term, '/')[-1], lookup))))
+        SELECT lookup, count(*) AS pages, min(page_id) AS first FROM x GROUP BY lookup""",
+    "term_hits": f"""WITH s AS (SELECT unnest([{", ".join(map(q, FEW_TERMS))}]) AS string)
+        SELECT string, count(*) AS documents, cast(sum((length(t) - length(replace(t, string, ''))) // length(string)) AS bigint) AS occurrences, cast(sum(strpos(t, string)) AS bigint) AS places
+        FROM (SELECT lower(text) AS t FROM documents), s WHERE contains(t, string) GROUP BY string""",
+    "term_first": f"""SELECT doc_id, CASE {" ".join(f"WHEN contains(t, {q(x)}) THEN {q(x)}" for x in FEW_TERMS)} END AS term,
+        coalesce(CASE {" ".join(f"WHEN contains(t, {q(x)}) THEN strpos(t, {q(x)})" for x in FEW_TERMS)} END, 0) AS at FROM (SELECT doc_id, lower(text) AS t FROM documents)""",
+    "interval_join": """WITH x AS (SELECT l_suppkey AS supplier, l_returnflag, date_diff('day', DATE '1970-01-01', cast(l_shipdate AS date)) AS a,
+          date_diff('day', DATE '1970-01-01', cast(l_shipdate AS date)) + cast(floor(l_quantity) AS integer) AS b FROM lineitem)
+        SELECT l.supplier, count(*) AS pairs, cast(sum(least(l.b, r.b) - greatest(l.a, r.a) + 1) AS bigint) AS days FROM x l JOIN x r
+        ON l.supplier = r.supplier AND l.l_returnflag = 'R' AND r.l_returnflag = 'A' AND l.a <= r.b AND r.a <= l.b GROUP BY l.supplier""",
+    "breaker_states": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type IN ('error', 'click') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+        s AS (SELECT user_id, cast(0 AS bigint) AS i, 'closed' AS state, cast(0 AS bigint) AS failures, cast(0 AS bigint) AS turns, cast(0 AS bigint) AS opened, cast(NULL AS bigint) AS event_id FROM e WHERE i = 1
+          UNION ALL
+          SELECT e.user_id, e.i,
+            CASE WHEN s.state = 'open' THEN CASE WHEN s.turns + 1 >= 5 THEN 'half-open' ELSE 'open' END
+                 WHEN NOT bad THEN 'closed' WHEN s.state = 'half-open' OR s.failures + 1 >= 3 THEN 'open' ELSE 'closed' END,
+            CASE WHEN s.state = 'open' THEN s.failures WHEN NOT bad THEN 0 ELSE s.failures + 1 END,
+            CASE WHEN s.state = 'open' AND s.turns + 1 < 5 THEN s.turns + 1 ELSE 0 END,
+            CASE WHEN s.state <> 'open' AND bad AND (s.state = 'half-open' OR s.failures + 1 >= 3) THEN s.opened + 1 ELSE s.opened END, e.event_id
+          FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+        SELECT user_id, event_id, state, failures, opened FROM s WHERE i > 0""",
+    "running_estimates": """WITH x AS (SELECT user_id, event_id, cast(floor(value * 4 + 1) AS bigint) AS a, cast(floor(value + event_id % 7 + 1) AS bigint) AS t FROM events),
+        g AS (SELECT * FROM x WHERE a > 0 AND t > 0),
+        w AS (SELECT user_id, event_id, row_number() OVER u AS samples, count(*) OVER f AS n, sum(a) OVER f AS sa, sum(t) OVER f AS st, sum(a * a) OVER f AS saa, sum(a * t) OVER f AS sat FROM g
+              WINDOW u AS (PARTITION BY user_id ORDER BY event_id), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+        s AS (SELECT *, CASE WHEN n * saa - sa * sa > 0 THEN cast(n * sat - sa * st AS double) / cast(n * saa - sa * sa AS double) ELSE 0 END AS slope FROM w)
+        SELECT user_id, event_id, samples, n AS fitted, round(slope, 6) AS slope, round(CASE WHEN n * saa - sa * sa > 0 THEN (st - slope * sa) / n ELSE 0 END, 4) AS intercept FROM s""",
+    "snapshot_upsert": """SELECT sha256(text) AS hash, any_value(length(text)) AS size, min(doc_id) * 1000 AS created_at, max(doc_id) * 1000 AS last_ref, count(*) AS seen,
+        coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 0), min(doc_id)) AS seq FROM documents GROUP BY sha256(text)""",
     "regex_indexed": " UNION ALL ".join(f"SELECT {q(p)} AS pattern, doc_id FROM documents WHERE regexp_matches(text, {q('(?i)' + p)})" for p in PATTERNS),
     "blockmax_topk": f"""
 WITH w AS (SELECT doc_id, unnest(string_split_regex({fold("text")}, '\\s+')) AS term FROM documents),
