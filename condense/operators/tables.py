@@ -40,7 +40,7 @@ class Recall:
         _checked(rows, ("hash", "content"), "recall")
         if not isinstance(query.value, str) or not isinstance(limit.value, int) or limit.value < 0:
             raise ValueError("recall needs a constant query and a constant limit of 0 or more")
-        return AnalyzeResult(StructType.fromDDL("hash string, rank int, at int, snippet string"))
+        return AnalyzeResult(StructType().add("hash", "string").add("rank", "integer").add("at", "integer").add("snippet", "string"))
 
     def __init__(self):
         self.given, self.find = 0, None
@@ -73,7 +73,7 @@ class Symbol:
     @staticmethod
     def analyze(rows: AnalyzeArgument, name: AnalyzeArgument, limit: AnalyzeArgument) -> AnalyzeResult:
         _checked(rows, ("hash", "content"), "symbol")
-        return AnalyzeResult(StructType.fromDDL("hash string, definition string"))
+        return AnalyzeResult(StructType().add("hash", "string").add("definition", "string"))
 
     def __init__(self):
         self.given = 0
