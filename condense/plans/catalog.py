@@ -402,6 +402,31 @@ def digest_rules(spark, sf):
     return r.select("doc_id", c("r.rule").alias("rule"), c("r.saved_chars").alias("saved_chars"))
 
 
+def digest_arms(spark, sf):
+    """Rules for particular commands, over documents whose words are written as such outputs: the whole digested text."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    arm = c("doc_id") % 5
+
+    def line(x: Column, at: Column) -> Column:
+        n = (at + 1).cast("string")
+        own = F.concat(x, n)
+        return (
+            F.when(arm == 0, F.concat(F.lit(" M "), own))
+            .when(arm == 1, F.when((at + 1) % 5 == 0, F.concat(F.lit("added "), n, F.lit(" packages"))).when((at + 1) % 7 == 0, F.concat(own, F.lit(" severity high"))).otherwise(own))
+            .when(arm == 2, F.concat(n, F.when((at + 1) % 2 == 0, ":1 info ").otherwise(":1 error "), x))
+            .when(arm == 3, F.when((at + 1) % 3 == 0, F.concat(F.lit("["), n, F.lit("/9] "), x)).otherwise(own))
+            .otherwise(F.concat(F.when((at + 1) % 60 == 1, "+").otherwise(" "), own))
+        )
+
+    out = F.array_join(F.transform(words, line), "\n")
+    out = F.when(arm == 0, F.concat(F.lit("On branch main\n"), out)).otherwise(out)
+    tool = F.when(arm == 2, "get_diagnostics").otherwise("shell_command")
+    command = F.when(arm == 0, "git status").when(arm == 1, "npm install").when(arm == 3, "make all").when(arm == 4, "git diff HEAD")
+    d = table(spark, sf, "documents").select("doc_id", out.alias("t"), tool.alias("tool"), command.alias("command"))
+    r = d.select("doc_id", rules.digest("tool", "command", "t").alias("r"))
+    return r.select("doc_id", c("r.rule").alias("rule"), digest_of(c("r.text")).alias("sha"), c("r.saved_chars").alias("saved_chars"))
+
+
 def head_squash(spark, sf):
     out = rules.squash(c("text"), 2000, "[{n} chars, {lines} lines]\n{head}")
     return table(spark, sf, "documents").select("doc_id", digest_of(out).alias("sha"), F.length(out).cast("bigint").alias("chars"))
@@ -634,7 +659,7 @@ QUERIES = {
         recall_ranked, recall_indexed, recall_pattern, recall_touch, regex_indexed, blockmax_topk, path_lookup_many, term_hits, term_first, interval_join, breaker_states, running_estimates, snapshot_upsert, index_postings, index_idf, index_query, path_lookup, recall_regex_topk, content_store_upsert, supersede_antijoin, invalidate_theta, as_of_prior_version,
         prior_versions, best_version, evict_over_cap, newest_per_command, freshness_score, freshness_flags, content_type_detect, binary_detect, language_detect, commitments_kept, commitments_crushed, redact_counts,
         redact_text, char_entropy, token_estimate, bigram_shingles, dedup_runs, log_template_collapse, group_squash, salient_crush, prose_compress, table_compact, json_crush, anchors,
-        smart_compress, stack_traces, digest_rules, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,
+        smart_compress, stack_traces, digest_rules, digest_arms, head_squash, keep_last_n, line_window, line_numbers_strip, mask_observations, context_tokens, epoch_detect, frozen_prefix, frozen_turns, view_toc,
         breaker_fold, diff_summary, usage_stats, usage_cost, ols_tokens, running_mean, ece_bins, pressure_growth, cache_dips, budget_info, session_snapshot, active_ttl, heartbeat_live,
         recall_followed, playbook_top, ring_buffer, freshness_replay, tool_hits, window_serve, freshness_audit, side_effects, price_html_extract, symbol_extract, stream_session_counts, rollup_bench,
     )

@@ -270,6 +270,34 @@ SELECT doc_id, rule, cast(CASE rule WHEN 'bash-squash' THEN length(text) - lengt
   WHEN 'dedup' THEN length(text) - length(dt) WHEN 'error-only' THEN length(text) - length(et) ELSE 0 END AS bigint) AS saved_chars FROM z
 """
 
+_safe = found("line", rules.SECURITY)
+DIGEST_ARMS = f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS arm, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+  x AS (SELECT doc_id, arm, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+  l AS (SELECT doc_id, arm, i, CASE arm WHEN 0 THEN ' M ' || x || i
+      WHEN 1 THEN CASE WHEN i % 5 = 0 THEN 'added ' || i || ' packages' WHEN i % 7 = 0 THEN x || i || ' severity high' ELSE x || i END
+      WHEN 2 THEN i || CASE WHEN i % 2 = 0 THEN ':1 info ' ELSE ':1 error ' END || x
+      WHEN 3 THEN CASE WHEN i % 3 = 0 THEN '[' || i || '/9] ' || x ELSE x || i END
+      ELSE CASE WHEN i % 60 = 1 THEN '+' ELSE ' ' END || x || i END AS line FROM x),
+  n AS (SELECT *, {_safe} AS safe, CASE arm WHEN 2 THEN {any_found("line", rules.DIAGNOSTICS)} WHEN 3 THEN {any_found("line", rules.NOISE)} ELSE false END AS noise, (i - 1) // 60 AS block, (i - 1) % 60 AS o FROM l),
+  m AS (SELECT *, max(o) OVER (PARTITION BY doc_id, block) AS context FROM n),
+  g AS (SELECT doc_id, any_value(arm) AS arm, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n,
+      string_agg(CASE WHEN i <= 30 THEN ltrim(line) END, chr(10) ORDER BY i) AS entries, string_agg(CASE WHEN i <= 30 THEN line END, chr(10) ORDER BY i) AS head,
+      string_agg(CASE WHEN NOT safe AND {found("line", rules.INSTALLED)} THEN trim(line) END, chr(10) ORDER BY i) AS said, string_agg(CASE WHEN safe THEN trim(line) END, chr(10) ORDER BY i) AS risky,
+      string_agg(CASE WHEN safe OR NOT noise THEN line END, chr(10) ORDER BY i) AS kept,
+      string_agg(CASE WHEN o <= 30 THEN line END || CASE WHEN o = least(30, context) AND context > 30 THEN chr(10) || ' …[' || (context - 30) || ' context lines]' ELSE '' END, chr(10) ORDER BY i) AS patch
+    FROM m GROUP BY doc_id),
+  b AS (SELECT doc_id, arm, head, CASE WHEN arm = 0 THEN 'On branch main' || chr(10) || t ELSE t END AS t,
+      CASE arm WHEN 0 THEN 'branch: main' || chr(10) || entries || CASE WHEN n > 30 THEN chr(10) || '[' || (n - 30) || ' more entries]' ELSE '' END
+        WHEN 1 THEN CASE WHEN length(t) >= 300 THEN concat_ws(chr(10), said, risky) END
+        WHEN 2 THEN CASE WHEN length(t) >= 300 THEN kept END WHEN 3 THEN CASE WHEN length(t) >= 400 THEN kept END
+        ELSE CASE WHEN length(t) >= 600 THEN patch END END AS own FROM g),
+  r AS (SELECT doc_id, t, CASE WHEN arm IN (1, 3, 4) AND length(t) > 6000 THEN 'bash-squash'
+      WHEN length(own) < length(t) AND own <> '' THEN ['git-status', 'install-summary', 'diagnostics-strip', 'dev-noise-strip', 'diff-summary'][arm + 1] END AS rule,
+      CASE WHEN arm IN (1, 3, 4) AND length(t) > 6000 THEN '[Bash: exit ?, ' || length(t) || ' chars output]' || chr(10) || left(head, 2000) ELSE own END AS own FROM b)
+SELECT doc_id, rule, CASE WHEN rule IS NOT NULL THEN sha256(own) END AS sha, cast(CASE WHEN rule IS NOT NULL THEN length(t) - length(own) ELSE 0 END AS bigint) AS saved_chars FROM r
+"""
+
 _esc = {k: re2(v) for k, v in commitments.ATOMS.items()}
 _atom = lambda k, least: f"list_distinct(list_filter(regexp_extract_all(text, {_esc[k]}), lambda x: length(x) >= {least})[1:40])"
 COMMIT = f"""
@@ -387,6 +415,7 @@ SELECT doc_id, round(score, 6) AS score FROM s""",
         SELECT user_id, n <= 500 AND length(t) < length(js) AS was_compacted, CASE WHEN n <= 500 AND length(t) < length(js) THEN n ELSE 0 END AS rows, cast(CASE WHEN n <= 500 AND length(t) < length(js) THEN 4 ELSE 0 END AS bigint) AS cols,
           sha256(CASE WHEN n <= 500 AND length(t) < length(js) THEN t ELSE js END) AS sha FROM t""",
     "digest_rules": DIGEST,
+    "digest_arms": DIGEST_ARMS,
     "head_squash": f"""WITH t AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN '[' || length(text) || ' chars, ' || len({split("text")}) || ' lines]' || chr(10) || left(array_to_string({split("text")}[1:30], chr(10)), 2000) END AS t FROM documents)
         SELECT doc_id, sha256(t) AS sha, length(t) AS chars FROM t""",
     "keep_last_n": f"""WITH l AS (SELECT doc_id, CASE WHEN {split("text")}[-1] = '' THEN {split("text")}[:-2] ELSE {split("text")} END AS a FROM documents)
