@@ -376,7 +376,8 @@ def json_crush(spark, sf):
 
 
 def anchors(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.array_join(reduce.anchors(F.concat_ws(" ", "url", F.lit('"order 5"'), (c("page_id") + 5000).cast("string"))), "|").alias("anchors"))
+    """Anchors of whole pages with their addresses."""
+    return table(spark, sf, "pages").select("page_id", F.array_join(reduce.anchors(F.concat_ws(" ", "url", "html")), "|").alias("anchors"))
 
 
 def smart_compress(spark, sf):
@@ -388,9 +389,10 @@ TRACE = "start\nError: boom\n    at run (src/app.js:1:2)\n    at load (node_modu
 
 
 def stack_traces(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(TRACE), F.lit("\n"), F.lit(TRACE), F.lit("\n"), F.regexp_replace("text", "(?i)error|failed|fatal|panic", "x")).alias("t"))
+    """Whole texts as they are, with two traces behind them."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), F.lit(TRACE), F.lit(TRACE)).alias("t"))
     r = d.select("doc_id", reduce.compress_traces("t").alias("r"), "t")
-    return r.select("doc_id", c("r.traces").alias("traces"), (F.length("t") - F.length("r.text")).cast("bigint").alias("saved"))
+    return r.select("doc_id", c("r.traces").alias("traces"), (F.length("t") - F.length("r.text")).cast("bigint").alias("saved"), digest_of(c("r.text")).alias("sha"))
 
 
 def digest_rules(spark, sf):
@@ -618,8 +620,10 @@ COMMANDS = [
 
 
 def side_effects(spark, sf):
-    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(COMMANDS)], "id bigint, command string")
-    return rows.select("id", commands.is_side_effect("command").alias("effect"))
+    """A command for every document, with the document's first word behind it."""
+    kind = F.element_at(F.array(*(F.lit(x) for x, _ in COMMANDS)), (c("doc_id") % len(COMMANDS) + 1).cast("int"))
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    return table(spark, sf, "documents").select("doc_id", commands.is_side_effect(F.concat(kind, F.lit(" x"), word)).alias("effect"))
 
 
 def price_html_extract(spark, sf):
@@ -628,24 +632,25 @@ def price_html_extract(spark, sf):
 
 
 def symbol_extract(spark, sf):
-    p = table(spark, sf, "pages").where(c("html").contains("track"))
-    code = F.concat(F.lit("import x\nfunction track(a) {\n  if (a) { return '}'; }\n  return "), c("page_id"), F.lit(";\n}\nconst z = 1;"))
-    return p.select("page_id", code.alias("code")).select("page_id", symbol("track")(c("code")).alias("definition"), skeleton(c("code")).alias("skeleton"))
+    """The first script of every page: where its variable ``t`` is defined, and its skeleton."""
+    code = F.regexp_replace(F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1), ";", ";\n")
+    code = F.when(F.length(code) > 0, F.concat(F.lit("function page("), c("page_id"), F.lit(") {\n"), code, F.lit("}\nconst z = 1;")))
+    p = table(spark, sf, "pages").select("page_id", code.alias("code")).where("code is not null")
+    return p.select("page_id", symbol("page")(c("code")).alias("definition"), skeleton(c("code")).alias("skeleton"))
 
 
 def stream_session_counts(spark, sf):
     """The session fold over a file stream, read to its end."""
-    import uuid
-
     from ..streaming import stateful
 
     schema = table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"stream_{uuid.uuid4().hex}"
     counted = stateful.session_counts(rows.withColumn("ts", millis(c("ts"))), KINDS, "user_id", "event_type", "ts")
-    q = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("user_id", "events", *(f"n_{k}" for k in KINDS), "started", "last_at")
+    out = shared_dir(spark, "stream-counts")
+    writer = counted.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).outputMode("complete")
+    writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = max(stateful._numbers(spark, out, "batch"))
+    return spark.read.parquet(f"{out}/batch={last}").select("user_id", "events", *(f"n_{k}" for k in KINDS), "started", "last_at")
 
 
 def rollup_bench(spark, sf):

@@ -6,7 +6,7 @@ Patterns are shared as constants; look-arounds at ASCII words become ``\\b``, wh
 from __future__ import annotations
 
 from ..functions import commitments, detect, language, redact, reduce, rules
-from .catalog import BLOCK_TERMS, COMMANDS, FEW_TERMS, FRESH_NOW, KINDS, NOW, PATTERN, PATTERN_TERMS, PATTERNS, QUERY, RECALL_PATTERN
+from .catalog import BLOCK_TERMS, COMMANDS, FEW_TERMS, FRESH_NOW, KINDS, NOW, PATTERN, PATTERN_TERMS, PATTERNS, QUERY, RECALL_PATTERN, TRACE
 
 
 def q(s: str) -> str:
@@ -469,7 +469,13 @@ SELECT doc_id, round(score, 6) AS score FROM s""",
         j AS (SELECT d.doc_id AS call_id, b.id, s.mtime = x.doc_id AND s.size = x.n_chars AS same, CASE WHEN {split("x.text")}[-1] = '' THEN {split("x.text")}[:-2] ELSE {split("x.text")} END AS a FROM d LEFT JOIN b USING (p) LEFT JOIN d x ON x.doc_id = b.id LEFT JOIN snap s ON s.p = d.p),
         r AS (SELECT *, CASE WHEN id IS NULL THEN 'no-blob' WHEN NOT coalesce(same, false) THEN 'stale' WHEN len(a) < 2 THEN 'out-of-bounds' END AS reason FROM j)
         SELECT call_id, reason, sha256(CASE WHEN reason IS NULL THEN array_to_string(list_transform(range(2, least(4, len(a) + 1)), lambda i: i || ': ' || CASE WHEN length(regexp_replace(a[i], '\\r$', '')) > 2000 THEN left(regexp_replace(a[i], '\\r$', ''), 2000) || '… [' || (length(regexp_replace(a[i], '\\r$', '')) - 2000) || ' chars truncated]' ELSE regexp_replace(a[i], '\\r$', '') END), chr(10)) END) AS sha FROM r""",
-    "side_effects": "SELECT * FROM (VALUES " + ", ".join(f"({i}::bigint, {str(e).lower()})" for i, (_, e) in enumerate(COMMANDS)) + ") AS t(id, effect)",
+    "side_effects": f"SELECT doc_id, [{', '.join(str(e).lower() for _, e in COMMANDS)}][doc_id % {len(COMMANDS)} + 1] AS effect FROM documents",
+    "stack_traces": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {found(split("coalesce(text, '')") + "[-1]", reduce._ERROR_HEAD)} AS open FROM documents),
+        f AS (SELECT *, '    at run (src/app.js:1:2)' || chr(10) || '  [... 2 runtime frames collapsed]' || chr(10) || 'end' AS x FROM d),
+        o AS (SELECT doc_id, length(t) + 2 * length({q(TRACE)}) + 2 AS before, t || chr(10) || CASE WHEN open THEN '' ELSE 'start' || chr(10) || 'Error: boom' || chr(10) END || x || chr(10) || 'start' || chr(10) || 'Error: boom' || chr(10) || x AS o FROM f)
+        SELECT doc_id, cast(2 AS bigint) AS traces, before - length(o) AS saved, sha256(o) AS sha FROM o""",
+    "symbol_extract": """WITH s AS (SELECT page_id, replace(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), ';', ';' || chr(10)) AS code FROM pages)
+        SELECT page_id, 'function page(' || page_id || ') {' || chr(10) || code || '}' AS definition, 'function page(' || page_id || ') { ... }' || chr(10) || 'const z = 1;' AS skeleton FROM s WHERE length(code) > 0""",
     "price_html_extract": """SELECT page_id, 1::bigint AS row, 'm-' || page_id AS model, (page_id % 10) + 0.5::double AS input_per_m, 7.0::double AS output_per_m FROM pages UNION ALL SELECT page_id, 2, 'm-' || page_id, 2.0, page_id::double FROM pages""",
     "stream_session_counts": f"SELECT user_id, count(*) AS events, {', '.join(f'count(*) FILTER (event_type = {q(k)}) AS n_{k}' for k in KINDS)}, min(epoch_us(ts) // 1000) AS started, max(epoch_us(ts) // 1000) AS last_at FROM events GROUP BY user_id",
 }
