@@ -351,7 +351,7 @@ ORACLE_SQL = {
         w AS (SELECT user_id, event_id, row_number() OVER u AS samples, count(*) OVER f AS n, sum(a) OVER f AS sa, sum(t) OVER f AS st, sum(a * a) OVER f AS saa, sum(a * t) OVER f AS sat FROM g
               WINDOW u AS (PARTITION BY user_id ORDER BY event_id), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
         s AS (SELECT *, CASE WHEN n * saa - sa * sa > 0 THEN cast(n * sat - sa * st AS double) / cast(n * saa - sa * sa AS double) ELSE 0 END AS slope FROM w)
-        SELECT user_id, event_id, samples, n AS fitted, round(slope, 6) AS slope, round(CASE WHEN n * saa - sa * sa > 0 THEN (st - slope * sa) / n ELSE 0 END, 4) AS intercept FROM s""",
+        SELECT user_id, event_id, samples, n AS fitted, round(slope, 6) AS slope, round(CASE WHEN n * saa - sa * sa > 0 THEN (st - slope * sa) / n ELSE 0 END + 1e-7, 4) AS intercept FROM s""",
     "snapshot_upsert": """SELECT sha256(text) AS hash, any_value(length(text)) AS size, min(doc_id) * 1000 AS created_at, max(doc_id) * 1000 AS last_ref, count(*) AS seen,
         coalesce(min(doc_id) FILTER (WHERE doc_id % 2 = 0), min(doc_id)) AS seq FROM documents GROUP BY sha256(text)""",
     "regex_indexed": " UNION ALL ".join(f"SELECT {q(p)} AS pattern, doc_id FROM documents WHERE regexp_matches(text, {q('(?i)' + p)})" for p in PATTERNS),
