@@ -142,6 +142,12 @@ def pressure_tokens(window: ColumnOrName, share: float = 0.7, explicit: int = 15
     return F.least(F.round(col(window) * share).cast("bigint"), F.lit(explicit).cast("bigint"))
 
 
+def mask_allowed(context_tokens: ColumnOrName, least: ColumnOrName | int) -> Column:
+    """Whether a context is large enough for old observations to be masked; 0 or less always is."""
+    most = F.lit(least) if isinstance(least, int) else col(least)
+    return (most <= 0) | (col(context_tokens) >= most)
+
+
 def break_even(saved: ColumnOrName, overhead: ColumnOrName) -> Column:
     return col(saved) - col(overhead)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import reduce, text
+from ..functions import reduce, scores, text
 from ..functions.base import ColumnOrName, col, joined, let, lines
 from . import ordered, scan
 
@@ -59,7 +59,7 @@ def mask(messages: DataFrame, roles: tuple[str, ...] = ("tool",), keep_last: int
     m = m.withColumn("verdict", F.when(old, F.when(F.col("__i") == 1, "first").otherwise(mask_verdict(F.col("content"), F.col("is_error"), least_chars))))
     hit = F.col("verdict") == "mask"
     m = ordered.accumulated(m, ["conv_id"], [], {}, {"__saved": F.when(hit, F.length("content")).otherwise(0)})
-    worth = (F.col("__saved") >= least_savings * F.col("__chars")) & (F.col("__chars") / chars_per_token >= least_tokens)
+    worth = (F.col("__saved") >= least_savings * F.col("__chars")) & scores.mask_allowed(F.col("__chars") / chars_per_token, least_tokens)
     masked = F.coalesce(hit & worth, F.lit(False))
     content = F.when(masked, placeholder(F.col("content"), text.content_hash("content"))).otherwise(F.col("content"))
     return m.withColumn("masked", masked).withColumn("content", content).select(*messages.columns, "verdict", "masked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,17 @@ def rebuild(contents: DataFrame, session: str = "") -> DataFrame:
     )
 
 
+def load(spark: SparkSession, index: str, folder: str, session: str = "") -> DataFrame:
+    """The rows of an index file, or, where that is missing, broken or empty, those made anew from the folder's files."""
+    try:
+        rows = read_index(spark, index).where("hash is not null")
+        if not rows.isEmpty():
+            return rows
+    except AnalysisException:
+        pass
+    return rebuild(read_folder(spark, folder), session)
+
+
 def write(store: DataFrame, path: str) -> None:
     """A version of the store; readers see it when its job has committed."""
     store.write.mode("errorifexists").parquet(path)

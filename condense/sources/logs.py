@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from .. import schema
 
@@ -28,6 +29,18 @@ def append(events: DataFrame, path: str, level: str = "info") -> None:
     events.where(at_least(F.col("level"), level)).write.mode("append").json(path)
 
 
+def sink(events: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds", level: str = "info") -> list[StreamingQuery]:
+    """Append a stream of events to a log: warnings and errors as soon as they come, the rest in batches ``every`` so often.  With
+    ``every=None`` both take what is there and end."""
+    kept = events.where(at_least(F.col("level"), level))
+    urgent = at_least(F.col("level"), "warn")
+    out = []
+    for name, rows, often in (("urgent", kept.where(urgent), "0 seconds"), ("batched", kept.where(~urgent), every)):
+        writer = rows.writeStream.format("json").option("path", f"{path}/{name}").option("checkpointLocation", f"{checkpoint}/{name}")
+        out.append(writer.trigger(**({"availableNow": True} if every is None else {"processingTime": often})).start())
+    return out
+
+
 def stats(spark: SparkSession, path: str) -> DataFrame:
     """Files, lines and bytes of a log."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))

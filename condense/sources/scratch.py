@@ -6,11 +6,13 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
-_scopes: list[list[str]] = []
+#: Folders made in the present scope; each thread (and task of a loop) has its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -37,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    for made in _scopes[-1:]:
+    if (made := _scope.get()) is not None:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -47,11 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are :func:`stored` within are deleted at its end."""
-    _scopes.append([])
+    made: list[str] = []
+    outer = _scope.set(made)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in made:
             drop_path(spark, path)
 
 

@@ -174,3 +174,61 @@ def test_usage_stream_equals_batch(spark, tmp_path):
 
 def test_schemas():
     assert schema.struct(schema.BLOBS)["hash"].nullable is False and len(schema.struct(schema.USAGES)) == 6
+
+
+def test_index_falls_back_to_files(spark, tmp_path):
+    folder, index = tmp_path / "blobs", tmp_path / "index.json"
+    folder.mkdir()
+    text = "what is left"
+    hash_ = hashlib.sha256(text.encode()).hexdigest()
+    (folder / hash_).write_text(text)
+    hashes = lambda: [r.hash for r in blobs.load(spark, str(index), str(folder)).collect()]
+    assert hashes() == [hash_]  # no index
+    for broken in ("", "{broken", '{"rev": 1, "blobs": []}'):
+        index.write_text(broken)
+        assert hashes() == [hash_]
+    index.write_text(json.dumps({"rev": 1, "blobs": [{"hash": "a", "size": 1}]}))
+    assert hashes() == ["a"]
+
+
+def test_log_sink(spark, tmp_path):
+    lines = [json.dumps({"v": 1, "t": "2024-01-01T00:00:00Z", "session": "s", "level": lv, "type": "x", "action": "y"}) for lv in ("debug", "info", "warn", "error")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ndjson").write_text("\n".join(lines))
+    for q in logs.sink(logs.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), every=None):
+        q.awaitTermination()
+    level = lambda name: sorted(r.level for r in logs.read(spark, str(tmp_path / "out" / name)).collect())
+    assert level("urgent") == ["error", "warn"] and level("batched") == ["info"]
+
+
+def test_scratch_scopes_of_threads(spark):
+    """A scope ends with its own tables only."""
+    import threading
+
+    from condense.sources import scratch
+
+    inside, done, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch.scope(spark):
+            t = scratch.stored(spark.range(3), "other")
+            inside.set()
+            done.wait(60)
+            seen.append(t.count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with scratch.scope(spark):
+        own = scratch.stored(spark.range(5), "own")
+        assert own.count() == 5
+    done.set()
+    thread.join()
+    assert seen == [3] and not scratch._path(spark, own.stored_at)[1].exists(scratch._path(spark, own.stored_at)[0])
+
+
+def test_mask_allowed(spark):
+    from condense.functions import scores
+
+    df = spark.createDataFrame([(100,), (99,)], "t int")
+    assert [tuple(r) for r in df.select(scores.mask_allowed("t", 100), scores.mask_allowed("t", 0)).collect()] == [(True, True), (False, True)]
