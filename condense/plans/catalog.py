@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     so one task, however many splits are planned for it, and what follows costs more than to move the rows."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations") and len(df.inputFiles()) < cores:
+    if name in ("documents", "pages") and len(df.inputFiles()) < cores:
         return df.repartition(max(cores, -(-size_of(spark, f"{sf}/{name}.parquet") // DEALT_BYTES)), *df.columns[:2])
     return df
 
