@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in ("documents", "pages") and len(df.inputFiles()) < cores:
-        return df.repartition(max(cores, -(-size_of(spark, f"{sf}/{name}.parquet") // DEALT_BYTES)), *df.columns[:2])
+        return df.repartition(max(cores, -(-size_of(spark, f"{sf}/{name}.parquet") // DEALT_BYTES)), df.columns[0])
     return df
 
 
