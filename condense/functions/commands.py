@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 from .base import ColumnOrName, col, let
 
 # Programs that change something, and program with subcommand.
-SIDE_EFFECT_PROGRAMS = """
-rm mv cp mkdir touch dd chmod chown chgrp ln
-kill pkill killall taskkill shutdown reboot pmset
-ssh scp sftp rsync tee nc netcat telnet ping
-node nodejs python python2 python3 ruby perl php
-bash sh zsh fish source eval exec xargs
-open watch yes sleep time
-sudo doas launchctl systemctl
-terraform tofu kubectl aws gcloud az flyctl vercel netlify wrangler supabase firebase
-nodebrew bunx npx pnpx yarn pnpm
-""".split()
-SIDE_EFFECT_PAIRS = """
-git push, git pull, git fetch, git commit, git reset, git rebase, git merge, git checkout, git switch, git restore, git revert,
-git clean, git cherry-pick, git rm, git stash, git apply, git am, git tag, git branch, git worktree, git config, git remote,
-npm install, npm i, npm ci, npm publish, npm unlink, npm link, npm init, npm run, npm test, npm exec, npm start, npm stop,
-bun install, bun add, bun remove, bun publish, bun link, bun run, bun test, bun init, bun update,
-pip install, pip uninstall, pip3 install, pip3 uninstall,
-cargo install, cargo add, cargo remove, cargo publish, cargo run, cargo test, cargo build, cargo bench,
-gem install, gem uninstall, gem push, brew install, brew uninstall, brew upgrade, brew link, brew unlink,
-apt install, apt remove, apt upgrade, apt-get install, apt-get remove, apt-get upgrade,
-docker build, docker push, docker pull, docker rm, docker rmi, docker tag, docker commit, docker compose, docker system,
-make install, make deploy, make release, tail -f
-"""
-_PAIRS = [p.strip() for p in SIDE_EFFECT_PAIRS.replace("\n", " ").split(",")]
+SIDE_EFFECT_PROGRAMS = [
+    "rm", "mv", "cp", "mkdir", "touch", "dd", "chmod", "chown", "chgrp", "ln", "kill", "pkill", "killall", "taskkill", "shutdown", "reboot",
+    "pmset", "ssh", "scp", "sftp", "rsync", "tee", "nc", "netcat", "telnet", "ping", "node", "nodejs", "python", "python2", "python3",
+    "ruby", "perl", "php", "bash", "sh", "zsh", "fish", "source", "eval", "exec", "xargs", "open", "watch", "yes", "sleep", "time", "sudo",
+    "doas", "launchctl", "systemctl", "terraform", "tofu", "kubectl", "aws", "gcloud", "az", "flyctl", "vercel", "netlify", "wrangler",
+    "supabase", "firebase", "nodebrew", "bunx", "npx", "pnpx", "yarn", "pnpm",
+]
+SIDE_EFFECT_SUBCOMMANDS = {
+    "git": [
+        "push", "pull", "fetch", "commit", "reset", "rebase", "merge", "checkout", "switch", "restore", "revert", "clean", "cherry-pick",
+        "rm", "stash", "apply", "am", "tag", "branch", "worktree", "config", "remote",
+    ],
+    "npm": ["install", "i", "ci", "publish", "unlink", "link", "init", "run", "test", "exec", "start", "stop"],
+    "bun": ["install", "add", "remove", "publish", "link", "run", "test", "init", "update"],
+    "pip": ["install", "uninstall"],
+    "pip3": ["install", "uninstall"],
+    "cargo": ["install", "add", "remove", "publish", "run", "test", "build", "bench"],
+    "gem": ["install", "uninstall", "push"],
+    "brew": ["install", "uninstall", "upgrade", "link", "unlink"],
+    "apt": ["install", "remove", "upgrade"],
+    "apt-get": ["install", "remove", "upgrade"],
+    "docker": ["build", "push", "pull", "rm", "rmi", "tag", "commit", "compose", "system"],
+    "make": ["install", "deploy", "release"],
+    "tail": ["-f"],
+}
+_PAIRS = [f"{program} {sub}" for program, subs in SIDE_EFFECT_SUBCOMMANDS.items() for sub in subs]
 _PREFIX = r"^(?:[A-Za-z_][A-Za-z0-9_]*=.*|sudo|doas|env|nohup|stdbuf|nice|command|exec|builtin|timeout)$"
 _WRITES = r"(?:^|\s)(?:-X|--request|-d|--data|-T|--upload-file|-F|--form|-o|--output|-O|--post-data|--post-file)(?![A-Za-z0-9_])"
 _CUTS = r"&&|\|\||;|\||\$\(|`|\n"

@@ -16,6 +16,7 @@ _LOG = [
     r"^(npm ERR!|Traceback|panic:)",
     *_FRAME,
 ]
+# How a line of code begins, a search result, a patch.
 _CODE_START = r"^(import |export |from |require\(|const |let |var |function |class |interface |type |def |fn |func |pub |impl )"
 _SEARCH = r"^[^\s:]+:[0-9]+:"
 _DIFF = r"^(diff --git|--- a/|@@ -[0-9]+,[0-9]+ \+[0-9]+,[0-9]+ @@)"

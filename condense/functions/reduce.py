@@ -71,15 +71,19 @@ def crush_text(c: ColumnOrName, least_chars: int = 2000, ratio: float = 0.5) ->
     return F.when(text.isNull() | (F.length(text) < least_chars), out(text, 0, 0, False)).otherwise(let(segments(text), crush))
 
 
+# Lines of a log that stay, and the figures of a line that become ``#``.
 KEPT_LOG_LINE = r"(?i)error|fail|✗|×|not ok|warning|warn:|panic|exception|undefined|cannot|expected|assert|-->|(^|[^a-z0-9_])(at|in)([^a-z0-9_]|$)"
 HAS_FIGURE = [word(r"[0-9]+(\.[0-9]+)*"), "(?i)" + word("[0-9a-f]{6,}"), word(r"v?[0-9]+\.[0-9]+(\.[0-9]+)?([-+][A-Za-z0-9_.]+)?")]
 
 
+FIGURES = [r"v?[0-9]+\.[0-9]+(?:\.[0-9]+)?(?:[-+][A-Za-z0-9_.]+)?", r"(?<![A-Za-z])[0-9]+(?:\.[0-9]+)*", r"(?<![A-Za-z])[0-9a-fA-F]{6,}"]
+
+
 def log_template(line: Column) -> Column:
     """A line with ``#`` for versions, numbers and hashes."""
-    out = F.regexp_replace(line, r"v?[0-9]+\.[0-9]+(?:\.[0-9]+)?(?:[-+][A-Za-z0-9_.]+)?", "#")
-    out = F.regexp_replace(out, r"(?<![A-Za-z])[0-9]+(?:\.[0-9]+)*", "#")
-    return F.regexp_replace(out, r"(?<![A-Za-z])[0-9a-fA-F]{6,}", "#")
+    for figure in FIGURES:
+        line = F.regexp_replace(line, figure, "#")
+    return line
 
 
 def is_template_line(line: Column) -> Column:

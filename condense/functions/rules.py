@@ -96,6 +96,7 @@ def error_only(text: Column, pattern: str) -> Column:
     return let(lines(text), lambda a: let(F.filter(a, lambda x: x.rlike(pattern)), lambda k: F.when((F.size(k) > 0) & (F.size(k) < F.size(a)), joined(k))))
 
 
+# Fixed value: a line of search results.
 MATCH_LINE = r"^([^:]+):([0-9]+):(.*)$"
 
 
@@ -124,6 +125,7 @@ def group_squash(text: Column, over: int = 1500, per_file: int = 3, files: int =
 def git_status(text: Column, most: int) -> Column:
     """Branch, the first entries, and how many more there are."""
     trimmed = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    # Entries of a status, short and long, and its other lines.
     short, long_ = r"^([ MADRCU?!]{1,2})\s+(.+)$", r"^(modified|new file|deleted|renamed|typechange|untracked):\s+(.+)$"
     skip = r"^(Untracked files|Changes to be committed|Changes not staged for commit|no changes added|Your branch|use \"git|\(use |\(git )"
 
@@ -151,6 +153,7 @@ def git_status(text: Column, most: int) -> Column:
     return let(trimmed, build)
 
 
+# Fixed value: lines of a patch that are no context.
 CHANGE_LINE = r"^(@@ |[+-]|<<<<<<<|=======|>>>>>>>|diff --git|index )"
 
 
