@@ -7,6 +7,7 @@ with ``text`` and counters, takes one row and needs no shuffle.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -251,7 +252,8 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
             total = F.aggregate(m, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
 
             def choose(d: Column, n: Column) -> Column:
-                need = F.greatest(F.lit(0), F.size(d) - F.floor(n * (1 - ratio)).cast("int"))
+                # in decimals: a share of 0.35 of 180 words is 63, by doubles it is less
+                need = F.greatest(F.lit(0), F.size(d) - F.floor(n * F.lit(1 - Decimal(str(ratio)))).cast("int"))
                 last = let(need, lambda k: F.struct(k.alias("need"), F.coalesce(F.try_element_at(d, F.nullif(k, F.lit(0))), F.lit(-(1 << 63))).alias("rank")))
                 return let(last, lambda back: render(d, n, back))
 

@@ -172,6 +172,12 @@ def test_reducers_fail_open(spark):
             assert got == t or len(got) < len(t)
 
 
+def test_prose_share_is_exact(spark):
+    # 0.35 of 180 words are 63 that may go; 1 - 0.65 in doubles makes less of it
+    r = each(spark, reduce.compress_prose, [" ".join(["the"] * 180)])[0]
+    assert r.was_compressed and (r.words, r.dropped, r.restored) == (180, 174, 111)
+
+
 def test_negations_survive_prose(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
     r = d.select(F.regexp_count(F.lower("text"), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("a"), F.regexp_count(F.lower(reduce.compress_prose("text")["text"]), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("b"))
