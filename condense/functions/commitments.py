@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import ColumnOrName, col, let, word
+from .base import ColumnOrName, any_word, col, has_any, let, word
 
 PER_KIND = 40
 # Words and formats that count as commitments.
-NEGATION = word(
+_NEGATIONS = (
     "ne|n|pas|jamais|aucun|aucune|sans|ni|non|not|no|never|without|cannot|can't|don't|doesn't|didn't|isn't|aren't|won't|wouldn't|shouldn't|couldn't"
     "|neither|nor|nunca|jamas|jamás|sin|tampoco|nicht|keine|keiner|keinen|nie|niemals|ohne"
 )
+NEGATION = word(_NEGATIONS)
+_NEGATION = any_word(_NEGATIONS.split("|"))
 ERROR_LINE = (
     r"(?:^|\n)([ \t]*(?:✗|×|not ok)[^\n]*|[^\n]*(?:(?<![A-Za-z0-9_])ERROR(?![A-Za-z0-9_])|ERR_|(?<![A-Za-z0-9_])Errno(?![A-Za-z0-9_])"
     r"|(?<![A-Za-z0-9_])FAIL(?:ED|URE)?(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])panic(?![A-Za-z0-9_])|Traceback \(most recent|Exception(?![A-Za-z0-9_])"
@@ -27,19 +29,34 @@ ATOMS = {
 KINDS = ["negation", "error", *ATOMS]
 
 
+#: Without one of these in a text it has no error line.
+_ERROR_PARTS = ["ERROR", "ERR_", "Errno", "FAIL", "panic", "Traceback (most recent", "Exception", "fatal", "✗", "×", "not ok"]
+
+
+def _may_have(text: Column, kind: str) -> Column:
+    """Whether a text has what all atoms of a kind have: a test that costs far less than their pattern."""
+    if kind == "version":
+        return text.rlike(r"[0-9]\.[0-9]") & (text.contains("@") | text.rlike(r"[0-9]\.[0-9]+\.[0-9]"))
+    if kind == "hash":
+        return text.rlike("[a-f0-9]{10}") | text.contains("0x")
+    return text.contains("://" if kind == "url" else "/")
+
+
 def count_negations(c: ColumnOrName) -> Column:
-    return F.regexp_count(F.lower(col(c)), F.lit(NEGATION)).cast("bigint")
+    return F.regexp_count(F.lower(col(c)), F.lit(_NEGATION)).cast("bigint")
 
 
 def error_lines(c: ColumnOrName) -> Column:
-    found = F.transform(F.regexp_extract_all(col(c), F.lit(ERROR_LINE), F.lit(1)), lambda x: F.trim(x))
+    none = F.array().cast("array<string>")
+    found = F.when(~has_any(col(c), _ERROR_PARTS), none).otherwise(F.transform(F.regexp_extract_all(col(c), F.lit(ERROR_LINE), F.lit(1)), lambda x: F.trim(x)))
     return F.slice(F.filter(found, lambda x: F.length(x) >= 4), 1, PER_KIND)
 
 
 def atoms(c: ColumnOrName, kind: str) -> Column:
     """Distinct URLs, versions, hashes or paths among the first ``PER_KIND`` that are long enough."""
     least = 8 if kind == "url" else 4
-    found = F.filter(F.regexp_extract_all(col(c), F.lit(ATOMS[kind]), F.lit(1)), lambda x: F.length(x) >= least)
+    every = F.when(~_may_have(col(c), kind), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(col(c), F.lit(ATOMS[kind]), F.lit(1)))
+    found = F.filter(every, lambda x: F.length(x) >= least)
     return F.array_distinct(F.slice(found, 1, PER_KIND))
 
 
@@ -49,11 +66,15 @@ def _squeezed(c: Column) -> Column:
 
 def compare(original: ColumnOrName, reduced: ColumnOrName) -> Column:
     """Struct ``total, preserved, missed, by_kind``."""
-    original, reduced = F.coalesce(col(original), F.lit("")), F.coalesce(col(reduced), F.lit(""))
+    both = F.struct(F.coalesce(col(original), F.lit("")).alias("original"), F.coalesce(col(reduced), F.lit("")).alias("reduced"))
+    # both once: in the tests of each fact they would be computed anew
+    return let(both, lambda x: _compared(x["original"], x["reduced"]))
+
 
+def _compared(original: Column, reduced: Column) -> Column:
     def lost_of(x: Column, kind: str) -> Column:
         if kind == "error":
-            return F.filter(x[kind], lambda v: ~x["squeezed"].contains(_squeezed(v)))
+            return F.when(F.size(x[kind]) == 0, x[kind]).otherwise(let(_squeezed(reduced), lambda t: F.filter(x[kind], lambda v: ~t.contains(_squeezed(v)))))
         return F.filter(x[kind], lambda v: ~reduced.contains(v))
 
     def told(lost: Column, kind: str) -> Column:
@@ -64,7 +85,7 @@ def compare(original: ColumnOrName, reduced: ColumnOrName) -> Column:
         note = F.concat(F.lit("negation: "), x["neg_in"].cast("string"), F.lit(" expected, "), x["neg_out"].cast("string"), F.lit(" present"))
         missed.append(F.when(x["neg_out"] < x["neg_in"], F.array(note)).otherwise(F.array().cast("array<string>")))
         for k in ("error", *ATOMS):
-            own, lost = x[k], lost_of(x, k)
+            own, lost = x[k], x["lost"][k]
             parts.append(F.size(own).cast("bigint"))
             kept = kept + (F.size(own) - F.size(lost)).cast("bigint")
             missed.append(told(lost, k))
@@ -74,7 +95,8 @@ def compare(original: ColumnOrName, reduced: ColumnOrName) -> Column:
         )
 
     facts = F.struct(
-        count_negations(original).alias("neg_in"), count_negations(reduced).alias("neg_out"), _squeezed(reduced).alias("squeezed"),
+        count_negations(original).alias("neg_in"), count_negations(reduced).alias("neg_out"),
         error_lines(original).alias("error"), *(atoms(original, k).alias(k) for k in ATOMS),
     )
-    return let(facts, report)
+    losses = lambda x: F.struct(*(lost_of(x, k).alias(k) for k in ("error", *ATOMS)))
+    return let(facts, lambda x: let(losses(x), lambda lost: report(F.struct(*(x[k].alias(k) for k in ("neg_in", "neg_out", "error", *ATOMS)), lost.alias("lost")))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import count_by_first, coverage_size, prefix_within
-from .base import ColumnOrName, any_of, col, joined, let, lines, word
+from .base import ColumnOrName, any_of, any_word, col, has_any, joined, let, lines, word
 from .detect import detect_type
 from .language import NEGATIONS, PROTECTED, STOPWORDS, detect_language, is_protected, words_of
 from .text import bigrams, estimate_tokens, fold_ascii
@@ -36,7 +36,7 @@ FORCED = [
 
 def segments(c: ColumnOrName) -> Column:
     """Sentences and lines of at least 12 characters, cut at 500."""
-    parts = F.transform(F.split(col(c), r"(?<=[.!?])[ \t\r\n]+|\n+"), lambda s: F.regexp_replace(s, "^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    parts = F.transform(F.split(col(c), r"(?=[ \t\r\n])(?:(?<=[.!?])[ \t\r\n]+|\n+)"), lambda s: F.btrim(s, F.lit(" \t\r\n")))
     return F.transform(F.filter(parts, lambda s: F.length(s) >= 12), lambda s: F.when(F.length(s) > 500, F.concat(F.left(s, F.lit(500)), F.lit("…"))).otherwise(s))
 
 
@@ -45,6 +45,38 @@ def salience(s: Column) -> Column:
     return F.when(s.rlike(TROUBLE), 3).otherwise(0) + sum((s.rlike(p).cast("int") for p in (CAPITALS, DOTTED)), s.rlike(NUMBER).cast("int"))
 
 
+# Without one of these, in lower case, nothing in a text is in trouble, or a URL.
+_TROUBLE_PARTS, _BOTH_PARTS = ["warning", "assert", "todo", "fixme"], ["error", "exception", "fail", "traceback"]
+_FORCED_PARTS, _URL_PARTS = ["✗", "×", "not ok"], ["://", "www."]
+# The same tests as ``NUMBER``, ``CAPITALS``, ``DOTTED`` and the last two of ``FORCED``, beginning with what is rare.
+_NUMBER, _CAPITALS = r"[0-9](?<![A-Za-z0-9_][0-9])[0-9]*(?![A-Za-z0-9_])", r"[A-Z]{2}(?<![A-Za-z0-9_][A-Z]{2})[A-Z]*(?![A-Za-z0-9_])"
+_DOTTED = r"\.(?<=[A-Za-z0-9_.-]\.)[A-Za-z0-9_-]"
+_HASH = "(?i)[a-f0-9](?<![a-z0-9_][a-f0-9])[a-f0-9]{6,39}(?![a-z0-9_])"
+_NOT = "(?i)" + any_word("ne pas jamais rien aucun aucune ni sans not no never none nunca nada nicht nie kein keine niemals".split())
+
+
+def _gates(text: Column) -> Column:
+    """Which tests a part of a text can meet at all: most texts have nothing for most of them."""
+
+    def of(t: Column) -> Column:
+        return let(has_any(t, _BOTH_PARTS), lambda both: F.struct(
+            (both | has_any(t, _TROUBLE_PARTS)).alias("trouble"), (both | has_any(t, _FORCED_PARTS)).alias("forced"), has_any(t, _URL_PARTS).alias("url"),
+            t.rlike("[0-9]").alias("digit"), t.rlike("[a-f0-9]{7}").alias("hash"), text.rlike("[A-Z]{2}").alias("capitals"), text.rlike(r"\.[A-Za-z0-9_-]").alias("dotted")))
+
+    return let(F.lower(text), of)
+
+
+def _score(s: Column, g: Column) -> Column:
+    """:func:`salience` of a part of a text with its :func:`_gates`."""
+    found = [(g["capitals"], _CAPITALS), (g["dotted"], _DOTTED), (g["digit"], _NUMBER)]
+    return F.when(g["trouble"] & s.rlike(TROUBLE), 3).otherwise(0) + sum(((gate & s.rlike(p)).cast("int") for gate, p in found[1:]), (found[0][0] & s.rlike(found[0][1])).cast("int"))
+
+
+def _is_forced(s: Column, g: Column) -> Column:
+    """Whether one of ``FORCED`` is found."""
+    return s.rlike(_NOT) | (g["forced"] & s.rlike(FORCED[0])) | (g["digit"] & s.rlike("[0-9]") & any_of(s, FORCED[2:6])) | (g["hash"] & s.rlike(_HASH)) | (g["url"] & s.rlike(FORCED[1]))
+
+
 def crush_text(c: ColumnOrName, least_chars: int = 2000, ratio: float = 0.5) -> Column:
     """The most salient segments up to a share of the text, with all that hold errors, figures or
     negations, in their order.  Struct ``text, segments_before, segments_after, was_crushed``."""
@@ -55,19 +87,25 @@ def crush_text(c: ColumnOrName, least_chars: int = 2000, ratio: float = 0.5) ->
         return F.struct(t.alias("text"), n(before).alias("segments_before"), n(after).alias("segments_after"), F.lit(done).alias("was_crushed"))
 
     def crush(a: Column) -> Column:
+        return F.when(F.size(a) <= 8, out(text, 0, 0, False)).otherwise(let(_gates(text), lambda g: judged(a, g)))
+
+    def judged(a: Column, g: Column) -> Column:
         n = F.size(a)
         scored = F.array_sort(F.transform(a, lambda s, i: F.struct(
-            (-salience(s) - F.when((i < 2) | (i >= n - 2), 2).otherwise(0)).alias("s"), i.alias("i"), F.length(s).alias("len"))))
+            (-_score(s, g) - F.when((i < 2) | (i >= n - 2), 2).otherwise(0)).alias("s"), i.alias("i"), F.length(s).alias("len"))))
 
         def chosen(r: Column) -> Column:
-            k = prefix_within(F.transform(r, lambda x: x["len"]), F.ceil(F.length(text) * ratio))
-            best = F.transform(F.slice(r, 1, k), lambda x: x["i"])
-            forced = F.filter(F.transform(a, lambda s, i: F.when(any_of(s, FORCED), i)), lambda i: i.isNotNull())
-            places = F.array_sort(F.array_union(best, forced))
+            budget = F.ceil(F.length(text) * ratio)
+            return let(prefix_within(F.transform(r, lambda x: x["len"]), budget), lambda k: kept_with(r, k))
+
+        def kept_with(r: Column, k: Column) -> Column:
+            # what the budget has taken needs no other reason to stay
+            forced = F.filter(F.slice(r, k + 1, n), lambda x: _is_forced(F.element_at(a, x["i"] + 1), g))
+            places = F.array_sort(F.transform(F.concat(F.slice(r, 1, k), forced), lambda x: x["i"]))
             kept = F.transform(places, lambda i: F.element_at(a, i + 1))
             return let(kept, lambda x: let(joined(x), lambda t: F.when(F.length(t) < F.length(text), out(t, n, F.size(x), True)).otherwise(out(text, 0, 0, False))))
 
-        return F.when(n <= 8, out(text, 0, 0, False)).otherwise(let(scored, chosen))
+        return let(scored, chosen)
 
     return F.when(text.isNull() | (F.length(text) < least_chars), out(text, 0, 0, False)).otherwise(let(segments(text), crush))
 
@@ -410,12 +448,9 @@ def smart_compress(c: ColumnOrName) -> Column:
     text = col(c)
 
     def first(*options: tuple[str, Column]) -> Column:
-        out = None
-        for name, t in options:
-            test = F.length(t) < F.length(text)
-            s = F.struct(t.alias("text"), F.lit(name).alias("strategy"))
-            out = F.when(test, s) if out is None else out.when(test, s)
-        return out.otherwise(F.struct(text.alias("text"), F.lit("none").alias("strategy")))
+        # each is computed once, and only where those before it do not shorten the text
+        own = [let(t, lambda x: F.when(F.length(x) < F.length(text), F.struct(x.alias("text"), F.lit(name).alias("strategy")))) for name, t in options]
+        return F.coalesce(*own, F.struct(text.alias("text"), F.lit("none").alias("strategy")))
 
     def by(kind: Column) -> Column:
         return (

@@ -1,5 +1,6 @@
 """Column functions on small inputs: usual cases, thresholds, nulls and empty texts."""
 
+import functools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condense.functions import arrays, commands, commitments, delta, detect, language, pyudf, redact, reduce, rules, scores, text
+from condense.functions.base import any_of
 
 
 def one(spark, column, **values):
@@ -172,6 +174,47 @@ def test_reducers_fail_open(spark):
             assert got == t or len(got) < len(t)
 
 
+def _odd_parts(n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    words = "error ERRORS fail_ tracebac\u212a not ok nothing not no pas Nie NIEMALS aucune can't doesn't n jamás jamas www. http:// HTTP://x v1.2 1.2.3 a@1.2 2024-01-02 1/2/24 5% 7 ms a1b2c3d4 DEADBEEF deadbeef0 0x1f AB A_B x.y . .5 é× / /a/b c/d.e todo İ 12 :34: ERR_X FAILED panic fatal".split(" ")
+    return ["".join(rng.choice(words) + rng.choice(["", " ", " ", ". ", "_", "\n", "…", "-"]) for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+
+
+def test_gated_tests_find_the_same(spark):
+    """What a text has at all decides which patterns its parts are tested for: the results stay those of all patterns."""
+    df = spark.createDataFrame([(t,) for t in _odd_parts(3000, 5)], "t string")
+    t = F.col("t")
+    got = df.select(
+        "t", reduce._score(t, reduce._gates(t)).alias("a"), reduce.salience(t).alias("b"), reduce._is_forced(t, reduce._gates(t)).alias("c"), any_of(t, reduce.FORCED).alias("d"),
+        commitments.count_negations(t).alias("e"), F.regexp_count(F.lower(t), F.lit(commitments.NEGATION)).cast("bigint").alias("f"),
+        commitments.error_lines(t).alias("g"), F.filter(F.transform(F.regexp_extract_all(t, F.lit(commitments.ERROR_LINE), F.lit(1)), lambda x: F.trim(x)), lambda x: F.length(x) >= 4).alias("h"),
+        *(commitments.atoms(t, k).alias(f"i_{k}") for k in commitments.ATOMS),
+        *(F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: F.length(x) >= (8 if k == "url" else 4))).alias(f"j_{k}") for k, p in commitments.ATOMS.items()),  # noqa: B023
+    )
+    same = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), *((f"i_{k}", f"j_{k}") for k in commitments.ATOMS)]
+    rows = got.collect()
+    for x, y in same:
+        assert [r.t for r in rows if r[x] != r[y]] == []
+        assert len({str(r[x]) for r in rows}) > 1
+
+
+def test_line_votes_find_the_same(spark):
+    starts = ["", " ", "\t\t", "  ", "\r"]
+    kinds = ["ok then", "okay", "x: INFO y", "2024-01-02 03:04:05 a", "[12:13:14] b", "npm ERR! c", "at a.b (c)", 'File "a", line 3', "raise X", "import x", "f(x);", "a = 1 }", "x, y", "a.py:3:b", "a b:3:c", "plain", ""]
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(starts) + rng.choice(kinds) + rng.choice(["", " ", "\r"]) for _ in range(rng.randrange(1, 5))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    full = F.filter(F.split("t", "\n", -1), lambda x: detect._stripped(x) != "")
+    plain = [F.size(F.filter(full, f)) for f in (lambda x: functools.reduce(lambda a, b: a | b, (detect._stripped(x).rlike(p) for p in detect._LOG)), detect.is_search_line, detect.is_code_line)]
+    rows = df.select("t", detect.line_votes("t").alias("v"), F.array(F.size(full), *plain).alias("w")).collect()
+    assert [r.t for r in rows if [r.v.n, r.v.log, r.v.search, r.v.code] != r.w] == []
+
+
+def test_reduced_text_is_computed_once(spark):
+    for x in (commitments.compare("text", reduce.crush_text("text")["text"]), reduce.smart_compress("text")):
+        assert x._jc.toString().count("(?<=[.!?])") == 1
+
+
 def test_prose_share_is_exact(spark):
     # 0.35 of 180 words are 63 that may go; 1 - 0.65 in doubles makes less of it
     r = each(spark, reduce.compress_prose, [" ".join(["the"] * 180)])[0]
