@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import ColumnOrName, any_of, col, count_where, let, lines, word
+from .base import ColumnOrName, any_of, any_word, col, count_where, let, lines, word
 
 # What lines of each kind look like.
 _FRAME = [r"^at [A-Za-z0-9_$./<>-]+\s*\(.*\)$", r'^File ".*", line [0-9]+', r"^raise [A-Za-z0-9_.]+"]
+_LOG_WORDS = "ERROR|FAIL|WARN|INFO|DEBUG|TRACE|PASSED|FAILED|ok"
 _LOG = [
-    word("ERROR|FAIL|WARN|INFO|DEBUG|TRACE|PASSED|FAILED|ok"),
+    word(_LOG_WORDS),
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}",
     r"^\[[0-9]{2}:[0-9]{2}:[0-9]{2}\]",
     r"^(npm ERR!|Traceback|panic:)",
@@ -22,21 +23,23 @@ _SEARCH = r"^[^\s:]+:[0-9]+:"
 _DIFF = r"^(diff --git|--- a/|@@ -[0-9]+,[0-9]+ \+[0-9]+,[0-9]+ @@)"
 
 
+# A text without these has no line of the kind.  A line begins behind a newline, in whatever form it is stripped.
+_MAY_LOG = r"""(?dm)^[ \t\r]*(?:at |File "|raise |[0-9]{4}-|\[[0-9]{2}:|npm ERR!|Traceback|panic:)"""
+_MAY_CODE = r"(?dm)^(?:[ \t]{2}|[ \t\r]*" + _CODE_START[1:] + ")"
+
+
 def _stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\r\n"))
 
 
 def is_log_line(line: Column) -> Column:
-    return any_of(_stripped(line), _LOG)
+    return any_of(_stripped(line), [any_word(_LOG_WORDS.split("|")), *_LOG[1:]])
 
 
 def is_code_line(line: Column) -> Column:
     t = _stripped(line)
-    return ~any_of(t, _FRAME) & (
-        t.rlike(_CODE_START)
-        | (t.rlike("[{};]$") & t.rlike("[=()]"))
-        | (line.rlike(r"^[ \t]{2,}") & t.rlike(r"[=;{}()\[\],<>]"))
-    )
+    looks = t.rlike(_CODE_START) | (t.rlike("[{};]$") & t.rlike("[=()]")) | (line.rlike(r"^[ \t]{2,}") & t.rlike(r"[=;{}()\[\],<>]"))
+    return looks & ~any_of(t, _FRAME)
 
 
 def is_search_line(line: Column) -> Column:
@@ -44,11 +47,19 @@ def is_search_line(line: Column) -> Column:
 
 
 def line_votes(c: ColumnOrName) -> Column:
-    """Lines that are not blank, and how many of them look like log, code or search output."""
-    full = F.filter(lines(c), lambda x: _stripped(x) != "")
+    """Lines that are not blank, and how many of them look like log, code or search output.  Lines are only tested
+    for what the text can have at all."""
+    text = col(c)
+    full = F.filter(lines(text), lambda x: _stripped(x) != "")
+    may_log = text.rlike(any_word(_LOG_WORDS.split("|"))) | text.rlike(_MAY_LOG)
+    may_code = text.rlike("[{};]") | text.rlike(_MAY_CODE)
+
+    def votes(a: Column, may: Column, test) -> Column:
+        return F.when(may, count_where(a, test)).otherwise(0).cast("bigint")
+
     return let(full, lambda a: F.struct(
-        F.size(a).cast("bigint").alias("n"), count_where(a, is_log_line).cast("bigint").alias("log"),
-        count_where(a, is_search_line).cast("bigint").alias("search"), count_where(a, is_code_line).cast("bigint").alias("code"),
+        F.size(a).cast("bigint").alias("n"), votes(a, may_log, is_log_line).alias("log"),
+        votes(a, text.rlike(":[0-9]"), is_search_line).alias("search"), votes(a, may_code, is_code_line).alias("code"),
     ))
 
 
