@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import ColumnOrName, col, let, lines
+from .base import ColumnOrName, col, has_any, let, lines
 from .text import char_entropy
 
 # Formats of keys, tokens and URLs, in the order in which they are replaced.
@@ -31,6 +31,15 @@ _ARTICLES = r"(?i)^(the|and|or|for|to|on|in|of|is|are|was|were)$"
 BITS = 4.5
 
 
+# A text without one of these, for the first three of which it is lower-cased, has no secret of the kind.
+_NEEDS = {
+    "aws-secret": ["aws"], "bearer": ["bearer", "basic"], "kv": ["key", "secret", "token", "passw", "authorization"],
+    "pem": ["-----BEGIN "], "conn-url": ["://"], "aws-access-key": ["AKIA", "ASIA"], "jwt": ["eyJ"],
+    "provider": ["gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "sk-", "gsk_", "xai-", "hf_", "npm_", "xox", "AIza"],
+}
+_ANY_CASE = ("aws-secret", "bearer", "kv")
+
+
 def mark(kind: str) -> str:
     return f"[redacted:{kind}]"
 
@@ -58,19 +67,24 @@ def _line_pieces(line: Column) -> Column:
         name = F.regexp_extract(F.right(before, F.lit(80)), _ASSIGNED, 1)
         assigned = (name != "") & ~name.rlike(_ARTICLES)
         alone = (F.trim(before) == "") & (F.trim(after) == "")
-        hit = is_random(tok) & (assigned | alone)
-        return F.struct(
+        # the place is asked before the entropy, and both once
+        return let((assigned | alone) & is_random(tok), lambda hit: F.struct(
             F.concat(before, tok).alias("seen"),
             F.concat(acc["out"], F.left(rest, p - 1), F.when(hit, F.lit(mark("entropy"))).otherwise(tok)).alias("out"),
             after.alias("rest"),
             (acc["n"] + hit.cast("int")).alias("n"),
-        )
+        ))
 
     start = F.struct(F.lit("").alias("seen"), F.lit("").alias("out"), line.alias("rest"), F.lit(0).alias("n"))
     return F.aggregate(tokens, start, step, lambda a: F.struct(F.concat(a["out"], a["rest"]).alias("line"), a["n"].alias("n")))
 
 
 def _entropy_pass(text: Column) -> Column:
+    whole = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n"))
+    return F.when(text.rlike(_TOKEN), _by_lines(text)).otherwise(whole)
+
+
+def _by_lines(text: Column) -> Column:
     done = F.transform(lines(text), lambda x: F.when(x.rlike(_TOKEN), _line_pieces(x)).otherwise(F.struct(x.alias("line"), F.lit(0).alias("n"))))
     return let(done, lambda d: F.struct(
         F.array_join(F.transform(d, lambda x: x["line"]), "\n").alias("text"), F.aggregate(d, F.lit(0), lambda a, x: a + x["n"]).cast("bigint").alias("n")))
@@ -86,12 +100,13 @@ def redact(c: ColumnOrName) -> Column:
             return let(_entropy_pass(text), lambda e: F.struct(
                 e["text"].alias("text"), F.struct(*(n.alias(k.replace("-", "_")) for k, n in zip(PATTERNS, counts, strict=True)), e["n"].alias("entropy")).alias("counts")))
         kind, pattern = kinds[0], PATTERNS[kinds[0]]
-        gate = F.lit(True)
+        gate = has_any(F.lower(text) if kind in _ANY_CASE else text, _NEEDS[kind])
         if kind == "kv":
-            gate = text.rlike(_HINT)
-        n = F.when(gate, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("bigint")
-        new = F.when(gate, F.regexp_replace(text, pattern, mark(kind).replace("$", "\\$"))).otherwise(text)
-        return let(F.struct(new.alias("t"), n.alias("n")), lambda s: apply(kinds[1:], s["t"], [*counts, s["n"]]))
+            gate = gate & text.rlike(_HINT)
+        same = F.struct(text.alias("t"), F.lit(0).cast("bigint").alias("n"))
+        count = F.when(gate, F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("bigint")
+        replaced = let(count, lambda n: F.when(n > 0, F.struct(F.regexp_replace(text, pattern, mark(kind).replace("$", "\\$")).alias("t"), n.alias("n"))).otherwise(same))
+        return let(replaced, lambda s: apply(kinds[1:], s["t"], [*counts, s["n"]]))
 
     text = col(c)
     return F.when(text.isNotNull(), apply(list(PATTERNS), text, []))
