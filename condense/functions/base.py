@@ -92,7 +92,7 @@ def trie(words: list[str]) -> str:
 
 def has_any(c: Column, parts: list[str]) -> Column:
     """Whether a text contains one of some strings: bytes are compared, which costs far less than a pattern."""
-    return functools.reduce(lambda a, b: a | b, (c.contains(x) for x in parts))
+    return let(c, lambda t: functools.reduce(lambda a, b: a | b, (t.contains(x) for x in parts)))
 
 
 def if_shorter(new: Column, old: Column) -> Column:

@@ -23,12 +23,20 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def fold_ascii(c: ColumnOrName) -> Column:
     """Without accents; ligatures and sharp s spelled out."""
-    plain = F.translate(F.regexp_replace(col(c), "[\\u0300-\\u036f]", ""), *_accents())
-    for a, b in (("œ", "oe"), ("æ", "ae"), ("ß", "ss")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return plain
+
+    def fold(x: Column) -> Column:
+        plain = F.translate(F.regexp_replace(x, "[\\u0300-\\u036f]", ""), *_accents())
+        for a, b in (("œ", "oe"), ("æ", "ae"), ("ß", "ss")):
+            plain = F.replace(plain, F.lit(a), F.lit(b))
+        return plain
+
+    return let(col(c), lambda x: F.when(is_ascii(x), x).otherwise(fold(x)))
 
 
 def path_tokens(c: ColumnOrName) -> Column:
@@ -39,11 +47,12 @@ def path_tokens(c: ColumnOrName) -> Column:
 def identifier_tokens(c: ColumnOrName) -> Column:
     """Distinct folded words and their parts of three or more characters between ``_ . / \\ -``."""
 
-    def with_parts(atoms: Column) -> Column:
-        parts = F.flatten(F.transform(atoms, lambda a: F.split(a, r"[_./\\-]+")))
-        return F.array_distinct(F.concat(atoms, F.filter(parts, lambda p: F.length(p) >= 3)))
+    def tokens(t: Column) -> Column:
+        # both cuts are made of the whole text: a part is never longer than its word
+        words, parts = F.split(t, r"\s+"), F.array_distinct(F.split(t, r"[ \t\n\x0B\f\r_./\\-]+"))
+        return F.array_remove(F.array_distinct(F.concat(words, F.filter(parts, lambda p: F.length(p) >= 3))), "")
 
-    return let(path_tokens(c), with_parts)
+    return let(fold_ascii(F.lower(col(c))), tokens)
 
 
 def bigrams(c: ColumnOrName) -> Column:
@@ -71,22 +80,17 @@ def estimate_tokens(c: ColumnOrName, chars_per_token: float | Column = 3.3) -> C
 
 def char_entropy(c: ColumnOrName) -> Column:
     """Shannon entropy of the characters in bits."""
-    chars = F.filter(F.split(col(c), ""), lambda x: x != "")
-
-    def bits(a: Column) -> Column:
-        # sorted, equal characters are runs: a fold needs no pass for each distinct character
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("sum"))
-
-        def step(acc: Column, x: Column) -> Column:
-            same = acc["last"] == x
-            closed = acc["sum"] + F.when(acc["run"] > 0, acc["run"] * F.log2(F.greatest(acc["run"], F.lit(1)))).otherwise(0.0)
-            return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), F.when(same, acc["sum"]).otherwise(closed).alias("sum"))
+    text = col(c)
 
-        n = F.size(a)
-        total = F.aggregate(F.array_sort(a), start, step, lambda acc: acc["sum"] + acc["run"] * F.log2(F.greatest(acc["run"], F.lit(1))))
+    def bits(runs: Column) -> Column:
+        n = F.length(text)
+        # x log2 x of each distinct character's count, in the order of the characters
+        total = F.aggregate(F.transform(runs, lambda r: F.length(r)), F.lit(0.0).cast("double"), lambda s, k: s + k * F.log2(k))
         return F.when(n > 0, F.log2(n) - total / n).otherwise(0.0)
 
-    return let(chars, bits)
+    # sorted and joined, equal characters are runs, which a pattern cuts: nothing is evaluated for each character
+    in_order = F.array_join(F.array_sort(F.split(text, "")), "")
+    return let(F.regexp_extract_all(in_order, F.lit(r"(?s)(.)\1*"), F.lit(0)), bits)
 
 
 def blob_ref(hash_: ColumnOrName, content: ColumnOrName, prefix: int = 12) -> Column:

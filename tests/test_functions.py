@@ -42,6 +42,20 @@ def test_tokens(spark):
     assert each(spark, text.bigrams, ["the cat the cat", "lone", "a b"]) == [["the cat", "cat the"], ["lone"], []]
 
 
+def test_tokens_are_those_of_each_word(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "É", "bc", "xyz", "ß", "\u0301", "_", ".", "/", "\\", "-", " ", "\n", "\u00a0", "\x0b", "İ"]) for _ in range(rng.randrange(0, 14))) for _ in range(800)]
+
+    def plain(c):
+        atoms = F.filter(F.split(text.fold_ascii(F.lower(c)), r"\s+"), lambda a: a != "")
+        parts = F.flatten(F.transform(atoms, lambda a: F.split(a, r"[_./\\-]+")))
+        return F.array_distinct(F.concat(atoms, F.filter(parts, lambda p: F.length(p) >= 3)))
+
+    assert each(spark, text.identifier_tokens, texts) == each(spark, plain, texts)
+    # no lambda over the parts of each word
+    assert text.identifier_tokens("t")._jc.toString().count("transform(") == 2
+
+
 def test_entropy_matches_counts(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
