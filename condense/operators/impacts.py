@@ -26,11 +26,12 @@ def block_postings(docs: DataFrame, blocks: int, id_col: str = "hash", text_col:
     """``term, block, most, n, ids, tfs``: of each word and block of documents, the largest number of occurrences
     (at most ``MOST_TF``) and the documents with theirs.  Words are folded and cut at white space.
 
-    Occurrences are summed up before they are shuffled, and a word that every document has is as many
+    Texts are dealt out by block, so that no row of a word is shuffled, and a word that every document has is as many
     groups as there are blocks, none of which has more documents than its block."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(text.path_tokens(text_col)).alias("term"))
-    own = words.groupBy("id", "term").agg(F.count("*").alias("n"))
-    rows = own.select("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", F.least(F.lit(MOST_TF), F.col("n")).cast("int").alias("tf"))
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")).repartition("block")
+    words = dealt.select("block", "id", F.explode(text.path_tokens("text")).alias("term"))
+    own = words.groupBy("block", "id", "term").agg(F.count("*").alias("n"))
+    rows = own.select("term", "block", "id", F.least(F.lit(MOST_TF), F.col("n")).cast("int").alias("tf"))
     packed = rows.groupBy("term", "block").agg(F.max("tf").alias("most"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "tf"))).alias("e"))
     return packed.select("term", "block", "most", "n", F.col("e.id").alias("ids"), F.col("e.tf").alias("tfs"))
 
