@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import count_by_first
-from .base import ColumnOrName, any_of, col, joined, let, lines
+from .base import ColumnOrName, any_of, col, has_any, joined, let, lines
 from .commands import effective_command
 from .text import dedup_runs, head, keep_last, strip_ansi
 
@@ -62,6 +62,11 @@ DEFAULT_RULES = [
 ]
 
 
+# The same test as ``SECURITY``, beginning with a class of letters, and what a text needs to meet it.
+_SECURITY = r"(?i)(?=[vsacg])(?:vulnerabilit|severity|advisor(?:ies|y)|(?<![a-z0-9_])CVE-|GHSA-|security)"
+_SECURITY_PARTS = ["vulnerabilit", "severity", "advisor", "cve-", "ghsa-", "security"]
+
+
 def squash(text: Column, over: int, template: str, tool: Column | None = None, path: Column | None = None, code: Column | None = None) -> Column:
     """A header and the first lines of a long output; null for shorter ones."""
     out = F.lit(template)
@@ -74,7 +79,7 @@ def squash(text: Column, over: int, template: str, tool: Column | None = None, p
 
 def strip_lines(text: Column, patterns: list[str], least: int, on_empty: str | None = None) -> Column:
     """Without noise lines; what speaks of security always stays."""
-    kept = joined(F.filter(lines(text), lambda x: x.rlike(SECURITY) | ~any_of(x, patterns)))
+    kept = let(has_any(F.lower(text), _SECURITY_PARTS), lambda risky: joined(F.filter(lines(text), lambda x: ~any_of(x, patterns) | (risky & x.rlike(_SECURITY)))))
     empty = F.when(F.length(text) > len(on_empty), F.lit(on_empty)) if on_empty is not None else F.lit(None).cast("string")
     return F.when(F.length(text) >= least, let(kept, lambda k: F.when(F.length(k) == 0, empty).when(F.length(k) < F.length(text), k)))
 
@@ -83,10 +88,15 @@ def install_summary(text: Column, least: int) -> Column:
     """Distinct verdicts of a package manager, then its security lines."""
 
     def verdicts(a: Column) -> Column:
-        calm = F.filter(a, lambda x: ~x.rlike(SECURITY))
-        said = F.transform(calm, lambda x: F.when(x.rlike(UP_TO_DATE), "ok (up to date)").when(x.rlike(INSTALLED), F.trim(x)))
-        risky = F.transform(F.filter(a, lambda x: x.rlike(SECURITY) & ~x.rlike(r"(?i)(^|[^a-z0-9_])0\s+vulnerabilit")), lambda x: F.trim(x))
-        parts = F.concat(F.array_distinct(F.filter(said, lambda x: x.isNotNull())), risky)
+        # each line is asked for security once
+        asked = F.transform(a, lambda x: F.struct(x.alias("x"), x.rlike(_SECURITY).alias("risky")))
+        return let(asked, said)
+
+    def said(a: Column) -> Column:
+        up_to_date, installed = (has_any(F.lower(text), parts) for parts in (["up to date", "up-to-date", "up to-date", "up-to date", "no ", "nothing to commit"], ["added ", "install", "package", "lock file ", "lockfile ", "writing lock"]))
+        told = lambda gates: F.filter(F.transform(F.filter(a, lambda r: ~r["risky"]), lambda r: F.when(gates["u"] & r["x"].rlike(UP_TO_DATE), "ok (up to date)").when(gates["i"] & r["x"].rlike(INSTALLED), F.trim(r["x"]))), lambda x: x.isNotNull())
+        risky = F.transform(F.filter(a, lambda r: r["risky"] & ~r["x"].rlike(r"(?i)(^|[^a-z0-9_])0\s+vulnerabilit")), lambda r: F.trim(r["x"]))
+        parts = F.concat(F.array_distinct(let(F.struct(up_to_date.alias("u"), installed.alias("i")), told)), risky)
         return let(parts, lambda p: let(joined(p), lambda t: F.when((F.size(p) > 0) & (F.length(t) < F.length(text)), t)))
 
     return F.when(F.length(text) >= least, let(lines(text), verdicts))
@@ -130,25 +140,30 @@ def git_status(text: Column, most: int) -> Column:
     skip = r"^(Untracked files|Changes to be committed|Changes not staged for commit|no changes added|Your branch|use \"git|\(use |\(git )"
 
     def build(a: Column) -> Column:
-        heads = F.filter(a, lambda x: x.rlike("^(## |On branch )"))
+        is_head = lambda x: x.startswith("## ") | x.startswith("On branch ")
+        heads = F.filter(a, is_head)
         branch = let(F.try_element_at(heads, F.lit(-1)), lambda b: F.when(b.startswith("## "), F.trim(F.element_at(F.split(F.substr(b, F.lit(4)), r"\.\.\."), 1))).otherwise(F.trim(F.substr(b, F.lit(11)))))
-        rest = F.filter(a, lambda x: ~x.rlike("^(## |On branch )"))
+        rest = F.transform(F.filter(a, lambda x: ~is_head(x)), lambda x: F.struct(x.alias("x"), (x.rlike(short) | x.rlike(long_)).alias("entry")))
         entry = lambda x: F.when(x.rlike(short), F.concat_ws(" ", F.coalesce(F.nullif(F.trim(F.regexp_extract(x, short, 1)), F.lit("")), F.lit("??")), F.regexp_extract(x, short, 2))).when(
             x.rlike(long_), F.concat_ws(" ", F.regexp_extract(x, long_, 1), F.element_at(F.split(F.regexp_extract(x, long_, 2), " -> "), 1)))
-        entries = F.filter(F.transform(rest, entry), lambda x: x.isNotNull())
-        other = F.filter(rest, lambda x: ~x.rlike(short) & ~x.rlike(long_) & ~x.rlike(skip))
 
-        def render(e: Column) -> Column:
-            more = F.greatest(F.size(e) - most, F.lit(0)) + F.size(other)
+        def render(r: Column) -> Column:
+            # only those that are shown are taken apart
+            e = F.filter(r, lambda x: x["entry"])
+            other = F.filter(r, lambda x: ~x["entry"] & ~x["x"].rlike(skip))
+            return let(e, lambda e: let(F.size(other), lambda n: shown(e, n)))
+
+        def shown(e: Column, others: Column) -> Column:
+            more = F.greatest(F.size(e) - most, F.lit(0)) + others
             none = F.array().cast("array<string>")
             parts = F.concat(
-                F.when(F.coalesce(branch, F.lit("")) != "", F.array(F.concat(F.lit("branch: "), branch))).otherwise(none), F.slice(e, 1, most),
+                F.when(F.coalesce(branch, F.lit("")) != "", F.array(F.concat(F.lit("branch: "), branch))).otherwise(none), F.transform(F.slice(e, 1, most), lambda x: entry(x["x"])),
                 F.when(more > 0, F.array(F.concat(F.lit("["), more.cast("string"), F.lit(" more entries]")))).otherwise(none),
             )
             ok = (F.size(e) > 0) | (F.coalesce(branch, F.lit("")) != "")
             return let(joined(parts), lambda t: F.when(ok & (F.length(t) < F.length(text)), t))
 
-        return let(entries, render)
+        return let(rest, render)
 
     return let(trimmed, build)
 

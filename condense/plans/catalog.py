@@ -406,22 +406,23 @@ def digest_rules(spark, sf):
 
 def digest_arms(spark, sf):
     """Rules for particular commands, over documents whose words are written as such outputs: the whole digested text."""
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    words = F.array_remove(F.split("text", r"\s+"), "")
     arm = c("doc_id") % 5
-
-    def line(x: Column, at: Column) -> Column:
-        n = (at + 1).cast("string")
-        own = F.concat(x, n)
-        return (
-            F.when(arm == 0, F.concat(F.lit(" M "), own))
-            .when(arm == 1, F.when((at + 1) % 5 == 0, F.concat(F.lit("added "), n, F.lit(" packages"))).when((at + 1) % 7 == 0, F.concat(own, F.lit(" severity high"))).otherwise(own))
-            .when(arm == 2, F.concat(n, F.when((at + 1) % 2 == 0, ":1 info ").otherwise(":1 error "), x))
-            .when(arm == 3, F.when((at + 1) % 3 == 0, F.concat(F.lit("["), n, F.lit("/9] "), x)).otherwise(own))
-            .otherwise(F.concat(F.when((at + 1) % 60 == 1, "+").otherwise(" "), own))
-        )
-
-    out = F.array_join(F.transform(words, line), "\n")
-    out = F.when(arm == 0, F.concat(F.lit("On branch main\n"), out)).otherwise(out)
+    number = lambda at: (at + 1).cast("string")
+    own = lambda x, at: F.concat(x, number(at))
+    # the arm is asked once a text, not at each of its words
+    forms = [
+        lambda x, at: F.concat(F.lit(" M "), x, number(at)),
+        lambda x, at: F.when((at + 1) % 5 == 0, F.concat(F.lit("added "), number(at), F.lit(" packages"))).when((at + 1) % 7 == 0, F.concat(own(x, at), F.lit(" severity high"))).otherwise(own(x, at)),
+        lambda x, at: F.concat(number(at), F.when((at + 1) % 2 == 0, ":1 info ").otherwise(":1 error "), x),
+        lambda x, at: F.when((at + 1) % 3 == 0, F.concat(F.lit("["), number(at), F.lit("/9] "), x)).otherwise(own(x, at)),
+        lambda x, at: F.concat(F.when((at + 1) % 60 == 1, "+").otherwise(" "), x, number(at)),
+    ]
+    written = [F.array_join(F.transform(words, f), "\n") for f in forms]
+    out = F.when(arm == 0, F.concat(F.lit("On branch main\n"), written[0]))
+    for i in (1, 2, 3):
+        out = out.when(arm == i, written[i])
+    out = out.otherwise(written[4])
     tool = F.when(arm == 2, "get_diagnostics").otherwise("shell_command")
     command = F.when(arm == 0, "git status").when(arm == 1, "npm install").when(arm == 3, "make all").when(arm == 4, "git diff HEAD")
     d = table(spark, sf, "documents").select("doc_id", out.alias("t"), tool.alias("tool"), command.alias("command"))

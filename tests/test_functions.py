@@ -251,6 +251,14 @@ def test_entropy_of_odd_characters(spark):
     assert text.char_entropy("t")._jc.toString().count("->") <= 3
 
 
+def test_fast_security_pattern(spark):
+    rng = random.Random(6)
+    words = ["cve-1", "CVE-2", "xCVE-3", "GHSA-", "Severity", "advisory", "advisories", "advisor", "VULNERABILITIES", "secure", "security", " ", "_", "é"]
+    df = spark.createDataFrame([("".join(rng.choice(words) for _ in range(rng.randrange(0, 5))),) for _ in range(500)], "t string")
+    rows = df.select("t", F.col("t").rlike(rules.SECURITY).alias("a"), F.col("t").rlike(rules._SECURITY).alias("b"), rules.has_any(F.lower("t"), rules._SECURITY_PARTS).alias("c")).collect()
+    assert [r.t for r in rows if r.a != r.b or (r.a and not r.c)] == [] and len({r.a for r in rows}) == 2
+
+
 def test_reduced_text_is_computed_once(spark):
     for x in (commitments.compare("text", reduce.crush_text("text")["text"]), reduce.smart_compress("text")):
         assert x._jc.toString().count("(?<=[.!?])") == 1
