@@ -266,7 +266,9 @@ def sharing_rare(sets: DataFrame, least: float) -> DataFrame:
         & (c("n_x") >= least * c("n_y")) & (F.least(c("n_x") - c("p_x"), c("n_y") - c("p_y")) >= need)
         & (F.element_at(F.array_intersect("hashes_x", "hashes_y"), 1) == c("h_x"))
     )
-    return small.join(large, fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    # a merge: each exploded row carries its list, which Spark takes for the size of the written table, so that it
+    # would broadcast what is many times as large
+    return small.hint("merge").join(large, fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,

@@ -259,6 +259,15 @@ def test_prefix_filter_loses_no_pair(spark):
     assert minhash.sharing_rare(df.withColumn("root", F.lit(1).cast("bigint")), 0.8).count() == 0
 
 
+def test_prefixes_are_never_broadcast(spark):
+    """Each exploded row carries its set's list: small on disk, many times as large in a broadcast on the driver."""
+    x = np.arange(1, 200, dtype="<u8")
+    out = minhash.sharing_rare(spark.createDataFrame([(i, i, x.tobytes()) for i in range(4)], "id bigint, root bigint, e binary"), 0.8)
+    assert len(out.collect()) == 6
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs.where("doc_id % 2 = 0"))
