@@ -250,13 +250,16 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
             out = out | ((lang == name) & w.isin(*words_of(lists, name)))
         return out
 
-    def tokens(line: Column, li: Column, lang: Column) -> Column:
-        """Struct of a line: its ``pieces``, for each the ``rank`` in which it would come back if it is dropped
-        (else null), and how many ``words`` it has."""
+    def tokens(line: Column, lang: Column) -> Column:
+        """Struct of a line: its ``pieces``, for each its length if it is dropped (else null) in ``sizes``, and how
+        many ``words`` it has."""
         cut = lambda x: F.regexp_extract_all(x, F.lit(r"([ \t\r\f]+|[^ \t\r\f]+)"), F.lit(1))
         # folding leaves white space alone; all that words need of their line is computed once
         lead_ = line.rlike(r"^[ \t\r\f]").cast("int")
-        parts = F.struct(cut(line).alias("p"), cut(fold_ascii(F.lower(line))).alias("f"), lead_.alias("lead"))
+        fold = lambda x: fold_ascii(F.lower(x))
+        # a word of nothing but accents is gone when it is folded: then the pieces of the folded line are fewer
+        aligned = lambda x: F.when(F.size(x["f"]) == F.size(x["p"]), x["f"]).otherwise(F.transform(x["p"], fold))
+        both = let(F.struct(cut(line).alias("p"), cut(fold(line)).alias("f")), lambda x: F.struct(x["p"].alias("p"), aligned(x).alias("f"), lead_.alias("lead")))
 
         def mark(x: Column) -> Column:
             return let(F.shiftright(F.size(x["p"]) + 1 - x["lead"], 1), lambda words: marked(x, words))
@@ -275,36 +278,38 @@ def compress_prose(c: ColumnOrName, least_chars: int = 500, ratio: float = 0.65,
                 at = F.shiftright(i - lead + 1, 1)
                 # the cheap tests come first and end the evaluation for most words
                 drop = ((i + lead) % 2 == 0) & (at >= 3) & (at < words - 3) & stop(i, w) & ~w.rlike("^[\"'`]|[\"'`]$")
-                # the longest first, then by line and place
-                rank = F.lit(-(1 << 42)) * F.least(F.length(w), F.lit(1 << 20)) + F.lit(1 << 21) * li + i
-                return F.when(drop, rank.cast("bigint"))
+                return F.when(drop, F.length(w))
 
-            return F.struct(x["p"].alias("pieces"), F.transform(x["p"], one).alias("ranks"), words.cast("bigint").alias("words"))
+            return F.struct(x["p"].alias("pieces"), F.transform(x["p"], one).alias("sizes"), words.cast("bigint").alias("words"))
 
-        whole = F.struct(F.array(line).alias("pieces"), F.array(F.lit(None).cast("bigint")).alias("ranks"), F.lit(1).cast("bigint").alias("words"))
-        return F.when(is_code_line(line), whole).otherwise(let(parts, mark))
+        whole = F.struct(F.array(line).alias("pieces"), F.array(F.lit(None).cast("int")).alias("sizes"), F.lit(1).cast("bigint").alias("words"))
+        return F.when(is_code_line(line), whole).otherwise(let(both, mark))
 
     def compress(lang: Column) -> Column:
         def restore(m: Column) -> Column:
-            dropped = F.array_sort(F.filter(F.flatten(F.transform(m, lambda x: x["ranks"])), lambda k: k.isNotNull()))
+            # pieces of all lines in one row, newlines among them: then length and place make one number, however long a
+            # word and however many the lines
+            row = lambda of, newline: F.flatten(F.transform(m, lambda x, i: F.when(i > 0, F.concat(F.array(newline), x[of])).otherwise(x[of])))
+            # the longest come back first, then the first
+            ranks = F.transform(row("sizes", F.lit(None).cast("int")), lambda n, i: F.lit(-(1 << 31)).cast("bigint") * n + i)
             total = F.aggregate(m, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
 
-            def choose(d: Column, n: Column) -> Column:
+            def choose(x: Column, d: Column) -> Column:
                 # in decimals: a share of 0.35 of 180 words is 63, by doubles it is less
-                need = F.greatest(F.lit(0), F.size(d) - F.floor(n * F.lit(1 - Decimal(str(ratio)))).cast("int"))
+                need = F.greatest(F.lit(0), F.size(d) - F.floor(x["total"] * F.lit(1 - Decimal(str(ratio)))).cast("int"))
                 last = let(need, lambda k: F.struct(k.alias("need"), F.coalesce(F.try_element_at(d, F.nullif(k, F.lit(0))), F.lit(-(1 << 63))).alias("rank")))
-                return let(last, lambda back: render(d, n, back))
+                return let(last, lambda back: render(x, d, back))
 
-            def render(d: Column, n: Column, back: Column) -> Column:
-                kept = lambda x: F.filter(x["pieces"], lambda w, i: F.coalesce(F.element_at(x["ranks"], i + 1) <= back["rank"], F.lit(True)))
-                out = joined(F.transform(m, lambda x: F.array_join(kept(x), "")))
-                return let(out, lambda t: F.when(F.length(t) * 10 <= F.length(text) * 9, F.struct(
-                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), n.alias("words"),
+            def render(x: Column, d: Column, back: Column) -> Column:
+                out = F.array_join(F.filter(x["pieces"], lambda w, i: F.coalesce(F.element_at(x["ranks"], i + 1) <= back["rank"], F.lit(True))), "")
+                return let(out, lambda t: F.when(F.length(t).cast("bigint") * 10 <= F.length(text).cast("bigint") * 9, F.struct(
+                    t.alias("text"), F.lit(True).alias("was_compressed"), lang.alias("lang"), x["total"].alias("words"),
                     F.size(d).cast("bigint").alias("dropped"), back["need"].cast("bigint").alias("restored"))).otherwise(none(lang)))
 
-            return let(dropped, lambda d: let(total, lambda n: choose(d, n)))
+            parts = F.struct(row("pieces", F.lit("\n")).alias("pieces"), ranks.alias("ranks"), total.alias("total"))
+            return let(parts, lambda x: let(F.array_sort(F.filter(x["ranks"], lambda k: k.isNotNull())), lambda d: choose(x, d)))
 
-        return let(F.transform(lines(text), lambda x, i: tokens(x, i, lang)), restore)
+        return let(F.transform(lines(text), lambda x: tokens(x, lang)), restore)
 
     return F.when(text.isNull() | (F.length(text) < least_chars), none(F.lit("unknown"))).otherwise(let(detect_language(text, languages=lists), compress))
 

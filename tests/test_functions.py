@@ -1,16 +1,19 @@
 """Column functions on small inputs: usual cases, thresholds, nulls and empty texts."""
 
 import functools
+import hashlib
 import math
 import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from condense.functions import arrays, commands, commitments, delta, detect, language, pyudf, redact, reduce, rules, scores, text
 from condense.functions.base import any_of
+from condense.plans import oracle
 
 
 def one(spark, column, **values):
@@ -270,6 +273,23 @@ def test_prose_share_is_exact(spark):
     assert r.was_compressed and (r.words, r.dropped, r.restored) == (180, 174, 111)
 
 
+def test_prose_of_many_lines_and_lone_accents(spark):
+    """Against its SQL: ranks of lines from the 1,024th on, and words that are gone when they are folded."""
+    rng = random.Random(3)
+    words = "the a and of cat it's not is they that, (the) \"with \u0130t \u00e9lan tho\u0301ugh the\u0301 \u0301 \u0301\u0302 x1 v2.0 THE Them. could".split(" ")
+    line = lambda: rng.choice(["", " "]) + rng.choice([" ", " \t"]).join(rng.choice(words) for _ in range(rng.randrange(0, 25)))
+    texts = ["\n".join(line() for _ in range(n)) for n in (1, 9, 9, 40, 40, 1024, 1025, 2500)]
+    texts += [" ".join(["the"] * 9 + ["\u0301 and"] * 90 + ["the"] * 9)]  # so many that the folded line ends before the last words
+    texts += [None, "", "the " * 200]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    want = con.execute(f"select was_compressed, lang, words, dropped, restored, sha from ({oracle.PROSE}) order by doc_id").fetchall()
+    got = each(spark, reduce.compress_prose, texts)
+    assert [(r.was_compressed, r.lang, r.words, r.dropped, r.restored, r.text if r.text is None else hashlib.sha256(r.text.encode()).hexdigest()) for r in got] == want
+    assert all(r.was_compressed for r in got[5:9]) and all(r.restored for r in got[8:9])
+
+
 def test_negations_survive_prose(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
     r = d.select(F.regexp_count(F.lower("text"), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("a"), F.regexp_count(F.lower(reduce.compress_prose("text")["text"]), F.lit(r"(?<![\p{L}])(not|never|nicht|pas)(?![\p{L}])")).alias("b"))
